@@ -161,7 +161,7 @@ def verified_counts(posts: DataFrame, users: DataFrame, match: str = CONTAINS) -
 
 
 # ---------------------------------------------------------------- Q6 ------
-def _follower_sums(joined: DataFrame, keys: list[str]) -> DataFrame:
+def follower_sums(joined: DataFrame, keys: list[str]) -> DataFrame:
     """Post-weighted follower sums per polarity (exact: DECIMAL(38,0))."""
     f = F.col("public_metrics.followers_count")
     known = f.isNotNull()
@@ -184,7 +184,7 @@ def followers_mean(posts: DataFrame, users: DataFrame, match: str = CONTAINS) ->
     equals ``avg(followers)`` over the joined posts, without shipping posts.
     """
     per = per_author(posts, pos=flag(is_positive(match)), neg=flag(is_negative(match)))
-    sums = _follower_sums(with_users(per, users), [])
+    sums = follower_sums(with_users(per, users), [])
     return sums.select(F.inline(F.array(
         F.struct(F.lit("positive").alias("polarity"), _mean("s_pos", "c_pos").alias("avg_followers")),
         F.struct(F.lit("negative").alias("polarity"), _mean("s_neg", "c_neg").alias("avg_followers")))))
@@ -201,7 +201,7 @@ def followers_mean_of_means(posts: DataFrame, users: DataFrame, batch: Column |
     """
     batch = F.substring("data.created_at", 1, 10) if batch is None else batch
     per = per_author(posts, [batch.alias("batch")], pos=flag(is_positive(match)), neg=flag(is_negative(match)))
-    sums = _follower_sums(with_users(per, users), ["batch"])
+    sums = follower_sums(with_users(per, users), ["batch"])
     means = sums.select(_mean("s_pos", "c_pos").alias("m_pos"), _mean("s_neg", "c_neg").alias("m_neg"))
     wide = means.agg(F.avg("m_pos").alias("p"), F.avg("m_neg").alias("n"))
     return wide.select(F.inline(F.array(

@@ -1,2 +1,136 @@
-STREAM_QUERIES = {}
-STREAM_ORACLE = {}
+"""Registered streaming queries.
+
+Each one lands fixture posts as files (partitioned by ingest day), runs a
+Structured Streaming query over the landing folder with an ``availableNow``
+trigger (several micro-batches, bounded by ``maxFilesPerTrigger``), and
+returns the result table as a DataFrame.  All paths live below the shared
+checkpoint folder.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from moodlens.operators.join import dedupe_users
+from moodlens.plans import analyses as A
+from moodlens.plans.oracle_sql import oracle_sql as _batch_oracle, PE, UE
+from moodlens.plans.registry import FIXTURE_LEXICON, posts_d, posts_e, users_e
+from moodlens.session import scratch_path
+from moodlens.sources.files import land_posts
+from moodlens.sources.fixtures import FIXTURE_E_CUTOFF
+from moodlens.streaming import analyses as S
+from moodlens.streaming.sinks import EPOCH, latest_epoch, per_batch_writer, run_available, write_epoch
+from moodlens.streaming.sources import post_stream
+
+FILES_PER_TRIGGER = 4
+
+
+def _landed(spark: SparkSession, posts: DataFrame, name: str, rows_per_file: int = 1000) -> str:
+    path = scratch_path(spark, f"{name}-landing")
+    land_posts(posts, path, fmt="parquet", max_records_per_file=rows_per_file)
+    return path
+
+
+def snapshot_users(spark: SparkSession, users: DataFrame, name: str) -> DataFrame:
+    """Deduplicate users once and write them as the static side of a stream
+    (cuts the lineage; every micro-batch then reads a plain table)."""
+    path = scratch_path(spark, f"{name}-users")
+    dedupe_users(users).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def _complete_to_table(spark, stream_df, name) -> str:
+    out, ckpt = scratch_path(spark, f"{name}-out"), scratch_path(spark, f"{name}-ckpt")
+    run_available(stream_df, ckpt, output_mode="complete",
+                  foreach_batch=lambda df, epoch: write_epoch(df, out, epoch))
+    return out
+
+
+def _per_batch_to_table(spark, stream_df, fn, name) -> str:
+    out, ckpt = scratch_path(spark, f"{name}-out"), scratch_path(spark, f"{name}-ckpt")
+    run_available(stream_df, ckpt, output_mode="append", foreach_batch=per_batch_writer(fn, out))
+    return out
+
+
+def q_stream_indicator_counts(spark, sf_dir):
+    """Running indicator counts over landed documents (state store)."""
+    landing = _landed(spark, posts_d(spark, sf_dir), "indicators", rows_per_file=100)
+    stream = post_stream(spark, landing, max_files_per_trigger=FILES_PER_TRIGGER)
+    out = _complete_to_table(spark, S.running_indicator_counts(stream, FIXTURE_LEXICON), "indicators")
+    return S.indicator_rows(latest_epoch(spark, out), FIXTURE_LEXICON)
+
+
+def q_stream_verified_counts(spark, sf_dir):
+    """T3 + T7: stream-static join with users, running verified counts."""
+    users = snapshot_users(spark, users_e(spark, sf_dir), "verified")
+    landing = _landed(spark, posts_e(spark, sf_dir), "verified")
+    stream = post_stream(spark, landing, max_files_per_trigger=FILES_PER_TRIGGER)
+    out = _complete_to_table(spark, S.running_verified_counts(S.enrich(stream, users)), "verified")
+    wide = latest_epoch(spark, out)
+    return wide.select(F.inline(F.array(
+        F.struct(F.lit("positive").alias("polarity"), F.col("pos").alias("n_posts")),
+        F.struct(F.lit("negative").alias("polarity"), F.col("neg").alias("n_posts")))))
+
+
+def q_stream_observed(spark, sf_dir):
+    """Exact running count of observed posts."""
+    landing = _landed(spark, posts_e(spark, sf_dir), "observed")
+    stream = post_stream(spark, landing, max_files_per_trigger=FILES_PER_TRIGGER)
+    out = _complete_to_table(spark, S.observed_posts(stream), "observed")
+    return latest_epoch(spark, out)
+
+
+def q_stream_followers(spark, sf_dir):
+    """T4: follower means; batches are ingest days, sums stored per epoch."""
+    users = snapshot_users(spark, users_e(spark, sf_dir), "followers")
+    landing = _landed(spark, posts_e(spark, sf_dir), "followers")
+    stream = post_stream(spark, landing, max_files_per_trigger=FILES_PER_TRIGGER)
+    out = _per_batch_to_table(spark, stream, S.batch_follower_sums(users), "followers")
+    return S.followers_from_sums(spark.read.parquet(out).drop(EPOCH))
+
+
+def q_stream_batch_samples(spark, sf_dir):
+    """T5: five posts per polarity from every micro-batch."""
+    landing = _landed(spark, posts_e(spark, sf_dir), "samples")
+    stream = post_stream(spark, landing, max_files_per_trigger=FILES_PER_TRIGGER)
+    out = _per_batch_to_table(spark, stream, lambda b: A.sample_posts(b).drop("text"), "samples")
+    return spark.read.parquet(out).select(F.col(EPOCH).alias("batch_id"), "polarity", "post_id")
+
+
+def q_stream_account_age(spark, sf_dir):
+    """Account-age shares per micro-batch (not accumulated)."""
+    users = snapshot_users(spark, users_e(spark, sf_dir), "age")
+    landing = _landed(spark, posts_e(spark, sf_dir), "age")
+    stream = post_stream(spark, landing, max_files_per_trigger=FILES_PER_TRIGGER)
+    fn = lambda b: A.account_age_split(b, users, cutoff=FIXTURE_E_CUTOFF)
+    out = _per_batch_to_table(spark, stream, fn, "age")
+    return spark.read.parquet(out).select(F.col(EPOCH).alias("batch_id"), "description", "n_posts", "percentage")
+
+
+STREAM_QUERIES = {
+    "stream_indicator_counts": q_stream_indicator_counts,
+    "stream_verified_counts": q_stream_verified_counts,
+    "stream_observed": q_stream_observed,
+    "stream_followers": q_stream_followers,
+    "stream_batch_samples": q_stream_batch_samples,
+    "stream_account_age": q_stream_account_age,
+}
+
+_JOINED_E = (f"WITH {PE}, {UE}, j AS (SELECT pe.*, ue.followers FROM pe JOIN ue ON ue.id = pe.author_id), "
+             "d AS (SELECT substr(created_at, 1, 10) AS day, "
+             "avg(followers) FILTER (WHERE tag LIKE '%positive%') AS m_pos, "
+             "avg(followers) FILTER (WHERE tag LIKE '%negative%') AS m_neg FROM j GROUP BY 1)")
+
+STREAM_ORACLE = {
+    "stream_indicator_counts": _batch_oracle()["indicator_counts"],
+    "stream_verified_counts": _batch_oracle()["verified_counts"],
+    "stream_observed": "SELECT count(*) AS n_posts FROM events",
+    "stream_followers": (
+        f"{_JOINED_E} SELECT 'positive' AS polarity, "
+        "(SELECT avg(followers) FILTER (WHERE tag LIKE '%positive%') FROM j) AS true_mean, "
+        "round(avg(m_pos), 6) AS mean_of_means, count(m_pos) AS n_batches FROM d "
+        "UNION ALL SELECT 'negative', "
+        "(SELECT avg(followers) FILTER (WHERE tag LIKE '%negative%') FROM j), "
+        "round(avg(m_neg), 6), count(m_neg) FROM d"),
+}
