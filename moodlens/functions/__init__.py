@@ -4,5 +4,5 @@ from moodlens.functions.polarity import (  # noqa: F401
     first_tag, hour_utc, is_negative, is_positive, polarity_label, flag,
 )
 from moodlens.functions.text import (  # noqa: F401
-    contains_literal, lower_text, tokens, token_text,
+    contains_literal, has_non_ascii, lower_text, tokens, token_text,
 )

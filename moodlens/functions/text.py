@@ -20,11 +20,21 @@ def contains_literal(text: Column, term: str) -> Column:
 
 
 def tokens(text: str | Column = "data.text") -> Column:
-    """Lower-cased word tokens of the whole text (empty tokens removed)."""
-    parts = F.split(lower_text(text), TOKEN_SPLIT)
-    return F.filter(parts, lambda t: t != F.lit(""))
+    """Lower-cased word tokens of the whole text.
 
+    A leading or trailing separator yields an empty string element; it never
+    equals a term, so it is left in (filtering it would cost a lambda pass).
+    """
+    return F.split(lower_text(text), TOKEN_SPLIT)
 
-def token_text(tok: Column) -> Column:
-    """Tokens joined by single spaces and padded, for phrase search."""
-    return F.concat(F.lit(" "), F.array_join(tok, " "), F.lit(" "))
+
+def token_text(text: str | Column = "data.text") -> Column:
+    """Lower-cased text with every separator run replaced by one space and
+    padded with spaces: a phrase of tokens occurs in it as `` a b ``."""
+    return F.concat(F.lit(" "), F.regexp_replace(lower_text(text), TOKEN_SPLIT, " "), F.lit(" "))
+
+
+def has_non_ascii(text: str | Column = "data.text") -> Column:
+    """True when the text holds any non-ASCII character (bytes > chars)."""
+    col = F.col(text) if isinstance(text, str) else text
+    return F.octet_length(col) > F.length(col)

@@ -8,7 +8,10 @@ hold are attached in rule order as ``matching_rules[{id, tag}]``; the first
 one decides the polarity downstream.
 
 Rules are a driver-side constant (a handful of literals), so the tagging is a
-single narrow projection: no join, no shuffle, whole texts.
+single narrow projection: no join, no shuffle, whole texts.  Exact shortcuts
+keep the per-row work down: the language test runs first, tokens are only
+built for posts in a rule language, and emoji scans are skipped for pure
+ASCII texts (every emoji is non-ASCII).
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moodlens.functions.text import token_text, tokens
+from moodlens.functions.text import has_non_ascii, token_text, tokens
 from moodlens.lexicons import Rule, RuleSet
 from moodlens.schemas import RULE
 
@@ -34,6 +37,8 @@ def rule_condition(rule: Rule) -> Column:
     text = F.col("data.text")
     if rule.kind == "emoji":
         cond = _any([F.contains(text, F.lit(t)) for t in rule.terms])
+        if rule.terms and all(not t.isascii() for t in rule.terms):
+            cond = has_non_ascii(text) & cond
     elif rule.kind == "keyword":
         words = [t.lower() for t in rule.terms if " " not in t.strip()]
         phrases = [" " + " ".join(t.lower().split()) + " " for t in rule.terms if " " in t.strip()]
@@ -47,22 +52,38 @@ def rule_condition(rule: Rule) -> Column:
     else:
         raise ValueError(f"unknown rule kind {rule.kind!r}")
     if rule.lang:
-        cond = cond & (F.col("data.lang") == F.lit(rule.lang))
+        cond = (F.col("data.lang") == F.lit(rule.lang)) & cond
     return F.coalesce(cond, F.lit(False))
 
 
+def _only_for_langs(rules: list[Rule], value: Column) -> Column:
+    """``value`` for posts in a language some rule asks for, else NULL."""
+    langs = {r.lang for r in rules}
+    if None in langs:
+        return value
+    return F.when(F.col("data.lang").isin(*sorted(langs)), value)
+
+
 def tag_posts(posts: DataFrame, rules: RuleSet) -> DataFrame:
-    """Replace ``matching_rules`` by the rules of ``rules`` that hold."""
-    keyword = any(r.kind == "keyword" for r in rules)
+    """Replace ``matching_rules`` by the rules of ``rules`` that hold.
+
+    The rule array is produced by a one-row generator per post, so a later
+    filter on it (e.g. ``tagged_only``) is evaluated on the computed value
+    instead of being pushed below and re-running the text scans.
+    """
+    keyword = [r for r in rules if r.kind == "keyword"]
+    phrases = any(" " in t.strip() for r in keyword for t in r.terms)
     df = posts
     if keyword:
-        df = df.withColumn(TOKENS, tokens("data.text")).withColumn(TOKEN_TEXT, token_text(F.col(TOKENS)))
+        df = df.withColumn(TOKENS, _only_for_langs(keyword, tokens("data.text")))
+        if phrases:
+            df = df.withColumn(TOKEN_TEXT, _only_for_langs(keyword, token_text("data.text")))
     matches = [F.when(rule_condition(r), F.struct(F.lit(r.rule_id).alias("id"), F.lit(r.tag).alias("tag")))
                for r in rules]
     rules_col = (F.filter(F.array(*matches), lambda m: m.isNotNull()) if matches
                  else F.array().cast("array<struct<id:string,tag:string>>"))
-    out = df.withColumn("matching_rules", rules_col)
-    return out.drop(TOKENS, TOKEN_TEXT) if keyword else out
+    keep = [c for c in df.columns if c not in ("matching_rules", TOKENS, TOKEN_TEXT)]
+    return df.select(*keep, F.inline(F.array(F.struct(rules_col.alias("matching_rules")))))
 
 
 def tagged_only(posts: DataFrame) -> DataFrame:

@@ -125,7 +125,9 @@ def q_activity_groups(spark, sf_dir):
 
 
 def q_indicator_counts(spark, sf_dir):
-    return indicator_counts(posts_d(spark, sf_dir), FIXTURE_LEXICON)
+    # counts use every post whatever its tag, so the labels are not read
+    docs = _tables(spark, sf_dir, "documents")["documents"]
+    return indicator_counts(X.posts_from_documents(docs), FIXTURE_LEXICON)
 
 
 def q_indicator_counts_joined(spark, sf_dir):

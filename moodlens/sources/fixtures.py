@@ -35,6 +35,18 @@ def load_tables(spark: SparkSession, sf_dir: str, names=TABLES) -> dict[str, Dat
     return {n: spark.read.parquet(f"{sf_dir.rstrip('/')}/{n}.parquet") for n in names}
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a scan that yields fewer partitions than the cluster has
+    task slots (e.g. one large row group of long texts), so per-row text
+    work runs on every core.  A scan that is already wide (the normal case
+    on big inputs) is returned untouched: no shuffle is added there.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < slots:
+        return df.repartition(slots)
+    return df
+
+
 def _rule(rule_id: str, tag: str, cond: Column) -> Column:
     return F.when(cond, F.struct(F.lit(rule_id).alias("id"), F.lit(tag).alias("tag")))
 
@@ -111,7 +123,7 @@ def posts_from_documents(documents: DataFrame, labels: DataFrame | None = None)
     ``negative keywords``; everything else has no rule.  ``labels`` is one
     row per doc_id; it is joined by key (no broadcast assumption).
     """
-    docs = documents
+    docs = spread(documents)
     if labels is not None:
         lab = labels.select(F.col("doc_id").alias("_lid"), "quality", "toxic")
         docs = documents.join(lab, documents["doc_id"] == lab["_lid"], "left")
