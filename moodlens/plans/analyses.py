@@ -15,7 +15,7 @@ Conventions shared by all functions:
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from moodlens.functions.polarity import CONTAINS, PREFIX, flag, hour_utc, is_negative, is_positive
@@ -210,17 +210,39 @@ def followers_mean_of_means(posts: DataFrame, users: DataFrame, batch: Column |
 
 
 # ---------------------------------------------------------------- Q3 ------
-def _activity_base(posts: DataFrame, match: str) -> DataFrame:
-    """Per author: all posts (non-NULL author), positive and negative posts,
-    and the mean posts per author over ALL authors (uncorrelated scalar
-    subquery, evaluated once)."""
+def _activity_histogram(posts: DataFrame, match: str) -> DataFrame:
+    """Authors per (polarity, per-author count), plus the global mean.
+
+    1. per author (partial aggregation, so a hot author is one row per map
+       task): ``n_all`` = posts with a non-NULL author (the NULL author group
+       counts 0, as ``count(author)`` does), ``n_pos``, ``n_neg``;
+    2. histogram: authors and their all-polarity posts per (polarity, n).
+       The number of distinct n per polarity is at most sqrt(2 * posts) + 1
+       (distinct counts of disjoint groups sum to at most the post total), so
+       this table is small whatever the data size;
+    3. the mean posts per author over ALL authors is a window total over that
+       small table: the posts are scanned and shuffled once, where a scalar
+       subquery would recompute the per-author aggregate.
+
+    Output: ``polarity, n, n_authors, mean_posts``.
+    """
     author = F.col("data.author_id")
     per = posts.groupBy(author.alias("author_id")).agg(
         F.count(author).alias("n_all"),
         F.sum(flag(is_positive(match) & author.isNotNull())).alias("n_pos"),
         F.sum(flag(is_negative(match) & author.isNotNull())).alias("n_neg"))
-    mean_posts = per.agg(F.avg("n_all")).scalar()
-    return per.withColumn("mean_posts", mean_posts)
+    long = per.select(F.inline(F.array(
+        F.struct(F.lit("positive").alias("polarity"), F.col("n_pos").alias("n"), F.col("n_all").alias("n_all")),
+        F.struct(F.lit("negative").alias("polarity"), F.col("n_neg").alias("n"), F.col("n_all").alias("n_all")))))
+    hist = long.groupBy("polarity", "n").agg(F.count(F.lit(1)).alias("n_authors"),
+                                              F.sum("n_all").alias("s_all"))
+    # every author appears once per polarity: totals over one polarity's rows
+    everyone = Window.partitionBy()
+    one = F.col("polarity") == F.lit("positive")
+    total_posts = F.sum(F.when(one, F.col("s_all"))).over(everyone)
+    total_authors = F.sum(F.when(one, F.col("n_authors"))).over(everyone)
+    return hist.select("polarity", "n", "n_authors",
+                       F.try_divide(total_posts.cast("double"), total_authors.cast("double")).alias("mean_posts"))
 
 
 def _group(n: Column, mean: Column) -> Column:
@@ -237,14 +259,15 @@ def activity_split(posts: DataFrame, match: str = PREFIX) -> DataFrame:
     active in one polarity and less active in the other; authors exactly at
     the mean are in neither group.  Output: ``description, n_posts, percentage``.
     """
-    base = _activity_base(posts, match)
-    mean = F.col("mean_posts")
-    p, n = F.col("n_pos"), F.col("n_neg")
-    wide = base.agg(
-        _zero(F.sum(F.when(p > mean, p))).alias("act_pos"),
-        _zero(F.sum(F.when(n > mean, n))).alias("act_neg"),
-        _zero(F.sum(F.when(p < mean, p))).alias("less_pos"),
-        _zero(F.sum(F.when(n < mean, n))).alias("less_neg"))
+    hist = _activity_histogram(posts, match)
+    n, mean = F.col("n"), F.col("mean_posts")
+    posts_n = n * F.col("n_authors")
+
+    def total(pol: str, cond: Column) -> Column:
+        return _zero(F.sum(F.when((F.col("polarity") == F.lit(pol)) & cond, posts_n)))
+
+    wide = hist.agg(total("positive", n > mean).alias("act_pos"), total("negative", n > mean).alias("act_neg"),
+                    total("positive", n < mean).alias("less_pos"), total("negative", n < mean).alias("less_neg"))
     return _two_way(wide, [(ACTIVE_POSITIVE, ACTIVE_NEGATIVE, "act_pos", "act_neg"),
                            (LESS_ACTIVE_POSITIVE, LESS_ACTIVE_NEGATIVE, "less_pos", "less_neg")])
 
@@ -255,11 +278,7 @@ def activity_groups(posts: DataFrame, match: str = PREFIX) -> DataFrame:
     Authors are counted in a polarity only when they have posts of it.
     Output: ``polarity, activity_group, n_authors, n_posts``.
     """
-    base = _activity_base(posts, match).where(F.col("author_id").isNotNull())
-    mean = F.col("mean_posts")
-    long = base.select(F.inline(F.array(
-        F.struct(F.lit("positive").alias("polarity"), F.col("n_pos").alias("n")),
-        F.struct(F.lit("negative").alias("polarity"), F.col("n_neg").alias("n")))), mean)
-    long = long.where(F.col("n") > 0)
-    return (long.groupBy("polarity", _group(F.col("n"), mean).alias("activity_group"))
-                .agg(F.count(F.lit(1)).alias("n_authors"), F.sum("n").cast("long").alias("n_posts")))
+    hist = _activity_histogram(posts, match).where(F.col("n") > 0)
+    return (hist.groupBy("polarity", _group(F.col("n"), F.col("mean_posts")).alias("activity_group"))
+                .agg(F.sum("n_authors").cast("long").alias("n_authors"),
+                     F.sum(F.col("n") * F.col("n_authors")).cast("long").alias("n_posts")))
