@@ -15,12 +15,15 @@ from pyspark.sql import functions as F
 from moodlens.operators.join import dedupe_users
 from moodlens.plans import analyses as A
 from moodlens.plans.oracle_sql import oracle_sql as _batch_oracle, PE, UE
-from moodlens.plans.registry import FIXTURE_LEXICON, posts_d, posts_e, users_e
+from moodlens.plans.registry import FIXTURE_LEXICON, _flat_posts, posts_d, posts_e, users_e
+from moodlens.sources.files import read_posts
 from moodlens.session import scratch_path
 from moodlens.sources.files import land_posts
 from moodlens.sources.fixtures import FIXTURE_E_CUTOFF
 from moodlens.streaming import analyses as S
-from moodlens.streaming.sinks import EPOCH, latest_epoch, per_batch_writer, run_available, write_epoch
+from moodlens.streaming.sinks import (
+    EPOCH, land_stream, latest_epoch, per_batch_writer, run_available, write_epoch,
+)
 from moodlens.streaming.sources import post_stream
 
 FILES_PER_TRIGGER = 4
@@ -108,7 +111,22 @@ def q_stream_account_age(spark, sf_dir):
     return spark.read.parquet(out).select(F.col(EPOCH).alias("batch_id"), "description", "n_posts", "percentage")
 
 
+def q_stream_landing(spark, sf_dir):
+    """S3 + S7: JSON post files read as a stream, landed as Parquet by day
+    (file sink, exactly-once), read back as an archive."""
+    raw = scratch_path(spark, "raw-json")
+    land_posts(posts_e(spark, sf_dir), raw, fmt="json", max_records_per_file=1000)
+    out, ckpt = scratch_path(spark, "landed"), scratch_path(spark, "landed-ckpt")
+    q = land_stream(post_stream(spark, raw, fmt="json", max_files_per_trigger=FILES_PER_TRIGGER), out, ckpt,
+                    trigger={"availableNow": True})
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise RuntimeError(f"landing stream failed: {q.exception()}")
+    return _flat_posts(read_posts(spark, out, fmt="parquet"))
+
+
 STREAM_QUERIES = {
+    "stream_landing": q_stream_landing,
     "stream_indicator_counts": q_stream_indicator_counts,
     "stream_verified_counts": q_stream_verified_counts,
     "stream_observed": q_stream_observed,
@@ -123,6 +141,7 @@ _JOINED_E = (f"WITH {PE}, {UE}, j AS (SELECT pe.*, ue.followers FROM pe JOIN ue
              "avg(followers) FILTER (WHERE tag LIKE '%negative%') AS m_neg FROM j GROUP BY 1)")
 
 STREAM_ORACLE = {
+    "stream_landing": _batch_oracle()["landing_roundtrip"],
     "stream_indicator_counts": _batch_oracle()["indicator_counts"],
     "stream_verified_counts": _batch_oracle()["verified_counts"],
     "stream_observed": "SELECT count(*) AS n_posts FROM events",

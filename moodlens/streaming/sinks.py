@@ -34,12 +34,14 @@ def per_batch_writer(fn: Callable[[DataFrame], DataFrame], path: str):
 
 def start(stream_df: DataFrame, checkpoint: str, *, output_mode: str = "append",
           foreach_batch=None, sink_path: str | None = None, trigger: dict | None = None,
-          query_name: str | None = None):
+          query_name: str | None = None, fmt: str | None = None):
     """Start a streaming query.
 
     ``trigger`` defaults to a 5 second processing-time trigger (the
     original's pause between passes); tests pass ``{"availableNow": True}``.
-    Either ``foreach_batch`` or ``sink_path`` (append-only parquet sink).
+    Either ``foreach_batch``, ``sink_path`` (append-only parquet sink) or
+    ``fmt`` = ``memory`` / ``console`` (display sinks; ``memory`` needs
+    ``query_name``).
     """
     w = stream_df.writeStream.outputMode(output_mode).option("checkpointLocation", checkpoint)
     if query_name:
@@ -49,8 +51,30 @@ def start(stream_df: DataFrame, checkpoint: str, *, output_mode: str = "append",
         w = w.foreachBatch(foreach_batch)
     elif sink_path is not None:
         w = w.format("parquet").option("path", sink_path)
+    elif fmt in ("memory", "console"):
+        w = w.format(fmt)
     else:
-        raise ValueError("give foreach_batch or sink_path")
+        raise ValueError("give foreach_batch, sink_path or fmt='memory'/'console'")
+    return w.start()
+
+
+def land_stream(stream_posts: DataFrame, path: str, checkpoint: str, trigger: dict | None = None,
+                partition_by: str = "ingest_date", max_records_per_file: int | None = None):
+    """Continuously land a post stream as Parquet, partitioned by ingest day.
+
+    The file sink is exactly-once: files of a micro-batch become visible
+    through the sink's commit log only when the batch commits.
+    """
+    df = stream_posts
+    if partition_by == "ingest_date" and "ingest_date" not in df.columns:
+        df = df.withColumn("ingest_date", F.coalesce(F.substring("data.created_at", 1, 10), F.lit("unknown")))
+    w = (df.writeStream.format("parquet").outputMode("append")
+           .option("checkpointLocation", checkpoint).option("path", path)
+           .trigger(**(trigger or {"processingTime": "5 seconds"})))
+    if partition_by:
+        w = w.partitionBy(partition_by)
+    if max_records_per_file:
+        w = w.option("maxRecordsPerFile", int(max_records_per_file))
     return w.start()
 
 

@@ -84,3 +84,17 @@ def test_per_batch_replay_is_idempotent(spark, tmp_path):
     write_epoch(df, out, 1)
     write_epoch(df, out, 1)  # replay of epoch 1
     assert spark.read.parquet(out).count() == 6
+
+
+def test_memory_sink_and_landing_stream(spark, tmp_path, landed_e):
+    from moodlens.streaming.sinks import land_stream, start
+    from moodlens.sources.files import read_posts
+    q = start(S.observed_posts(post_stream(spark, landed_e)), str(tmp_path / "m-ckpt"), output_mode="complete",
+              fmt="memory", query_name="observed_mem", trigger={"availableNow": True})
+    q.awaitTermination()
+    assert spark.sql("SELECT n_posts FROM observed_mem").first().n_posts == posts_e(spark, SF_SMALL).count()
+    out = str(tmp_path / "landed")
+    q2 = land_stream(post_stream(spark, landed_e, max_files_per_trigger=5), out, str(tmp_path / "l-ckpt"),
+                     trigger={"availableNow": True})
+    q2.awaitTermination()
+    assert read_posts(spark, out, fmt="parquet").count() == posts_e(spark, SF_SMALL).count()
