@@ -5,7 +5,7 @@ indicator, twice).  Here all indicators are counted in ONE pass: each post is
 lower-cased once and every indicator becomes one ``count_if(contains(...))``
 column of a single aggregate, which Spark evaluates with partial aggregation
 inside whole-stage codegen and no join at all.  The wide row is then turned
-into one row per indicator.  Matching is a literal substring test (``fav``
+into one row per indicator (joined with the small lexicon table).  Matching is a literal substring test (``fav``
 also hits ``favorite``); a post counts once per indicator.
 """
 
@@ -14,33 +14,45 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from moodlens.functions.polarity import CONTAINS, flag, is_negative, is_positive
+from moodlens.functions.polarity import CONTAINS, is_negative, is_positive
 from moodlens.operators.join import AUTHOR, known_authors
 
 LOWER_TEXT = "_lower_text"
+INDEX = "_lex_index"
 
 
-def _hit(position: int) -> str:
-    return f"_hit_{position}"
-
-
-def indicator_flags(posts: DataFrame, lexicon) -> list[Column]:
-    """0/1 columns, one per lexicon position, over ``LOWER_TEXT``."""
-    return [flag(F.contains(F.col(LOWER_TEXT), F.lit(ind))).alias(_hit(pos))
-            for pos, ind, _ in lexicon]
+def _hit(index: int) -> str:
+    return f"_hit_{index}"
 
 
 def _with_lower_text(posts: DataFrame, *extra: Column) -> DataFrame:
     return posts.select(F.lower(F.col("data.text")).alias(LOWER_TEXT), *extra)
 
 
-def _to_rows(wide: DataFrame, lexicon, value_cols: dict[str, callable], key_cols=()) -> DataFrame:
-    """Turn one wide row per key into one row per lexicon entry."""
-    entries = [F.struct(F.lit(pol).alias("polarity"), F.lit(pos).alias("position"),
-                        F.lit(ind).alias("indicator"),
-                        *[fn(pos).alias(name) for name, fn in value_cols.items()])
-               for pos, ind, pol in lexicon]
-    return (wide.select(*key_cols, F.inline(F.array(*entries))))
+def _hits(terms) -> list[Column]:
+    """One ``count_if(contains(lower_text, term))`` per term, unnamed."""
+    text = F.col(LOWER_TEXT)
+    return [F.count_if(F.contains(text, F.lit(t))) for t in terms]
+
+
+def lexicon_frame(spark, lexicon) -> DataFrame:
+    """The lexicon as a small table with its list index (fixed, bounded size)."""
+    return spark.createDataFrame([(i, pos, ind, pol) for i, (pos, ind, pol) in enumerate(lexicon)],
+                                 f"{INDEX} int, position int, indicator string, polarity string")
+
+
+def _unpivot(wide: DataFrame, lexicon, kinds: dict[str, list[str]]) -> DataFrame:
+    """One wide row -> one row per lexicon entry.
+
+    ``kinds`` maps an output column to the wide columns holding it, in
+    lexicon order.  The values are zipped into one array, exploded with their
+    index, and joined with the (bounded, broadcast) lexicon table.
+    """
+    arrays = [F.array(*cols).alias(name) for name, cols in kinds.items()]
+    exploded = (wide.select(F.posexplode(F.arrays_zip(*arrays)).alias(INDEX, "_v"))
+                    .select(INDEX, *[F.col(f"_v.{name}").alias(name) for name in kinds]))
+    lex = F.broadcast(lexicon_frame(wide.sparkSession, lexicon))
+    return lex.join(exploded, INDEX).drop(INDEX)
 
 
 def indicator_counts(posts: DataFrame, lexicon, users: DataFrame | None = None) -> DataFrame:
@@ -52,18 +64,18 @@ def indicator_counts(posts: DataFrame, lexicon, users: DataFrame | None = None)
     Indicators without any hit still appear with 0.
     """
     lexicon = list(lexicon)
+    names = [_hit(i) for i in range(len(lexicon))]
+    terms = [ind for _, ind, _ in lexicon]
     if users is None:
-        base = _with_lower_text(posts)
-        wide = base.agg(*[F.count_if(F.contains(F.col(LOWER_TEXT), F.lit(ind))).alias(_hit(pos))
-                          for pos, ind, _ in lexicon])
+        wide = _with_lower_text(posts).agg(*_hits(terms)).toDF(*names)
     else:
         base = _with_lower_text(posts, F.col("data.author_id").alias(AUTHOR))
-        flags = base.select(AUTHOR, *indicator_flags(base, lexicon))
-        per = flags.groupBy(AUTHOR).agg(*[F.sum(_hit(p)).alias(_hit(p)) for p, _, _ in lexicon])
+        per = base.groupBy(AUTHOR).agg(*_hits(terms)).toDF(AUTHOR, *names)
         per = known_authors(per, users)
-        wide = per.agg(*[F.coalesce(F.sum(_hit(p)), F.lit(0)).cast("long").alias(_hit(p))
-                         for p, _, _ in lexicon])
-    return _to_rows(wide, lexicon, {"n_posts": lambda p: F.col(_hit(p)).cast("long")})
+        wide = per.agg(*[F.sum(n) for n in names]).toDF(*names)
+    rows = _unpivot(wide, lexicon, {"n_posts": names})
+    return rows.select("polarity", "position", "indicator",
+                       F.coalesce(F.col("n_posts"), F.lit(0)).cast("long").alias("n_posts"))
 
 
 def indicator_quality(posts: DataFrame, lexicon, match: str = CONTAINS) -> DataFrame:
@@ -73,21 +85,18 @@ def indicator_quality(posts: DataFrame, lexicon, match: str = CONTAINS) -> DataF
     the fraction of those posts whose first tag is positive / negative
     (NULL when there are no hits).
     """
-    distinct = []
-    for _, ind, _ in lexicon:
-        if ind not in distinct:
-            distinct.append(ind)
+    distinct = list(dict.fromkeys(ind for _, ind, _ in lexicon))
     base = posts.select(F.lower(F.col("data.text")).alias(LOWER_TEXT),
                         is_positive(match).alias("_pos"), is_negative(match).alias("_neg"))
-    aggs = []
+    text, pos, neg = F.col(LOWER_TEXT), F.col("_pos"), F.col("_neg")
+    aggs, h, p, n = [], [], [], []
     for i, ind in enumerate(distinct):
-        hit = F.contains(F.col(LOWER_TEXT), F.lit(ind))
-        aggs += [F.count_if(hit).alias(f"_h{i}"),
-                 F.count_if(hit & F.col("_pos")).alias(f"_p{i}"),
-                 F.count_if(hit & F.col("_neg")).alias(f"_n{i}")]
-    wide = base.agg(*aggs)
-    rows = [F.struct(F.lit(ind).alias("indicator"), F.col(f"_h{i}").alias("hits"),
-                     F.try_divide(F.col(f"_p{i}"), F.col(f"_h{i}")).alias("share_pos"),
-                     F.try_divide(F.col(f"_n{i}"), F.col(f"_h{i}")).alias("share_neg"))
-            for i, ind in enumerate(distinct)]
-    return wide.select(F.inline(F.array(*rows)))
+        hit = F.contains(text, F.lit(ind))
+        aggs += [F.count_if(hit), F.count_if(hit & pos), F.count_if(hit & neg)]
+        h, p, n = h + [f"_h{i}"], p + [f"_p{i}"], n + [f"_n{i}"]
+    wide = base.agg(*aggs).toDF(*[c for i in range(len(distinct)) for c in (h[i], p[i], n[i])])
+    entries = [(i, ind, "") for i, ind in enumerate(distinct)]
+    rows = _unpivot(wide, entries, {"hits": h, "pos_hits": p, "neg_hits": n})
+    return rows.select("indicator", "hits",
+                       F.try_divide(F.col("pos_hits"), F.col("hits")).alias("share_pos"),
+                       F.try_divide(F.col("neg_hits"), F.col("hits")).alias("share_neg"))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from moodlens.functions.polarity import CONTAINS, flag, is_negative, is_positive
-from moodlens.operators.indicators import LOWER_TEXT, _hit, _to_rows
+from moodlens.operators.indicators import LOWER_TEXT, _hit, _hits, _unpivot
 from moodlens.operators.join import per_author, with_users
 from moodlens.plans.analyses import follower_sums
 
@@ -26,14 +26,16 @@ from moodlens.plans.analyses import follower_sums
 # ------------------------------------------------------------- state store --
 def running_indicator_counts(stream_posts: DataFrame, lexicon) -> DataFrame:
     """Running posts-per-indicator as ONE wide streaming aggregate row."""
+    lexicon = list(lexicon)
     base = stream_posts.select(F.lower(F.col("data.text")).alias(LOWER_TEXT))
-    return base.agg(*[F.count_if(F.contains(F.col(LOWER_TEXT), F.lit(ind))).alias(_hit(pos))
-                      for pos, ind, _ in lexicon])
+    return base.agg(*_hits([ind for _, ind, _ in lexicon])).toDF(*[_hit(i) for i in range(len(lexicon))])
 
 
 def indicator_rows(wide: DataFrame, lexicon) -> DataFrame:
     """Wide running counts -> ``polarity, position, indicator, n_posts``."""
-    return _to_rows(wide, list(lexicon), {"n_posts": lambda p: F.col(_hit(p)).cast("long")})
+    lexicon = list(lexicon)
+    rows = _unpivot(wide, lexicon, {"n_posts": [_hit(i) for i in range(len(lexicon))]})
+    return rows.select("polarity", "position", "indicator", F.col("n_posts").cast("long").alias("n_posts"))
 
 
 def enrich(stream_posts: DataFrame, users_static: DataFrame) -> DataFrame:
