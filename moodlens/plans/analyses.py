@@ -10,7 +10,8 @@ Conventions shared by all functions:
 * shares are fractions (hourly table) or percentages 0..100 (split tables),
   always DOUBLE, NULL instead of a division by zero.
 * every analysis over posts ⋈ users pre-aggregates per author before the
-  join (see ``operators/join.py``).
+  join (see ``operators/join.py``); users are deduplicated first unless
+  ``dedupe=False`` says they already are (e.g. a written user snapshot).
 """
 
 from __future__ import annotations
@@ -128,7 +129,7 @@ def post_user_table(joined: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- Q4 ------
 def account_age_split(posts: DataFrame, users: DataFrame, cutoff: str = ACCOUNT_AGE_CUTOFF,
-                      match: str = PREFIX) -> DataFrame:
+                      match: str = PREFIX, dedupe: bool = True) -> DataFrame:
     """Polarity shares for accounts created before / after ``cutoff``.
 
     String comparison on the user's ``created_at``, strict on both sides: an
@@ -137,7 +138,7 @@ def account_age_split(posts: DataFrame, users: DataFrame, cutoff: str = ACCOUNT_
     """
     has_id = F.col("data.id").isNotNull()
     per = per_author(posts, pos=flag(is_positive(match) & has_id), neg=flag(is_negative(match) & has_id))
-    joined = with_users(per, users)
+    joined = with_users(per, users, dedupe=dedupe)
     older = F.col("created_at") < F.lit(cutoff)
     newer = F.col("created_at") > F.lit(cutoff)
     wide = joined.agg(
@@ -150,10 +151,11 @@ def account_age_split(posts: DataFrame, users: DataFrame, cutoff: str = ACCOUNT_
 
 
 # ---------------------------------------------------------------- Q5 ------
-def verified_counts(posts: DataFrame, users: DataFrame, match: str = CONTAINS) -> DataFrame:
+def verified_counts(posts: DataFrame, users: DataFrame, match: str = CONTAINS,
+                    dedupe: bool = True) -> DataFrame:
     """Positive / negative posts by verified accounts: ``polarity, n_posts``."""
     per = per_author(posts, pos=flag(is_positive(match)), neg=flag(is_negative(match)))
-    joined = with_users(per, users).where(F.col("verified"))
+    joined = with_users(per, users, dedupe=dedupe).where(F.col("verified"))
     wide = joined.agg(_zero(F.sum("pos")).alias("p"), _zero(F.sum("neg")).alias("n"))
     return wide.select(F.inline(F.array(
         F.struct(F.lit("positive").alias("polarity"), F.col("p").alias("n_posts")),
@@ -177,21 +179,22 @@ def _mean(s: str, c: str) -> Column:
     return F.try_divide(F.col(s).cast("double"), F.col(c).cast("double"))
 
 
-def followers_mean(posts: DataFrame, users: DataFrame, match: str = CONTAINS) -> DataFrame:
+def followers_mean(posts: DataFrame, users: DataFrame, match: str = CONTAINS,
+                   dedupe: bool = True) -> DataFrame:
     """Mean followers of the author, per post, by polarity: ``polarity, avg_followers``.
 
     Per-author counts are joined with users and weighted by followers, which
     equals ``avg(followers)`` over the joined posts, without shipping posts.
     """
     per = per_author(posts, pos=flag(is_positive(match)), neg=flag(is_negative(match)))
-    sums = follower_sums(with_users(per, users), [])
+    sums = follower_sums(with_users(per, users, dedupe=dedupe), [])
     return sums.select(F.inline(F.array(
         F.struct(F.lit("positive").alias("polarity"), _mean("s_pos", "c_pos").alias("avg_followers")),
         F.struct(F.lit("negative").alias("polarity"), _mean("s_neg", "c_neg").alias("avg_followers")))))
 
 
 def followers_mean_of_means(posts: DataFrame, users: DataFrame, batch: Column | None = None,
-                            match: str = CONTAINS, digits: int = 6) -> DataFrame:
+                            match: str = CONTAINS, digits: int = 6, dedupe: bool = True) -> DataFrame:
     """Unweighted mean over batches of the per-batch follower means.
 
     ``batch`` assigns a post to a batch (default: the calendar day of the
@@ -201,7 +204,7 @@ def followers_mean_of_means(posts: DataFrame, users: DataFrame, batch: Column |
     """
     batch = F.substring("data.created_at", 1, 10) if batch is None else batch
     per = per_author(posts, [batch.alias("batch")], pos=flag(is_positive(match)), neg=flag(is_negative(match)))
-    sums = follower_sums(with_users(per, users), ["batch"])
+    sums = follower_sums(with_users(per, users, dedupe=dedupe), ["batch"])
     means = sums.select(_mean("s_pos", "c_pos").alias("m_pos"), _mean("s_neg", "c_neg").alias("m_neg"))
     wide = means.agg(F.avg("m_pos").alias("p"), F.avg("m_neg").alias("n"))
     return wide.select(F.inline(F.array(

@@ -12,7 +12,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moodlens.operators.join import dedupe_users
 from moodlens.plans import analyses as A
 from moodlens.plans.oracle_sql import oracle_sql as _batch_oracle, PE, UE
 from moodlens.plans.registry import FIXTURE_LEXICON, _flat_posts, posts_d, posts_e, users_e
@@ -24,7 +23,7 @@ from moodlens.streaming import analyses as S
 from moodlens.streaming.sinks import (
     EPOCH, land_stream, latest_epoch, per_batch_writer, run_available, write_epoch,
 )
-from moodlens.streaming.sources import post_stream
+from moodlens.streaming.sources import post_stream, snapshot_users
 
 FILES_PER_TRIGGER = 4
 
@@ -35,14 +34,6 @@ def _landed(spark: SparkSession, posts: DataFrame, name: str, rows_per_file: int
     return path
 
 
-def snapshot_users(spark: SparkSession, users: DataFrame, name: str) -> DataFrame:
-    """Deduplicate users once and write them as the static side of a stream
-    (cuts the lineage; every micro-batch then reads a plain table)."""
-    path = scratch_path(spark, f"{name}-users")
-    dedupe_users(users).write.parquet(path)
-    return spark.read.parquet(path)
-
-
 def _complete_to_table(spark, stream_df, name) -> str:
     out, ckpt = scratch_path(spark, f"{name}-out"), scratch_path(spark, f"{name}-ckpt")
     run_available(stream_df, ckpt, output_mode="complete",
@@ -106,7 +97,7 @@ def q_stream_account_age(spark, sf_dir):
     users = snapshot_users(spark, users_e(spark, sf_dir), "age")
     landing = _landed(spark, posts_e(spark, sf_dir), "age")
     stream = post_stream(spark, landing, max_files_per_trigger=FILES_PER_TRIGGER)
-    fn = lambda b: A.account_age_split(b, users, cutoff=FIXTURE_E_CUTOFF)
+    fn = lambda b: A.account_age_split(b, users, cutoff=FIXTURE_E_CUTOFF, dedupe=False)
     out = _per_batch_to_table(spark, stream, fn, "age")
     return spark.read.parquet(out).select(F.col(EPOCH).alias("batch_id"), "description", "n_posts", "percentage")
 

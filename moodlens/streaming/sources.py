@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from moodlens.operators.join import dedupe_users
 from moodlens.schemas import POST
+from moodlens.session import scratch_path
 
 # Landed post files carry the ingest day as a folder partition.
 LANDED_POST = T.StructType(POST.fields + [T.StructField("ingest_date", T.StringType())])
@@ -27,3 +31,23 @@ def post_stream(spark: SparkSession, landing_dir: str, fmt: str = "parquet",
     if max_bytes_per_trigger:
         reader = reader.option("maxBytesPerTrigger", max_bytes_per_trigger)
     return reader.load(landing_dir)
+
+
+def snapshot_users(spark: SparkSession, users: DataFrame, name: str = "users", buckets: int | None = None,
+                   dedupe: bool = True) -> DataFrame:
+    """The static side of a stream-static join, written once.
+
+    Users are deduplicated once and written below the shared checkpoint
+    folder as a table bucketed (and sorted) by ``id``.  Every micro-batch then
+    reads a plain bucketed table: the user side is neither recomputed nor
+    shuffled, only the micro-batch is (streaming queries run without AQE, so
+    this is decided here).  ``buckets`` defaults to
+    ``spark.sql.shuffle.partitions`` so the planner keeps the bucketing.
+    """
+    n = int(buckets or spark.conf.get("spark.sql.shuffle.partitions"))
+    safe = "".join(ch if ch.isalnum() else "_" for ch in name)
+    table = f"moodlens_users_{safe}_{uuid.uuid4().hex[:10]}"
+    df = dedupe_users(users) if dedupe else users
+    (df.write.format("parquet").bucketBy(n, "id").sortBy("id")
+       .option("path", scratch_path(spark, f"{name}-users")).saveAsTable(table))
+    return spark.table(table)

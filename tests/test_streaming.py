@@ -6,9 +6,8 @@ from moodlens.plans.registry import FIXTURE_LEXICON, posts_d, posts_e, users_e
 from moodlens.operators.indicators import indicator_counts
 from moodlens.sources.files import land_posts
 from moodlens.streaming import analyses as S
-from moodlens.streaming.registry import snapshot_users
 from moodlens.streaming.sinks import EPOCH, latest_epoch, per_batch_writer, run_available, write_epoch
-from moodlens.streaming.sources import post_stream
+from moodlens.streaming.sources import post_stream, snapshot_users
 from tests.conftest import SF_SMALL
 
 
