@@ -5,8 +5,8 @@ shuffle join sends that third to one task.  ``split_hot_join`` finds the hot
 keys exactly, joins their rows against a broadcast of the matching right-side
 rows, and joins everything else with an ordinary shuffle join.
 
-Size bound of what is broadcast: a key is hot when it holds at least
-``ceil(total / max_hot_keys)`` left rows, so there are at most
+Size bound of what is collected and broadcast: a key is hot when it holds at
+least ``ceil(total / max_hot_keys)`` left rows, so there are at most
 ``max_hot_keys`` hot keys; the right side is unique per key (callers
 deduplicate it), so the broadcast holds at most ``max_hot_keys`` rows.
 """
@@ -44,22 +44,26 @@ def split_hot_join(left: DataFrame, right: DataFrame, left_key: Column, right_ke
     """``left ⋈ right`` on ``left_key = right[right_key]``, hot keys split off.
 
     ``right`` must be unique per ``right_key``.  ``how`` is ``inner`` or
-    ``left_semi``.
+    ``left_semi``.  The hot keys are collected (at most ``max_hot_keys`` by
+    construction); without hot keys this is the plain join.  Otherwise hot
+    left rows join a broadcast of the (at most ``max_hot_keys``) matching
+    right rows where they are, without a shuffle, so neither one hot key nor
+    a group of identical copies lands in a single task; the remaining rows
+    use an ordinary shuffle join.
     """
     if how not in ("inner", "left_semi"):
         raise ValueError("split_hot_join supports inner and left_semi joins")
-    hot = hot_keys(left, left_key, max_hot_keys, min_rows).withColumn("_is_hot", F.lit(True))
+    hot = hot_keys(left, left_key, max_hot_keys, min_rows)
+    hot_rows = hot.limit(int(max_hot_keys) + 1).collect()  # bounded by construction
+    if not hot_rows:
+        return left.join(right, left_key == right[right_key], how)
+    key_type = hot.schema[HOT_KEY].dataType
+    spark = left.sparkSession
+    hot_df = F.broadcast(spark.createDataFrame([(r[0],) for r in hot_rows], f"{HOT_KEY} {key_type.simpleString()}"))
 
-    # Mark hot rows with a broadcast hash join against the bounded key list;
-    # the big side is not shuffled for this.
-    marked = left.join(F.broadcast(hot), left_key == hot[HOT_KEY], "left")
-    is_hot = F.coalesce(F.col("_is_hot"), F.lit(False))
-    left_hot = marked.where(is_hot).drop(HOT_KEY, "_is_hot")
-    left_cold = marked.where(~is_hot).drop(HOT_KEY, "_is_hot")
-
-    # Right-side rows of hot keys: at most max_hot_keys rows (unique keys).
-    right_hot = right.join(F.broadcast(hot.select(HOT_KEY)),
-                           right[right_key] == F.col(HOT_KEY), "left_semi")
+    left_hot = left.join(hot_df, left_key == hot_df[HOT_KEY], "left_semi")
+    left_cold = left.join(hot_df, left_key == hot_df[HOT_KEY], "left_anti")
+    right_hot = right.join(hot_df, right[right_key] == hot_df[HOT_KEY], "left_semi")
 
     hot_part = left_hot.join(F.broadcast(right_hot), left_key == right_hot[right_key], how)
     cold_part = left_cold.join(right, left_key == right[right_key], how)

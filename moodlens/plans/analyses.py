@@ -79,11 +79,15 @@ def hourly_polarity(posts: DataFrame, match: str = CONTAINS, keep_partial_hours:
     Output: ``hour_utc, count_pos, count_neg, pct_pos, pct_neg`` (fractions).
     """
     pos, neg = is_positive(match), is_negative(match)
+    # No filter before the aggregate: untagged posts only add zeros to the
+    # partial counts, and a filter here would be pushed below the post
+    # projection and evaluate the tag expression twice.
     hourly = (posts.select(hour_utc().alias("hour_utc"), pos.alias("_p"), neg.alias("_n"))
-                   .where(F.col("_p") | F.col("_n"))
                    .groupBy("hour_utc")
                    .agg(F.count_if("_p").alias("count_pos"), F.count_if("_n").alias("count_neg")))
-    if not keep_partial_hours:
+    if keep_partial_hours:
+        hourly = hourly.where((F.col("count_pos") > 0) | (F.col("count_neg") > 0))
+    else:
         hourly = hourly.where(F.col("hour_utc").isNotNull() & (F.col("count_pos") > 0) & (F.col("count_neg") > 0))
     cp, cn = F.col("count_pos"), F.col("count_neg")
     return (hourly.select("hour_utc", "count_pos", "count_neg",

@@ -137,3 +137,20 @@ def test_percentages_add_up(spark):
     out = A.account_age_split(_posts(spark, rows), users).collect()
     older = [r.percentage for r in out if "older" in r.description]
     assert math.isclose(sum(older), 100.0)
+
+
+def test_hot_keys_bounded_by_construction(spark):
+    from pyspark.sql import functions as F
+    from moodlens.operators.skew import hot_keys
+    # one author with a third of the rows, one group of identical copies, many small ones
+    rows = [post(str(i), author="big") for i in range(100)]
+    rows += [post("copy", author="dup") for _ in range(60)]
+    rows += [post(f"s{i}", author=f"u{i}") for i in range(140)]
+    df = _posts(spark, rows)
+    keys = {r[0] for r in hot_keys(df, F.col("data.author_id"), max_hot_keys=5, min_rows=1).collect()}
+    assert keys == {"big", "dup"}  # threshold ceil(300 / 5) = 60 rows
+    keys = {r[0] for r in hot_keys(df, F.col("data.author_id"), max_hot_keys=3, min_rows=1).collect()}
+    assert keys == {"big"}         # threshold 100 rows: at most 3 keys can qualify
+    users = _users(spark, [user("big"), user("dup")] + [user(f"u{i}") for i in range(140)])
+    joined = join_users(df, users, max_hot_keys=5, min_hot_rows=1)
+    assert joined.count() == 300
