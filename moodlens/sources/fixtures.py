@@ -142,7 +142,7 @@ def posts_from_documents(documents: DataFrame, labels: DataFrame | None = None)
     docs = spread(documents)
     if labels is not None:
         lab = labels.select(F.col("doc_id").alias("_lid"), "quality", "toxic")
-        docs = documents.join(lab, documents["doc_id"] == lab["_lid"], "left")
+        docs = docs.join(lab, docs["doc_id"] == lab["_lid"], "left")
         rules = matching_rules(
             F.when(F.col("quality") == 1, F.struct(F.lit("1").alias("id"), F.lit(TAG_POSITIVE_KEYWORDS).alias("tag")))
              .when(F.col("toxic") == 1, F.struct(F.lit("3").alias("id"), F.lit(TAG_NEGATIVE_KEYWORDS).alias("tag"))))
