@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 CONTAINS = "contains"
 PREFIX = "prefix"
+# Column name used when the first tag is projected once and reused.
+TAG = "_first_tag"
 
 
 def first_tag(rules: str | Column = "matching_rules") -> Column:
@@ -58,3 +60,8 @@ def hour_utc(created_at: str | Column = "data.created_at") -> Column:
 def flag(cond: Column) -> Column:
     """1 when ``cond`` holds, else 0 (for additive pre-aggregation)."""
     return F.when(cond, F.lit(1)).otherwise(F.lit(0)).cast("long")
+
+
+def tag_col() -> Column:
+    """The projected first tag (see ``TAG``)."""
+    return F.col(TAG)

@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from moodlens.functions.polarity import TAG, first_tag
 from moodlens.operators.skew import DEFAULT_MAX_HOT_KEYS, DEFAULT_MIN_HOT_ROWS, split_hot_join
 
 AUTHOR = "author_id"
@@ -49,10 +50,26 @@ def join_users(posts: DataFrame, users: DataFrame, dedupe: bool = True,
                           max_hot_keys=max_hot_keys, min_rows=min_hot_rows)
 
 
-def per_author(posts: DataFrame, extra_keys: list[Column] | None = None, **sums: Column) -> DataFrame:
-    """Sum per-post measures by author (and optional extra keys)."""
-    keys = [F.col("data.author_id").alias(AUTHOR)] + list(extra_keys or [])
-    return posts.groupBy(*keys).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+def per_author(posts: DataFrame, extra_keys: dict[str, Column] | None = None,
+               carry: dict[str, Column] | None = None, **sums: Column) -> DataFrame:
+    """Sum per-post measures by author (and optional named extra keys).
+
+    Posts are first projected to flat columns: the author, the first tag
+    (``functions.polarity.TAG``, read ONCE), the extra keys and any
+    ``carry`` columns; ``sums`` are then evaluated on that flat frame (build
+    them with ``is_positive(match, tag_col())`` etc.) and summed per author.
+    Reading each post field once lets Catalyst collapse the projections and
+    prune the scan to the columns actually used; grouping by plain
+    attributes avoids an extra projection that would keep a constructed
+    ``data`` struct alive.
+    """
+    extra = dict(extra_keys or {})
+    carry = dict(carry or {})
+    base = posts.select(F.col("data.author_id").alias(AUTHOR), first_tag().alias(TAG),
+                        *[c.alias(n) for n, c in extra.items()],
+                        *[c.alias(n) for n, c in carry.items()])
+    flat = base.select(AUTHOR, *extra, *[c.alias(n) for n, c in sums.items()])
+    return flat.groupBy(AUTHOR, *extra).agg(*[F.sum(n).alias(n) for n in sums])
 
 
 def with_users(author_rows: DataFrame, users: DataFrame, how: str = "inner",

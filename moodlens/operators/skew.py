@@ -31,8 +31,9 @@ def hot_keys(df: DataFrame, key: Column, max_hot_keys: int = DEFAULT_MAX_HOT_KEY
     """
     total = df.count()
     threshold = max(int(min_rows), -(-total // int(max_hot_keys)), 1)
-    return (df.where(key.isNotNull())
-              .groupBy(key.alias(HOT_KEY))
+    return (df.select(key.alias(HOT_KEY))
+              .where(F.col(HOT_KEY).isNotNull())
+              .groupBy(HOT_KEY)
               .agg(F.count(F.lit(1)).alias("_hot_rows"))
               .where(F.col("_hot_rows") >= F.lit(threshold))
               .select(HOT_KEY))

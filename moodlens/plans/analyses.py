@@ -19,7 +19,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from moodlens.functions.polarity import CONTAINS, PREFIX, flag, hour_utc, is_negative, is_positive
+from moodlens.functions.polarity import (
+    CONTAINS, PREFIX, TAG, first_tag, flag, hour_utc, is_negative, is_positive, tag_col,
+)
 from moodlens.operators.join import per_author, with_users
 
 # ---- FIXED VALUES: result labels of the two split tables --------------------
@@ -64,7 +66,9 @@ def _two_way(wide: DataFrame, groups: list[tuple[str, str, str, str]]) -> DataFr
 # ---------------------------------------------------------------- Q2 ------
 def polarity_totals(posts: DataFrame, match: str = CONTAINS) -> DataFrame:
     """Number of positive and of negative posts: ``polarity, n_posts``."""
-    wide = posts.agg(F.count_if(is_positive(match)).alias("p"), F.count_if(is_negative(match)).alias("n"))
+    tags = posts.select(first_tag().alias(TAG))
+    wide = tags.agg(F.count_if(is_positive(match, tag_col())).alias("p"),
+                    F.count_if(is_negative(match, tag_col())).alias("n"))
     return wide.select(F.inline(F.array(
         F.struct(F.lit("positive").alias("polarity"), F.col("p").alias("n_posts")),
         F.struct(F.lit("negative").alias("polarity"), F.col("n").alias("n_posts")))))
@@ -78,11 +82,12 @@ def hourly_polarity(posts: DataFrame, match: str = CONTAINS, keep_partial_hours:
     no parsable hour) are dropped unless ``keep_partial_hours``.
     Output: ``hour_utc, count_pos, count_neg, pct_pos, pct_neg`` (fractions).
     """
-    pos, neg = is_positive(match), is_negative(match)
+    pos, neg = is_positive(match, tag_col()), is_negative(match, tag_col())
     # No filter before the aggregate: untagged posts only add zeros to the
     # partial counts, and a filter here would be pushed below the post
     # projection and evaluate the tag expression twice.
-    hourly = (posts.select(hour_utc().alias("hour_utc"), pos.alias("_p"), neg.alias("_n"))
+    hourly = (posts.select(hour_utc().alias("hour_utc"), first_tag().alias(TAG))
+                   .select("hour_utc", pos.alias("_p"), neg.alias("_n"))
                    .groupBy("hour_utc")
                    .agg(F.count_if("_p").alias("count_pos"), F.count_if("_n").alias("count_neg")))
     if keep_partial_hours:
@@ -140,8 +145,10 @@ def account_age_split(posts: DataFrame, users: DataFrame, cutoff: str = ACCOUNT_
     account created exactly at the cut-off is in neither group.  Posts are
     counted by non-NULL post id.  Output: ``description, n_posts, percentage``.
     """
-    has_id = F.col("data.id").isNotNull()
-    per = per_author(posts, pos=flag(is_positive(match) & has_id), neg=flag(is_negative(match) & has_id))
+    has_id = F.col("_has_id")
+    per = per_author(posts, carry={"_has_id": F.col("data.id").isNotNull()},
+                     pos=flag(is_positive(match, tag_col()) & has_id),
+                     neg=flag(is_negative(match, tag_col()) & has_id))
     joined = with_users(per, users, dedupe=dedupe)
     older = F.col("created_at") < F.lit(cutoff)
     newer = F.col("created_at") > F.lit(cutoff)
@@ -158,7 +165,7 @@ def account_age_split(posts: DataFrame, users: DataFrame, cutoff: str = ACCOUNT_
 def verified_counts(posts: DataFrame, users: DataFrame, match: str = CONTAINS,
                     dedupe: bool = True) -> DataFrame:
     """Positive / negative posts by verified accounts: ``polarity, n_posts``."""
-    per = per_author(posts, pos=flag(is_positive(match)), neg=flag(is_negative(match)))
+    per = per_author(posts, pos=flag(is_positive(match, tag_col())), neg=flag(is_negative(match, tag_col())))
     joined = with_users(per, users, dedupe=dedupe).where(F.col("verified"))
     wide = joined.agg(_zero(F.sum("pos")).alias("p"), _zero(F.sum("neg")).alias("n"))
     return wide.select(F.inline(F.array(
@@ -190,7 +197,7 @@ def followers_mean(posts: DataFrame, users: DataFrame, match: str = CONTAINS,
     Per-author counts are joined with users and weighted by followers, which
     equals ``avg(followers)`` over the joined posts, without shipping posts.
     """
-    per = per_author(posts, pos=flag(is_positive(match)), neg=flag(is_negative(match)))
+    per = per_author(posts, pos=flag(is_positive(match, tag_col())), neg=flag(is_negative(match, tag_col())))
     sums = follower_sums(with_users(per, users, dedupe=dedupe), [])
     return sums.select(F.inline(F.array(
         F.struct(F.lit("positive").alias("polarity"), _mean("s_pos", "c_pos").alias("avg_followers")),
@@ -207,7 +214,8 @@ def followers_mean_of_means(posts: DataFrame, users: DataFrame, batch: Column |
     show.  Output: ``polarity, avg_followers``.
     """
     batch = F.substring("data.created_at", 1, 10) if batch is None else batch
-    per = per_author(posts, [batch.alias("batch")], pos=flag(is_positive(match)), neg=flag(is_negative(match)))
+    per = per_author(posts, {"batch": batch}, pos=flag(is_positive(match, tag_col())),
+                     neg=flag(is_negative(match, tag_col())))
     sums = follower_sums(with_users(per, users, dedupe=dedupe), ["batch"])
     means = sums.select(_mean("s_pos", "c_pos").alias("m_pos"), _mean("s_neg", "c_neg").alias("m_neg"))
     wide = means.agg(F.avg("m_pos").alias("p"), F.avg("m_neg").alias("n"))
@@ -233,11 +241,13 @@ def _activity_histogram(posts: DataFrame, match: str) -> DataFrame:
 
     Output: ``polarity, n, n_authors, mean_posts``.
     """
-    author = F.col("data.author_id")
-    per = posts.groupBy(author.alias("author_id")).agg(
-        F.count(author).alias("n_all"),
-        F.sum(flag(is_positive(match) & author.isNotNull())).alias("n_pos"),
-        F.sum(flag(is_negative(match) & author.isNotNull())).alias("n_neg"))
+    author = F.col("author_id")
+    flat = (posts.select(F.col("data.author_id").alias("author_id"), first_tag().alias(TAG))
+                 .select("author_id",
+                         flag(is_positive(match, tag_col()) & author.isNotNull()).alias("p"),
+                         flag(is_negative(match, tag_col()) & author.isNotNull()).alias("n")))
+    per = flat.groupBy("author_id").agg(
+        F.count("author_id").alias("n_all"), F.sum("p").alias("n_pos"), F.sum("n").alias("n_neg"))
     long = per.select(F.inline(F.array(
         F.struct(F.lit("positive").alias("polarity"), F.col("n_pos").alias("n"), F.col("n_all").alias("n_all")),
         F.struct(F.lit("negative").alias("polarity"), F.col("n_neg").alias("n"), F.col("n_all").alias("n_all")))))

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from moodlens.functions.polarity import CONTAINS, flag, is_negative, is_positive
+from moodlens.functions.polarity import CONTAINS, flag, is_negative, is_positive, tag_col
 from moodlens.operators.indicators import LOWER_TEXT, _hit, _hits, _unpivot
 from moodlens.operators.join import per_author, with_users
 from moodlens.plans.analyses import follower_sums
@@ -63,8 +63,8 @@ def observed_posts(stream_posts: DataFrame) -> DataFrame:
 def batch_follower_sums(users: DataFrame, key: str = "ingest_date", match: str = CONTAINS):
     """Per-batch function: post-weighted follower sums per ingest unit."""
     def fn(batch: DataFrame) -> DataFrame:
-        per = per_author(batch, [F.col(key).alias("batch")],
-                         pos=flag(is_positive(match)), neg=flag(is_negative(match)))
+        per = per_author(batch, {"batch": F.col(key)},
+                         pos=flag(is_positive(match, tag_col())), neg=flag(is_negative(match, tag_col())))
         return follower_sums(with_users(per, users, dedupe=False), ["batch"])
     return fn
 
