@@ -4,7 +4,8 @@ Two patterns, both checkpointed so a restarted query resumes where it was:
 
 * **state store** - running totals as a streaming aggregate
   (``running_indicator_counts``, ``running_verified_counts``,
-  ``observed_posts``), output mode ``complete`` (a handful of rows);
+  ``running_account_age``, ``observed_posts``), output mode ``complete``
+  (a handful of rows);
 * **per micro-batch** - the batch analysis applied to each micro-batch in
   ``foreachBatch`` and written by epoch (``sinks.per_batch_writer``): samples,
   account-age shares, and the follower sums behind the mean of batch means.
@@ -17,10 +18,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from moodlens.functions.polarity import CONTAINS, flag, is_negative, is_positive, tag_col
+from moodlens.functions.polarity import CONTAINS, PREFIX, first_tag, flag, is_negative, is_positive, tag_col
 from moodlens.operators.indicators import LOWER_TEXT, _hit, _hits, _unpivot
 from moodlens.operators.join import per_author, with_users
-from moodlens.plans.analyses import follower_sums
+from moodlens.plans.analyses import (
+    NEWER_NEGATIVE, NEWER_POSITIVE, OLDER_NEGATIVE, OLDER_POSITIVE, _two_way, follower_sums,
+)
 
 
 # ------------------------------------------------------------- state store --
@@ -54,6 +57,27 @@ def running_verified_counts(enriched: DataFrame, match: str = CONTAINS) -> DataF
                         F.count_if(is_negative(match) & verified).alias("neg"))
 
 
+def running_account_age(enriched: DataFrame, cutoff: str, match: str = PREFIX) -> DataFrame:
+    """Cumulative account-age counts (wide: ``old_pos, old_neg, new_pos, new_neg``).
+
+    The since-start variant of the per-batch account-age table; feed the
+    wide row to ``account_age_rows``.  Posts count by non-NULL post id.
+    """
+    tag = first_tag()
+    has_id = F.col("data.id").isNotNull()
+    older = F.col("created_at") < F.lit(cutoff)
+    newer = F.col("created_at") > F.lit(cutoff)
+    pos, neg = is_positive(match, tag) & has_id, is_negative(match, tag) & has_id
+    return enriched.agg(F.count_if(pos & older).alias("old_pos"), F.count_if(neg & older).alias("old_neg"),
+                        F.count_if(pos & newer).alias("new_pos"), F.count_if(neg & newer).alias("new_neg"))
+
+
+def account_age_rows(wide: DataFrame) -> DataFrame:
+    """Wide running account-age counts -> ``description, n_posts, percentage``."""
+    return _two_way(wide, [(OLDER_POSITIVE, OLDER_NEGATIVE, "old_pos", "old_neg"),
+                           (NEWER_POSITIVE, NEWER_NEGATIVE, "new_pos", "new_neg")])
+
+
 def observed_posts(stream_posts: DataFrame) -> DataFrame:
     """Exact running number of posts seen (the original estimated batches x 80)."""
     return stream_posts.agg(F.count(F.lit(1)).alias("n_posts"))

@@ -67,6 +67,16 @@ def q_stream_verified_counts(spark, sf_dir):
         F.struct(F.lit("negative").alias("polarity"), F.col("neg").alias("n_posts")))))
 
 
+def q_stream_account_age_running(spark, sf_dir):
+    """T6, cumulative variant: account-age shares since the start of the stream."""
+    users = snapshot_users(spark, users_e(spark, sf_dir), "age_running")
+    landing = _landed(spark, posts_e(spark, sf_dir), "age_running")
+    stream = post_stream(spark, landing, max_files_per_trigger=FILES_PER_TRIGGER)
+    wide = S.running_account_age(S.enrich(stream, users), FIXTURE_E_CUTOFF)
+    out = _complete_to_table(spark, wide, "age_running")
+    return S.account_age_rows(latest_epoch(spark, out))
+
+
 def q_stream_observed(spark, sf_dir):
     """Exact running count of observed posts."""
     landing = _landed(spark, posts_e(spark, sf_dir), "observed")
@@ -124,6 +134,7 @@ STREAM_QUERIES = {
     "stream_followers": q_stream_followers,
     "stream_batch_samples": q_stream_batch_samples,
     "stream_account_age": q_stream_account_age,
+    "stream_account_age_running": q_stream_account_age_running,
 }
 
 _JOINED_E = (f"WITH {PE}, {UE}, j AS (SELECT pe.*, ue.followers FROM pe JOIN ue ON ue.id = pe.author_id), "
@@ -136,6 +147,7 @@ STREAM_ORACLE = {
     "stream_indicator_counts": _batch_oracle()["indicator_counts"],
     "stream_verified_counts": _batch_oracle()["verified_counts"],
     "stream_observed": "SELECT count(*) AS n_posts FROM events",
+    "stream_account_age_running": _batch_oracle()["account_age_split"],
     "stream_followers": (
         f"{_JOINED_E} SELECT 'positive' AS polarity, "
         "(SELECT avg(followers) FILTER (WHERE tag LIKE '%positive%') FROM j) AS true_mean, "

@@ -97,3 +97,15 @@ def test_memory_sink_and_landing_stream(spark, tmp_path, landed_e):
                      trigger={"availableNow": True})
     q2.awaitTermination()
     assert read_posts(spark, out, fmt="parquet").count() == posts_e(spark, SF_SMALL).count()
+
+
+def test_running_account_age_equals_batch(spark, tmp_path, landed_e):
+    from moodlens.sources.fixtures import FIXTURE_E_CUTOFF
+    users = snapshot_users(spark, users_e(spark, SF_SMALL), "t-age")
+    stream = post_stream(spark, landed_e, max_files_per_trigger=2)
+    out = _complete(S.running_account_age(S.enrich(stream, users), FIXTURE_E_CUTOFF), tmp_path, "age")
+    got = {(r.description, r.n_posts, r.percentage) for r in S.account_age_rows(latest_epoch(spark, out)).collect()}
+    want = {(r.description, r.n_posts, r.percentage)
+            for r in A.account_age_split(posts_e(spark, SF_SMALL), users_e(spark, SF_SMALL),
+                                         cutoff=FIXTURE_E_CUTOFF).collect()}
+    assert got == want
