@@ -35,6 +35,8 @@ LESS_ACTIVE_POSITIVE = "Positive tweets non-active users"
 LESS_ACTIVE_NEGATIVE = "Negative tweets from non-active users"
 # Account age cut-off of the original (string comparison, both sides strict).
 ACCOUNT_AGE_CUTOFF = "2019-01-01"
+# Separator between sampled texts in the display string.
+SAMPLE_SEPARATOR = "\nTWEET:"
 # ---- end of fixed values ----------------------------------------------------
 
 
@@ -118,7 +120,7 @@ def sample_posts(posts: DataFrame, n: int = 5, match: str = CONTAINS) -> DataFra
     return top("positive", is_positive(match)).unionByName(top("negative", is_negative(match)))
 
 
-def samples_as_text(samples: DataFrame, separator: str = "\nTWEET:") -> DataFrame:
+def samples_as_text(samples: DataFrame, separator: str = SAMPLE_SEPARATOR) -> DataFrame:
     """The sampled texts of each polarity joined into one display string.
 
     Only for the bounded output of ``sample_posts`` (``n`` rows per group).

@@ -20,6 +20,42 @@ DEFAULT_CONF = {
 }
 
 
+# Sizing for large inputs (set once per job from the input size; AQE then
+# coalesces small partitions and splits skewed ones at run time).
+TARGET_PARTITION_BYTES = 256 * 1024 * 1024
+MIN_SHUFFLE_PARTITIONS = 200
+MAX_SHUFFLE_PARTITIONS = 100_000
+
+
+def scale_conf(input_bytes: int, text_heavy: bool = False) -> dict[str, str]:
+    """Settings sized for ``input_bytes`` of (compressed) input.
+
+    * initial shuffle partitions ~ input / 256 MB (AQE coalesces down to the
+      advisory size; starting high keeps each reducer's share bounded when a
+      key holds a large fraction of the rows);
+    * scan splits of 256 MB, or 64 MB for long texts (they expand several
+      times when decompressed and lower-cased/tokenised);
+    * skew join: a partition 4x the median and above 256 MB is split.
+    """
+    parts = -(-int(input_bytes) // TARGET_PARTITION_BYTES)
+    parts = max(MIN_SHUFFLE_PARTITIONS, min(MAX_SHUFFLE_PARTITIONS, parts))
+    split = 64 * 1024 * 1024 if text_heavy else TARGET_PARTITION_BYTES
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(parts),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(TARGET_PARTITION_BYTES),
+        "spark.sql.files.maxPartitionBytes": str(split),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(TARGET_PARTITION_BYTES),
+    }
+
+
+def apply_scale_conf(spark: SparkSession, input_bytes: int, text_heavy: bool = False) -> None:
+    """Apply :func:`scale_conf` to a running session (runtime SQL settings)."""
+    for k, v in scale_conf(input_bytes, text_heavy).items():
+        spark.conf.set(k, v)
+
+
 def get_spark(master: str | None = None, app: str = "moodlens", **conf) -> SparkSession:
     """Build (or reuse) a session with the package defaults.
 

@@ -29,3 +29,20 @@ def test_substring_vs_prefix(spark):
 def test_hour_utc_is_chars_12_13(spark):
     df = spark.createDataFrame([post("1", created="2021-03-01T07:59:59.000Z")], POST)
     assert df.select(hour_utc().alias("h")).first().h == "07"
+
+
+def test_scale_conf_bounds():
+    from moodlens.session import scale_conf
+    small = scale_conf(10 * 1024 ** 2)
+    assert small["spark.sql.shuffle.partitions"] == "200"
+    big = scale_conf(100 * 1024 ** 4)  # 100 TB
+    assert big["spark.sql.shuffle.partitions"] == "100000"
+    mid = scale_conf(1024 ** 4, text_heavy=True)  # 1 TB of text
+    assert mid["spark.sql.shuffle.partitions"] == "4096"
+    assert mid["spark.sql.files.maxPartitionBytes"] == str(64 * 1024 ** 2)
+
+
+def test_checkpoint_root_reads_session_setting(spark):
+    from moodlens.session import checkpoint_root, scratch_path
+    root = checkpoint_root(spark)
+    assert root and scratch_path(spark, "x").startswith(root + "/moodlens/x-")
