@@ -55,15 +55,20 @@ def _unpivot(wide: DataFrame, lexicon, kinds: dict[str, list[str]]) -> DataFrame
     return lex.join(exploded, INDEX).drop(INDEX)
 
 
-def indicator_counts(posts: DataFrame, lexicon, users: DataFrame | None = None) -> DataFrame:
+def indicator_counts(posts: DataFrame, lexicon, users: DataFrame | None = None,
+                     dedupe: bool = False) -> DataFrame:
     """Posts containing each indicator: ``polarity, position, indicator, n_posts``.
 
     With ``users``, only posts whose author is a known user count (the
     original counts over posts joined with users).  That restriction is done
     after a per-author pre-aggregate, so the join sees one row per author.
-    Indicators without any hit still appear with 0.
+    Indicators without any hit still appear with 0.  A repeated indicator
+    keeps one row per position unless ``dedupe`` keeps only its first one.
     """
     lexicon = list(lexicon)
+    if dedupe:
+        seen: set = set()
+        lexicon = [e for e in lexicon if not (e[1] in seen or seen.add(e[1]))]
     names = [_hit(i) for i in range(len(lexicon))]
     terms = [ind for _, ind, _ in lexicon]
     if users is None:

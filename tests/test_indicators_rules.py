@@ -96,3 +96,10 @@ def test_rule_admin(spark):
     ids = spark.createDataFrame([("1",), ("3",)], "id string")
     out = delete_rules(add_rules(df, extra), ids)
     assert sorted(r.rule_id for r in out.collect()) == ["2", "4", "7"]
+
+
+def test_duplicate_indicators_dedupe_option(spark):
+    posts = spark.createDataFrame([post("1", text="\U0001F630")], POST)
+    rows = indicator_counts(posts, default_lexicon(), dedupe=True).where(F.col("indicator") == "\U0001F630").collect()
+    assert [(r.position, r.n_posts) for r in rows] == [(42, 1)]
+    assert indicator_counts(posts, default_lexicon(), dedupe=True).count() == 61
