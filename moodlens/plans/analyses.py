@@ -140,20 +140,27 @@ def post_user_table(joined: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- Q4 ------
 def account_age_split(posts: DataFrame, users: DataFrame, cutoff: str = ACCOUNT_AGE_CUTOFF,
-                      match: str = PREFIX, dedupe: bool = True) -> DataFrame:
+                      match: str = PREFIX, dedupe: bool = True, compare: str = "string") -> DataFrame:
     """Polarity shares for accounts created before / after ``cutoff``.
 
-    String comparison on the user's ``created_at``, strict on both sides: an
-    account created exactly at the cut-off is in neither group.  Posts are
-    counted by non-NULL post id.  Output: ``description, n_posts, percentage``.
+    By default a string comparison on the user's ``created_at``, strict on
+    both sides: an account created exactly at the cut-off is in neither
+    group (with full ISO text, ``...T00:00:00.000Z > 'YYYY-MM-DD'`` holds, so
+    only bare dates tie).  ``compare="timestamp"`` parses both sides first
+    (unparsable values fall in neither group).  Posts are counted by non-NULL
+    post id.  Output: ``description, n_posts, percentage``.
     """
     has_id = F.col("_has_id")
     per = per_author(posts, carry={"_has_id": F.col("data.id").isNotNull()},
                      pos=flag(is_positive(match, tag_col()) & has_id),
                      neg=flag(is_negative(match, tag_col()) & has_id))
     joined = with_users(per, users, dedupe=dedupe)
-    older = F.col("created_at") < F.lit(cutoff)
-    newer = F.col("created_at") > F.lit(cutoff)
+    created, cut = F.col("created_at"), F.lit(cutoff)
+    if compare == "timestamp":
+        created, cut = F.try_to_timestamp(created), F.try_to_timestamp(cut)
+    elif compare != "string":
+        raise ValueError("compare must be 'string' or 'timestamp'")
+    older, newer = created < cut, created > cut
     wide = joined.agg(
         _zero(F.sum(F.when(older, F.col("pos")))).alias("old_pos"),
         _zero(F.sum(F.when(older, F.col("neg")))).alias("old_neg"),

@@ -154,3 +154,12 @@ def test_hot_keys_bounded_by_construction(spark):
     users = _users(spark, [user("big"), user("dup")] + [user(f"u{i}") for i in range(140)])
     joined = join_users(df, users, max_hot_keys=5, min_hot_rows=1)
     assert joined.count() == 300
+
+
+def test_account_age_timestamp_compare(spark):
+    posts = _posts(spark, [post("1", "full", tags=POS), post("2", "bare", tags=POS)])
+    users = _users(spark, [user("full", created="2019-01-01T00:00:00.000Z"), user("bare", created="2019-01-01")])
+    as_text = {r.description: r.n_posts for r in A.account_age_split(posts, users).collect()}
+    assert as_text[A.NEWER_POSITIVE] == 1  # full ISO text sorts after the bare date
+    as_ts = {r.description: r.n_posts for r in A.account_age_split(posts, users, compare="timestamp").collect()}
+    assert as_ts[A.NEWER_POSITIVE] == 0 and as_ts[A.OLDER_POSITIVE] == 0  # both equal the cut-off instant
