@@ -78,3 +78,10 @@ def test_authors_to_fetch(spark, tmp_path):
     p = tmp_path / "u.json"
     p.write_text(json.dumps({"id": "z", "verified": True}))
     assert read_users(spark, str(p)).first().verified is True
+
+
+def test_register_views(spark):
+    from moodlens.sources.files import register_views
+    posts = spark.createDataFrame([post("1", tags=["positive keywords"])], POST)
+    register_views(spark, posts_view=posts)
+    assert spark.sql("SELECT count(*) AS n FROM posts_view WHERE matching_rules[0].tag LIKE 'positive%'").first().n == 1

@@ -109,3 +109,16 @@ def test_running_account_age_equals_batch(spark, tmp_path, landed_e):
             for r in A.account_age_split(posts_e(spark, SF_SMALL), users_e(spark, SF_SMALL),
                                          cutoff=FIXTURE_E_CUTOFF).collect()}
     assert got == want
+
+
+def test_processing_time_trigger(spark, tmp_path, landed_e):
+    from moodlens.streaming.sinks import start
+    out = str(tmp_path / "pt-out")
+    q = start(S.observed_posts(post_stream(spark, landed_e, max_files_per_trigger=20)), str(tmp_path / "pt-ckpt"),
+              output_mode="complete", foreach_batch=lambda df, e: write_epoch(df, out, e),
+              trigger={"processingTime": "1 second"})
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    assert latest_epoch(spark, out).first().n_posts == posts_e(spark, SF_SMALL).count()
