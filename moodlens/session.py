@@ -76,14 +76,18 @@ def get_spark(master: str | None = None, app: str = "moodlens", **conf) -> Spark
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this setting points at shared storage and is only read here.
-    When it is unset (local tests) a private folder is created and registered,
-    so later code can rely on it.
+    On a cluster this setting points at shared storage and is only read here;
+    if it is missing there, this fails instead of falling back to a
+    machine-local folder.  In local mode (tests) an unset value is replaced
+    by a private temporary folder, registered so later code can rely on it.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: point it at a folder shared by "
+                               "all executors (e.g. HDFS or object storage)")
         root = tempfile.mkdtemp(prefix="moodlens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", root)
     if not spark.sparkContext.getCheckpointDir():
