@@ -73,6 +73,9 @@ def get_spark(master: str | None = None, app: str = "moodlens", **conf) -> Spark
     return spark
 
 
+_LOCAL_ROOTS: dict[str, str] = {}
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
@@ -81,17 +84,18 @@ def checkpoint_root(spark: SparkSession) -> str:
     machine-local folder.  In local mode (tests) an unset value is replaced
     by a private temporary folder, registered so later code can rely on it.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.sparkContext.getCheckpointDir()
+    sc = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or _LOCAL_ROOTS.get(sc.applicationId)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not sc.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir is not set: point it at a folder shared by "
                                "all executors (e.g. HDFS or object storage)")
+        # spark.checkpoint.dir cannot be changed on a running session; keep
+        # the private folder for this application instead.
         root = tempfile.mkdtemp(prefix="moodlens-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(root)
+        _LOCAL_ROOTS[sc.applicationId] = root
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(root)
     return root.rstrip("/")
 
 
