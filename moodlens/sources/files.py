@@ -20,9 +20,20 @@ def _reader(spark: SparkSession, fmt: str, schema):
     return spark.read.format(fmt).schema(schema)
 
 
-def read_posts(spark: SparkSession, path: str | list[str], fmt: str = "json") -> DataFrame:
-    """Scan a post archive (file or folder, JSON lines or Parquet)."""
-    return _reader(spark, fmt, POST).load(path)
+def read_posts(spark: SparkSession, path: str | list[str], fmt: str = "json",
+               mode: str | None = None) -> DataFrame:
+    """Scan a post archive (file or folder, JSON lines or Parquet).
+
+    ``mode`` (JSON only): ``PERMISSIVE`` (default; malformed lines become
+    all-NULL rows), ``DROPMALFORMED`` (they are skipped) or ``FAILFAST``.
+    Use :func:`read_posts_with_quarantine` to keep and count them instead.
+    """
+    reader = _reader(spark, fmt, POST)
+    if mode:
+        if fmt != "json":
+            raise ValueError("mode applies to JSON input only")
+        reader = reader.option("mode", mode)
+    return reader.load(path)
 
 
 def read_users(spark: SparkSession, path: str | list[str], fmt: str = "json") -> DataFrame:

@@ -85,3 +85,9 @@ def test_register_views(spark):
     posts = spark.createDataFrame([post("1", tags=["positive keywords"])], POST)
     register_views(spark, posts_view=posts)
     assert spark.sql("SELECT count(*) AS n FROM posts_view WHERE matching_rules[0].tag LIKE 'positive%'").first().n == 1
+
+
+def test_drop_malformed_mode(spark, tmp_path):
+    p = tmp_path / "b.json"
+    p.write_text("\n".join([_post_json("1"), _post_json("2")[:20], _post_json("3")]) + "\n")
+    assert sorted(r.data.id for r in read_posts(spark, str(p), mode="DROPMALFORMED").collect()) == ["1", "3"]
