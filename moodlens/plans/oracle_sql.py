@@ -43,7 +43,9 @@ PD = """pd AS (
   SELECT CAST(d.doc_id AS VARCHAR) AS post_id, d.text, d.lang,
          CASE WHEN l.quality = 1 THEN 'positive keywords'
               WHEN l.toxic = 1 THEN 'negative keywords' END AS tag
-  FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
+  FROM documents d
+  LEFT JOIN (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id) l
+    ON d.doc_id = l.doc_id)"""
 
 FIXTURE_LEX = """lex(position, indicator, polarity) AS (VALUES
   (0, 'love', 'positive'), (1, 'best', 'positive'), (2, 'great', 'positive'),

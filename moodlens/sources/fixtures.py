@@ -136,12 +136,15 @@ def posts_from_documents(documents: DataFrame, labels: DataFrame | None = None)
     """Fixture D: documents as posts, tagged from ``labels``.
 
     quality = 1 gives ``positive keywords``; otherwise toxic = 1 gives
-    ``negative keywords``; everything else has no rule.  ``labels`` is one
-    row per doc_id; it is joined by key (no broadcast assumption).
+    ``negative keywords``; everything else has no rule.  Labels are first
+    reduced to one row per doc_id (max of each flag; copies collapse in the
+    partial aggregate), so a repeated label can never multiply a document,
+    then joined by key (AQE broadcasts them only when small).
     """
     docs = spread(documents)
     if labels is not None:
-        lab = labels.select(F.col("doc_id").alias("_lid"), "quality", "toxic")
+        lab = (labels.groupBy(F.col("doc_id").alias("_lid"))
+                     .agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic")))
         docs = docs.join(lab, docs["doc_id"] == lab["_lid"], "left")
         rules = matching_rules(
             F.when(F.col("quality") == 1, F.struct(F.lit("1").alias("id"), F.lit(TAG_POSITIVE_KEYWORDS).alias("tag")))
