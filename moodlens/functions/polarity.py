@@ -65,3 +65,26 @@ def flag(cond: Column) -> Column:
 def tag_col() -> Column:
     """The projected first tag (see ``TAG``)."""
     return F.col(TAG)
+
+
+RULES_TYPE = "array<struct<id:string,tag:string>>"
+
+
+def no_rules() -> Column:
+    """An empty ``matching_rules`` array of the right type."""
+    return F.array().cast(RULES_TYPE)
+
+
+def rule_matches(rules: list[tuple[Column, str, str]]) -> Column:
+    """``matching_rules`` from ``[(condition, rule_id, tag), ...]`` in rule order.
+
+    Built as a ``concat`` of one-element-or-empty arrays, which stays inside
+    whole-stage codegen (a lambda ``filter`` over the array would not).  A
+    NULL condition counts as not holding.
+    """
+    if not rules:
+        return no_rules()
+    parts = [F.when(cond, F.array(F.struct(F.lit(rule_id).alias("id"), F.lit(tag).alias("tag"))))
+              .otherwise(no_rules())
+             for cond, rule_id, tag in rules]
+    return parts[0] if len(parts) == 1 else F.concat(*parts)

@@ -21,6 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from moodlens.functions.polarity import rule_matches
 from moodlens.functions.text import has_non_ascii, token_text, tokens
 from moodlens.lexicons import Rule, RuleSet
 from moodlens.schemas import RULE
@@ -78,10 +79,7 @@ def tag_posts(posts: DataFrame, rules: RuleSet) -> DataFrame:
         df = df.withColumn(TOKENS, _only_for_langs(keyword, tokens("data.text")))
         if phrases:
             df = df.withColumn(TOKEN_TEXT, _only_for_langs(keyword, token_text("data.text")))
-    matches = [F.when(rule_condition(r), F.struct(F.lit(r.rule_id).alias("id"), F.lit(r.tag).alias("tag")))
-               for r in rules]
-    rules_col = (F.filter(F.array(*matches), lambda m: m.isNotNull()) if matches
-                 else F.array().cast("array<struct<id:string,tag:string>>"))
+    rules_col = rule_matches([(rule_condition(r), r.rule_id, r.tag) for r in rules])
     keep = [c for c in df.columns if c not in ("matching_rules", TOKENS, TOKEN_TEXT)]
     return df.select(*keep, F.inline(F.array(F.struct(rules_col.alias("matching_rules")))))
 

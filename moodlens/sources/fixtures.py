@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from moodlens.functions.polarity import no_rules, rule_matches
 from moodlens.lexicons import (
     TAG_NEGATIVE_EMOJIS, TAG_NEGATIVE_KEYWORDS, TAG_POSITIVE_EMOJIS, TAG_POSITIVE_KEYWORDS,
 )
@@ -63,15 +64,6 @@ def spread(df: DataFrame) -> DataFrame:
     return df
 
 
-def _rule(rule_id: str, tag: str, cond: Column) -> Column:
-    return F.when(cond, F.struct(F.lit(rule_id).alias("id"), F.lit(tag).alias("tag")))
-
-
-def matching_rules(*rules: Column) -> Column:
-    """All rules that hold, in rule order; empty array when none does."""
-    return F.filter(F.array(*rules), lambda r: r.isNotNull())
-
-
 def _post(post_id, author_id, created_at, text, lang, rules) -> list[Column]:
     return [
         F.struct(
@@ -88,12 +80,12 @@ def _post(post_id, author_id, created_at, text, lang, rules) -> list[Column]:
 def posts_from_events(events: DataFrame) -> DataFrame:
     """Fixture E.  Rule ids 1..4 follow the four stream rules' order."""
     et, value = F.col("event_type"), F.col("value")
-    rules = matching_rules(
-        _rule("1", TAG_POSITIVE_KEYWORDS, et.isin("purchase", "signup")),
-        _rule("2", TAG_POSITIVE_EMOJIS, value >= 100),
-        _rule("3", TAG_NEGATIVE_KEYWORDS, et == "error"),
-        _rule("4", TAG_NEGATIVE_EMOJIS, (et == "view") & (value < 20)),
-    )
+    rules = rule_matches([
+        (et.isin("purchase", "signup"), "1", TAG_POSITIVE_KEYWORDS),
+        (value >= 100, "2", TAG_POSITIVE_EMOJIS),
+        (et == "error", "3", TAG_NEGATIVE_KEYWORDS),
+        ((et == "view") & (value < 20), "4", TAG_NEGATIVE_EMOJIS),
+    ])
     return events.select(*_post(
         F.col("event_id"), F.col("user_id"), F.date_format("ts", ISO_MILLIS),
         F.concat_ws(" ", "event_type", "props"), F.lit("en"), rules))
@@ -146,11 +138,11 @@ def posts_from_documents(documents: DataFrame, labels: DataFrame | None = None)
         lab = (labels.groupBy(F.col("doc_id").alias("_lid"))
                      .agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic")))
         docs = docs.join(lab, docs["doc_id"] == lab["_lid"], "left")
-        rules = matching_rules(
-            F.when(F.col("quality") == 1, F.struct(F.lit("1").alias("id"), F.lit(TAG_POSITIVE_KEYWORDS).alias("tag")))
-             .when(F.col("toxic") == 1, F.struct(F.lit("3").alias("id"), F.lit(TAG_NEGATIVE_KEYWORDS).alias("tag"))))
+        positive = F.col("quality") == 1
+        rules = rule_matches([(positive, "1", TAG_POSITIVE_KEYWORDS),
+                              (~positive & (F.col("toxic") == 1), "3", TAG_NEGATIVE_KEYWORDS)])
     else:
-        rules = F.array().cast("array<struct<id:string,tag:string>>")
+        rules = no_rules()
     return docs.select(*_post(
         F.col("doc_id"), F.col("source"), F.lit(None).cast("string"),
         F.col("text"), F.col("lang"), rules))
