@@ -47,3 +47,49 @@ def test_verified_and_age_match_model(spark, posts, users):
     assert got_a[A.OLDER_POSITIVE] == old_pos
     tot = {r.polarity: r.n_posts for r in A.polarity_totals(pdf).collect()}
     assert tot == {"positive": sum(pos), "negative": sum(neg)}
+
+
+# ---- rule tagging against a plain-Python model ------------------------------
+import regex as _re  # noqa: E402
+
+from moodlens.functions.polarity import first_tag  # noqa: E402
+from moodlens.lexicons import default_rules  # noqa: E402
+from moodlens.operators.rules import tag_posts  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
+
+WORDS = ["love", "Love", "lovely", "glove", "thank", "you", "no", "No", "nope", "hate", "stop", "stop's",
+         "bad", "terrible", "fav", "favorite", "x", "42", "café", "😀", "😰", "♥️", "♥", "☹️"]
+SEPS = [" ", "  ", ", ", "!", "'", "-", "\n"]
+
+
+def _model(text: str, lang: str):
+    toks = [t for t in _re.split(r"[^\p{L}\p{N}']+", text.lower()) if t]
+    joined = " " + " ".join(toks) + " "
+    hits = []
+    for r in default_rules():
+        if r.lang and lang != r.lang:
+            continue
+        if r.kind == "emoji":
+            ok = any(t in text for t in r.terms)
+        else:
+            ok = any((" " + " ".join(t.lower().split()) + " ") in joined if " " in t else t.lower() in toks
+                     for t in r.terms)
+            ok = ok and not (r.exclude and r.exclude in toks)
+        if ok:
+            hits.append(r.tag)
+    return len(hits), (hits[0] if hits else None)
+
+
+text_st = st.lists(st.tuples(st.sampled_from(WORDS), st.sampled_from(SEPS)), max_size=8).map(
+    lambda parts: "".join(w + s for w, s in parts))
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=list(HealthCheck))
+@given(rows=st.lists(st.tuples(text_st, st.sampled_from(["en", "fr"])), min_size=1, max_size=20))
+def test_rule_tagging_matches_model(spark, rows):
+    data = [((str(i), "a", None, t, lang), []) for i, (t, lang) in enumerate(rows)]
+    df = tag_posts(spark.createDataFrame(data, POST), default_rules())
+    got = {r.pid: (r.n, r.tag) for r in df.select(F.col("data.id").alias("pid"), F.size("matching_rules").alias("n"),
+                                                  first_tag().alias("tag")).collect()}
+    want = {str(i): _model(t, lang) for i, (t, lang) in enumerate(rows)}
+    assert got == want
