@@ -33,7 +33,8 @@ def _parser() -> argparse.ArgumentParser:
     live.add_argument("--landing", required=True, help="folder where post files arrive")
     live.add_argument("--users", required=True, help="user files or folder (static side)")
     live.add_argument("--out", required=True, help="shared folder for checkpoints and result tables")
-    live.add_argument("--format", default="parquet", choices=["json", "parquet"])
+    live.add_argument("--format", default="parquet", choices=["json", "parquet"], help="format of landed posts")
+    live.add_argument("--users-format", default="parquet", choices=["json", "parquet"])
     live.add_argument("--files-per-batch", type=int, default=10)
     live.add_argument("--trigger", default="5 seconds", help="processing-time trigger interval")
     live.add_argument("--cutoff", default=A.ACCOUNT_AGE_CUTOFF)
@@ -71,8 +72,7 @@ def live(spark, args) -> list:
     from moodlens.streaming.sources import post_stream, snapshot_users
 
     out = args.out.rstrip("/")
-    users = snapshot_users(spark, read_users(spark, args.users, fmt="parquet" if args.format == "parquet" else "json"),
-                           "live")
+    users = snapshot_users(spark, read_users(spark, args.users, fmt=args.users_format), "live")
     trigger = {"availableNow": True} if args.once else {"processingTime": args.trigger}
 
     def stream():
