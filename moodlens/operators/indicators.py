@@ -35,6 +35,16 @@ def _hits(terms) -> list[Column]:
     return [F.count_if(F.contains(text, F.lit(t))) for t in terms]
 
 
+def _matched_indexes(terms) -> Column:
+    """Lexicon indexes whose term occurs in ``LOWER_TEXT`` (each at most once).
+
+    A ``concat`` of one-element-or-empty arrays stays in generated code.
+    """
+    text, empty = F.col(LOWER_TEXT), F.array().cast("array<int>")
+    return F.concat(*[F.when(F.contains(text, F.lit(t)), F.array(F.lit(i))).otherwise(empty)
+                      for i, t in enumerate(terms)])
+
+
 def lexicon_frame(spark, lexicon) -> DataFrame:
     """The lexicon as a small table with its list index (fixed, bounded size)."""
     return spark.createDataFrame([(i, pos, ind, pol) for i, (pos, ind, pol) in enumerate(lexicon)],
@@ -61,7 +71,8 @@ def indicator_counts(posts: DataFrame, lexicon, users: DataFrame | None = None,
 
     With ``users``, only posts whose author is a known user count (the
     original counts over posts joined with users).  That restriction is done
-    after a per-author pre-aggregate, so the join sees one row per author.
+    after a sparse per-author pre-aggregate (one row per author and indicator
+    hit), so the join never sees individual posts.
     Indicators without any hit still appear with 0.  A repeated indicator
     keeps one row per position unless ``dedupe`` keeps only its first one.
     """
@@ -73,12 +84,16 @@ def indicator_counts(posts: DataFrame, lexicon, users: DataFrame | None = None,
     terms = [ind for _, ind, _ in lexicon]
     if users is None:
         wide = _with_lower_text(posts).agg(*_hits(terms)).toDF(*names)
+        rows = _unpivot(wide, lexicon, {"n_posts": names})
     else:
+        # Sparse per-author counts: one row per (author, indicator) that
+        # occurs at all, so the shuffle and the user join carry only hits.
         base = _with_lower_text(posts, F.col("data.author_id").alias(AUTHOR))
-        per = base.groupBy(AUTHOR).agg(*_hits(terms)).toDF(AUTHOR, *names)
-        per = known_authors(per, users)
-        wide = per.agg(*[F.sum(n) for n in names]).toDF(*names)
-    rows = _unpivot(wide, lexicon, {"n_posts": names})
+        per = (base.select(AUTHOR, F.explode(_matched_indexes(terms)).alias(INDEX))
+                   .groupBy(AUTHOR, INDEX).agg(F.count(F.lit(1)).alias("n_posts")))
+        totals = known_authors(per, users).groupBy(INDEX).agg(F.sum("n_posts").alias("n_posts"))
+        lex = F.broadcast(lexicon_frame(posts.sparkSession, lexicon))
+        rows = lex.join(totals, INDEX, "left").drop(INDEX)
     return rows.select("polarity", "position", "indicator",
                        F.coalesce(F.col("n_posts"), F.lit(0)).cast("long").alias("n_posts"))
 
