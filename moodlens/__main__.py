@@ -68,7 +68,7 @@ def archive(spark, args) -> dict:
 
 def live(spark, args) -> list:
     from moodlens.streaming import analyses as S
-    from moodlens.streaming.sinks import per_batch_writer, start, write_epoch
+    from moodlens.streaming.sinks import per_batch_writer, start, write_latest
     from moodlens.streaming.sources import post_stream, snapshot_users
 
     out = args.out.rstrip("/")
@@ -80,7 +80,7 @@ def live(spark, args) -> list:
 
     def complete(name, df):
         return start(df, f"{out}/{name}/_checkpoint", output_mode="complete", trigger=trigger,
-                     foreach_batch=lambda b, e, path=f"{out}/{name}/result": write_epoch(b, path, e))
+                     foreach_batch=lambda b, e, path=f"{out}/{name}/result": write_latest(b, path, e))
 
     def per_batch(name, fn):
         return start(stream(), f"{out}/{name}/_checkpoint", trigger=trigger,

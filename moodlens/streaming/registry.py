@@ -21,7 +21,7 @@ from moodlens.sources.files import land_posts
 from moodlens.sources.fixtures import FIXTURE_E_CUTOFF
 from moodlens.streaming import analyses as S
 from moodlens.streaming.sinks import (
-    EPOCH, land_stream, latest_epoch, per_batch_writer, run_available, write_epoch,
+    EPOCH, land_stream, latest_epoch, per_batch_writer, run_available, write_latest,
 )
 from moodlens.streaming.sources import post_stream, snapshot_users
 
@@ -37,7 +37,7 @@ def _landed(spark: SparkSession, posts: DataFrame, name: str, rows_per_file: int
 def _complete_to_table(spark, stream_df, name) -> str:
     out, ckpt = scratch_path(spark, f"{name}-out"), scratch_path(spark, f"{name}-ckpt")
     run_available(stream_df, ckpt, output_mode="complete",
-                  foreach_batch=lambda df, epoch: write_epoch(df, out, epoch))
+                  foreach_batch=lambda df, epoch: write_latest(df, out, epoch))
     return out
 
 

@@ -4,6 +4,8 @@ Results are written as tables below the shared checkpoint folder, keyed by
 the micro-batch id (``epoch``).  A micro-batch that is replayed after a
 failure overwrites its own partition (dynamic partition overwrite), so the
 result table is exactly-once even though ``foreachBatch`` is at-least-once.
+Per-batch results keep one partition per epoch (they are the data);
+complete-mode running totals rotate over two slots (``write_latest``).
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 EPOCH = "epoch"
+SLOT = "slot"
 
 
 def write_epoch(df: DataFrame, path: str, epoch_id: int) -> None:
@@ -25,6 +28,22 @@ def write_epoch(df: DataFrame, path: str, epoch_id: int) -> None:
        .parquet(path))
 
 
+def write_latest(df: DataFrame, path: str, epoch_id: int, slots: int = 2) -> None:
+    """Write a complete-mode result into one of ``slots`` rotating partitions.
+
+    The partition is ``slot = epoch % slots`` and the epoch is kept as a
+    column: a replayed epoch overwrites its own slot, the other slot keeps the
+    previous complete result meanwhile, and storage stays bounded however
+    long the stream runs.  Read with :func:`latest_epoch`.
+    """
+    (df.withColumn(EPOCH, F.lit(int(epoch_id)).cast("long"))
+       .withColumn(SLOT, F.lit(int(epoch_id) % int(slots)))
+       .write.mode("overwrite")
+       .option("partitionOverwriteMode", "dynamic")
+       .partitionBy(SLOT)
+       .parquet(path))
+
+
 def per_batch_writer(fn: Callable[[DataFrame], DataFrame], path: str):
     """``foreachBatch`` callback: apply a batch analysis, write it by epoch."""
     def run(batch_df: DataFrame, epoch_id: int) -> None:
@@ -88,7 +107,8 @@ def run_available(stream_df: DataFrame, checkpoint: str, **kw) -> None:
 
 
 def latest_epoch(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of the newest epoch of a complete-mode result table."""
+    """Rows of the newest epoch of a result table (``write_epoch`` or
+    ``write_latest`` layout)."""
     df = spark.read.parquet(path)
     newest = df.agg(F.max(EPOCH)).scalar()
-    return df.where(F.col(EPOCH) == newest).drop(EPOCH)
+    return df.where(F.col(EPOCH) == newest).drop(EPOCH, SLOT)

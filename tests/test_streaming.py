@@ -122,3 +122,14 @@ def test_processing_time_trigger(spark, tmp_path, landed_e):
     finally:
         q.stop()
     assert latest_epoch(spark, out).first().n_posts == posts_e(spark, SF_SMALL).count()
+
+
+def test_write_latest_rotates_and_replays(spark, tmp_path):
+    from moodlens.streaming.sinks import write_latest
+    out = str(tmp_path / "latest")
+    for epoch in range(5):
+        write_latest(spark.range(epoch + 1), out, epoch)
+    write_latest(spark.range(5), out, 4)  # replay of the newest epoch
+    import os
+    assert sorted(d for d in os.listdir(out) if d.startswith("slot=")) == ["slot=0", "slot=1"]
+    assert latest_epoch(spark, out).count() == 5
