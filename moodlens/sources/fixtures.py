@@ -52,15 +52,19 @@ def load_tables(spark: SparkSession, sf_dir: str, names=TABLES) -> dict[str, Dat
     return out
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a scan that yields fewer partitions than the cluster has
+def spread(df: DataFrame, key: str | None = None) -> DataFrame:
+    """Re-partition a scan that yields fewer partitions than the cluster has
     task slots (e.g. one large row group of long texts), so per-row text
     work runs on every core.  A scan that is already wide (the normal case
     on big inputs) is returned untouched: no shuffle is added there.
+
+    With a unique ``key`` the rows are hash-partitioned on it: balanced and
+    deterministic on a retry without the local sort a round-robin
+    repartition needs for that.
     """
     slots = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < slots:
-        return df.repartition(slots)
+        return df.repartition(slots, key) if key else df.repartition(slots)
     return df
 
 
@@ -133,7 +137,7 @@ def posts_from_documents(documents: DataFrame, labels: DataFrame | None = None)
     partial aggregate), so a repeated label can never multiply a document,
     then joined by key (AQE broadcasts them only when small).
     """
-    docs = spread(documents)
+    docs = spread(documents, key="doc_id")
     if labels is not None:
         lab = (labels.groupBy(F.col("doc_id").alias("_lid"))
                      .agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic")))
