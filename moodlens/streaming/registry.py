@@ -15,9 +15,8 @@ from pyspark.sql import functions as F
 from moodlens.plans import analyses as A
 from moodlens.plans.oracle_sql import oracle_sql as _batch_oracle, PE, UE
 from moodlens.plans.registry import FIXTURE_LEXICON, _flat_posts, posts_d, posts_e, users_e
-from moodlens.sources.files import read_posts
 from moodlens.session import scratch_path
-from moodlens.sources.files import land_posts
+from moodlens.sources.files import land_posts, read_posts
 from moodlens.sources.fixtures import FIXTURE_E_CUTOFF
 from moodlens.streaming import analyses as S
 from moodlens.streaming.sinks import (
