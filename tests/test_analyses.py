@@ -163,3 +163,20 @@ def test_account_age_timestamp_compare(spark):
     assert as_text[A.NEWER_POSITIVE] == 1  # full ISO text sorts after the bare date
     as_ts = {r.description: r.n_posts for r in A.account_age_split(posts, users, compare="timestamp").collect()}
     assert as_ts[A.NEWER_POSITIVE] == 0 and as_ts[A.OLDER_POSITIVE] == 0  # both equal the cut-off instant
+
+
+def test_split_hot_semi_join(spark):
+    from pyspark.sql import functions as F
+    from moodlens.operators.skew import split_hot_join
+    rows = [post(str(i), author="hot") for i in range(50)] + [post(f"c{i}", author=f"u{i % 5}") for i in range(20)]
+    posts = _posts(spark, rows)
+    users = dedupe_users(_users(spark, [user("hot"), user("u1"), user("u2")]))
+    out = split_hot_join(posts, users, F.col("data.author_id"), "id", "left_semi", max_hot_keys=2, min_rows=1)
+    assert out.columns == posts.columns
+    assert out.count() == 50 + 8  # hot author + u1, u2 (4 posts each)
+
+
+def test_samples_as_text(spark):
+    rows = [post("a", tags=POS, text="first"), post("b", tags=POS, text="second"), post("c", tags=NEG, text="bad")]
+    out = {r.polarity: r.texts for r in A.samples_as_text(A.sample_posts(_posts(spark, rows))).collect()}
+    assert out == {"positive": "first" + A.SAMPLE_SEPARATOR + "second", "negative": "bad"}
