@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moodlens.llm import language_id, toxicity
+from moodlens.llm import language_id, minhash, packing, secrets, tokens, toxicity
 from moodlens.llm.common import bucket, table, written
 
 
@@ -38,9 +38,39 @@ def language_known(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return like(found.where((F.col("lang_pred") != "und") & (F.col("score") >= language_id.LEAST_SCORE)), docs)
 
 
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near duplicates (five-word shingles,
+    similarity 0.8 or more): the one with the smallest id.  Texts without words
+    are duplicates of nothing."""
+    found = minhash.near_duplicates(docs, n=5)
+    # of equal rows (same id, same text) the first stands for them: one row per content
+    stays = found.where("first").select("doc_id", "text_hash").distinct()
+    text_hash = F.xxhash64(F.coalesce(F.col("text").cast("binary"), F.lit(b"")))
+    marked = docs.withColumn("__hash", text_hash).alias("d")
+    kept = marked.join(stays.alias("s"), F.expr("d.__hash = s.text_hash AND d.doc_id <=> s.doc_id"), "left_semi")
+    return like(kept, docs)
+
+
+def secrets_masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Masks every secret in the text (``n_chars`` follows); all documents stay."""
+    _, network = secrets.scan_table(docs)
+    marked = docs.withColumn("__text", F.col("text"))
+    found = secrets.redact(marked, network, text="__text")
+    text = F.when(F.col("text").isNotNull(), F.col("redacted"))
+    return like(found.withColumn("text", text).withColumn("n_chars", F.when(text.isNotNull(), F.length(text).cast("bigint")).otherwise(F.col("n_chars"))), docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs all documents into training sequences; one row per piece."""
+    return packing.pack(docs.select("doc_id", "text"), tokens.path("byte_bpe_50k.json"))
+
+
 STAGES = [
     ("toxicity", toxic_out),
     ("language_id", language_known),
+    ("near_duplicates", one_of_each),
+    ("secrets", secrets_masked),
+    ("packing", packed),
 ]
 
 #: The stages train models, which SQL cannot express.

@@ -6,10 +6,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, toxicity
+from moodlens.session import scratch_path
+
+from . import ann, bpe, huffman, language_id, lm, minhash, packing, quality, secrets, tokens, toxicity
 from .common import bucket, table
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(*secrets.scan_table(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.learn(docs, toxicity.training_labels(table(spark, sf_dir, "labels")))
@@ -17,6 +27,19 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", (bucket("doc_id", 3) == 1).alias("held_out"), "score", "predicted"))
 
 
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 100 == 0)
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.assess(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+
+
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), n=2)
+    return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     profiles = language_id.learn(docs.where(bucket("doc_id", 4) != 2))
@@ -24,8 +47,33 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", (bucket("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score"))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), tokens.path("byte_bpe_50k.json"))
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_path(spark, "huffman")
+    huffman.write(table(spark, sf_dir, "documents").select("doc_id", "text"), folder, tokens.path("byte_bpe_50k.json"))
+    return huffman.read(spark, folder)
+
+
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.digests(table(spark, sf_dir, "documents").select("doc_id", "text"), tokens.path("byte_bpe_multi_50k.tiktoken"),
+                       public_tokenizers.PATTERN)
+
+
 QUERIES = {
+    "op1_secret_scan": op1_secret_scan,
+    "op2_lm_score": op2_lm_score,
     "op3_toxicity": op3_toxicity,
+    "op4_nearest": op4_nearest,
+    "op5_quality_rules": op5_quality_rules,
+    "op6_near_duplicates": op6_near_duplicates,
     "op7_language_id": op7_language_id,
+    "op8_packing": op8_packing,
+    "op9_token_files": op9_token_files,
+    "op10_byte_bpe": op10_byte_bpe,
 }
 ORACLE: dict[str, str] = {}
