@@ -165,7 +165,7 @@ def survivors(blocks: DataFrame, queries: DataFrame, n: int, mean: np.ndarray, t
                                                      names=["query_id", "vec_id", "low", "high"])
 
     # every pair of blocks is a row; the pairs spread over tasks by their numbers
-    pairs = blocks.select("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).cast("bigint").alias("q"))
+    pairs = blocks.select("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))).alias("q"))
     joined = (pairs.join(blocks, "block").join(queries, "q").repartition(max(1, min(MOST_TASKS, n * blocks.count())), "block", "q")
               .select("ids", "codes", "far", "own", "query_ids", "vectors"))
     return joined.mapInArrow(run, "query_id bigint, vec_id bigint, low double, high double")
