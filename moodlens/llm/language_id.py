@@ -40,25 +40,25 @@ FIELDS = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField
 
 
 def letter_table() -> np.ndarray:
-    """For each code point itself if it is a letter, else 0."""
+    """For each code point itself if it is a letter, else 1, the separator."""
     state = worker_state()
     if "letters" not in state:
-        state["letters"] = np.fromiter((i if chr(i).isalpha() else 0 for i in range(0x110000)), np.int64, 0x110000)
+        state["letters"] = np.fromiter((i if chr(i).isalpha() else 1 for i in range(0x110000)), np.int64, 0x110000)
     return state["letters"]
 
 
 def ngrams(text: bytes, letters: np.ndarray) -> np.ndarray:
     """All one- to three-character n-grams as integers (21 bits a character)."""
     points = np.frombuffer(text.decode("utf-8", "replace").lower().encode("utf-32-le", "replace"), np.uint32)
-    c = np.zeros(len(points) + 2, np.int64)
+    c = np.ones(len(points) + 2, np.int64)
     c[1:-1] = letters[points]
     kept = np.ones(len(c), bool)
-    kept[1:] = (c[1:] != 0) | (c[:-1] != 0)  # a run of separators counts as one
+    kept[1:] = (c[1:] != 1) | (c[:-1] != 1)  # a run of separators counts as one
     c = c[kept]
     if len(c) < 3:
         return np.zeros(0, np.int64)
     two = (c[:-1] << 21) | c[1:]
-    return np.concatenate([c[c != 0], two, (two[:-1] << 21) | c[2:]])
+    return np.concatenate([c[c != 1], two, (two[:-1] << 21) | c[2:]])
 
 
 def ranked(text: bytes, letters: np.ndarray, size: int) -> np.ndarray:

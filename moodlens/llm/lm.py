@@ -262,7 +262,7 @@ def likelihoods(m: Hmm, texts: list[np.ndarray]) -> np.ndarray:
     a = np.tile(m.start, (len(size), 1))
     for t in range(int(size[0])):
         n = active[t]
-        a = (a if t == 0 else a[:n] @ m.move) * m.emit[joined[first[:n] + t]]
+        a = (a[:n] if t == 0 else a[:n] @ m.move) * m.emit[joined[first[:n] + t]]
         c = a.sum(1)
         a /= c[:, None]
         scale[:n] *= c

@@ -66,7 +66,7 @@ def test_out_of_place_distance_against_brute_force(spark, documents):
         return Counter(padded[i:i + n] for n in (1, 2, 3) for i in range(len(padded) - n + 1) if padded[i:i + n].strip()) if padded.strip() else Counter()
 
     def rank(counts, size):
-        order = lambda g: int("".join(f"{0 if c == ' ' else ord(c):021b}" for c in g), 2)
+        order = lambda g: int("".join(f"{1 if c == ' ' else ord(c):021b}" for c in g), 2)
         return sorted(counts, key=lambda g: (-counts[g], order(g)))[:size]
 
     profiles = {}
