@@ -17,6 +17,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import struct
 
 import numpy as np
 import regex
@@ -139,8 +140,8 @@ class Coder:
     def new(self, pretokens: list[str]) -> list[bytes]:
         words = [p.encode("utf-8", "replace") for p in pretokens]
         found = self.hashed.find(words).tolist()
-        return [np.array([i] if self.vocabulary[i] == w else merge(w, self.ranks), "<u4").tobytes()
-                for w, i in zip(words, found, strict=True)]
+        ids = [[i] if self.vocabulary[i] == w else merge(w, self.ranks) for w, i in zip(words, found, strict=True)]
+        return [struct.pack(f"<{len(x)}I", *x) for x in ids]
 
     def general(self, text: bytes) -> bytes:
         found = self.pattern.findall(text.decode("utf-8", "replace"))

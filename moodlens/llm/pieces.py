@@ -10,6 +10,7 @@ white space take the general way over the whole text.  Both give equal ids.
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Callable
 from itertools import chain
@@ -43,6 +44,16 @@ class Pieces:
         self.pretokens: dict[str, object] = {}
 
     def encode(self, texts: list[bytes]) -> list:
+        # millions of short-lived lists of bytes and no cycles: the collector would only walk the caches
+        collecting = gc.isenabled()
+        gc.disable()
+        try:
+            return self.encoded(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def encoded(self, texts: list[bytes]) -> list:
         split = [t.split(b" ") if plain(t) else None for t in texts]
         # a text's first piece has no space before it: kept under a key no piece can have
         for s in split:

@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import os
+import struct
 from collections.abc import Callable
 
-import numpy as np
-
 from .common import worker_state
 from .pieces import Pieces
 
@@ -28,7 +27,7 @@ def encoder(file: str) -> Callable[[list[bytes]], list[bytes]]:
 
         tokenizer = Tokenizer.from_file(file)
         tokenizer.encode_special_tokens = True
-        packed = lambda ids: np.array(ids, "<u4").tobytes()
+        packed = lambda ids: struct.pack(f"<{len(ids)}I", *ids)
 
         def new(pretokens: list[str]) -> list[bytes]:
             out: list[bytes] = []
