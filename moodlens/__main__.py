@@ -1,9 +1,9 @@
 """Command line: ``python -m moodlens archive|live ...``.
 
 ``archive`` answers the questions over stored posts (and users, when given)
-and prints each result table.  ``live`` runs the streaming questions over a
-landing folder until stopped (or once over what is there, ``--once``),
-keeping state and result tables below ``--out``.
+and prints each result table in full.  ``live`` answers them over a landing
+folder until stopped (or once over what is there, ``--once``), prints the
+tables after every micro-batch and keeps them below ``--out``.
 """
 
 from __future__ import annotations
@@ -14,8 +14,9 @@ import sys
 from moodlens.lexicons import default_lexicon
 from moodlens.operators.indicators import indicator_counts
 from moodlens.plans import analyses as A
-from moodlens.session import get_spark
+from moodlens.session import apply_scale_conf, get_spark, input_bytes
 from moodlens.sources.files import read_posts, read_users
+from moodlens.streaming.sources import BYTES_PER_TRIGGER
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -27,7 +28,6 @@ def _parser() -> argparse.ArgumentParser:
     a.add_argument("--users", help="user files or folder (enables the user questions)")
     a.add_argument("--format", default="json", choices=["json", "parquet"])
     a.add_argument("--cutoff", default=A.ACCOUNT_AGE_CUTOFF, help="account age cut-off (string compare)")
-    a.add_argument("--rows", type=int, default=30, help="rows to print per table")
 
     live = sub.add_parser("live", help="stream over a landing folder")
     live.add_argument("--landing", required=True, help="folder where post files arrive")
@@ -35,7 +35,7 @@ def _parser() -> argparse.ArgumentParser:
     live.add_argument("--out", required=True, help="shared folder for checkpoints and result tables")
     live.add_argument("--format", default="parquet", choices=["json", "parquet"], help="format of landed posts")
     live.add_argument("--users-format", default="parquet", choices=["json", "parquet"])
-    live.add_argument("--files-per-batch", type=int, default=10)
+    live.add_argument("--bytes-per-batch", type=int, default=BYTES_PER_TRIGGER, help="bound of a micro-batch")
     live.add_argument("--trigger", default="5 seconds", help="processing-time trigger interval")
     live.add_argument("--cutoff", default=A.ACCOUNT_AGE_CUTOFF)
     live.add_argument("--once", action="store_true", help="process what is there, then stop")
@@ -45,6 +45,7 @@ def _parser() -> argparse.ArgumentParser:
 
 
 def archive(spark, args) -> dict:
+    apply_scale_conf(spark, input_bytes(spark, *filter(None, (args.posts, args.users))))
     posts = read_posts(spark, args.posts, fmt=args.format)
     tables = {
         "polarity totals": A.polarity_totals(posts),
@@ -61,47 +62,31 @@ def archive(spark, args) -> dict:
             "mean followers": A.followers_mean(posts, users),
         })
     for title, df in tables.items():
-        print(f"\n== {title} ==")
-        df.show(args.rows, truncate=80)
+        show_all(title, df)
     return tables
 
 
-def live(spark, args) -> list:
-    from moodlens.streaming import analyses as S
-    from moodlens.streaming.sinks import per_batch_writer, start, write_latest
-    from moodlens.streaming.sources import post_stream, snapshot_users
+def show_all(title: str, df) -> None:
+    """Prints every row and whole texts; the tables are bounded (a row per
+    hour, group, indicator or sampled post)."""
+    rows = df.collect()
+    print(f"\n== {title} ==")
+    df.sparkSession.createDataFrame(rows, df.schema).show(max(1, len(rows)), truncate=False)
 
-    out = args.out.rstrip("/")
-    users = snapshot_users(spark, read_users(spark, args.users, fmt=args.users_format), "live")
-    trigger = {"availableNow": True} if args.once else {"processingTime": args.trigger}
 
-    def stream():
-        return post_stream(spark, args.landing, fmt=args.format, max_files_per_trigger=args.files_per_batch)
-
-    def complete(name, df):
-        return start(df, f"{out}/{name}/_checkpoint", output_mode="complete", trigger=trigger,
-                     foreach_batch=lambda b, e, path=f"{out}/{name}/result": write_latest(b, path, e))
-
-    def per_batch(name, fn):
-        return start(stream(), f"{out}/{name}/_checkpoint", trigger=trigger,
-                     foreach_batch=per_batch_writer(fn, f"{out}/{name}/result"))
-
-    lexicon = default_lexicon()
-    queries = [
-        complete("indicator_counts", S.running_indicator_counts(stream(), lexicon)),
-        complete("verified_counts", S.running_verified_counts(S.enrich(stream(), users))),
-        complete("account_age_running", S.running_account_age(S.enrich(stream(), users), args.cutoff)),
-        complete("observed_posts", S.observed_posts(stream())),
-        per_batch("sample_posts", lambda b: A.sample_posts(b)),
-        per_batch("account_age", lambda b: A.account_age_split(b, users, cutoff=args.cutoff, dedupe=False)),
-        per_batch("follower_sums", S.batch_follower_sums(users)),
-    ]
-    if args.once:
-        for q in queries:
-            q.awaitTermination()
-    else:
-        spark.streams.awaitAnyTermination()
-    return queries
+def live(spark, args) -> dict:
+    """One query over the landing folder answers all questions per micro-batch."""
+    from moodlens.streaming.live import Live
+    from moodlens.streaming.sinks import start
+    from moodlens.streaming.sources import post_stream
+
+    job = Live(spark, args.out, lambda: read_users(spark, args.users, fmt=args.users_format), default_lexicon(), args.cutoff,
+               after=lambda tables: [show_all(k, v) for k, v in tables.items()])
+    stream = post_stream(spark, args.landing, fmt=args.format, max_bytes_per_trigger=args.bytes_per_batch)
+    trigger = {"availableNow": True} if args.once else {"processingTime": args.trigger}
+    query = start(stream, f"{args.out.rstrip('/')}/_checkpoint", trigger=trigger, foreach_batch=job.batch)
+    query.awaitTermination()
+    return job.tables()
 
 
 def main(argv=None, spark=None):

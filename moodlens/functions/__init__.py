@@ -2,8 +2,8 @@
 
 from moodlens.functions.polarity import (  # noqa: F401
     CONTAINS, PREFIX, TAG, first_tag, flag, hour_utc, is_negative, is_positive, no_rules,
-    polarity_label, rule_matches, tag_col,
+    rule_matches, tag_col,
 )
 from moodlens.functions.text import (  # noqa: F401
-    contains_literal, has_non_ascii, lower_text, tokens, token_text,
+    has_non_ascii, lower_text, tokens, token_text,
 )

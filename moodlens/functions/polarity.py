@@ -45,12 +45,6 @@ def is_negative(match: str = CONTAINS, tag: Column | None = None) -> Column:
     return F.coalesce(_tag_test(first_tag() if tag is None else tag, "negative", match), F.lit(False))
 
 
-def polarity_label(match: str = PREFIX, tag: Column | None = None) -> Column:
-    """'positive' / 'negative' / NULL.  Only unambiguous for prefix matching."""
-    return (F.when(is_positive(match, tag), F.lit("positive"))
-             .when(is_negative(match, tag), F.lit("negative")))
-
-
 def hour_utc(created_at: str | Column = "data.created_at") -> Column:
     """Hour of day as the two characters 12-13 of the ISO-8601 UTC text."""
     col = F.col(created_at) if isinstance(created_at, str) else created_at

@@ -14,11 +14,6 @@ def lower_text(text: str | Column = "data.text") -> Column:
     return F.lower(col)
 
 
-def contains_literal(text: Column, term: str) -> Column:
-    """Case-sensitive literal substring test (``%`` and ``_`` are not wildcards)."""
-    return F.contains(text, F.lit(term))
-
-
 def tokens(text: str | Column = "data.text") -> Column:
     """Lower-cased word tokens of the whole text.
 

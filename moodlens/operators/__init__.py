@@ -1 +1 @@
-"""Relational building blocks: joins, skew handling, indicator scans, tagging."""
+"""Relational building blocks: joins, indicator scans, tagging."""

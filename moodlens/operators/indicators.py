@@ -98,25 +98,27 @@ def indicator_counts(posts: DataFrame, lexicon, users: DataFrame | None = None,
                        F.coalesce(F.col("n_posts"), F.lit(0)).cast("long").alias("n_posts"))
 
 
-def indicator_quality(posts: DataFrame, lexicon, match: str = CONTAINS) -> DataFrame:
+def indicator_quality(posts: DataFrame, lexicon, match: str = CONTAINS, rules: DataFrame | None = None) -> DataFrame:
     """How well each distinct indicator goes with each polarity.
 
     ``hits`` = posts containing the indicator; ``share_pos`` / ``share_neg`` =
     the fraction of those posts whose first tag is positive / negative
-    (NULL when there are no hits).
+    (NULL when there are no hits).  ``rules`` (``post_id, matching_rules``)
+    gives the posts' tags if they come from another table; the indexes of the
+    indicators in a text are found in the scan, and only they meet the rules.
     """
     distinct = list(dict.fromkeys(ind for _, ind, _ in lexicon))
-    base = posts.select(F.lower(F.col("data.text")).alias(LOWER_TEXT),
-                        is_positive(match).alias("_pos"), is_negative(match).alias("_neg"))
-    text, pos, neg = F.col(LOWER_TEXT), F.col("_pos"), F.col("_neg")
-    aggs, h, p, n = [], [], [], []
-    for i, ind in enumerate(distinct):
-        hit = F.contains(text, F.lit(ind))
-        aggs += [F.count_if(hit), F.count_if(hit & pos), F.count_if(hit & neg)]
-        h, p, n = h + [f"_h{i}"], p + [f"_p{i}"], n + [f"_n{i}"]
-    wide = base.agg(*aggs).toDF(*[c for i in range(len(distinct)) for c in (h[i], p[i], n[i])])
-    entries = [(i, ind, "") for i, ind in enumerate(distinct)]
-    rows = _unpivot(wide, entries, {"hits": h, "pos_hits": p, "neg_hits": n})
-    return rows.select("indicator", "hits",
-                       F.try_divide(F.col("pos_hits"), F.col("hits")).alias("share_pos"),
-                       F.try_divide(F.col("neg_hits"), F.col("hits")).alias("share_neg"))
+    if rules is None:
+        base = _with_lower_text(posts, is_positive(match).alias("_pos"), is_negative(match).alias("_neg"))
+        found = base.select(F.explode(_matched_indexes(distinct)).alias(INDEX), "_pos", "_neg")
+    else:
+        base = _with_lower_text(posts, F.col("data.id").alias("post_id"))
+        hits = base.select("post_id", _matched_indexes(distinct).alias("_hits")).where(F.size("_hits") > 0)
+        tags = rules.select("post_id", is_positive(match).alias("_pos"), is_negative(match).alias("_neg"))
+        found = hits.join(tags, "post_id", "left").select(F.explode("_hits").alias(INDEX), "_pos", "_neg")
+    totals = found.groupBy(INDEX).agg(F.count(F.lit(1)).alias("hits"), F.count_if("_pos").alias("p"), F.count_if("_neg").alias("n"))
+    lex = F.broadcast(lexicon_frame(posts.sparkSession, [(i, ind, "") for i, ind in enumerate(distinct)]))
+    rows = lex.join(totals, INDEX, "left")
+    return rows.select("indicator", F.coalesce("hits", F.lit(0)).cast("long").alias("hits"),
+                       F.try_divide(F.col("p"), F.col("hits")).alias("share_pos"),
+                       F.try_divide(F.col("n"), F.col("hits")).alias("share_neg"))

@@ -3,7 +3,8 @@
 Two shapes:
 
 * ``join_users`` - the row-level inner join (one output row per post whose
-  author is known), with hot authors split off (see ``skew.py``);
+  author is known); the user side is unique per key, and AQE's skew join
+  splits the partition of an author with very many posts;
 * ``per_author`` + ``with_users`` - pre-aggregate additive measures per
   author first, then join one row per author with one row per user.  Every
   analysis that only needs sums over the join uses this shape: the shuffle
@@ -17,28 +18,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from moodlens.functions.polarity import TAG, first_tag
-from moodlens.operators.skew import DEFAULT_MAX_HOT_KEYS, DEFAULT_MIN_HOT_ROWS, split_hot_join
 
 AUTHOR = "author_id"
 
 
-def dedupe_users(users: DataFrame) -> DataFrame:
+def dedupe_users(users: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """One row per user id, chosen deterministically (largest remaining fields).
 
-    A user listed twice must not multiply that user's posts.  ``max`` over a
-    struct is deterministic, so a re-executed task after an executor loss
-    yields the same row; partial aggregation collapses copies map-side.
+    A user listed twice must not multiply that user's posts.  ``columns`` names
+    the user columns that are needed; the others are not read at all.  ``max``
+    over a struct is deterministic, so a re-executed task after an executor
+    loss yields the same row; partial aggregation collapses copies map-side.
     """
-    others = [c for c in users.columns if c != "id"]
-    return (users.where(F.col("id").isNotNull())
-                 .groupBy("id")
+    others = [c for c in (columns if columns is not None else users.columns) if c != "id"]
+    known = users.where(F.col("id").isNotNull())
+    if not others:
+        return known.select("id").distinct()
+    return (known.groupBy("id")
                  .agg(F.max(F.struct(*others)).alias("_u"))
                  .select("id", *[F.col(f"_u.{c}").alias(c) for c in others]))
 
 
-def join_users(posts: DataFrame, users: DataFrame, dedupe: bool = True,
-               max_hot_keys: int = DEFAULT_MAX_HOT_KEYS,
-               min_hot_rows: int = DEFAULT_MIN_HOT_ROWS) -> DataFrame:
+def user_columns(users: DataFrame, columns: list[str], dedupe: bool) -> DataFrame:
+    """``id`` and the named columns, one row per id."""
+    return dedupe_users(users, columns) if dedupe else users.select("id", *columns)
+
+
+def join_users(posts: DataFrame, users: DataFrame, dedupe: bool = True) -> DataFrame:
     """``posts INNER JOIN users ON users.id = posts.data.author_id``.
 
     Output: every post column plus the user columns at top level (``id``,
@@ -46,8 +52,7 @@ def join_users(posts: DataFrame, users: DataFrame, dedupe: bool = True,
     Posts without a known author are dropped (inner join).
     """
     u = dedupe_users(users) if dedupe else users
-    return split_hot_join(posts, u, F.col("data.author_id"), "id", "inner",
-                          max_hot_keys=max_hot_keys, min_rows=min_hot_rows)
+    return posts.join(u, F.col("data.author_id") == u["id"])
 
 
 def per_author(posts: DataFrame, extra_keys: dict[str, Column] | None = None,

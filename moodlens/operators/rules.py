@@ -94,6 +94,14 @@ def rules_frame(spark: SparkSession, rules: RuleSet) -> DataFrame:
     return spark.createDataFrame([r.as_row() for r in rules], RULE)
 
 
+def rules_from_frame(rules_df: DataFrame) -> RuleSet:
+    """The rule set of a rule table, by rule id (a handful of rows, collected).
+    A rule is an emoji rule if none of its terms has an ASCII character."""
+    return RuleSet(tuple(
+        Rule(r.rule_id, r.tag, tuple(r.terms), "emoji" if all(not any(c.isascii() for c in t) for t in r.terms) else "keyword", r.lang, r.exclude)
+        for r in rules_df.orderBy("rule_id").collect()))
+
+
 def add_rules(rules_df: DataFrame, new_rules_df: DataFrame) -> DataFrame:
     return rules_df.unionByName(new_rules_df)
 

@@ -22,17 +22,18 @@ from pyspark.sql import functions as F
 from moodlens.functions.polarity import (
     CONTAINS, PREFIX, TAG, first_tag, flag, hour_utc, is_negative, is_positive, tag_col,
 )
-from moodlens.operators.join import per_author, with_users
-
-# ---- FIXED VALUES: result labels of the two split tables --------------------
-OLDER_POSITIVE = "Positive tweets older users"
-OLDER_NEGATIVE = "Negative tweets older users"
-NEWER_POSITIVE = "Positive tweets newer users"
-NEWER_NEGATIVE = "Negative tweets from newer users"
-ACTIVE_POSITIVE = "Positive tweets active users"
-ACTIVE_NEGATIVE = "Negative tweets active users"
-LESS_ACTIVE_POSITIVE = "Positive tweets non-active users"
-LESS_ACTIVE_NEGATIVE = "Negative tweets from non-active users"
+from moodlens.operators.join import per_author, user_columns, with_users
+
+# Result labels of the two split tables.
+OLDER_POSITIVE = "older accounts, positive"
+OLDER_NEGATIVE = "older accounts, negative"
+NEWER_POSITIVE = "newer accounts, positive"
+NEWER_NEGATIVE = "newer accounts, negative"
+ACTIVE_POSITIVE = "active authors, positive"
+ACTIVE_NEGATIVE = "active authors, negative"
+LESS_ACTIVE_POSITIVE = "less active authors, positive"
+LESS_ACTIVE_NEGATIVE = "less active authors, negative"
+# ---- FIXED VALUES -----------------------------------------------------------
 # Account age cut-off of the original (string comparison, both sides strict).
 ACCOUNT_AGE_CUTOFF = "2019-01-01"
 # Separator between sampled texts in the display string.
@@ -99,25 +100,31 @@ def hourly_polarity(posts: DataFrame, match: str = CONTAINS, keep_partial_hours:
     cp, cn = F.col("count_pos"), F.col("count_neg")
     return (hourly.select("hour_utc", "count_pos", "count_neg",
                           _share(cp, cn).alias("pct_pos"), _share(cn, cp).alias("pct_neg"))
-                  .orderBy("hour_utc"))
+                  .repartition(1).sortWithinPartitions("hour_utc"))  # at most 25 rows
 
 
 # ---------------------------------------------------------------- Q1 ------
 def sample_posts(posts: DataFrame, n: int = 5, match: str = CONTAINS) -> DataFrame:
     """First ``n`` posts of each polarity by (created_at, id): ``polarity, post_id, text``.
 
-    Each polarity is a filtered top-k (``orderBy().limit()`` plans as a
-    per-partition top-k plus a merge of ``n`` rows per task), never a global
-    sort or a window over all posts.
+    The first pass ranks ids alone, in one scan for both polarities; Spark
+    limits each rank group before the shuffle, to ``n`` rows per task.  The
+    second looks up the texts of those ``2 n`` ids, so texts are read but only
+    the sampled ones leave their task.
     """
-    def top(label: str, cond: Column) -> DataFrame:
-        return (posts.where(cond)
-                     .select(F.lit(label).alias("polarity"), F.col("data.id").alias("post_id"),
-                             F.col("data.text").alias("text"), F.col("data.created_at").alias("_ts"))
-                     .orderBy(F.col("_ts").asc_nulls_first(), F.col("post_id").asc_nulls_first())
-                     .limit(n)
-                     .drop("_ts"))
-    return top("positive", is_positive(match)).unionByName(top("negative", is_negative(match)))
+    order = [F.col("created_at").asc_nulls_first(), F.col("post_id").asc_nulls_first()]
+    keys = posts.select(F.col("data.id").alias("post_id"), F.col("data.created_at").alias("created_at"), first_tag().alias(TAG))
+    polarity = F.explode(F.array_compact(F.array(F.when(is_positive(match, tag_col()), F.lit("positive")),
+                                                 F.when(is_negative(match, tag_col()), F.lit("negative")))))
+    keys = keys.select("post_id", "created_at", polarity.alias("polarity"))
+    first = (keys.withColumn("_r", F.row_number().over(Window.partitionBy("polarity").orderBy(*order)))
+                 .where(F.col("_r") <= n).select("polarity", "post_id", "created_at").distinct())
+    texts = posts.select(F.col("data.id").alias("_id"), F.col("data.created_at").alias("_at"), F.col("data.text").alias("text"))
+    found = texts.join(F.broadcast(first),  # at most 2 n rows
+                       F.col("_id").eqNullSafe(F.col("post_id")) & F.col("_at").eqNullSafe(F.col("created_at")))
+    # posts with equal id and time: all were looked up, n remain
+    last = Window.partitionBy("polarity").orderBy(*order, F.col("text").asc_nulls_first())
+    return found.withColumn("_r", F.row_number().over(last)).where(F.col("_r") <= n).select("polarity", "post_id", "text")
 
 
 def samples_as_text(samples: DataFrame, separator: str = SAMPLE_SEPARATOR) -> DataFrame:
@@ -154,7 +161,7 @@ def account_age_split(posts: DataFrame, users: DataFrame, cutoff: str = ACCOUNT_
     per = per_author(posts, carry={"_has_id": F.col("data.id").isNotNull()},
                      pos=flag(is_positive(match, tag_col()) & has_id),
                      neg=flag(is_negative(match, tag_col()) & has_id))
-    joined = with_users(per, users, dedupe=dedupe)
+    joined = with_users(per, user_columns(users, ["created_at"], dedupe), dedupe=False)
     created, cut = F.col("created_at"), F.lit(cutoff)
     if compare == "timestamp":
         created, cut = F.try_to_timestamp(created), F.try_to_timestamp(cut)
@@ -175,7 +182,7 @@ def verified_counts(posts: DataFrame, users: DataFrame, match: str = CONTAINS,
                     dedupe: bool = True) -> DataFrame:
     """Positive / negative posts by verified accounts: ``polarity, n_posts``."""
     per = per_author(posts, pos=flag(is_positive(match, tag_col())), neg=flag(is_negative(match, tag_col())))
-    joined = with_users(per, users, dedupe=dedupe).where(F.col("verified"))
+    joined = with_users(per, user_columns(users, ["verified"], dedupe).where("verified"), dedupe=False)
     wide = joined.agg(_zero(F.sum("pos")).alias("p"), _zero(F.sum("neg")).alias("n"))
     return wide.select(F.inline(F.array(
         F.struct(F.lit("positive").alias("polarity"), F.col("p").alias("n_posts")),
@@ -207,30 +214,29 @@ def followers_mean(posts: DataFrame, users: DataFrame, match: str = CONTAINS,
     equals ``avg(followers)`` over the joined posts, without shipping posts.
     """
     per = per_author(posts, pos=flag(is_positive(match, tag_col())), neg=flag(is_negative(match, tag_col())))
-    sums = follower_sums(with_users(per, users, dedupe=dedupe), [])
+    sums = follower_sums(with_users(per, user_columns(users, ["public_metrics"], dedupe), dedupe=False), [])
     return sums.select(F.inline(F.array(
         F.struct(F.lit("positive").alias("polarity"), _mean("s_pos", "c_pos").alias("avg_followers")),
         F.struct(F.lit("negative").alias("polarity"), _mean("s_neg", "c_neg").alias("avg_followers")))))
 
 
 def followers_mean_of_means(posts: DataFrame, users: DataFrame, batch: Column | None = None,
-                            match: str = CONTAINS, digits: int = 6, dedupe: bool = True) -> DataFrame:
+                            match: str = CONTAINS, dedupe: bool = True) -> DataFrame:
     """Unweighted mean over batches of the per-batch follower means.
 
     ``batch`` assigns a post to a batch (default: the calendar day of the
     post).  A batch without posts of a polarity has no mean and is skipped.
-    Rounded to ``digits`` so the order of the floating-point sum cannot
-    show.  Output: ``polarity, avg_followers``.
+    Output: ``polarity, avg_followers``.
     """
     batch = F.substring("data.created_at", 1, 10) if batch is None else batch
     per = per_author(posts, {"batch": batch}, pos=flag(is_positive(match, tag_col())),
                      neg=flag(is_negative(match, tag_col())))
-    sums = follower_sums(with_users(per, users, dedupe=dedupe), ["batch"])
+    sums = follower_sums(with_users(per, user_columns(users, ["public_metrics"], dedupe), dedupe=False), ["batch"])
     means = sums.select(_mean("s_pos", "c_pos").alias("m_pos"), _mean("s_neg", "c_neg").alias("m_neg"))
     wide = means.agg(F.avg("m_pos").alias("p"), F.avg("m_neg").alias("n"))
     return wide.select(F.inline(F.array(
-        F.struct(F.lit("positive").alias("polarity"), F.round("p", digits).alias("avg_followers")),
-        F.struct(F.lit("negative").alias("polarity"), F.round("n", digits).alias("avg_followers")))))
+        F.struct(F.lit("positive").alias("polarity"), F.col("p").alias("avg_followers")),
+        F.struct(F.lit("negative").alias("polarity"), F.col("n").alias("avg_followers")))))
 
 
 # ---------------------------------------------------------------- Q3 ------
@@ -262,7 +268,9 @@ def _activity_histogram(posts: DataFrame, match: str) -> DataFrame:
         F.struct(F.lit("negative").alias("polarity"), F.col("n_neg").alias("n"), F.col("n_all").alias("n_all")))))
     hist = long.groupBy("polarity", "n").agg(F.count(F.lit(1)).alias("n_authors"),
                                               F.sum("n_all").alias("s_all"))
-    # every author appears once per polarity: totals over one polarity's rows
+    # every author appears once per polarity: totals over one polarity's rows.
+    # A window over that small table: joining an aggregate of it instead was
+    # planned with a second scan of the posts, as pruning tells the two apart.
     everyone = Window.partitionBy()
     one = F.col("polarity") == F.lit("positive")
     total_posts = F.sum(F.when(one, F.col("s_all"))).over(everyone)

@@ -1,7 +1,7 @@
 """Independent DuckDB statements for the registered queries.
 
 Written directly against the driver's tables (flat columns, CASE for the
-first tag, FILTER clauses) so they share no code with the Spark plans.
+first tag, FILTER clauses); of the Spark side they share only the lexicon lists.
 """
 
 from __future__ import annotations
@@ -85,6 +85,14 @@ def _tag_sql(rules: list[tuple[str, str]]) -> str:
             f"SELECT post_id, n_rules, first_tag FROM r WHERE n_rules > 0")
 
 
+def _branches(found: dict[str, tuple[int, str]]) -> str:
+    """What the rules find in the texts that an event type stands for ('low': views under 20)."""
+    kind = "CASE WHEN event_type = 'view' AND value < 20 THEN 'low' WHEN event_type <> 'view' THEN event_type END"
+    values = ", ".join(f"('{k}', {n}, '{tag}')" for k, (n, tag) in found.items())
+    return (f"WITH f(kind, n_rules, first_tag) AS (VALUES {values}), e AS (SELECT *, {kind} AS kind FROM events) "
+            "SELECT CAST(event_id AS VARCHAR) AS post_id, n_rules, first_tag FROM e JOIN f USING (kind) WHERE user_id % 5 <> 0")
+
+
 def oracle_sql() -> dict[str, str]:
     pos_c, neg_c = "tag LIKE '%positive%'", "tag LIKE '%negative%'"
     pos_p, neg_p = "tag LIKE 'positive%'", "tag LIKE 'negative%'"
@@ -113,7 +121,6 @@ def oracle_sql() -> dict[str, str]:
             f"WITH {PE} SELECT 'positive' AS polarity, count(*) FILTER (WHERE {pos_c}) AS n_posts FROM pe "
             f"UNION ALL SELECT 'negative', count(*) FILTER (WHERE {neg_c}) FROM pe"),
         "hourly_polarity": hourly,
-        "hourly_top20": hourly + " LIMIT 20",
         "post_user_join": f"{joined_e} SELECT post_id, author_id, user_created_at, verified, followers FROM j",
         "account_age_split": (
             f"{joined_e}, c AS (SELECT "
@@ -121,9 +128,9 @@ def oracle_sql() -> dict[str, str]:
             f"count(post_id) FILTER (WHERE {neg_p} AND user_created_at < '1995-07-01') AS old_neg, "
             f"count(post_id) FILTER (WHERE {pos_p} AND user_created_at > '1995-07-01') AS new_pos, "
             f"count(post_id) FILTER (WHERE {neg_p} AND user_created_at > '1995-07-01') AS new_neg FROM j) "
-            + _pair("Positive tweets older users", "old_pos", "Negative tweets older users", "old_neg", "c")
+            + _pair("older accounts, positive", "old_pos", "older accounts, negative", "old_neg", "c")
             + " UNION ALL "
-            + _pair("Positive tweets newer users", "new_pos", "Negative tweets from newer users", "new_neg", "c")),
+            + _pair("newer accounts, positive", "new_pos", "newer accounts, negative", "new_neg", "c")),
         "verified_counts": (
             f"{joined_e} SELECT 'positive' AS polarity, count(*) FILTER (WHERE {pos_c} AND verified) AS n_posts FROM j "
             f"UNION ALL SELECT 'negative', count(*) FILTER (WHERE {neg_c} AND verified) FROM j"),
@@ -143,9 +150,9 @@ def oracle_sql() -> dict[str, str]:
             f"CAST(coalesce(sum(n_pos) FILTER (WHERE n_pos < mean_posts), 0) AS BIGINT) AS less_pos, "
             f"CAST(coalesce(sum(n_neg) FILTER (WHERE n_neg < mean_posts), 0) AS BIGINT) AS less_neg "
             f"FROM per, m) "
-            + _pair("Positive tweets active users", "act_pos", "Negative tweets active users", "act_neg", "w")
+            + _pair("active authors, positive", "act_pos", "active authors, negative", "act_neg", "w")
             + " UNION ALL "
-            + _pair("Positive tweets non-active users", "less_pos", "Negative tweets from non-active users", "less_neg", "w")),
+            + _pair("less active authors, positive", "less_pos", "less active authors, negative", "less_neg", "w")),
         "activity_groups": (
             f"{activity}, lg AS ("
             f"SELECT 'positive' AS polarity, n_pos AS n, mean_posts FROM per, m WHERE author_id IS NOT NULL "
@@ -173,6 +180,23 @@ def oracle_sql() -> dict[str, str]:
             f"UNION ALL (SELECT 'negative' AS polarity, post_id, text FROM pd WHERE {neg_c} ORDER BY post_id LIMIT 5)"),
         "rule_tagging": _tag_sql(rules_d),
         "rule_admin": _tag_sql(rules_admin),
+        "rule_branches": _branches({"purchase": (2, "positive keywords"), "error": (2, "positive emojis"), "click": (1, "positive keywords"), "low": (1, "negative emojis")}),
+        "rule_tables": _branches({"purchase": (1, "positive keywords"), "error": (1, "negative keywords"), "click": (1, "positive keywords"), "low": (2, "negative emojis")}),
+        "known_author_join": f"{joined_e} SELECT post_id, author_id, user_created_at, verified, followers FROM j WHERE CAST(author_id AS BIGINT) % 2 = 0",
+        "unknown_authors": f"WITH {UE} SELECT DISTINCT CAST(user_id AS VARCHAR) AS author_id FROM events "
+                           "WHERE user_id IS NOT NULL AND NOT (user_id % 2 = 0 AND CAST(user_id AS VARCHAR) IN (SELECT id FROM ue))",
+        "users_roundtrip": f"WITH {UE} SELECT id, created_at, verified, followers FROM ue",
+        "samples_text": (
+            f"WITH {PE}, s AS ((SELECT 'positive' AS polarity, post_id, text FROM pe WHERE {pos_c} ORDER BY created_at, post_id LIMIT 5) "
+            f"UNION ALL (SELECT 'negative', post_id, text FROM pe WHERE {neg_c} ORDER BY created_at, post_id LIMIT 5)) "
+            "SELECT polarity, string_agg(text, chr(10) || 'TWEET:' ORDER BY post_id) AS texts FROM s GROUP BY polarity"),
+        "quarantine_kinds": (
+            "SELECT 'good' AS status, count(*) AS n FROM events UNION ALL SELECT 'malformed', 2 * count(*) FROM events "
+            "UNION ALL SELECT 'no_post_id', count(*) FROM events"),  # a cut line and a null one don't parse
+        "empty_batch": (
+            f"WITH {PE} SELECT 'positive' AS polarity, count(*) FILTER (WHERE {pos_c}) AS n_posts FROM pe "
+            f"UNION ALL SELECT 'negative', count(*) FILTER (WHERE {neg_c}) FROM pe"),
+        "view_sql": f"{joined_e} SELECT verified, count(*) AS n_posts FROM j GROUP BY verified",
         "author_lookup": "SELECT DISTINCT CAST(user_id AS VARCHAR) AS author_id FROM events WHERE user_id IS NOT NULL",
         "user_envelope": f"WITH {UE} SELECT id, created_at, verified, followers FROM ue",
         "corrupt_quarantine": (

@@ -11,17 +11,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from moodlens.functions.polarity import first_tag
-from moodlens.lexicons import Rule, RuleSet, POSITIVE_EMOJIS, NEGATIVE_EMOJIS, RULE_EXCLUDE, lexicon_from_lists
+from moodlens.lexicons import (
+    Rule, RuleSet, POSITIVE_EMOJIS, NEGATIVE_EMOJIS, RULE_EXCLUDE, default_lexicon, default_rules, lexicon_from_lists,
+)
 from moodlens.operators.indicators import indicator_counts, indicator_quality
 from moodlens.operators.join import join_users
-from moodlens.operators.rules import tag_posts, tagged_only
+from moodlens.operators.rules import add_rules, delete_rules, rules_frame, rules_from_frame, tag_posts, tagged_only
 from moodlens.plans import analyses as A
-from moodlens.schemas import ENVELOPE
 from moodlens.session import scratch_path
 from moodlens.sources import fixtures as X
 from moodlens.sources.files import (
-    authors_to_fetch, explode_envelopes, land_posts, quarantine_report, read_posts,
-    read_posts_with_quarantine,
+    authors_to_fetch, land_posts, quarantine_report, read_posts, read_posts_with_quarantine,
+    read_user_envelopes, read_users, register_views,
 )
 
 # ---- FIXED VALUES: test lexicon for fixture D (the original lexicon has
@@ -83,6 +84,11 @@ def _tag_report(posts: DataFrame) -> DataFrame:
                                      first_tag().alias("first_tag"))
 
 
+def _rounded(means: DataFrame, column: str = "avg_followers") -> DataFrame:
+    """For the comparison alone: the order of a floating-point sum doesn't show."""
+    return means.withColumn(column, F.round(column, 6))
+
+
 # ----------------------------------------------------------------- queries --
 def q_polarity_totals(spark, sf_dir):
     return A.polarity_totals(posts_e(spark, sf_dir))
@@ -92,28 +98,24 @@ def q_hourly_polarity(spark, sf_dir):
     return A.hourly_polarity(posts_e(spark, sf_dir))
 
 
-def q_hourly_top20(spark, sf_dir):
-    return A.hourly_polarity(posts_e(spark, sf_dir)).limit(20)
-
-
 def q_post_user_join(spark, sf_dir):
-    return A.post_user_table(join_users(posts_e(spark, sf_dir), users_e(spark, sf_dir)))
+    return A.post_user_table(join_users(posts_e(spark, sf_dir), users_e(spark, sf_dir), dedupe=False))
 
 
 def q_account_age_split(spark, sf_dir):
-    return A.account_age_split(posts_e(spark, sf_dir), users_e(spark, sf_dir), cutoff=X.FIXTURE_E_CUTOFF)
+    return A.account_age_split(posts_e(spark, sf_dir), users_e(spark, sf_dir), cutoff=X.FIXTURE_E_CUTOFF, dedupe=False)
 
 
 def q_verified_counts(spark, sf_dir):
-    return A.verified_counts(posts_e(spark, sf_dir), users_e(spark, sf_dir))
+    return A.verified_counts(posts_e(spark, sf_dir), users_e(spark, sf_dir), dedupe=False)
 
 
 def q_followers_mean(spark, sf_dir):
-    return A.followers_mean(posts_e(spark, sf_dir), users_e(spark, sf_dir))
+    return A.followers_mean(posts_e(spark, sf_dir), users_e(spark, sf_dir), dedupe=False)
 
 
 def q_followers_mean_of_means(spark, sf_dir):
-    return A.followers_mean_of_means(posts_e(spark, sf_dir), users_e(spark, sf_dir))
+    return _rounded(A.followers_mean_of_means(posts_e(spark, sf_dir), users_e(spark, sf_dir), dedupe=False))
 
 
 def q_activity_split(spark, sf_dir):
@@ -130,15 +132,22 @@ def q_indicator_counts(spark, sf_dir):
     return indicator_counts(X.posts_from_documents(docs), FIXTURE_LEXICON)
 
 
+def event_lexicon() -> list[tuple[int, str, str]]:
+    """The real lexicon and, for fixture E, three words that its texts have."""
+    lexicon = default_lexicon()
+    more = (("purchase", "positive"), ("error", "negative"), ("view", "negative"))
+    return lexicon + [(len(lexicon) + i, word, polarity) for i, (word, polarity) in enumerate(more)]
+
+
 def q_indicator_counts_joined(spark, sf_dir):
     """The original's shape: indicators over posts ⋈ users (fixture E, real lexicon + event words)."""
-    from moodlens.lexicons import default_lexicon
-    lex = default_lexicon() + [(62, "purchase", "positive"), (63, "error", "negative"), (64, "view", "negative")]
-    return indicator_counts(posts_e(spark, sf_dir), lex, users=users_e(spark, sf_dir))
+    posts = X.posts_from_events(_tables(spark, sf_dir, "events")["events"], only=("author_id", "text"))
+    return indicator_counts(posts, event_lexicon(), users=users_e(spark, sf_dir))
 
 
 def q_indicator_quality(spark, sf_dir):
-    return indicator_quality(posts_d(spark, sf_dir), FIXTURE_LEXICON)
+    t = _tables(spark, sf_dir, "documents", "labels")
+    return indicator_quality(X.posts_from_documents(t["documents"]), FIXTURE_LEXICON, rules=X.label_rules(t["labels"]))
 
 
 def q_sample_posts(spark, sf_dir):
@@ -153,18 +162,99 @@ def q_rule_admin(spark, sf_dir):
     return _tag_report(tag_posts(posts_d(spark, sf_dir), admin_rules()))
 
 
+def branch_posts(spark, sf_dir) -> DataFrame:
+    """Fixture E with texts that reach every branch of the stream rules: a
+    phrase, an excluded word, emojis (one with a variation selector), two rules
+    at once, an emoji of no rule, another language."""
+    e = _tables(spark, sf_dir, "events")["events"]
+    kind = F.col("event_type")
+    text = (F.when(kind == "purchase", F.lit("Well, THANK you all 😀!"))
+            .when(kind == "signup", F.lit("I love it, no doubt"))
+            .when(kind == "error", F.lit("a bad ♥️ day"))
+            .when(kind == "click", F.lit("thankyou, lovely"))
+            .when(F.col("value") < 20, F.lit("gloves 💔"))
+            .otherwise(F.lit("plain 🎈 text")))
+    lang = F.when(F.col("user_id") % 5 == 0, F.lit("fr")).otherwise(F.lit("en"))
+    return e.select(*X.post_columns(F.col("event_id"), F.col("user_id"), F.lit(None).cast("string"), text, lang, F.array().cast(X.RULES_TYPE)))
+
+
+def q_rule_branches(spark, sf_dir):
+    """The four stream rules over texts that reach each branch."""
+    return _tag_report(tag_posts(branch_posts(spark, sf_dir), default_rules()))
+
+
+def q_rule_tables(spark, sf_dir):
+    """Rules kept as a table; rule 2 deleted, a rule for gloves added."""
+    rules = rules_frame(spark, default_rules())
+    gone = spark.createDataFrame([("2",)], "rule_id string")
+    more = rules_frame(spark, RuleSet((Rule("5", "positive keywords", ("gloves",), "keyword", exclude=RULE_EXCLUDE),)))
+    return _tag_report(tag_posts(branch_posts(spark, sf_dir), rules_from_frame(add_rules(delete_rules(rules, gone), more))))
+
+
+def known_users(spark, sf_dir) -> DataFrame:
+    """Half of the users of fixture E."""
+    return users_e(spark, sf_dir).where(F.col("id").cast("long") % 2 == 0)
+
+
+def q_known_author_join(spark, sf_dir):
+    """J1 where half of the authors are unknown: their posts are dropped."""
+    return A.post_user_table(join_users(posts_e(spark, sf_dir), known_users(spark, sf_dir), dedupe=False))
+
+
+def q_unknown_authors(spark, sf_dir):
+    """Authors that still need a look-up."""
+    return authors_to_fetch(posts_e(spark, sf_dir), known_users(spark, sf_dir))
+
+
+def q_users_roundtrip(spark, sf_dir):
+    """Users written as JSON lines and read by the fixed schema."""
+    path = scratch_path(spark, "users")
+    users_e(spark, sf_dir).write.json(path)
+    return read_users(spark, path, fmt="json").select("id", "created_at", "verified", F.col("public_metrics.followers_count").alias("followers"))
+
+
+def q_samples_text(spark, sf_dir):
+    """the sampled texts of a polarity as one string."""
+    return A.samples_as_text(A.sample_posts(posts_e(spark, sf_dir)))
+
+
+def q_quarantine_kinds(spark, sf_dir):
+    """Per post a good line, a cut one, one without a post id, and ``null``."""
+    line = F.to_json(F.struct("data", "matching_rules"))
+    anonymous = F.to_json(F.struct(F.struct(F.col("data.text").alias("text")).alias("data")))
+    kinds = [line, F.substring(line, 1, F.floor(F.length(line) / 2).cast("int")), anonymous, F.lit("null")]
+    path = scratch_path(spark, "quarantine-kinds")
+    posts_e(spark, sf_dir).select(F.explode(F.array(*kinds)).alias("value")).write.text(path)
+    return quarantine_report(read_posts_with_quarantine(spark, path))
+
+
+def q_empty_batch(spark, sf_dir):
+    """A folder without posts adds nothing and is no error."""
+    path = scratch_path(spark, "empty")
+    posts = posts_e(spark, sf_dir)
+    land_posts(posts.where(F.lit(False)), path, fmt="json")
+    return A.polarity_totals(posts.select("data", "matching_rules").unionByName(read_posts(spark, path, fmt="json")))
+
+
+def q_view_sql(spark, sf_dir):
+    """Posts and users as temporary views, joined by SQL."""
+    register_views(spark, moodlens_posts=posts_e(spark, sf_dir), moodlens_users=users_e(spark, sf_dir))
+    return spark.sql("SELECT u.verified, count(*) AS n_posts FROM moodlens_posts p JOIN moodlens_users u ON u.id = p.data.author_id GROUP BY u.verified")
+
+
 def q_author_lookup(spark, sf_dir):
     return authors_to_fetch(posts_e(spark, sf_dir))
 
 
 def q_user_envelope(spark, sf_dir):
-    """Users packed into look-up responses of at most 100 users, parsed back."""
+    """Users packed into look-up responses of at most 100 users, written and read back."""
     users = users_e(spark, sf_dir)
     env = (users.groupBy(F.floor(F.col("id").cast("long") / 100).alias("envelope"))
                 .agg(F.collect_list(F.struct(*users.columns)).alias("data"))
-                .select(F.to_json(F.struct("data")).alias("json")))
-    parsed = env.select(F.from_json("json", ENVELOPE).alias("e")).select("e.*")
-    return explode_envelopes(parsed).select(
+                .select(F.to_json(F.struct("data")).alias("value")))
+    path = scratch_path(spark, "envelopes")
+    env.write.text(path)
+    return read_user_envelopes(spark, path).select(
         "id", "created_at", "verified", F.col("public_metrics.followers_count").alias("followers"))
 
 
@@ -191,7 +281,6 @@ def q_landing_roundtrip(spark, sf_dir):
 QUERIES = {
     "polarity_totals": q_polarity_totals,
     "hourly_polarity": q_hourly_polarity,
-    "hourly_top20": q_hourly_top20,
     "post_user_join": q_post_user_join,
     "account_age_split": q_account_age_split,
     "verified_counts": q_verified_counts,
@@ -205,6 +294,15 @@ QUERIES = {
     "sample_posts": q_sample_posts,
     "rule_tagging": q_rule_tagging,
     "rule_admin": q_rule_admin,
+    "rule_branches": q_rule_branches,
+    "rule_tables": q_rule_tables,
+    "known_author_join": q_known_author_join,
+    "unknown_authors": q_unknown_authors,
+    "users_roundtrip": q_users_roundtrip,
+    "samples_text": q_samples_text,
+    "quarantine_kinds": q_quarantine_kinds,
+    "empty_batch": q_empty_batch,
+    "view_sql": q_view_sql,
     "author_lookup": q_author_lookup,
     "user_envelope": q_user_envelope,
     "corrupt_quarantine": q_corrupt_quarantine,

@@ -49,18 +49,6 @@ RULE = T.StructType([
     T.StructField("exclude", T.StringType()),
 ])
 
-LEXICON = T.StructType([
-    T.StructField("position", T.IntegerType()),
-    T.StructField("indicator", T.StringType()),
-    T.StructField("polarity", T.StringType()),
-])
-
-RESULT = T.StructType([
-    T.StructField("description", T.StringType()),
-    T.StructField("n_posts", T.LongType()),
-    T.StructField("percentage", T.DoubleType()),
-])
-
 CORRUPT_COLUMN = "_corrupt_record"
 
 POST_WITH_CORRUPT = T.StructType(POST.fields + [T.StructField(CORRUPT_COLUMN, T.StringType())])

@@ -24,7 +24,6 @@ DEFAULT_CONF = {
 # coalesces small partitions and splits skewed ones at run time).
 TARGET_PARTITION_BYTES = 256 * 1024 * 1024
 MIN_SHUFFLE_PARTITIONS = 200
-MAX_SHUFFLE_PARTITIONS = 100_000
 
 
 def scale_conf(input_bytes: int, text_heavy: bool = False) -> dict[str, str]:
@@ -38,7 +37,7 @@ def scale_conf(input_bytes: int, text_heavy: bool = False) -> dict[str, str]:
     * skew join: a partition 4x the median and above 256 MB is split.
     """
     parts = -(-int(input_bytes) // TARGET_PARTITION_BYTES)
-    parts = max(MIN_SHUFFLE_PARTITIONS, min(MAX_SHUFFLE_PARTITIONS, parts))
+    parts = max(MIN_SHUFFLE_PARTITIONS, parts)
     split = 64 * 1024 * 1024 if text_heavy else TARGET_PARTITION_BYTES
     return {
         "spark.sql.shuffle.partitions": str(parts),
@@ -56,6 +55,15 @@ def apply_scale_conf(spark: SparkSession, input_bytes: int, text_heavy: bool = F
         spark.conf.set(k, v)
 
 
+def input_bytes(spark: SparkSession, *paths: str) -> int:
+    """Size of input files and folders, asked of the file system that holds them."""
+    total = 0
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        total += path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    return total
+
+
 def get_spark(master: str | None = None, app: str = "moodlens", **conf) -> SparkSession:
     """Build (or reuse) a session with the package defaults.
 
@@ -69,7 +77,6 @@ def get_spark(master: str | None = None, app: str = "moodlens", **conf) -> Spark
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    checkpoint_root(spark)
     return spark
 
 

@@ -96,12 +96,17 @@ def land_posts(posts: DataFrame, path: str, fmt: str = "parquet", partition_by:
     """Write posts to a landing folder, partitioned by the day of the post.
 
     ``ingest_date`` is derived from ``data.created_at`` when asked for and
-    missing.  Files are rolled every ``max_records_per_file`` rows.  The file
-    sink commits atomically, so a streaming reader never sees half a file.
+    missing.  Posts are clustered by the day before they are written (a
+    rebalancing exchange: AQE splits a day that is too large for one task), so
+    a day gets as few files as its size asks for, not one per task.  Files are
+    rolled every ``max_records_per_file`` rows.  The file sink commits
+    atomically, so a streaming reader never sees half a file.
     """
     df = posts
     if partition_by == "ingest_date" and "ingest_date" not in df.columns:
         df = df.withColumn("ingest_date", F.coalesce(F.substring("data.created_at", 1, 10), F.lit("unknown")))
+    if partition_by:
+        df = df.hint("rebalance", partition_by)
     writer = df.write.mode(mode).format(fmt)
     if partition_by:
         writer = writer.partitionBy(partition_by)

@@ -22,6 +22,7 @@ from moodlens.lexicons import (
     TAG_NEGATIVE_EMOJIS, TAG_NEGATIVE_KEYWORDS, TAG_POSITIVE_EMOJIS, TAG_POSITIVE_KEYWORDS,
 )
 
+RULES_TYPE = "array<struct<id:string,tag:string>>"
 ISO_MILLIS = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
 DATE_ONLY = "yyyy-MM-dd"
 # Account age cut-off used with fixture E (user created_at is a bare date).
@@ -32,43 +33,12 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "conversations")
 
 
-_READ_CACHE: dict[tuple, DataFrame] = {}
-
-
 def load_tables(spark: SparkSession, sf_dir: str, names=TABLES) -> dict[str, DataFrame]:
-    """Parquet scans of the named tables.
+    """Parquet scans of the named tables."""
+    return {n: spark.read.parquet(f"{sf_dir.rstrip('/')}/{n}.parquet") for n in names}
 
-    The scan DataFrames are memoised per session and path (a DataFrame is an
-    immutable plan; this only saves the repeated file listing and footer
-    read when several queries start from the same tables).
-    """
-    out = {}
-    for n in names:
-        path = f"{sf_dir.rstrip('/')}/{n}.parquet"
-        key = (spark.sparkContext.applicationId, id(spark), path)
-        if key not in _READ_CACHE:
-            _READ_CACHE[key] = spark.read.parquet(path)
-        out[n] = _READ_CACHE[key]
-    return out
-
-
-def spread(df: DataFrame, key: str | None = None) -> DataFrame:
-    """Re-partition a scan that yields fewer partitions than the cluster has
-    task slots (e.g. one large row group of long texts), so per-row text
-    work runs on every core.  A scan that is already wide (the normal case
-    on big inputs) is returned untouched: no shuffle is added there.
-
-    With a unique ``key`` the rows are hash-partitioned on it: balanced and
-    deterministic on a retry without the local sort a round-robin
-    repartition needs for that.
-    """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < slots:
-        return df.repartition(slots, key) if key else df.repartition(slots)
-    return df
 
-
-def _post(post_id, author_id, created_at, text, lang, rules) -> list[Column]:
+def post_columns(post_id, author_id, created_at, text, lang, rules) -> list[Column]:
     return [
         F.struct(
             post_id.cast("string").alias("id"),
@@ -81,8 +51,13 @@ def _post(post_id, author_id, created_at, text, lang, rules) -> list[Column]:
     ]
 
 
-def posts_from_events(events: DataFrame) -> DataFrame:
-    """Fixture E.  Rule ids 1..4 follow the four stream rules' order."""
+def posts_from_events(events: DataFrame, only: tuple[str, ...] | None = None) -> DataFrame:
+    """Fixture E.  Rule ids 1..4 follow the four stream rules' order.
+
+    ``only`` names the ``data`` fields that a question needs; the others are
+    NULL and their columns are not read (a struct whose fields meet functions
+    is built whole otherwise).
+    """
     et, value = F.col("event_type"), F.col("value")
     rules = rule_matches([
         (et.isin("purchase", "signup"), "1", TAG_POSITIVE_KEYWORDS),
@@ -90,9 +65,10 @@ def posts_from_events(events: DataFrame) -> DataFrame:
         (et == "error", "3", TAG_NEGATIVE_KEYWORDS),
         ((et == "view") & (value < 20), "4", TAG_NEGATIVE_EMOJIS),
     ])
-    return events.select(*_post(
-        F.col("event_id"), F.col("user_id"), F.date_format("ts", ISO_MILLIS),
-        F.concat_ws(" ", "event_type", "props"), F.lit("en"), rules))
+    fields = {"id": F.col("event_id"), "author_id": F.col("user_id"), "created_at": F.date_format("ts", ISO_MILLIS),
+              "text": F.concat_ws(" ", "event_type", "props")}
+    kept = [c if only is None or k in only else F.lit(None).cast("string") for k, c in fields.items()]
+    return events.select(*post_columns(*kept, F.lit("en"), rules))
 
 
 def users_from_customers(customer: DataFrame, orders: DataFrame) -> DataFrame:
@@ -123,30 +99,37 @@ def posts_from_orders(orders: DataFrame) -> DataFrame:
     positive = F.col("o_orderpriority") < F.lit("4")
     rules = F.array(F.when(positive, F.struct(F.lit("1").alias("id"), F.lit(TAG_POSITIVE_KEYWORDS).alias("tag")))
                     .otherwise(F.struct(F.lit("3").alias("id"), F.lit(TAG_NEGATIVE_KEYWORDS).alias("tag"))))
-    return orders.select(*_post(
+    return orders.select(*post_columns(
         F.col("o_orderkey"), F.col("o_custkey"), F.date_format("o_orderdate", ISO_MILLIS),
         F.col("o_orderpriority"), F.lit("en"), rules))
 
 
-def posts_from_documents(documents: DataFrame, labels: DataFrame | None = None) -> DataFrame:
-    """Fixture D: documents as posts, tagged from ``labels``.
+def label_rules(labels: DataFrame) -> DataFrame:
+    """``post_id, matching_rules`` of the labelled documents, one row each.
 
     quality = 1 gives ``positive keywords``; otherwise toxic = 1 gives
-    ``negative keywords``; everything else has no rule.  Labels are first
-    reduced to one row per doc_id (max of each flag; copies collapse in the
-    partial aggregate), so a repeated label can never multiply a document,
-    then joined by key (AQE broadcasts them only when small).
+    ``negative keywords``; everything else has no rule.  Repeated label rows
+    collapse in the partial aggregate (max of each flag).
+    """
+    flags = labels.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    positive = F.col("quality") == 1
+    rules = rule_matches([(positive, "1", TAG_POSITIVE_KEYWORDS),
+                          (~positive & (F.col("toxic") == 1), "3", TAG_NEGATIVE_KEYWORDS)])
+    return flags.select(F.col("doc_id").cast("string").alias("post_id"), rules.alias("matching_rules"))
+
+
+def posts_from_documents(documents: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """Fixture D: documents as posts, tagged from ``labels`` (see :func:`label_rules`).
+
+    Work on the texts should come before the join with the labels
+    (``operators.indicators.indicator_quality`` takes them apart), so that no
+    exchange carries texts; this joined form serves small look-ups and landing.
     """
-    docs = spread(documents, key="doc_id")
-    if labels is not None:
-        lab = (labels.groupBy(F.col("doc_id").alias("_lid"))
-                     .agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic")))
-        docs = docs.join(lab, docs["doc_id"] == lab["_lid"], "left")
-        positive = F.col("quality") == 1
-        rules = rule_matches([(positive, "1", TAG_POSITIVE_KEYWORDS),
-                              (~positive & (F.col("toxic") == 1), "3", TAG_NEGATIVE_KEYWORDS)])
-    else:
-        rules = no_rules()
-    return docs.select(*_post(
+    posts = documents.select(*post_columns(
         F.col("doc_id"), F.col("source"), F.lit(None).cast("string"),
-        F.col("text"), F.col("lang"), rules))
+        F.col("text"), F.col("lang"), no_rules()))
+    if labels is None:
+        return posts
+    rules = label_rules(labels)
+    return (posts.drop("matching_rules").join(rules, F.col("data.id") == F.col("post_id"), "left")
+            .select("data", F.coalesce("matching_rules", no_rules()).alias("matching_rules")))

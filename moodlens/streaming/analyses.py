@@ -84,23 +84,25 @@ def observed_posts(stream_posts: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------- per micro-batch --
-def batch_follower_sums(users: DataFrame, key: str = "ingest_date", match: str = CONTAINS):
-    """Per-batch function: post-weighted follower sums per ingest unit."""
+def batch_follower_sums(users: DataFrame, key: str | None = None, match: str = CONTAINS):
+    """Per-batch function: post-weighted follower sums of the micro-batch, or
+    per value of ``key`` within it (``ingest_date``: the day is the batch)."""
     def fn(batch: DataFrame) -> DataFrame:
-        per = per_author(batch, {"batch": F.col(key)},
+        per = per_author(batch, {"batch": F.col(key)} if key else None,
                          pos=flag(is_positive(match, tag_col())), neg=flag(is_negative(match, tag_col())))
-        return follower_sums(with_users(per, users, dedupe=False), ["batch"])
+        return follower_sums(with_users(per, users, dedupe=False), ["batch"] if key else [])
     return fn
 
 
-def followers_from_sums(sums: DataFrame, digits: int = 6) -> DataFrame:
-    """Combine stored follower sums of all epochs.
+def followers_from_sums(sums: DataFrame, batch: str = "batch") -> DataFrame:
+    """Combine stored follower sums of all epochs; ``batch`` names the column
+    that tells batches apart (the epoch, or a key of ``batch_follower_sums``).
 
     ``true_mean`` = mean over all posts; ``mean_of_means`` = unweighted mean
     of the per-batch means (batches without a polarity skipped);
     ``n_batches`` = batches that had the polarity.
     """
-    per_batch = sums.groupBy("batch").agg(*[F.sum(c).alias(c) for c in ("s_pos", "c_pos", "s_neg", "c_neg")])
+    per_batch = sums.groupBy(batch).agg(*[F.sum(c).alias(c) for c in ("s_pos", "c_pos", "s_neg", "c_neg")])
 
     def mean(s, c):
         return F.try_divide(F.col(s).cast("double"), F.col(c).cast("double"))
@@ -112,7 +114,7 @@ def followers_from_sums(sums: DataFrame, digits: int = 6) -> DataFrame:
         F.count(mean("s_pos", "c_pos")).alias("nb_pos"), F.count(mean("s_neg", "c_neg")).alias("nb_neg"))
     rows = [F.struct(F.lit(label).alias("polarity"),
                      mean(f"ts_{k}", f"tc_{k}").alias("true_mean"),
-                     F.round(f"mm_{k}", digits).alias("mean_of_means"),
+                     F.col(f"mm_{k}").alias("mean_of_means"),
                      F.col(f"nb_{k}").alias("n_batches"))
             for label, k in (("positive", "pos"), ("negative", "neg"))]
     return wide.select(F.inline(F.array(*rows)))

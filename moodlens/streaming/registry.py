@@ -2,9 +2,11 @@
 
 Each one lands fixture posts as files (partitioned by ingest day), runs a
 Structured Streaming query over the landing folder with an ``availableNow``
-trigger (several micro-batches, bounded by ``maxFilesPerTrigger``), and
-returns the result table as a DataFrame.  All paths live below the shared
-checkpoint folder.
+trigger, and returns the result table as a DataFrame.  Micro-batches are bounded
+by bytes (``spark.moodlens.maxBytesPerTrigger``).  Queries whose rows tell
+micro-batches apart land the posts in slices of the month and run once after
+each on one checkpoint: one micro-batch per slice, however many files it has.
+All paths live below the shared checkpoint folder.
 """
 
 from __future__ import annotations
@@ -14,25 +16,59 @@ from pyspark.sql import functions as F
 
 from moodlens.plans import analyses as A
 from moodlens.plans.oracle_sql import oracle_sql as _batch_oracle, PE, UE
-from moodlens.plans.registry import FIXTURE_LEXICON, _flat_posts, posts_d, posts_e, users_e
+from moodlens.operators.indicators import indicator_counts
+from moodlens.operators.join import join_users
+from moodlens.plans.registry import FIXTURE_LEXICON, _flat_posts, _tables, event_lexicon, posts_e, users_e
 from moodlens.session import scratch_path
 from moodlens.sources.files import land_posts, read_posts
+from moodlens.sources import fixtures as X
 from moodlens.sources.fixtures import FIXTURE_E_CUTOFF
 from moodlens.streaming import analyses as S
 from moodlens.streaming.sinks import (
     EPOCH, land_stream, latest_epoch, per_batch_writer, run_available, write_latest,
 )
-from moodlens.streaming.sources import post_stream, snapshot_users
+from moodlens.streaming.live import Live
+from moodlens.streaming.sources import BYTES_PER_TRIGGER, drop_snapshot, post_stream, snapshot_users
 
-FILES_PER_TRIGGER = 4
+#: Days of the month in a slice.
+SLICE_DAYS = 8
 
 
-def _landed(spark: SparkSession, posts: DataFrame, name: str, rows_per_file: int = 1000) -> str:
+def _stream(spark: SparkSession, landing: str, fmt: str = "parquet") -> DataFrame:
+    return post_stream(spark, landing, fmt=fmt, max_bytes_per_trigger=int(spark.conf.get("spark.moodlens.maxBytesPerTrigger", str(BYTES_PER_TRIGGER))))
+
+
+def _landed(spark: SparkSession, posts: DataFrame, name: str) -> str:
     path = scratch_path(spark, f"{name}-landing")
-    land_posts(posts, path, fmt="parquet", max_records_per_file=rows_per_file)
+    land_posts(posts, path, fmt="parquet")
     return path
 
 
+def _known(spark, sf_dir) -> DataFrame:
+    """Half of the users: posts of the others have an unknown author."""
+    return users_e(spark, sf_dir).where(F.col("id").cast("long") % 2 == 0)
+
+
+def _by_slice(spark, sf_dir, name, foreach_batch, before=None) -> None:
+    """Lands fixture E slice by slice and runs the stream after each.
+    ``before(k)`` is called ahead of slice ``k``."""
+    posts = posts_e(spark, sf_dir)
+    day = F.substring("data.created_at", 9, 2).cast("int")
+    landing, ckpt = scratch_path(spark, f"{name}-landing"), scratch_path(spark, f"{name}-ckpt")
+    for k in range(-(-31 // SLICE_DAYS)):
+        if before:
+            before(k)
+        land_posts(posts.where(F.floor((day - 1) / SLICE_DAYS) == k), landing, fmt="parquet")
+        run_available(post_stream(spark, landing), ckpt, foreach_batch=foreach_batch)
+
+
+def _sliced(spark, sf_dir, fn, name) -> DataFrame:
+    """Results of ``fn`` for every slice, with the micro-batch as ``batch_id``."""
+    out = scratch_path(spark, f"{name}-out")
+    _by_slice(spark, sf_dir, name, per_batch_writer(fn, out))
+    return spark.read.parquet(out).withColumn("batch_id", F.col(EPOCH).cast("long")).drop(EPOCH)
+
+
 def _complete_to_table(spark, stream_df, name) -> str:
     out, ckpt = scratch_path(spark, f"{name}-out"), scratch_path(spark, f"{name}-ckpt")
     run_available(stream_df, ckpt, output_mode="complete",
@@ -48,8 +84,8 @@ def _per_batch_to_table(spark, stream_df, fn, name) -> str:
 
 def q_stream_indicator_counts(spark, sf_dir):
     """Running indicator counts over landed documents (state store)."""
-    landing = _landed(spark, posts_d(spark, sf_dir), "indicators", rows_per_file=100)
-    stream = post_stream(spark, landing, max_files_per_trigger=FILES_PER_TRIGGER)
+    landing = _landed(spark, X.posts_from_documents(_tables(spark, sf_dir, "documents")["documents"]), "indicators")
+    stream = _stream(spark, landing)
     out = _complete_to_table(spark, S.running_indicator_counts(stream, FIXTURE_LEXICON), "indicators")
     return S.indicator_rows(latest_epoch(spark, out), FIXTURE_LEXICON)
 
@@ -58,8 +94,9 @@ def q_stream_verified_counts(spark, sf_dir):
     """T3 + T7: stream-static join with users, running verified counts."""
     users = snapshot_users(spark, users_e(spark, sf_dir), "verified")
     landing = _landed(spark, posts_e(spark, sf_dir), "verified")
-    stream = post_stream(spark, landing, max_files_per_trigger=FILES_PER_TRIGGER)
+    stream = _stream(spark, landing)
     out = _complete_to_table(spark, S.running_verified_counts(S.enrich(stream, users)), "verified")
+    drop_snapshot(spark, users)
     wide = latest_epoch(spark, out)
     return wide.select(F.inline(F.array(
         F.struct(F.lit("positive").alias("polarity"), F.col("pos").alias("n_posts")),
@@ -70,54 +107,83 @@ def q_stream_account_age_running(spark, sf_dir):
     """T6, cumulative variant: account-age shares since the start of the stream."""
     users = snapshot_users(spark, users_e(spark, sf_dir), "age_running")
     landing = _landed(spark, posts_e(spark, sf_dir), "age_running")
-    stream = post_stream(spark, landing, max_files_per_trigger=FILES_PER_TRIGGER)
+    stream = _stream(spark, landing)
     wide = S.running_account_age(S.enrich(stream, users), FIXTURE_E_CUTOFF)
     out = _complete_to_table(spark, wide, "age_running")
+    drop_snapshot(spark, users)
     return S.account_age_rows(latest_epoch(spark, out))
 
 
 def q_stream_observed(spark, sf_dir):
     """Exact running count of observed posts."""
     landing = _landed(spark, posts_e(spark, sf_dir), "observed")
-    stream = post_stream(spark, landing, max_files_per_trigger=FILES_PER_TRIGGER)
+    stream = _stream(spark, landing)
     out = _complete_to_table(spark, S.observed_posts(stream), "observed")
     return latest_epoch(spark, out)
 
 
+def _rounded(means: DataFrame) -> DataFrame:
+    return means.withColumn("mean_of_means", F.round("mean_of_means", 6))  # for the comparison alone
+
+
 def q_stream_followers(spark, sf_dir):
     """T4: follower means; batches are ingest days, sums stored per epoch."""
     users = snapshot_users(spark, users_e(spark, sf_dir), "followers")
     landing = _landed(spark, posts_e(spark, sf_dir), "followers")
-    stream = post_stream(spark, landing, max_files_per_trigger=FILES_PER_TRIGGER)
-    out = _per_batch_to_table(spark, stream, S.batch_follower_sums(users), "followers")
-    return S.followers_from_sums(spark.read.parquet(out).drop(EPOCH))
+    out = _per_batch_to_table(spark, _stream(spark, landing), S.batch_follower_sums(users, "ingest_date"), "followers")
+    drop_snapshot(spark, users)
+    return _rounded(S.followers_from_sums(spark.read.parquet(out).drop(EPOCH)))
+
+
+def q_stream_batch_means(spark, sf_dir):
+    """T4: mean of the means of the micro-batches, users leaving authors out."""
+    sums = _sliced(spark, sf_dir, S.batch_follower_sums(_known(spark, sf_dir)), "means")
+    return _rounded(S.followers_from_sums(sums, "batch_id"))
 
 
 def q_stream_batch_samples(spark, sf_dir):
-    """T5: five posts per polarity from every micro-batch."""
-    landing = _landed(spark, posts_e(spark, sf_dir), "samples")
-    stream = post_stream(spark, landing, max_files_per_trigger=FILES_PER_TRIGGER)
-    out = _per_batch_to_table(spark, stream, lambda b: A.sample_posts(b).drop("text"), "samples")
-    return spark.read.parquet(out).select(F.col(EPOCH).alias("batch_id"), "polarity", "post_id")
+    """T5: five posts of known authors per polarity from every micro-batch."""
+    users = _known(spark, sf_dir)
+    found = _sliced(spark, sf_dir, lambda b: A.sample_posts(join_users(b, users, dedupe=False)), "samples")
+    return found.select("batch_id", "polarity", "post_id", "text")
 
 
 def q_stream_account_age(spark, sf_dir):
     """Account-age shares per micro-batch (not accumulated)."""
-    users = snapshot_users(spark, users_e(spark, sf_dir), "age")
-    landing = _landed(spark, posts_e(spark, sf_dir), "age")
-    stream = post_stream(spark, landing, max_files_per_trigger=FILES_PER_TRIGGER)
-    fn = lambda b: A.account_age_split(b, users, cutoff=FIXTURE_E_CUTOFF, dedupe=False)
-    out = _per_batch_to_table(spark, stream, fn, "age")
-    return spark.read.parquet(out).select(F.col(EPOCH).alias("batch_id"), "description", "n_posts", "percentage")
+    users = _known(spark, sf_dir)
+    found = _sliced(spark, sf_dir, lambda b: A.account_age_split(b, users, cutoff=FIXTURE_E_CUTOFF, dedupe=False), "age")
+    return found.select("batch_id", "description", "n_posts", "percentage")
+
+
+def q_stream_joined_indicators(spark, sf_dir):
+    """Running indicator counts over the posts of known authors."""
+    users = _known(spark, sf_dir)
+    found = _sliced(spark, sf_dir, lambda b: indicator_counts(b, event_lexicon(), users=users), "joined")
+    return found.groupBy("polarity", "position", "indicator").agg(F.sum("n_posts").alias("n_posts"))
+
+
+def q_stream_late_users(spark, sf_dir):
+    """T7 + S10: half of the users arrive after two slices; their posts were
+    parked and are counted then."""
+    users, folder = users_e(spark, sf_dir), scratch_path(spark, "late-users")
+    late = F.col("id").cast("long") % 2 == 1
+
+    def before(k: int) -> None:
+        if k in (0, 2):
+            users.where(late if k else ~late).write.mode("append").parquet(folder)
+
+    job = Live(spark, scratch_path(spark, "late-out"), lambda: spark.read.parquet(folder), event_lexicon(), FIXTURE_E_CUTOFF)
+    _by_slice(spark, sf_dir, "late", job.batch, before)
+    return job.total("verified")
 
 
 def q_stream_landing(spark, sf_dir):
     """S3 + S7: JSON post files read as a stream, landed as Parquet by day
     (file sink, exactly-once), read back as an archive."""
     raw = scratch_path(spark, "raw-json")
-    land_posts(posts_e(spark, sf_dir), raw, fmt="json", max_records_per_file=1000)
+    land_posts(posts_e(spark, sf_dir), raw, fmt="json")
     out, ckpt = scratch_path(spark, "landed"), scratch_path(spark, "landed-ckpt")
-    q = land_stream(post_stream(spark, raw, fmt="json", max_files_per_trigger=FILES_PER_TRIGGER), out, ckpt,
+    q = land_stream(_stream(spark, raw, fmt="json"), out, ckpt,
                     trigger={"availableNow": True})
     q.awaitTermination()
     if q.exception() is not None:
@@ -131,27 +197,61 @@ STREAM_QUERIES = {
     "stream_verified_counts": q_stream_verified_counts,
     "stream_observed": q_stream_observed,
     "stream_followers": q_stream_followers,
+    "stream_batch_means": q_stream_batch_means,
     "stream_batch_samples": q_stream_batch_samples,
+    "stream_joined_indicators": q_stream_joined_indicators,
+    "stream_late_users": q_stream_late_users,
     "stream_account_age": q_stream_account_age,
     "stream_account_age_running": q_stream_account_age_running,
 }
 
-_JOINED_E = (f"WITH {PE}, {UE}, j AS (SELECT pe.*, ue.followers FROM pe JOIN ue ON ue.id = pe.author_id), "
-             "d AS (SELECT substr(created_at, 1, 10) AS day, "
-             "avg(followers) FILTER (WHERE tag LIKE '%positive%') AS m_pos, "
-             "avg(followers) FILTER (WHERE tag LIKE '%negative%') AS m_neg FROM j GROUP BY 1)")
+_HALF = (f"WITH {PE}, {UE}, j AS (SELECT pe.*, ue.followers, ue.created_at AS user_created_at, "
+         f"CAST(floor((CAST(substr(pe.created_at, 9, 2) AS INTEGER) - 1) / {SLICE_DAYS}) AS BIGINT) AS slice "
+         "FROM pe JOIN ue ON ue.id = pe.author_id AND CAST(ue.id AS BIGINT) % 2 = 0), "
+         "b AS (SELECT slice, dense_rank() OVER (ORDER BY slice) - 1 AS batch_id FROM j GROUP BY slice)")
+
+
+def _age_rows() -> str:
+    count = lambda tag, op: f"count(post_id) FILTER (WHERE tag LIKE '{tag}%' AND user_created_at {op} '{FIXTURE_E_CUTOFF}')"
+    rows = []
+    for age, op in (("older", "<"), ("newer", ">")):
+        for tag, other in (("positive", "negative"), ("negative", "positive")):
+            rows.append(f"SELECT batch_id, '{age} accounts, {tag}' AS description, {count(tag, op)} AS n_posts, "
+                        f"{count(tag, op)} / NULLIF({count(tag, op)} + {count(other, op)}, 0) * 100 AS percentage "
+                        "FROM j JOIN b USING (slice) GROUP BY batch_id")
+    return " UNION ALL ".join(rows)
+
+
+def _means(table: str, key: str) -> str:
+    """True mean, and mean of the means per ``key``, of both polarities."""
+    rows = []
+    for tag in ("positive", "negative"):
+        mean = f"avg(followers) FILTER (WHERE tag LIKE '%{tag}%')"
+        rows.append(f"SELECT '{tag}' AS polarity, (SELECT {mean} FROM {table}) AS true_mean, round(avg(m), 6) AS mean_of_means, "
+                    f"count(m) AS n_batches FROM (SELECT {mean} AS m FROM {table} GROUP BY {key})")
+    return " UNION ALL ".join(rows)
+
+
+_LEXICON_E = ", ".join("({}, '{}', '{}')".format(*row) for row in event_lexicon())
 
 STREAM_ORACLE = {
     "stream_landing": _batch_oracle()["landing_roundtrip"],
     "stream_indicator_counts": _batch_oracle()["indicator_counts"],
     "stream_verified_counts": _batch_oracle()["verified_counts"],
+    "stream_late_users": _batch_oracle()["verified_counts"],
     "stream_observed": "SELECT count(*) AS n_posts FROM events",
     "stream_account_age_running": _batch_oracle()["account_age_split"],
-    "stream_followers": (
-        f"{_JOINED_E} SELECT 'positive' AS polarity, "
-        "(SELECT avg(followers) FILTER (WHERE tag LIKE '%positive%') FROM j) AS true_mean, "
-        "round(avg(m_pos), 6) AS mean_of_means, count(m_pos) AS n_batches FROM d "
-        "UNION ALL SELECT 'negative', "
-        "(SELECT avg(followers) FILTER (WHERE tag LIKE '%negative%') FROM j), "
-        "round(avg(m_neg), 6), count(m_neg) FROM d"),
+    "stream_followers": (f"WITH {PE}, {UE}, j AS (SELECT pe.*, ue.followers FROM pe JOIN ue ON ue.id = pe.author_id) "
+                         + _means("j", "substr(created_at, 1, 10)")),
+    "stream_batch_means": f"{_HALF} " + _means("j", "slice"),
+    "stream_batch_samples": (
+        f"{_HALF}, p AS (SELECT 'positive' AS polarity, * FROM j WHERE tag LIKE '%positive%' "
+        "UNION ALL SELECT 'negative', * FROM j WHERE tag LIKE '%negative%'), "
+        "r AS (SELECT *, row_number() OVER (PARTITION BY slice, polarity ORDER BY created_at, post_id) AS n FROM p) "
+        "SELECT batch_id, polarity, post_id, text FROM r JOIN b USING (slice) WHERE n <= 5"),
+    "stream_account_age": f"{_HALF} " + _age_rows(),
+    "stream_joined_indicators": (
+        f"{_HALF}, lex(position, indicator, polarity) AS (VALUES {_LEXICON_E}) "
+        "SELECT l.polarity, l.position, l.indicator, count(j.post_id) AS n_posts "
+        "FROM lex l LEFT JOIN j ON contains(lower(j.text), l.indicator) GROUP BY l.polarity, l.position, l.indicator"),
 }

@@ -2,7 +2,7 @@
 
 Results are written as tables below the shared checkpoint folder, keyed by
 the micro-batch id (``epoch``).  A micro-batch that is replayed after a
-failure overwrites its own partition (dynamic partition overwrite), so the
+failure overwrites its own folder, so the
 result table is exactly-once even though ``foreachBatch`` is at-least-once.
 Per-batch results keep one partition per epoch (they are the data);
 complete-mode running totals rotate over two slots (``write_latest``).
@@ -20,28 +20,21 @@ SLOT = "slot"
 
 
 def write_epoch(df: DataFrame, path: str, epoch_id: int) -> None:
-    """Write one micro-batch result into ``path/epoch=<id>``, replacing a replay."""
-    (df.withColumn(EPOCH, F.lit(int(epoch_id)).cast("long"))
-       .write.mode("overwrite")
-       .option("partitionOverwriteMode", "dynamic")
-       .partitionBy(EPOCH)
-       .parquet(path))
+    """Write one micro-batch result into ``path/epoch=<id>``, replacing a replay
+    (also by an empty result)."""
+    df.write.mode("overwrite").parquet(f"{path}/{EPOCH}={int(epoch_id)}")
 
 
 def write_latest(df: DataFrame, path: str, epoch_id: int, slots: int = 2) -> None:
-    """Write a complete-mode result into one of ``slots`` rotating partitions.
+    """Write a complete-mode result into one of ``slots`` rotating folders.
 
-    The partition is ``slot = epoch % slots`` and the epoch is kept as a
+    The folder is ``slot = epoch % slots`` and the epoch is kept as a
     column: a replayed epoch overwrites its own slot, the other slot keeps the
     previous complete result meanwhile, and storage stays bounded however
     long the stream runs.  Read with :func:`latest_epoch`.
     """
     (df.withColumn(EPOCH, F.lit(int(epoch_id)).cast("long"))
-       .withColumn(SLOT, F.lit(int(epoch_id) % int(slots)))
-       .write.mode("overwrite")
-       .option("partitionOverwriteMode", "dynamic")
-       .partitionBy(SLOT)
-       .parquet(path))
+       .write.mode("overwrite").parquet(f"{path}/{SLOT}={int(epoch_id) % int(slots)}"))
 
 
 def per_batch_writer(fn: Callable[[DataFrame], DataFrame], path: str):

@@ -11,13 +11,16 @@ from moodlens.operators.join import dedupe_users
 from moodlens.schemas import POST
 from moodlens.session import scratch_path
 
+# Bound of a micro-batch unless given: a few scan splits per core of a large cluster.
+BYTES_PER_TRIGGER = 64 << 30
+
 # Landed post files carry the ingest day as a folder partition.
 LANDED_POST = T.StructType(POST.fields + [T.StructField("ingest_date", T.StringType())])
 
 
 def post_stream(spark: SparkSession, landing_dir: str, fmt: str = "parquet",
                 max_files_per_trigger: int | None = None,
-                max_bytes_per_trigger: str | None = None) -> DataFrame:
+                max_bytes_per_trigger: int | None = None) -> DataFrame:
     """Posts as a Structured Streaming source over ``landing_dir``.
 
     A micro-batch is bounded by ``max_files_per_trigger`` (or
@@ -29,7 +32,7 @@ def post_stream(spark: SparkSession, landing_dir: str, fmt: str = "parquet",
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", int(max_files_per_trigger))
     if max_bytes_per_trigger:
-        reader = reader.option("maxBytesPerTrigger", max_bytes_per_trigger)
+        reader = reader.option("maxBytesPerTrigger", int(max_bytes_per_trigger))
     return reader.load(landing_dir)
 
 
@@ -41,7 +44,7 @@ def snapshot_users(spark: SparkSession, users: DataFrame, name: str = "users", b
     folder as a table bucketed (and sorted) by ``id``.  Every micro-batch then
     reads a plain bucketed table: the user side is neither recomputed nor
     shuffled, only the micro-batch is (streaming queries run without AQE, so
-    this is decided here).  ``buckets`` defaults to
+    this is decided here).  Drop the table with :func:`drop_snapshot`.  ``buckets`` defaults to
     ``spark.sql.shuffle.partitions`` so the planner keeps the bucketing.
     """
     n = int(buckets or spark.conf.get("spark.sql.shuffle.partitions"))
@@ -51,3 +54,11 @@ def snapshot_users(spark: SparkSession, users: DataFrame, name: str = "users", b
     (df.write.format("parquet").bucketBy(n, "id").sortBy("id")
        .option("path", scratch_path(spark, f"{name}-users")).saveAsTable(table))
     return spark.table(table)
+
+
+def drop_snapshot(spark: SparkSession, snapshot: DataFrame) -> None:
+    """Forgets a table of :func:`snapshot_users` once its stream has stopped
+    (its files are below the shared checkpoint folder, which the cluster cleans)."""
+    for name in {r.name for r in spark.catalog.listTables() if r.name.startswith("moodlens_users_")}:
+        if spark.table(name).sameSemantics(snapshot):
+            spark.sql(f"DROP TABLE IF EXISTS {name}")

@@ -37,13 +37,37 @@ def test_rule_tagging_tokenises_once(spark):
     assert plan.count("split(lower(") == 1
 
 
-def test_hot_keys_take_the_broadcast_path(spark):
-    df = join_users(posts_e(spark, SF_SMALL), users_e(spark, SF_SMALL), max_hot_keys=15, min_hot_rows=1)  # hot: >= 67 of 1000 posts
-    plan = _final_plan(df)
-    assert "Union" in plan and "LeftSemi" in plan and "LeftAnti" in plan
-    assert df.count() == posts_e(spark, SF_SMALL).where(F.col("data.author_id").isNotNull()).count()
+def _scans(plan) -> list[str]:
+    return re.findall(r"FileScan parquet", plan)
+
+
+def test_user_questions_read_no_orders(spark):
+    for name in ("verified_counts", "followers_mean", "followers_mean_of_means"):
+        plan = _final_plan(E.queries()[name](spark, SF_SMALL))
+        assert len(_scans(plan)) == 2 and "SortAggregate" not in plan and "o_orderdate" not in plan
+
+
+def _exchanges_of_text(plan) -> list[int]:
+    """Places in a plan of exchanges whose rows hold a text."""
+    lines = plan.splitlines()
+    return [i for i, x in enumerate(lines) if "Exchange hashpartitioning" in x and re.search(r"\btext#", lines[i + 1])]
 
 
-def test_no_hot_keys_is_a_plain_join(spark):
-    df = join_users(posts_e(spark, SF_SMALL), users_e(spark, SF_SMALL))
-    assert "Union" not in _final_plan(df)
+def test_no_exchange_carries_texts(spark):
+    assert not _exchanges_of_text(_final_plan(E.queries()["indicator_quality"](spark, SF_SMALL)))
+    plan = _final_plan(E.queries()["sample_posts"](spark, SF_SMALL))
+    sampled = next(i for i, x in enumerate(plan.splitlines()) if "BroadcastHashJoin" in x)
+    assert all(i < sampled for i in _exchanges_of_text(plan))  # above the join that picks ten of them
+
+
+def test_joined_indicators_read_author_and_text_alone(spark):
+    plan = _final_plan(E.queries()["indicator_counts_joined"](spark, SF_SMALL))
+    schema = next(s for s in re.findall(r"ReadSchema: (struct<[^ ]*>)", plan) if "event_type" in s)
+    assert "event_id" not in schema and "ts:" not in schema
+
+
+def test_user_join_is_plain(spark):
+    df = join_users(posts_e(spark, SF_SMALL), users_e(spark, SF_SMALL), dedupe=False)
+    plan = _final_plan(df)
+    assert "Union" not in plan and "NestedLoop" not in plan
+    assert df.count() == posts_e(spark, SF_SMALL).where(F.col("data.author_id").isNotNull()).count()

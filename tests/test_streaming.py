@@ -50,7 +50,7 @@ def test_stream_followers_true_mean_and_mean_of_means(spark, tmp_path, landed_e)
     users = snapshot_users(spark, users_e(spark, SF_SMALL), "t-followers")
     stream = post_stream(spark, landed_e, max_files_per_trigger=3)
     out, ckpt = str(tmp_path / "f-out"), str(tmp_path / "f-ckpt")
-    run_available(stream, ckpt, foreach_batch=per_batch_writer(S.batch_follower_sums(users), out))
+    run_available(stream, ckpt, foreach_batch=per_batch_writer(S.batch_follower_sums(users, "ingest_date"), out))
     got = {r.polarity: r for r in S.followers_from_sums(spark.read.parquet(out).drop(EPOCH)).collect()}
     posts, u = posts_e(spark, SF_SMALL), users_e(spark, SF_SMALL)
     true = {r.polarity: r.avg_followers for r in A.followers_mean(posts, u).collect()}
@@ -133,3 +133,61 @@ def test_write_latest_rotates_and_replays(spark, tmp_path):
     import os
     assert sorted(d for d in os.listdir(out) if d.startswith("slot=")) == ["slot=0", "slot=1"]
     assert latest_epoch(spark, out).count() == 5
+
+
+def test_follower_means_by_micro_batch(spark, tmp_path, landed_e):
+    users = users_e(spark, SF_SMALL)
+    out, ckpt = str(tmp_path / "m-out"), str(tmp_path / "m-ckpt")
+    run_available(post_stream(spark, landed_e, max_files_per_trigger=9), ckpt, foreach_batch=per_batch_writer(S.batch_follower_sums(users), out))
+    sums = spark.read.parquet(out)
+    n = sums.select(EPOCH).distinct().count()
+    assert n > 1 and {r.n_batches for r in S.followers_from_sums(sums, EPOCH).collect()} == {n}
+
+
+def test_live_parks_posts_of_unknown_authors_and_survives_a_replay(spark, tmp_path):
+    from moodlens.streaming.live import Live
+    posts, users = posts_e(spark, SF_SMALL).persist(), users_e(spark, SF_SMALL).persist()
+    odd = F.col("id").cast("long") % 2 == 1
+    seen = {"users": users.where(~odd)}
+    job = Live(spark, str(tmp_path / "live"), lambda: seen["users"], FIXTURE_LEXICON, "1995-07-01")
+    half = F.col("data.id").cast("long") % 2 == 0
+    job.batch(posts.where(half), 0)
+    first = {r.author_id for r in spark.read.parquet(job.path("to_fetch")).collect()}
+    assert first and all(int(a) % 2 for a in first)
+    seen["users"] = users
+    job.batch(posts.where(~half), 1)
+    job.batch(posts.where(~half), 1)  # replayed
+    want = {r.polarity: r.n_posts for r in A.verified_counts(posts, users, dedupe=False).collect()}
+    assert {r.polarity: r.n_posts for r in job.total("verified").collect()} == want
+    assert job.total("observed").first().n_posts == posts.count()
+    assert job.before("parked", 1).count() > 0 and job.before("parked", 2).count() == 0
+    seen["users"] = users.where(odd)  # a replay that parks, then one that doesn't: nothing stale stays
+    job.batch(posts.where(~half), 1)
+    assert job.before("parked", 2).count() > 0
+    seen["users"] = users
+    job.batch(posts.where(~half), 1)
+    assert job.before("parked", 2).count() == 0
+    counts = lambda df: {(r.position, r.n_posts) for r in df.collect()}
+    assert counts(job.total("indicators")) == counts(indicator_counts(posts, FIXTURE_LEXICON, users=users))
+    true = {r.polarity: r.avg_followers for r in A.followers_mean(posts, users, dedupe=False).collect()}
+    for r in job.followers().collect():
+        assert r.true_mean == pytest.approx(true[r.polarity]) and r.n_batches == 2
+
+
+def test_one_author_with_a_third_of_the_stream(spark, tmp_path):
+    from moodlens.streaming.live import Live
+    posts = posts_e(spark, SF_SMALL)
+    hot = F.col("data").withField("author_id", F.when(F.col("data.id").cast("long") % 3 == 0, F.lit("1")).otherwise(F.col("data.author_id")))
+    posts = posts.withColumn("data", hot)
+    job = Live(spark, str(tmp_path / "hot"), lambda: users_e(spark, SF_SMALL), FIXTURE_LEXICON, "1995-07-01")
+    job.batch(posts, 0)
+    want = {r.polarity: r.n_posts for r in A.verified_counts(posts, users_e(spark, SF_SMALL), dedupe=False).collect()}
+    assert {r.polarity: r.n_posts for r in job.total("verified").collect()} == want
+
+
+def test_files_per_day_are_bounded_by_the_writing_tasks(spark, tmp_path):
+    import os
+    out = str(tmp_path / "clustered")
+    land_posts(posts_e(spark, SF_SMALL).repartition(7), out, fmt="parquet")
+    days = [os.path.join(out, d) for d in os.listdir(out) if d.startswith("ingest_date=")]
+    assert len(days) >= 28 and all(sum(f.endswith(".parquet") for f in os.listdir(d)) == 1 for d in days)
