@@ -10,12 +10,19 @@ similarity of 0.8 a pair is in no common band once in 7 million, and lost by its
 estimate once in 3 million.  What is left is confirmed on both full sets.
 
 No bucket is expanded into its pairs.  Every node of a bucket is first paired
-with the bucket's smallest node only; confirmed links make components.  A bucket
-whose nodes are all in one component is then done with, as nothing in it can
-change the result: so a third of all rows in one group of near copies costs one
-pair each and band.  In other buckets a join compares nodes of different
-components, in cells of at most ``CELL`` by ``CELL`` nodes, and passes on only
-pairs whose signatures come near.  Components are found by spreading the least
+with the bucket's smallest node only, and in ``PICKED`` bands with one that a
+hash picks, another in each; confirmed links make components.  A bucket whose
+nodes are all in one component is then done with, as nothing in it can change
+the result: so a third of all rows in one group of near copies costs a few pairs
+each, also where many of the copies aren't that similar to its smallest node.
+
+In other buckets nodes of different components are compared.  Where one
+component has ``CROWD`` nodes of a bucket or more, the bucket's other nodes are
+compared exactly with all of that component and with each other, in cells of
+``CELL`` by ``CELL`` sets that yield confirmed links alone: copies that nearly
+reach the similarity come in numbers that grow with the square of the group.
+In smaller mixed buckets a join compares signatures and passes on only the pairs
+that come near.  Components are found by spreading the least
 label and jumping along labels, on written tables.
 
 Defined results: a null or empty text, or one without words, has no shingles
@@ -43,7 +50,11 @@ BANDS, ROWS, BITS = 40, 5, 2
 HASHES = BANDS * ROWS
 LONGS = -(-HASHES * BITS // 64)
 PERCENT = 80
-CELL = 2048
+CELL = 512
+#: Nodes of one component in a bucket from which the others meet it in cells.
+CROWD = 32
+#: Bands in which a second node of each bucket is paired with all others.
+PICKED = 12
 
 
 def least_matches(percent: int) -> int:
@@ -123,10 +134,9 @@ def near(x: str, y: str, percent: int) -> Column:
     return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & (reduce(lambda p, q: p + q, differ) <= HASHES - least_matches(percent))
 
 
-def confirm(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are as similar as asked for."""
-    needed = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-                     .join(nodes.select("node", "doc_id", "text_hash"), "node"), "minhash-needed")
+def full_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """(node, items): the full sets of the nodes in ``wanted``, as a written table."""
+    needed = written(wanted.select("node").distinct().join(nodes.select("node", "doc_id", "text_hash"), "node"), "minhash-needed")
     texts = keyed(docs).alias("t").join(needed.alias("k"), F.expr("t.text_hash = k.text_hash AND t.doc_id <=> k.doc_id")).select("k.node", "t.text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,13 +147,60 @@ def confirm(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int, percent
             sets = word_sets(byte_lists(batch, "text"), n)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["node", "items"])
 
-    sets = written(texts.mapInArrow(run, "node bigint, items array<bigint>"), "minhash-sets")
+    return written(texts.mapInArrow(run, "node bigint, items array<bigint>"), "minhash-sets")
+
+
+def confirm(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are as similar as asked for."""
     one = lambda c: sets.select(F.col("node").alias(c), F.col("items").alias(f"items_{c}"))
     both = F.size(F.array_intersect("items_a", "items_b"))
     every = F.size("items_a") + F.size("items_b") - both
     return pairs.join(one("a"), "a").join(one("b"), "b").where(100 * both >= percent * every).select("a", "b").distinct()
 
 
+def nodes_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))
+
+
+def similar(asking: list[np.ndarray], crowd: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Places (asking, crowd) of the sets that are as similar as asked for."""
+    items, place = np.unique(np.concatenate(crowd), return_inverse=True)
+    size = np.array([len(c) for c in crowd])
+    first, out = np.cumsum(size) - size, []
+    mark = np.zeros(len(items), np.int32)
+    for i, a in enumerate(asking):
+        at = np.searchsorted(items, a)
+        at = at[(at < len(items)) & (items[np.minimum(at, len(items) - 1)] == a)]
+        mark[at] = 1
+        both = np.add.reduceat(mark[place], first)
+        mark[at] = 0
+        out += [(i, int(j)) for j in np.flatnonzero(100 * both >= percent * (len(a) + size - both))]
+    return out
+
+
+def crowded(asks: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between the nodes of ``asks`` (label, node), and from them
+    to the nodes of that label.  Sets meet in cells of bounded size."""
+    members = labels.join(asks.select("label").distinct(), "label").select("label", "node").union(asks.select("label", "node"))
+    count = lambda df, c: df.groupBy("label").agg(F.ceil(F.count("*") / CELL).cast("int").alias(c))
+    cells = written(count(members, "across").join(count(asks, "down"), "label"), "minhash-cells")
+    block = lambda c: F.pmod(F.xxhash64("node"), F.col(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    crowd = members.join(cells, "label").select("label", block("across").alias("i"), every("down").alias("j"), "node", F.lit(False).alias("asks"))
+    asking = asks.join(cells, "label").select("label", every("across").alias("i"), block("down").alias("j"), "node", F.lit(True).alias("asks"))
+    rows = crowd.union(asking).join(sets, "node").select("label", "i", "j", "node", "asks", "items")
+
+    def run(cell: pa.Table) -> pa.Table:
+        node, asks = cell.column("node").to_numpy(), cell.column("asks").to_numpy()
+        items = [x.values.to_numpy() for x in cell.column("items")]
+        a, b = np.flatnonzero(asks), np.flatnonzero(~asks)
+        found = similar([items[i] for i in a], [items[i] for i in b], percent) if len(a) and len(b) else []
+        pairs = [(max(x, y), min(x, y)) for x, y in ((int(node[a[i]]), int(node[b[j]])) for i, j in found) if x != y]
+        return pa.table({"a": pa.array([x for x, _ in pairs], pa.int64()), "b": pa.array([y for _, y in pairs], pa.int64())})
+
+    return rows.groupBy("label", "i", "j").applyInArrow(run, "a bigint, b bigint").distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the least node that each node of an edge can reach."""
     both = written(edges.select("a", "b").union(edges.select("b", "a")), "minhash-edges")
@@ -168,24 +225,36 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = PERCENT) -> Data
     named = rows.where("n_shingles > 0").groupBy("set_id").agg(F.min("row").alias("node"))
     named = written(named, "minhash-sets-named")
     nodes = rows.join(named.select(F.col("node").alias("row")), "row", "left_semi").withColumnRenamed("row", "node").drop("set_id")
-    in_band = nodes.select("node", F.explode("bands").alias("key"))
-    buckets = in_band.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("key", "least")
-    members = written(in_band.join(buckets, "key"), "minhash-members")
+    in_band = nodes.select("node", F.posexplode("bands").alias("band", "key"))
+    pick = F.min(F.when(F.col("band") < PICKED, F.struct(F.xxhash64("node", "key").alias("h"), "node")))["node"]
+    buckets = (in_band.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most"), pick.alias("pick"))
+               .where("least < most").select("key", "least", "pick"))
+    members = written(in_band.select("node", "key").join(buckets, "key"), "minhash-members")
     info = nodes.select("node", "n_shingles", "signature")
 
     def close(pairs: DataFrame) -> DataFrame:
         return (pairs.join(info.alias("x"), F.col("a") == F.col("x.node")).join(info.alias("y"), F.col("b") == F.col("y.node"))
                 .where(near("x", "y", percent)).select("a", "b"))
 
-    stars = members.where("node > least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
-    edges = written(confirm(docs, nodes, written(close(stars), "minhash-stars"), n, percent), "minhash-links")
-    label = F.coalesce("label", "node").alias("label")
+    to = F.explode(F.array_distinct(F.array_compact(F.array("least", "pick")))).alias("to")
+    stars = (members.select("node", to).where("node <> to")
+             .select(F.greatest("node", "to").alias("a"), F.least("node", "to").alias("b")).distinct())
+    stars = written(close(stars), "minhash-stars")
+    sets = full_sets(docs, nodes, nodes_of(stars), n)
+    edges = written(confirm(sets, stars, percent), "minhash-links")
     labels = components(edges)
+    label = F.coalesce("label", "node").alias("label")
     marked = members.join(labels, "node", "left").select("key", "node", label)
-    mixed = marked.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("size")).where("x < y")
-    mixed = written(mixed.select("key", F.ceil(F.col("size") / CELL).cast("int").alias("cells")), "minhash-mixed")
-    block = F.pmod(F.xxhash64("node"), F.col("cells")).cast("int")
-    open_ = (marked.join(mixed, "key").withColumn("block", block)
+    shares = marked.groupBy("key", "label").agg(F.count("*").alias("n"))
+    mixed = (shares.groupBy("key").agg(F.count("*").alias("labels"), F.sum("n").alias("size"), F.max(F.struct("n", "label")).alias("most"))
+             .where("labels > 1").select("key", "size", "most.n", F.col("most.label").alias("crowd")))
+    mixed = written(mixed, "minhash-mixed")
+    # crowds: the others of a bucket against a whole component
+    asks = written(marked.join(mixed.where(F.col("n") >= CROWD), "key").where("label <> crowd")
+                   .select(F.col("crowd").alias("label"), "node").distinct(), "minhash-asks")
+    # the rest: pairs of different components with signatures that come near
+    few = mixed.where(F.col("n") < CROWD).select("key", F.ceil(F.col("size") / CELL).cast("int").alias("cells"))
+    open_ = (marked.join(few, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("cells")).cast("int"))
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
              .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "label").join(info, "node"))
     open_ = written(open_, "minhash-open")
@@ -193,10 +262,16 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = PERCENT) -> Data
     crossing = (x.join(y, [F.col("x.key") == F.col("y.key"), F.col("x.i") == F.col("y.i"), F.col("x.j") == F.col("y.j"),
                            F.col("x.label") < F.col("y.label"),
                            (F.col("x.block") != F.col("y.block")) | (F.col("x.i") == F.col("x.j")), near("x", "y", percent)])
-                .select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct())
+                .select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
+                .join(stars, ["a", "b"], "left_anti"))  # those are decided
     crossing = written(crossing, "minhash-crossing")
-    if not crossing.isEmpty():
-        more = confirm(docs, nodes, crossing, n, percent)
+    wanted = asks.select("node").union(nodes_of(crossing)).distinct().join(sets, "node", "left_anti")
+    wanted = written(wanted, "minhash-wanted")
+    if not wanted.isEmpty():
+        sets = sets.union(full_sets(docs, nodes, wanted, n))
+    more = confirm(sets, crossing, percent).union(crowded(asks, labels, sets, percent))
+    more = written(more, "minhash-links")
+    if not more.isEmpty():
         labels = components(written(edges.union(more), "minhash-links"))
     # each set's component, and each component's smallest id
     sets = named.join(labels, "node", "left").select("set_id", label)

@@ -84,9 +84,9 @@ WITH RECURSIVE w AS (
 s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) = 1 THEN [words[1]]
         ELSE list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]) END) AS item FROM w),
 n AS (SELECT w.doc_id, count(s.item) AS n_shingles FROM w LEFT JOIN s ON s.doc_id = w.doc_id GROUP BY w.doc_id),
-p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM s a JOIN s b ON a.item = b.item AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS same FROM s a JOIN s b ON a.item = b.item AND a.doc_id <> b.doc_id GROUP BY 1, 2),
 e AS (SELECT p.a, p.b FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b
-      WHERE 100 * both >= 80 * (x.n_shingles + y.n_shingles - both)),
+      WHERE 100 * same >= 80 * (x.n_shingles + y.n_shingles - same)),
 r(doc_id, other) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.other)
 SELECT n.doc_id, n.n_shingles, c.component_id, n.doc_id = c.component_id AS kept
 FROM n JOIN (SELECT doc_id, min(other) AS component_id FROM r GROUP BY doc_id) c ON c.doc_id = n.doc_id"""
