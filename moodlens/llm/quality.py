@@ -46,7 +46,7 @@ CUT = 35.9
 #: Rows that the pooled estimate counts for in each group's own.
 POOLED_ROWS = 30
 #: Least standard deviation of each statistic: deviations that matter in no text.
-FLOORS = (0.35, 0.35, 0.35, 0.5, 0.06)
+FLOORS = (1.0, 0.35, 0.35, 0.5, 0.06)
 P = len(FLOORS)
 X = [f"x{i}" for i in range(P)]
 PAIRS = [(i, j) for i in range(P) for j in range(i + 1)]
