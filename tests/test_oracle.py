@@ -51,4 +51,4 @@ def test_entry_runs(spark):
 def test_every_query_has_callable():
     qs, sql = E.queries(), E.oracle_sql()
     assert set(sql) <= set(qs)
-    assert {"stream_batch_samples", "stream_account_age"} <= set(qs) - set(sql)
+    assert set(E.QUERIES) | set(E.STREAM_QUERIES) <= set(sql)

@@ -36,7 +36,7 @@ def test_scale_conf_bounds():
     small = scale_conf(10 * 1024 ** 2)
     assert small["spark.sql.shuffle.partitions"] == "200"
     big = scale_conf(100 * 1024 ** 4)  # 100 TB
-    assert big["spark.sql.shuffle.partitions"] == "100000"
+    assert big["spark.sql.shuffle.partitions"] == "409600"
     mid = scale_conf(1024 ** 4, text_heavy=True)  # 1 TB of text
     assert mid["spark.sql.shuffle.partitions"] == "4096"
     assert mid["spark.sql.files.maxPartitionBytes"] == str(64 * 1024 ** 2)
