@@ -17,25 +17,23 @@ from moodlens.llm import language_id, minhash, packing, secrets, tokens, toxicit
 from moodlens.llm.common import bucket, table, written
 
 
-def like(df: DataFrame, docs: DataFrame) -> DataFrame:
-    """``df`` with just the columns of ``docs``."""
-    return df.select(*[F.col(f"`{c}`") for c in docs.columns])
+def carried(docs: DataFrame) -> DataFrame:
+    """Each row as one column, which no operator's result can clash with, and its text."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), F.col("text").alias("__body"))
 
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the toxicity model predicts as toxic."""
     model = toxicity.learn(docs, toxicity.training_labels(table(spark, sf_dir, "labels")))
-    marked = docs.withColumn("__text", F.col("text"))
-    return like(toxicity.score(marked, model, text="__text").where("predicted = 0"), docs)
+    return toxicity.score(carried(docs), model, text="__body").where("predicted = 0").select("__doc.*")
 
 
 def language_known(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose text is in no learned language: those without a
     letter, and those unlike every profile."""
     profiles = language_id.learn(docs.where(bucket("doc_id", 4) != 2))
-    marked = docs.withColumn("__text", F.col("text"))
-    found = language_id.identify(marked, profiles, text="__text")
-    return like(found.where((F.col("lang_pred") != "und") & (F.col("score") >= language_id.LEAST_SCORE)), docs)
+    found = language_id.identify(carried(docs), profiles, text="__body")
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= language_id.LEAST_SCORE)).select("__doc.*")
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,16 +46,17 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     text_hash = F.xxhash64(F.coalesce(F.col("text").cast("binary"), F.lit(b"")))
     marked = docs.withColumn("__hash", text_hash).alias("d")
     kept = marked.join(stays.alias("s"), F.expr("d.__hash = s.text_hash AND d.doc_id <=> s.doc_id"), "left_semi")
-    return like(kept, docs)
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def secrets_masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Masks every secret in the text (``n_chars`` follows); all documents stay."""
     _, network = secrets.scan_table(docs)
-    marked = docs.withColumn("__text", F.col("text"))
-    found = secrets.redact(marked, network, text="__text")
-    text = F.when(F.col("text").isNotNull(), F.col("redacted"))
-    return like(found.withColumn("text", text).withColumn("n_chars", F.when(text.isNotNull(), F.length(text).cast("bigint")).otherwise(F.col("n_chars"))), docs)
+    found = secrets.redact(carried(docs), network, text="__body")
+    text = F.when(F.col("__body").isNotNull(), F.col("redacted"))
+    size = F.when(text.isNotNull(), F.length(text).cast("bigint"))
+    new = {"text": text, "n_chars": F.coalesce(size, F.col("__doc.n_chars"))}
+    return found.select(*[new.get(c, F.col(f"__doc.`{c}`")).alias(c) for c in docs.columns])
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

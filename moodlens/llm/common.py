@@ -58,10 +58,12 @@ def append(df: DataFrame, text: str, fields: T.StructType,
     and number; nothing is shuffled.
     """
     new = {f.name for f in fields}
-    keep = [c for c in df.columns if c not in new or c == text]
-    renamed = df.select(*[F.col(f"`{c}`") for c in keep if c not in new],
-                        F.coalesce(F.col(f"`{text}`").cast("binary"), F.lit(b"")).alias("__text"))
-    rest = [f for f in renamed.schema if f.name != "__text"]
+    body = "__text"
+    while body in df.columns:
+        body += "_"
+    renamed = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in new],
+                        F.coalesce(F.col(f"`{text}`").cast("binary"), F.lit(b"")).alias(body))
+    rest = [f for f in renamed.schema if f.name != body]
     schema = T.StructType([*rest, *fields])
     n_rest = len(rest)
 
