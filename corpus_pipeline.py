@@ -18,14 +18,21 @@ from moodlens.llm.common import bucket, table, written
 
 
 def carried(docs: DataFrame) -> DataFrame:
-    """Each row as one column, which no operator's result can clash with, and its text."""
-    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), F.col("text").alias("__body"))
+    """Each row as its text and one column of all others, so that no operator's
+    result can clash with them."""
+    return docs.select(F.struct(F.lit(1).alias("__"), *[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("__doc"),
+                       F.col("text").alias("__body"))
+
+
+def back(df: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` from what :func:`carried` made of them."""
+    return df.select(*[F.col("__body").alias(c) if c == "text" else F.col(f"__doc.`{c}`").alias(c) for c in docs.columns])
 
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the toxicity model predicts as toxic."""
     model = toxicity.learn(docs, toxicity.training_labels(table(spark, sf_dir, "labels")))
-    return toxicity.score(carried(docs), model, text="__body").where("predicted = 0").select("__doc.*")
+    return back(toxicity.score(carried(docs), model, text="__body").where("predicted = 0"), docs)
 
 
 def language_known(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +40,7 @@ def language_known(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     letter, and those unlike every profile."""
     profiles = language_id.learn(docs.where(bucket("doc_id", 4) != 2))
     found = language_id.identify(carried(docs), profiles, text="__body")
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= language_id.LEAST_SCORE)).select("__doc.*")
+    return back(found.where((F.col("lang_pred") != "und") & (F.col("score") >= language_id.LEAST_SCORE)), docs)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -163,7 +163,7 @@ def coder(spark, file: str, pattern: str):
     shared = spark.sparkContext.broadcast((vocabulary, vars(hashed), pattern))
 
     def get() -> Coder:
-        state = worker_state()
+        state = worker_state("bpe")
         if ("bpe", file, pattern) not in state:
             words, parts, p = shared.value
             table = PerfectHash.__new__(PerfectHash)
@@ -205,7 +205,7 @@ def digests(docs: DataFrame, file: str, pattern: str, text: str = "text") -> Dat
 
     def each():
         c = get()
-        state = worker_state()
+        state = worker_state("bpe")
         if "decimal" not in state or len(state["decimal"]) < len(c.vocabulary):
             state["decimal"] = [b"%d" % i for i in range(len(c.vocabulary))]
         decimal = state["decimal"].__getitem__

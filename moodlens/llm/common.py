@@ -58,23 +58,25 @@ def append(df: DataFrame, text: str, fields: T.StructType,
     and number; nothing is shuffled.
     """
     new = {f.name for f in fields}
-    body = "__text"
-    while body in df.columns:
-        body += "_"
-    renamed = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in new],
-                        F.coalesce(F.col(f"`{text}`").cast("binary"), F.lit(b"")).alias(body))
-    rest = [f for f in renamed.schema if f.name != body]
-    schema = T.StructType([*rest, *fields])
-    n_rest = len(rest)
+    rest = [c for c in df.columns if c not in new]
+    columns = [F.col(f"`{c}`") for c in rest]
+    if text in rest:  # it travels once
+        at = rest.index(text)
+    else:
+        at = len(rest)
+        columns.append(F.col(f"`{text}`").alias("__body"))
+    given = df.select(*columns)
+    schema = T.StructType([*given.schema.fields[:len(rest)], *fields])
+    names, n_rest = schema.names, len(rest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = each()
         for batch in chunks(batches):
-            out = fn(batch.column(n_rest).to_pylist())
+            out = fn([x or b"" for x in batch.column(at).cast(pa.binary()).to_pylist()])
             arrays = [pa.array(x, t) for x, t in zip(out, arrow_types(fields), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n_rest], *arrays], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n_rest], *arrays], names=names)
 
-    return renamed.mapInArrow(run, schema)
+    return given.mapInArrow(run, schema)
 
 
 def arrow_types(fields: T.StructType) -> list[pa.DataType]:
@@ -83,11 +85,16 @@ def arrow_types(fields: T.StructType) -> list[pa.DataType]:
     return [to_arrow_type(f.dataType) for f in fields]
 
 
-def worker_state() -> dict:
-    """A dictionary that lives as long as the Python worker, so that later
-    tasks find loaded vocabularies and warm caches."""
+def worker_state(owner: str) -> dict:
+    """An operator's dictionary that lives as long as the Python worker, so
+    that later tasks find loaded vocabularies and warm caches.  It is emptied
+    when a task of another operator comes: a worker holds the caches of one."""
     name = "_moodlens_worker_state"
     if name not in sys.modules:
         sys.modules[name] = types.ModuleType(name)
         sys.modules[name].state = {}
-    return sys.modules[name].state
+    state = sys.modules[name].state
+    if state.get("owner") != owner:
+        state.clear()
+        state["owner"] = owner
+    return state

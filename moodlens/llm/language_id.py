@@ -41,7 +41,7 @@ FIELDS = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField
 
 def letter_table() -> np.ndarray:
     """For each code point itself if it is a letter, else 1, the separator."""
-    state = worker_state()
+    state = worker_state("language")
     if "letters" not in state:
         state["letters"] = np.fromiter((i if chr(i).isalpha() else 1 for i in range(0x110000)), np.int64, 0x110000)
     return state["letters"]

@@ -91,7 +91,7 @@ def packed(least: np.ndarray) -> np.ndarray:
 
 
 def word_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
-    cache = worker_state().setdefault("minhash-words", WordHash())
+    cache = worker_state("minhash").setdefault("minhash-words", WordHash())
     return [shingles(cache.array(t.lower().split()), n) for t in texts]
 
 

@@ -38,7 +38,7 @@ class Pieces:
     list of values as one.  Either cache is emptied when it is full.
     """
 
-    def __init__(self, new: Callable, general: Callable, join: Callable, limit: int = 500_000):
+    def __init__(self, new: Callable, general: Callable, join: Callable, limit: int = 300_000):
         self.new, self.general, self.join, self.limit = new, general, join, limit
         self.pieces: dict[bytes, object] = {}
         self.pretokens: dict[str, object] = {}

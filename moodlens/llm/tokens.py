@@ -20,7 +20,7 @@ def encoder(file: str) -> Callable[[list[bytes]], list[bytes]]:
     """A function from texts (UTF-8) to their ids as unsigned 32-bit bytes.
     Strings of special tokens in a text are ordinary text.  The tokenizer and
     its caches live as long as the Python worker."""
-    state = worker_state()
+    state = worker_state("tokens")
     if ("tokens", file) not in state:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer

@@ -188,7 +188,7 @@ def evidence(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(vars(model))
 
     def each():
-        m, cache = Model(**shared.value), worker_state().setdefault("toxicity-words", WordHash())
+        m, cache = Model(**shared.value), worker_state("toxicity").setdefault("toxicity-words", WordHash())
 
         def one(texts: list[bytes]) -> list:
             places = [words(t, cache) for t in texts]
@@ -204,7 +204,7 @@ def score(docs: DataFrame, model: Model | None, text: str = "text", threshold: f
     shared = docs.sparkSession.sparkContext.broadcast(model and vars(model))  # executors need not import Model
 
     def each():
-        m, cache = shared.value and Model(**shared.value), worker_state().setdefault("toxicity-words", WordHash())
+        m, cache = shared.value and Model(**shared.value), worker_state("toxicity").setdefault("toxicity-words", WordHash())
 
         def one(texts: list[bytes]) -> list:
             if m is None:
