@@ -17,8 +17,12 @@ the fewer rows it has.
 Baum-Welch: every iteration computes expected counts over all training texts
 (in segments of ``SEGMENT`` tokens that advance together), aggregates them by
 Spark as fixed-point numbers, so that their sum is the same in any order, and
-re-estimates.  The score of a text is the scaled forward recursion over all of
-its tokens.
+re-estimates, until the relative gain of the summed training log-likelihood
+falls to ``TOLERANCE``.  The iterations over all texts start from the likeliest of
+``FIRST_STARTS`` models that have converged (to ``FIRST_TOLERANCE``) on the
+beginnings of ``FIRST_TEXTS`` of them: near a random start the states hardly
+differ, and there a small gain isn't convergence.  The score of a text is the scaled forward recursion over all
+of its tokens.
 
 Defined results: a null or empty text is the end alone.  A null id counts as an
 empty one in the choice of held-out rows.  Repeated rows are scored each (and
@@ -45,7 +49,10 @@ HEAD = 200_000
 OWN = 4096
 HASHED = 1024
 SYMBOLS = OWN + HASHED
-ITERATIONS = 4
+#: Relative gains of the training log-likelihood under which an iteration is the last.
+TOLERANCE, FIRST_TOLERANCE = 1e-4, 1e-5
+#: Random starts, training texts that they converge on, and tokens of each (parameters of the start alone).
+FIRST_STARTS, FIRST_TEXTS, FIRST_TOKENS = 4, 1000, 2048
 SEGMENT = 256
 SMOOTH = 0.1
 FIXED = 1 << 16
@@ -174,20 +181,25 @@ class Hmm:
 
 
 def first_model(v: Vocabulary, seed: int = 11) -> Hmm:
-    """Unigram frequencies, perturbed apart for each state."""
+    """Unigram frequencies, perturbed far apart for each state."""
     rng = np.random.default_rng(seed)
     share = np.full(SYMBOLS, SMOOTH)
     n = min(OWN, len(v.counts))
     share[:n] += v.counts[:n]
     share[OWN:] += v.symbol_n
-    emit = share[:, None] * rng.uniform(0.2, 1.8, (SYMBOLS, STATES))
-    move = rng.uniform(0.5, 1.5, (STATES, STATES))
+    emit = share[:, None] * (rng.gamma(0.3, 1, (SYMBOLS, STATES)) + 0.01)
+    move = rng.gamma(0.3, 1, (STATES, STATES)) + 0.01
     flat = np.full(STATES, 1 / STATES)
     return Hmm(flat, flat, move / move.sum(1, keepdims=True), emit / emit.sum(0))
 
 
 def expected(m: Hmm, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Expected counts (start, inner, move, emit) over texts of symbols."""
+    return judged(m, texts)[:4]
+
+
+def judged(m: Hmm, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, float]:
+    """Expected counts, and the log-likelihood of the texts' segments."""
     parts = [(x[i:i + SEGMENT], i == 0) for x in texts for i in range(0, len(x), SEGMENT)]
     parts.sort(key=lambda p: -len(p[0]))
     size = np.array([len(p) for p, _ in parts])
@@ -220,18 +232,51 @@ def expected(m: Hmm, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, n
     flat = symbols.ravel()
     emit = np.stack([np.bincount(flat, ahead[:, :, k].ravel(), SYMBOLS) for k in range(STATES)], axis=1)  # idle lanes weigh 0
     inner += emit.sum(0)
-    return start, inner, move * m.move, emit
+    return start, inner, move * m.move, emit, float(np.log(scale).sum())
+
+
+def estimate(start: np.ndarray, inner: np.ndarray, move: np.ndarray, emit: np.ndarray) -> Hmm:
+    """The model of expected counts."""
+    move, emit = move + SMOOTH, emit + SMOOTH
+    share = lambda x: (x + SMOOTH) / (x + SMOOTH).sum()
+    return Hmm(share(start), share(inner), move / move.sum(1, keepdims=True), emit / emit.sum(0))
 
 
-def improve(m: Hmm, seqs: DataFrame) -> Hmm:
-    """One Baum-Welch iteration over all training rows of ``seqs``."""
+def settled(before: float, now: float, tolerance: float) -> bool:
+    """Whether the log-likelihood gains no more than ``tolerance`` of itself."""
+    return now - before <= tolerance * abs(now)
+
+
+def started(v: Vocabulary, seqs: DataFrame) -> Hmm:
+    """The likeliest of ``FIRST_STARTS`` models, each converged on the beginnings
+    of a bounded number of training texts."""
+    rows = (seqs.where("NOT held_out").select("doc_id", F.substring("symbols", 1, 2 * FIRST_TOKENS).alias("symbols"))
+            .orderBy(F.xxhash64("doc_id"), "symbols").limit(FIRST_TEXTS).toArrow())
+    texts = [np.frombuffer(x, "<u2") for x in rows.column(1).to_pylist()]
+    best, most = first_model(v), -np.inf
+    for seed in range(FIRST_STARTS if texts else 0):
+        m, before = first_model(v, seed), -np.inf
+        while True:
+            found = [judged(m, texts[i:i + 1024]) for i in range(0, len(texts), 1024)]
+            now = sum(x[4] for x in found)
+            if settled(before, now, FIRST_TOLERANCE):
+                break
+            before, m = now, estimate(*(sum(x[k] for x in found) for k in range(4)))
+        if now > most:
+            best, most = m, now
+    return best
+
+
+def improve(m: Hmm, seqs: DataFrame) -> tuple[Hmm, float]:
+    """One Baum-Welch iteration over all training rows of ``seqs``, and their
+    log-likelihood before it."""
     shared = seqs.sparkSession.sparkContext.broadcast(vars(m))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, total = Hmm(**shared.value), None
         for batch in chunks(batches, 1024):
-            found = expected(m, [np.frombuffer(x, "<u2") for x in batch.column(0).to_pylist()])
-            flat = np.concatenate([x.ravel() for x in found])
+            found = judged(m, [np.frombuffer(x, "<u2") for x in batch.column(0).to_pylist()])
+            flat = np.concatenate([np.ravel(x) for x in found])
             total = flat if total is None else total + flat
         if total is not None:
             n = np.round(total * FIXED).astype(np.int64)
@@ -240,12 +285,20 @@ def improve(m: Hmm, seqs: DataFrame) -> Hmm:
 
     rows = (seqs.where("NOT held_out").select("symbols").mapInArrow(run, "i int, n bigint").groupBy("i")
             .agg(F.sum(F.col("n").cast("decimal(38,0)")).cast("double").alias("n")).toArrow())  # at most the model's size
-    flat = np.zeros(2 * STATES + STATES * STATES + SYMBOLS * STATES)
+    flat = np.zeros(2 * STATES + STATES * STATES + SYMBOLS * STATES + 1)
     flat[rows.column(0).to_numpy()] = rows.column(1).to_numpy() / FIXED
-    start, inner, move, emit = np.split(flat, [STATES, 2 * STATES, 2 * STATES + STATES * STATES])
-    move, emit = move.reshape(STATES, STATES) + SMOOTH, emit.reshape(SYMBOLS, STATES) + SMOOTH
-    share = lambda x: (x + SMOOTH) / (x + SMOOTH).sum()
-    return Hmm(share(start), share(inner), move / move.sum(1, keepdims=True), emit / emit.sum(0))
+    start, inner, move, emit = np.split(flat[:-1], [STATES, 2 * STATES, 2 * STATES + STATES * STATES])
+    return estimate(start, inner, move.reshape(STATES, STATES), emit.reshape(SYMBOLS, STATES)), float(flat[-1])
+
+
+def converged(v: Vocabulary, seqs: DataFrame) -> Hmm:
+    """Baum-Welch over all training rows until the log-likelihood settles."""
+    m, before = started(v, seqs), -np.inf
+    while True:
+        after, now = improve(m, seqs)
+        if settled(before, now, TOLERANCE):  # also without training rows
+            return m
+        before, m = now, after
 
 
 def likelihoods(m: Hmm, texts: list[np.ndarray]) -> np.ndarray:
@@ -286,16 +339,19 @@ def forward(m: Hmm, seqs: DataFrame) -> DataFrame:
     return seqs.select("row", "symbols").mapInArrow(run, "row bigint, hmm double")
 
 
-def score(docs: DataFrame, iterations: int = ITERATIONS) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
+def score(docs: DataFrame, iterations: int | None = None) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
+
+    ``iterations``: that many from the random start, else until convergence.
+    """
     rows = docs.select("doc_id", (bucket("doc_id", 10) == 0).alias("held_out"),
                        F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
     counts = written(count_words(rows.where("NOT held_out")), "lm-counts")
     v = frequent(counts)
     seqs = written(sequences(rows, v), "lm-sequences")
-    m = first_model(v)
-    for _ in range(iterations):
-        m = improve(m, seqs)
+    m = converged(v, seqs) if iterations is None else first_model(v)
+    for _ in range(iterations or 0):
+        m, _ = improve(m, seqs)
     rare = counts.where((F.floor(8 * F.log2("c")) < v.least) & (F.col("word") != END))
     others = (seqs.select("row", F.inline("others")).join(rare, "word", "left").groupBy("row")
               .agg(F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 0.1)).alias("rare_logs"),

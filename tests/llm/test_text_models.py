@@ -155,6 +155,13 @@ def test_training_raises_the_likelihood(spark):
     assert at[1] > at[0]
 
 
+def test_states_part_so_that_held_out_texts_score_above_unigrams(spark):
+    got = QUERIES["op2_lm_score"](spark, "/root/testdata/sf0.01").where("held_out")
+    gain = got.agg((F.sum("score") - F.sum("base_score")) / F.sum("n_tokens")).first()[0]
+    assert gain > 0.1  # log10 per token
+    assert lm.score(frame(spark, [])).count() == 0
+
+
 def test_language_model_of_odd_rows(spark):
     docs = frame(spark)
     rows = lm.score(docs, 1).collect()
