@@ -48,12 +48,22 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     similarity 0.8 or more): the one with the smallest id.  Texts without words
     are duplicates of nothing."""
     found = minhash.near_duplicates(docs, n=5)
-    # of equal rows (same id, same text) the first stands for them: one row per content
-    stays = found.where("first").select("doc_id", "text_hash").distinct()
+    again = (F.count("*") > 1) & (F.max("n_shingles") > 0)
+    heads = found.groupBy("doc_id", "text_hash").agg(F.max("first").alias("first"), again.alias("again")).where("first")
+    heads = written(heads, "pipeline-heads")
     text_hash = F.xxhash64(F.coalesce(F.col("text").cast("binary"), F.lit(b"")))
-    marked = docs.withColumn("__hash", text_hash).alias("d")
-    kept = marked.join(stays.alias("s"), F.expr("d.__hash = s.text_hash AND d.doc_id <=> s.doc_id"), "left_semi")
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    marked, own = docs.withColumn("__hash", text_hash).alias("d"), [F.col(f"`{c}`") for c in docs.columns]
+
+    def of(which: str) -> DataFrame:
+        return marked.join(heads.where(which).alias("s"), F.expr("d.__hash = s.text_hash AND d.doc_id <=> s.doc_id"), "left_semi")
+
+    kept = of("NOT again").select(*own)
+    if heads.where("again").isEmpty():
+        return kept
+    # equal rows (same id or none, same text): one stands for them, the others go before the shuffle of each task
+    rest = F.to_json(F.struct(F.lit(1).alias("__"), *[F.col(f"`{c}`") for c in docs.columns if c != "text"]))
+    one = of("again").groupBy("doc_id", "__hash").agg(F.min_by(F.struct(*own), rest).alias("__row"))
+    return kept.union(one.select(*[F.col(f"__row.`{c}`").alias(c) for c in docs.columns]))
 
 
 def secrets_masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -305,6 +305,15 @@ def test_stages_take_effect(spark):
     assert by(docs).keys() >= by(stages["toxicity"](spark, docs, "/root/testdata/sf0.01")).keys()
 
 
+def test_repeated_rows_and_copies_without_an_id_stay_once(spark):
+    text = "one two three four five six seven eight nine ten"
+    rows = [(7, text, "en", "a", 1)] * 3 + [(8, text, "en", "a", 1)] + [(None, "other words " + text[::-1], "en", s, 1) for s in "cabc"] + [(9, "", "en", "a", 0)] * 2
+    docs = frame(spark, rows)
+    got = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, SF)
+    assert got.columns == docs.columns
+    assert sorted((str(r.doc_id), r.text[:5], r.source) for r in got.collect()) == [("7", "one t", "a"), ("9", "", "a"), ("9", "", "a"), ("None", "other", "a")]
+
+
 def test_pipeline_rows(spark):
     rows = corpus_pipeline.run(spark, SF).collect()
     assert rows and all(r.offset + r.length <= 1024 for r in rows)
