@@ -7,7 +7,8 @@ Candidates share a band key; a pair is looked at further if the sizes allow the
 similarity and the signatures' matching fields, counted on the packed bits and
 corrected for chance matches, come within five standard errors of it.  At a
 similarity of 0.8 a pair is in no common band once in 7 million, and lost by its
-estimate once in 3 million.  What is left is confirmed on both full sets.
+estimate once in 3 million.  That doesn't hold for very small sets, in which chance
+matches depend on each other, so under ``SMALL`` shingles no estimate is asked.  What is left is confirmed on both full sets.
 
 No bucket is expanded into its pairs.  Every node of a bucket is first paired
 with the bucket's smallest node only, and in ``PICKED`` bands with one that a
@@ -50,6 +51,8 @@ BANDS, ROWS, BITS = 40, 5, 2
 HASHES = BANDS * ROWS
 LONGS = -(-HASHES * BITS // 64)
 PERCENT = 80
+#: Shingles under which a set is compared in full whatever its signature says.
+SMALL = 30
 CELL = 512
 #: Nodes of one component in a bucket from which the others meet it in cells.
 CROWD = 32
@@ -131,7 +134,8 @@ def near(x: str, y: str, percent: int) -> Column:
         z = F.get(f"{x}.signature", F.lit(i)).bitwiseXOR(F.get(f"{y}.signature", F.lit(i)))
         differ.append(F.bit_count(z.bitwiseOR(F.shiftrightunsigned(z, 1)).bitwiseAND(F.lit(mask))))
     a, b = F.col(f"{x}.n_shingles"), F.col(f"{y}.n_shingles")
-    return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & (reduce(lambda p, q: p + q, differ) <= HASHES - least_matches(percent))
+    estimate = reduce(lambda p, q: p + q, differ) <= HASHES - least_matches(percent)
+    return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & ((F.least(a, b) < SMALL) | estimate)
 
 
 def full_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, n: int) -> DataFrame:

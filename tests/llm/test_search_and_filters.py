@@ -278,6 +278,21 @@ def test_signature_estimates():
         assert abs(np.mean(errors)) < 0.03
 
 
+def test_short_texts_with_unlucky_signatures_are_linked(spark):
+    a, b = minhash.permutations()
+    allowed = minhash.HASHES - minhash.least_matches(80)
+    rows = []
+    for i in range(20_000):  # four and five shingles, four of them shared
+        texts = [f"a{i} b{i} c{i} d{i} e{i}", f"a{i} b{i} c{i} d{i} e{i} f{i}"]
+        one, two = (minhash.packed(minhash.minima(s, a, b)).view(np.uint64) for s in minhash.word_sets([t.encode() for t in texts], 2))
+        z = one ^ two
+        if int(np.bitwise_count((z | (z >> np.uint64(1))) & np.uint64(0x5555555555555555)).sum()) > allowed:
+            rows += [(2 * i + k, t, "", "", 0) for k, t in enumerate(texts)]
+    assert rows
+    got = minhash.near_duplicates(frame(spark, rows), 2).collect()
+    assert all(r.component_id == r.doc_id // 2 * 2 for r in got)
+
+
 # the pipeline
 
 
