@@ -3,9 +3,13 @@
 One interpolated Kneser-Ney model is fitted to labelled toxic texts and one to
 labelled ordinary texts.  Bigrams back off to continuation counts of the class,
 and these to a count that both classes share: in how many of the models a word
-occurs.  So a rare expression has the same backoff in either.  A document's score is a logistic function of the difference of the two
-log-likelihoods, normalised by length (per word, and per square root of the
-words); it is calibrated on labelled rows that took no part in the counts and
+occurs.  So a rare expression has the same backoff in either.  All counted
+bigrams are kept, with discounts that follow from how many are rare.  A
+document's score is a logistic function of the differences of the two
+log-likelihoods, those of the words alone and what bigrams add to them, each
+normalised by length (per word, and per square root of the words).  Small
+differences are taken for chance: the margins of both, and the weights, are those
+with the least log loss on labelled rows that took no part in the counts,
 weighted back to the labels' own frequencies.
 
 The classifier is fitted on a bounded sample: the ``SAMPLE`` rows of each label
@@ -24,6 +28,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -38,14 +43,12 @@ SAMPLE = (24_000, 6_000)
 WORD_BITS = 18
 PAIR_BITS = 20
 DISCOUNT = 0.75
-#: Bigrams in fewer sampled documents are left to the backoff.
-LEAST_PAIR = 300
-#: In log10: smaller differences between the models are taken for chance.
-MARGIN = 1.2
+#: In log10: differences between the models from which a word may count; the held-out rows choose.
+MARGINS = (0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.8, 1.0, 1.2, 1.4, 1.6, 1.8, 2.0)
 #: Score from which a document counts as toxic.
 THRESHOLD = 0.7
 
-EVIDENCE = T.StructType([T.StructField("llr", T.DoubleType()), T.StructField("n_words", T.LongType())])
+EVIDENCE = T.StructType([T.StructField("llr", T.ArrayType(T.DoubleType())), T.StructField("n_words", T.LongType())])
 FIELDS = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
 #: Letters, digits and bytes of other scripts stay, the rest separates words.
@@ -58,7 +61,8 @@ class Model:
     back: np.ndarray    # weight of the lower order after each word: 2 x words
     pair: np.ndarray    # discounted counts of bigrams: 2 x pairs
     total: np.ndarray   # occurrences of each word as context: 2 x words
-    weights: tuple[float, float, float] = (0.0, 0.0, 0.0)  # constant, per word, per root
+    weights: tuple[float, ...] = (0.0,) * 5  # constant, of words per word and per root, of pairs per word and per root
+    margins: tuple[float, float] = (0.0, 0.0)  # of words and pairs
 
 
 def words(text: bytes, cache: WordHash) -> np.ndarray:
@@ -122,16 +126,18 @@ def learn(docs: DataFrame, labels: DataFrame, rows: tuple[int, int] = SAMPLE) ->
     size = 1 << WORD_BITS
     n0, n1 = arrays(counted.groupBy("w").agg(has("c0").alias("n0"), has("c1").alias("n1")), "w", size, ["n0", "n1"])
     s0, s1 = arrays(counted.groupBy("v").agg(F.sum("c0").alias("s0"), F.sum("c1").alias("s1")), "v", size, ["s0", "s1"])
-    often = counted.where(F.col("c0") + F.col("c1") >= LEAST_PAIR).select(
-        "v", "w", *[F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)).alias(c) for c in ("c0", "c1")])
-    k0, k1 = arrays(often.groupBy("v").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")), "v", size, ["c0", "c1"])
+    rare = counted.agg(*[F.count_if(F.col(c) == k).alias(f"{c}_{k}") for c in ("c0", "c1") for k in (1, 2, 3, 4)]).first()
+    discount = {c: discounts([rare[f"{c}_{k}"] for k in (1, 2, 3, 4)]) for c in ("c0", "c1")}
+    less = lambda c: F.when(F.col(c) > 2, F.col(c) - discount[c][2]).when(F.col(c) == 2, 2 - discount[c][1]).when(F.col(c) == 1, 1 - discount[c][0]).otherwise(0.0)
+    pairs_less = counted.select("v", "w", *[less(c).alias(c) for c in ("c0", "c1")])
+    k0, k1 = arrays(pairs_less.groupBy("v").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")), "v", size, ["c0", "c1"])
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = pair_places(b.column(0).to_numpy(), b.column(1).to_numpy())
             yield pa.RecordBatch.from_arrays([pa.array(at), b.column(2), b.column(3)], names=["at", "c0", "c1"])
 
-    p0, p1 = arrays(often.mapInArrow(places, "at bigint, c0 double, c1 double").groupBy("at")
+    p0, p1 = arrays(pairs_less.mapInArrow(places, "at bigint, c0 double, c1 double").groupBy("at")
                     .agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")), "at", 1 << PAIR_BITS, ["c0", "c1"])
     models = (n0 > 0) + (n1 > 0) + 0.5  # the shared continuation count: in how many models a word occurs
     shared = models / models.sum()
@@ -145,19 +151,41 @@ def learn(docs: DataFrame, labels: DataFrame, rows: tuple[int, int] = SAMPLE) ->
     held = evidence(taken.where("NOT fit").select("y", "text"), model).select("y", "llr", "n_words").toArrow()
     y = held.column("y").to_numpy() > 0
     of_all = labels.where("toxic IS NOT NULL").agg(F.avg((F.col("toxic") > 0).cast("double"))).first()[0]
-    model.weights = calibrate(held.column("llr").to_numpy(), held.column("n_words").to_numpy(), y, of_all)
+    n, llr = held.column("n_words").to_numpy(), np.array(held.column("llr").to_pylist()).reshape(-1, 2, len(MARGINS))
+    least = np.inf
+    for i, j in product(range(len(MARGINS)), repeat=2):
+        x = features(llr[:, 0, i], llr[:, 1, j], n)
+        weights = calibrate(x, y, of_all)
+        off = loss(weights, x, y, of_all)
+        if off < least:
+            least, model.weights, model.margins = off, weights, (MARGINS[i], MARGINS[j])
     return model
 
 
-def calibrate(llr: np.ndarray, n: np.ndarray, y: np.ndarray, prior: float) -> tuple[float, float, float]:
+def discounts(n: list[int]) -> tuple[float, float, float]:
+    """Modified Kneser-Ney discounts of counts of one, two, and three or more,
+    from how many bigrams have counts of one to four; ``DISCOUNT`` where too few do."""
+    if not all(n):
+        return (DISCOUNT, DISCOUNT, DISCOUNT)
+    y = n[0] / (n[0] + 2 * n[1])
+    return tuple(min(max(k - (k + 1) * y * n[k] / n[k - 1], 0.0), float(k)) for k in (1, 2, 3))
+
+
+def loss(weights: tuple[float, ...], x: np.ndarray, y: np.ndarray, prior: float) -> float:
+    """Log loss, each class weighted to its share ``prior`` among all labels."""
+    z = x @ np.array(weights)
+    each = np.logaddexp(0, np.where(y, -z, z))
+    return float(prior * each[y].mean() + (1 - prior) * each[~y].mean())
+
+
+def calibrate(x: np.ndarray, y: np.ndarray, prior: float) -> tuple[float, ...]:
     """Weights of a logistic regression (Newton steps, slight ridge), each
     class weighted to its share ``prior`` among all labels."""
-    x = features(llr, n)
     scale = np.maximum(np.abs(x).max(axis=0), 1e-9)
     x = x / scale
     w = np.where(y, prior / max(y.mean(), 1e-9), (1 - prior) / max(1 - y.mean(), 1e-9))
-    beta = np.zeros(3)
-    ridge = np.diag([1e-6, 1e-3, 1e-3])
+    beta = np.zeros(x.shape[1])
+    ridge = np.diag([1e-6] + [1e-3] * (x.shape[1] - 1))
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
         step = np.linalg.solve(x.T @ (x * (w * p * (1 - p))[:, None]) + ridge, x.T @ (w * (y - p)) - ridge @ beta)
@@ -167,24 +195,28 @@ def calibrate(llr: np.ndarray, n: np.ndarray, y: np.ndarray, prior: float) -> tu
     return tuple(float(b) for b in beta / scale)
 
 
-def features(llr: np.ndarray, n: np.ndarray) -> np.ndarray:
+def features(of_words: np.ndarray, of_pairs: np.ndarray, n: np.ndarray) -> np.ndarray:
     n = np.maximum(n, 1)
-    return np.stack([np.ones(len(n)), llr / n, llr / np.sqrt(n)], axis=1)
+    return np.stack([np.ones(len(n)), of_words / n, of_words / np.sqrt(n), of_pairs / n, of_pairs / np.sqrt(n)], axis=1)
 
 
-def ratio(places: np.ndarray, m: Model) -> float:
-    """log10 likelihood of the words as toxic less that as ordinary, beyond the margin of each."""
-    if len(places) < 2:
-        return 0.0
+def differences(places: np.ndarray, m: Model) -> tuple[np.ndarray, np.ndarray]:
+    """log10 of each word's probability as toxic less that as ordinary: that of
+    the lower order, and what its bigram adds to it."""
     v, w = places[:-1], places[1:]
     at = pair_places(v, w)
     seen = [m.pair[c][at] / np.maximum(m.total[c][v], 1) + m.back[c][v] * m.lower[c][w] for c in (0, 1)]
-    each = np.log10(seen[1].astype(np.float64) / seen[0])
-    return float((np.sign(each) * np.maximum(np.abs(each) - MARGIN, 0)).sum())
+    of_words = np.log10(m.lower[1][w].astype(np.float64) / m.lower[0][w])
+    return of_words, np.log10(seen[1].astype(np.float64) / seen[0]) - of_words
+
+
+def ratio(each: np.ndarray, margin: float) -> float:
+    """The sum of differences beyond the margin of each."""
+    return float((np.sign(each) * np.maximum(np.abs(each) - margin, 0)).sum())
 
 
 def evidence(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with ``llr`` (log10 likelihood ratio) and ``n_words``."""
+    """``docs`` with ``llr`` (log10 likelihood ratio, of words and of pairs for each of ``MARGINS``) and ``n_words``."""
     shared = docs.sparkSession.sparkContext.broadcast(vars(model))
 
     def each():
@@ -192,7 +224,8 @@ def evidence(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
         def one(texts: list[bytes]) -> list:
             places = [words(t, cache) for t in texts]
-            return [[ratio(p, m) for p in places], [len(p) - 1 for p in places]]
+            each = [differences(p, m) for p in places]
+            return [[[ratio(x, k) for x in both for k in MARGINS] for both in each], [len(p) - 1 for p in places]]
 
         return one
 
@@ -210,7 +243,8 @@ def score(docs: DataFrame, model: Model | None, text: str = "text", threshold: f
             if m is None:
                 return [[0.0] * len(texts), [0] * len(texts)]
             places = [words(t, cache) for t in texts]
-            x = features(np.array([ratio(p, m) for p in places]), np.array([len(p) - 1 for p in places]))
+            found = [[ratio(x, k) for x, k in zip(differences(p, m), m.margins, strict=True)] for p in places]
+            x = features(*np.array(found).reshape(-1, 2).T, np.array([len(p) - 1 for p in places]))
             p = 1 / (1 + np.exp(-np.clip(x @ np.array(m.weights), -30, 30)))
             return [p, (p >= threshold).astype(np.int32)]
 

@@ -41,6 +41,18 @@ def test_toxicity_of_odd_rows_and_without_labels(spark):
     assert toxicity.score(frame(spark, []), model).count() == 0
 
 
+def test_texts_toxic_by_phrase_alone(spark):
+    rng, texts = np.random.default_rng(5), []
+    for i in range(240):  # both kinds hold the same words; the order of two differs
+        rest = list(rng.choice(["the", "house", "river", "green", "walk", "table", "seven", "lamp"], 10))
+        at = rng.integers(10)
+        texts.append((i, " ".join([*rest[:at], *(("get", "lost") if i % 2 else ("lost", "get")), *rest[at:]]), "en", "a", 1))
+    docs = frame(spark, texts)
+    model = toxicity.learn(docs, labels(spark, [(i, 1, i % 2) for i in range(160)]))
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model).where("doc_id >= 160").collect()}
+    assert np.mean([s > 0.5 for i, s in got.items() if i % 2]) > 0.9 > 0.1 > np.mean([s > 0.5 for i, s in got.items() if not i % 2])
+
+
 def test_held_out_rows_teach_nothing(spark):
     texts = [(i, ("awful rotten trash " if i % 2 else "good kind words ") * 5 + f"w{i} v{i}", "en", "a", 1) for i in range(90)]
     mine = labels(spark, [(i, 1, i % 2) for i in range(90)])
