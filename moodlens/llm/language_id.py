@@ -8,9 +8,9 @@ out-of-place distance: the sum, over the document's n-grams, of how far their
 ranks lie apart, with the profile's length for an n-gram that is absent.
 
 Counts are made per Arrow batch, summed by Spark, and ranked per language.
-Only languages with at least one row in ``1 / MAX_LANGUAGES`` of the training
-rows are learned, so there are at most ``MAX_LANGUAGES`` profiles of
-``PROFILE`` entries: that bounds what is broadcast, at any size of input.
+Every language of the training rows is learned, however rare.  What is broadcast
+are the entries of the profiles by n-gram, at most ``PROFILE`` a language: it
+grows with the number of languages, not with the rows.
 
 Defined results: a null or empty text, or one without a letter, is ``und``
 with score 0; so is every text if nothing could be learned.  Ties go to the
@@ -31,7 +31,6 @@ from pyspark.sql import types as T
 from .common import append, chunks, worker_state
 
 PROFILE = 300
-MAX_LANGUAGES = 1000
 #: Score under which the pipeline takes a document for no known language:
 #: text of random letters lies near 0.1, whole sentences over 0.3.
 LEAST_SCORE = 0.12
@@ -70,13 +69,10 @@ def ranked(text: bytes, letters: np.ndarray, size: int) -> np.ndarray:
     return grams[np.lexsort((grams, -n))][:size]
 
 
-def learn(docs: DataFrame, text: str = "text", lang: str = "lang", profile: int = PROFILE,
-          max_languages: int = MAX_LANGUAGES) -> dict[str, list[int]]:
+def learn(docs: DataFrame, text: str = "text", lang: str = "lang", profile: int = PROFILE) -> dict[str, list[int]]:
     """Profiles from all rows of ``docs`` with a language: language -> n-grams in rank order."""
     rows = docs.where(F.col(lang).isNotNull()).select(
         F.col(lang).cast("string").alias("lang"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text"))
-    schema = "lang string, gram bigint, n bigint, rows bigint"
-
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters = letter_table()
         for batch in chunks(batches, 512):
@@ -85,23 +81,15 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", profile: int
                 by_lang.setdefault(k, []).append(t)
             for k, texts in by_lang.items():
                 grams, n = np.unique(np.concatenate([ngrams(t, letters) for t in texts]), return_counts=True)
-                grams, n = np.append(grams, -1), np.append(n, 0)  # -1: the row count
-                rows = np.zeros(len(grams), np.int64)
-                rows[-1] = len(texts)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([k] * len(grams), pa.string()), pa.array(grams), pa.array(n.astype(np.int64)), pa.array(rows)],
-                    names=["lang", "gram", "n", "rows"])
-
-    counts = rows.mapInArrow(count, schema).groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.sum("rows").alias("rows"))
-    whole = Window.partitionBy()
-    # the -1 rows, one a language, say which languages are frequent enough
+                yield pa.RecordBatch.from_arrays([pa.array([k] * len(grams), pa.string()), pa.array(grams), pa.array(n.astype(np.int64))],
+                                                 names=["lang", "gram", "n"])
+
+    counts = rows.mapInArrow(count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     ranks = (counts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram")))
-             .where((F.col("rank") <= profile) & (F.col("gram") >= 0)))
-    languages = (counts.where("gram = -1").select("lang", "rows").withColumn("all", F.sum("rows").over(whole))
-                 .where(F.col("rows") * max_languages >= F.col("all")).select("lang"))
+             .where(F.col("rank") <= profile).select("lang", "rank", "gram").toArrow())
     out: dict[str, list[tuple[int, int]]] = {}
-    for r in ranks.join(languages, "lang", "left_semi").select("lang", "rank", "gram").collect():
-        out.setdefault(r.lang, []).append((r["rank"], r.gram))
+    for k, rank, gram in zip(*(c.to_pylist() for c in ranks.columns), strict=True):
+        out.setdefault(k, []).append((rank, gram))
     return {k: [g for _, g in sorted(v)] for k, v in sorted(out.items())}
 
 
@@ -112,14 +100,17 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], text: str = "text"
     one (every n-gram absent).
     """
     names = sorted(profiles)
-    known = np.array(sorted({g for p in profiles.values() for g in p}), np.int64)
-    places = np.full((len(names), len(known) + 1), -1, np.int32)  # last column: n-grams of no profile
-    for i, k in enumerate(names):
-        places[i, np.searchsorted(known, np.array(profiles[k], np.int64))] = np.arange(len(profiles[k]))
-    shared = docs.sparkSession.sparkContext.broadcast((names, known, places))
+    sizes = [len(profiles[k]) for k in names]
+    grams = np.array([g for k in names for g in profiles[k]], np.int64)
+    order = np.argsort(grams, kind="stable")
+    known, first = np.unique(grams[order], return_index=True)
+    first = np.append(first, len(grams))  # entries of known[i]: first[i] to first[i + 1]
+    langs = np.repeat(np.arange(len(names), dtype=np.int32), sizes)[order]
+    ranks = np.concatenate([np.zeros(0, np.int32), *(np.arange(n, dtype=np.int32) for n in sizes)])[order]
+    shared = docs.sparkSession.sparkContext.broadcast((names, known, first, langs, ranks))
 
     def each():
-        names, known, places = shared.value
+        names, known, first, of, ranks = shared.value
         letters = letter_table()
 
         def score(texts: list[bytes]) -> list:
@@ -131,13 +122,14 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], text: str = "text"
                     scores.append(0.0)
                     continue
                 at = np.minimum(np.searchsorted(known, grams), len(known) - 1)
-                at = np.where(known[at] == grams, at, len(known))
-                there = places[:, at]
-                apart = np.where(there < 0, profile, np.abs(there - np.arange(len(grams), dtype=np.int32)))
-                total = apart.sum(axis=1)
-                best = int(total.argmin())
+                own = np.flatnonzero(known[at] == grams)
+                begin, n = first[at[own]], first[at[own] + 1] - first[at[own]]
+                entry = np.arange(n.sum()) + np.repeat(begin - (np.cumsum(n) - n), n)
+                # how much less than the profile's length each n-gram adds to a language's distance
+                less = np.bincount(of[entry], profile - np.abs(ranks[entry] - np.repeat(own, n)), len(names))
+                best = int(less.argmax())
                 langs.append(names[best])
-                scores.append(max(0.0, 1.0 - float(total[best]) / (profile * len(grams))))
+                scores.append(float(less[best]) / (profile * len(grams)))
             return [langs, scores]
 
         return score

@@ -106,6 +106,14 @@ def test_language_of_odd_rows(spark):
     assert language_id.learn(frame(spark, [])) == {}
 
 
+def test_rare_languages_are_learned(spark):
+    rows = [(i, f"plain words of a common language number {i}", "en", "a", 1) for i in range(2500)] + [(2500, "καλημέρα σε όλους τους φίλους", "el", "a", 1)]
+    profiles = language_id.learn(frame(spark, rows))
+    assert set(profiles) == {"el", "en"}
+    got = {r.doc_id: r for r in language_id.identify(frame(spark, [*rows[:3], (2500, "καλημέρα φίλους", None, None, 1)]), profiles).collect()}
+    assert got[2500].lang_pred == "el" and got[2500].score >= language_id.LEAST_SCORE and got[0].lang_pred == "en"
+
+
 def test_forward_recursion_and_expected_counts_by_enumeration():
     rng = np.random.default_rng(0)
     share = lambda *s: (lambda x: x / x.sum(-1, keepdims=True))(rng.random(s))
