@@ -89,6 +89,16 @@ def test_gradients_learn_and_recall_holds():
     assert len(long) == secrets.RECORD * 21 and net.probability([long, yes[0]]).shape == (2,)
 
 
+def test_every_run_beside_base_findings_is_a_candidate():
+    def candidates(raw):
+        return [raw[s:e] for s, k, e in secrets.scan(raw) if k == secrets.MODEL]
+
+    assert candidates(b"lettersOnlyKey short") == [b"lettersOnlyKey"]
+    assert candidates(b"GHIJKLMNOPQRST0123456789abcdefZYXWVUTSRQPO") == [b"GHIJKLMNOPQRST", b"ZYXWVUTSRQPO"]
+    assert candidates(b"GHIJ0123456789abcdefZYXW") == []
+    assert candidates(b"token = abcdefghijkl zzzzzzzzzzzz") == [b"zzzzzzzzzzzz"]
+
+
 def test_redaction(spark):
     rows = [(i, t, "", "", 0) for i, t in enumerate(SECRET)] + ODD
     got = secrets.redact(frame(spark, rows).withColumn("copy", F.col("text")), None, text="copy").collect()
