@@ -141,6 +141,12 @@ def q_stream_batch_means(spark, sf_dir):
     return _rounded(S.followers_from_sums(sums, "batch_id"))
 
 
+def q_stream_batch_means_all(spark, sf_dir):
+    """T4: mean of the means of the micro-batches, over all users."""
+    sums = _sliced(spark, sf_dir, S.batch_follower_sums(users_e(spark, sf_dir)), "means-all")
+    return _rounded(S.followers_from_sums(sums, "batch_id"))
+
+
 def q_stream_batch_samples(spark, sf_dir):
     """T5: five posts of known authors per polarity from every micro-batch."""
     users = _known(spark, sf_dir)
@@ -155,6 +161,13 @@ def q_stream_account_age(spark, sf_dir):
     return found.select("batch_id", "description", "n_posts", "percentage")
 
 
+def q_stream_account_age_all(spark, sf_dir):
+    """Account-age shares per micro-batch, over all users."""
+    users = users_e(spark, sf_dir)
+    found = _sliced(spark, sf_dir, lambda b: A.account_age_split(b, users, cutoff=FIXTURE_E_CUTOFF, dedupe=False), "age-all")
+    return found.select("batch_id", "description", "n_posts", "percentage")
+
+
 def q_stream_joined_indicators(spark, sf_dir):
     """Running indicator counts over the posts of known authors."""
     users = _known(spark, sf_dir)
@@ -198,10 +211,12 @@ STREAM_QUERIES = {
     "stream_observed": q_stream_observed,
     "stream_followers": q_stream_followers,
     "stream_batch_means": q_stream_batch_means,
+    "stream_batch_means_all": q_stream_batch_means_all,
     "stream_batch_samples": q_stream_batch_samples,
     "stream_joined_indicators": q_stream_joined_indicators,
     "stream_late_users": q_stream_late_users,
     "stream_account_age": q_stream_account_age,
+    "stream_account_age_all": q_stream_account_age_all,
     "stream_account_age_running": q_stream_account_age_running,
 }
 
@@ -210,6 +225,8 @@ _HALF = (f"WITH {PE}, {UE}, j AS (SELECT pe.*, ue.followers, ue.created_at AS us
          "FROM pe JOIN ue ON ue.id = pe.author_id AND CAST(ue.id AS BIGINT) % 2 = 0), "
          "b AS (SELECT slice, dense_rank() OVER (ORDER BY slice) - 1 AS batch_id FROM j GROUP BY slice)")
 
+_ALL = _HALF.replace(" AND CAST(ue.id AS BIGINT) % 2 = 0", "")
+
 
 def _age_rows() -> str:
     count = lambda tag, op: f"count(post_id) FILTER (WHERE tag LIKE '{tag}%' AND user_created_at {op} '{FIXTURE_E_CUTOFF}')"
@@ -250,6 +267,8 @@ STREAM_ORACLE = {
         "r AS (SELECT *, row_number() OVER (PARTITION BY slice, polarity ORDER BY created_at, post_id) AS n FROM p) "
         "SELECT batch_id, polarity, post_id, text FROM r JOIN b USING (slice) WHERE n <= 5"),
     "stream_account_age": f"{_HALF} " + _age_rows(),
+    "stream_batch_means_all": f"{_ALL} " + _means("j", "slice"),
+    "stream_account_age_all": f"{_ALL} " + _age_rows(),
     "stream_joined_indicators": (
         f"{_HALF}, lex(position, indicator, polarity) AS (VALUES {_LEXICON_E}) "
         "SELECT l.polarity, l.position, l.indicator, count(j.post_id) AS n_posts "

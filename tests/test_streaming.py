@@ -191,3 +191,22 @@ def test_files_per_day_are_bounded_by_the_writing_tasks(spark, tmp_path):
     land_posts(posts_e(spark, SF_SMALL).repartition(7), out, fmt="parquet")
     days = [os.path.join(out, d) for d in os.listdir(out) if d.startswith("ingest_date=")]
     assert len(days) >= 28 and all(sum(f.endswith(".parquet") for f in os.listdir(d)) == 1 for d in days)
+
+
+@pytest.mark.parametrize("name", ["stream_batch_means_all", "stream_account_age_all"])
+def test_streams_per_batch_over_all_users(spark, name):
+    import duckdb
+
+    from moodlens.streaming.registry import STREAM_ORACLE, STREAM_QUERIES
+
+    sf, con = "/root/testdata/sf0.001", duckdb.connect()
+    for table in ("events", "customer", "orders"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{sf}/{table}.parquet')")
+    got = STREAM_QUERIES[name](spark, sf)
+    want = con.sql(STREAM_ORACLE[name])
+    of = lambda cols, rows: sorted(repr([round(v, 6) if isinstance(v, float) else v for v in (r[cols.index(c)] for c in sorted(cols))]) for r in rows)
+    rows = of(got.columns, got.collect())
+    assert rows and rows == of(want.columns, want.fetchall())
+    if name == "stream_account_age_all":
+        known = STREAM_QUERIES["stream_account_age"](spark, sf)
+        assert got.agg({"n_posts": "sum"}).first()[0] > known.agg({"n_posts": "sum"}).first()[0]
