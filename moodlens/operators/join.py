@@ -22,21 +22,30 @@ from moodlens.functions.polarity import TAG, first_tag
 AUTHOR = "author_id"
 
 
-def dedupe_users(users: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """One row per user id, chosen deterministically (largest remaining fields).
+#: The columns that decide between rows of one user, in this order.
+USER_ORDER = ("created_at", "verified", "public_metrics")
+
 
-    A user listed twice must not multiply that user's posts.  ``columns`` names
-    the user columns that are needed; the others are not read at all.  ``max``
-    over a struct is deterministic, so a re-executed task after an executor
-    loss yields the same row; partial aggregation collapses copies map-side.
+def dedupe_users(users: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """One row per user id: the largest by ``USER_ORDER`` (a null is smallest),
+    then by any other column that is asked for.
+
+    A user listed twice must not multiply that user's posts, and every question
+    must see the same row of that user, so the order doesn't depend on the
+    question: these three narrow columns are read whichever of them ``columns``
+    names.  ``max`` over a struct is deterministic, so a re-executed task after
+    an executor loss yields the same row; partial aggregation collapses copies
+    map-side.
     """
-    others = [c for c in (columns if columns is not None else users.columns) if c != "id"]
+    wanted = [c for c in (columns if columns is not None else users.columns) if c != "id"]
     known = users.where(F.col("id").isNotNull())
-    if not others:
+    if not wanted:
         return known.select("id").distinct()
+    order = [c for c in USER_ORDER if c in users.columns]
+    order += [c for c in wanted if c not in order]
     return (known.groupBy("id")
-                 .agg(F.max(F.struct(*others)).alias("_u"))
-                 .select("id", *[F.col(f"_u.{c}").alias(c) for c in others]))
+                 .agg(F.max(F.struct(*order)).alias("_u"))
+                 .select("id", *[F.col(f"_u.{c}").alias(c) for c in wanted]))
 
 
 def user_columns(users: DataFrame, columns: list[str], dedupe: bool) -> DataFrame:

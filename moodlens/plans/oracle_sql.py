@@ -197,6 +197,20 @@ def oracle_sql() -> dict[str, str]:
             f"WITH {PE} SELECT 'positive' AS polarity, count(*) FILTER (WHERE {pos_c}) AS n_posts FROM pe "
             f"UNION ALL SELECT 'negative', count(*) FILTER (WHERE {neg_c}) FROM pe"),
         "view_sql": f"{joined_e} SELECT verified, count(*) AS n_posts FROM j GROUP BY verified",
+        "repeated_users": (
+            f"WITH {PE}, {UE}, every AS (SELECT id, created_at, verified, followers FROM ue "
+            "UNION ALL SELECT id, '1990-01-01', true, followers + 5000 FROM ue WHERE CAST(id AS BIGINT) % 3 = 0 "
+            "UNION ALL SELECT id, created_at, verified, abs(followers) + 20000 FROM ue WHERE CAST(id AS BIGINT) % 3 = 1), "
+            "one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY created_at DESC NULLS LAST, "
+            "verified DESC, followers DESC) AS n FROM every) WHERE n = 1), "
+            "j AS (SELECT pe.*, one.created_at AS user_created_at, one.verified, one.followers FROM pe JOIN one ON one.id = pe.author_id) "
+            + " UNION ALL ".join(
+                [f"SELECT 'age' AS question, '{age} accounts, {tag}' AS label, CAST(count(post_id) FILTER (WHERE tag LIKE '{tag}%' "
+                 f"AND user_created_at {op} '1995-07-01') AS DOUBLE) AS value FROM j"
+                 for age, op in (("older", "<"), ("newer", ">")) for tag in ("positive", "negative")]
+                + [f"SELECT 'verified', '{tag}', CAST(count(*) FILTER (WHERE tag LIKE '%{tag}%' AND verified) AS DOUBLE) FROM j "
+                   f"UNION ALL SELECT 'followers', '{tag}', avg(followers) FILTER (WHERE tag LIKE '%{tag}%') FROM j"
+                   for tag in ("positive", "negative")])),
         "author_lookup": "SELECT DISTINCT CAST(user_id AS VARCHAR) AS author_id FROM events WHERE user_id IS NOT NULL",
         "user_envelope": f"WITH {UE} SELECT id, created_at, verified, followers FROM ue",
         "corrupt_quarantine": (

@@ -242,6 +242,31 @@ def q_view_sql(spark, sf_dir):
     return spark.sql("SELECT u.verified, count(*) AS n_posts FROM moodlens_posts p JOIN moodlens_users u ON u.id = p.data.author_id GROUP BY u.verified")
 
 
+def repeated_users(spark, sf_dir) -> DataFrame:
+    """Fixture E users with further rows for two thirds of the ids: an older and
+    verified copy of every third, and a copy of the next third that only has
+    more followers."""
+    users = users_e(spark, sf_dir)
+    third, followers = F.col("id").cast("long") % 3, F.col("public_metrics.followers_count")
+    older = users.where(third == 0).select("id", F.lit("1990-01-01").alias("created_at"), F.lit(True).alias("verified"),
+                                           F.struct((followers + 5000).alias("followers_count")).alias("public_metrics"))
+    more = users.where(third == 1).select("id", "created_at", "verified",
+                                          F.struct((F.abs(followers) + 20_000).alias("followers_count")).alias("public_metrics"))
+    return users.unionByName(older).unionByName(more)
+
+
+def q_repeated_users(spark, sf_dir):
+    """Age, verified and follower questions over users with repeated ids: all
+    three see the same row of a user.  ``question, label, value``."""
+    posts, users = posts_e(spark, sf_dir), repeated_users(spark, sf_dir)
+    age = A.account_age_split(posts, users, cutoff=X.FIXTURE_E_CUTOFF)
+    return (age.select(F.lit("age").alias("question"), F.col("description").alias("label"), F.col("n_posts").cast("double").alias("value"))
+            .unionByName(A.verified_counts(posts, users).select(
+                F.lit("verified").alias("question"), F.col("polarity").alias("label"), F.col("n_posts").cast("double").alias("value")))
+            .unionByName(A.followers_mean(posts, users).select(
+                F.lit("followers").alias("question"), F.col("polarity").alias("label"), F.col("avg_followers").alias("value"))))
+
+
 def q_author_lookup(spark, sf_dir):
     return authors_to_fetch(posts_e(spark, sf_dir))
 
@@ -303,6 +328,7 @@ QUERIES = {
     "quarantine_kinds": q_quarantine_kinds,
     "empty_batch": q_empty_batch,
     "view_sql": q_view_sql,
+    "repeated_users": q_repeated_users,
     "author_lookup": q_author_lookup,
     "user_envelope": q_user_envelope,
     "corrupt_quarantine": q_corrupt_quarantine,

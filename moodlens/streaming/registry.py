@@ -154,6 +154,13 @@ def q_stream_batch_samples(spark, sf_dir):
     return found.select("batch_id", "polarity", "post_id", "text")
 
 
+def q_stream_batch_samples_all(spark, sf_dir):
+    """T5: five posts per polarity from every micro-batch, over all users."""
+    users = users_e(spark, sf_dir)
+    found = _sliced(spark, sf_dir, lambda b: A.sample_posts(join_users(b, users, dedupe=False)), "samples-all")
+    return found.select("batch_id", "polarity", "post_id", "text")
+
+
 def q_stream_account_age(spark, sf_dir):
     """Account-age shares per micro-batch (not accumulated)."""
     users = _known(spark, sf_dir)
@@ -175,6 +182,13 @@ def q_stream_joined_indicators(spark, sf_dir):
     return found.groupBy("polarity", "position", "indicator").agg(F.sum("n_posts").alias("n_posts"))
 
 
+def q_stream_joined_indicators_all(spark, sf_dir):
+    """Running indicator counts over posts of all users."""
+    users = users_e(spark, sf_dir)
+    found = _sliced(spark, sf_dir, lambda b: indicator_counts(b, event_lexicon(), users=users), "joined-all")
+    return found.groupBy("polarity", "position", "indicator").agg(F.sum("n_posts").alias("n_posts"))
+
+
 def q_stream_late_users(spark, sf_dir):
     """T7 + S10: half of the users arrive after two slices; their posts were
     parked and are counted then."""
@@ -213,7 +227,9 @@ STREAM_QUERIES = {
     "stream_batch_means": q_stream_batch_means,
     "stream_batch_means_all": q_stream_batch_means_all,
     "stream_batch_samples": q_stream_batch_samples,
+    "stream_batch_samples_all": q_stream_batch_samples_all,
     "stream_joined_indicators": q_stream_joined_indicators,
+    "stream_joined_indicators_all": q_stream_joined_indicators_all,
     "stream_late_users": q_stream_late_users,
     "stream_account_age": q_stream_account_age,
     "stream_account_age_all": q_stream_account_age_all,
@@ -251,6 +267,14 @@ def _means(table: str, key: str) -> str:
 
 _LEXICON_E = ", ".join("({}, '{}', '{}')".format(*row) for row in event_lexicon())
 
+_SAMPLES = ("p AS (SELECT 'positive' AS polarity, * FROM j WHERE tag LIKE '%positive%' "
+            "UNION ALL SELECT 'negative', * FROM j WHERE tag LIKE '%negative%'), "
+            "r AS (SELECT *, row_number() OVER (PARTITION BY slice, polarity ORDER BY created_at, post_id) AS n FROM p) "
+            "SELECT batch_id, polarity, post_id, text FROM r JOIN b USING (slice) WHERE n <= 5")
+_INDICATORS = (f"lex(position, indicator, polarity) AS (VALUES {_LEXICON_E}) "
+               "SELECT l.polarity, l.position, l.indicator, count(j.post_id) AS n_posts "
+               "FROM lex l LEFT JOIN j ON contains(lower(j.text), l.indicator) GROUP BY l.polarity, l.position, l.indicator")
+
 STREAM_ORACLE = {
     "stream_landing": _batch_oracle()["landing_roundtrip"],
     "stream_indicator_counts": _batch_oracle()["indicator_counts"],
@@ -261,16 +285,11 @@ STREAM_ORACLE = {
     "stream_followers": (f"WITH {PE}, {UE}, j AS (SELECT pe.*, ue.followers FROM pe JOIN ue ON ue.id = pe.author_id) "
                          + _means("j", "substr(created_at, 1, 10)")),
     "stream_batch_means": f"{_HALF} " + _means("j", "slice"),
-    "stream_batch_samples": (
-        f"{_HALF}, p AS (SELECT 'positive' AS polarity, * FROM j WHERE tag LIKE '%positive%' "
-        "UNION ALL SELECT 'negative', * FROM j WHERE tag LIKE '%negative%'), "
-        "r AS (SELECT *, row_number() OVER (PARTITION BY slice, polarity ORDER BY created_at, post_id) AS n FROM p) "
-        "SELECT batch_id, polarity, post_id, text FROM r JOIN b USING (slice) WHERE n <= 5"),
+    "stream_batch_samples": f"{_HALF}, " + _SAMPLES,
+    "stream_batch_samples_all": f"{_ALL}, " + _SAMPLES,
     "stream_account_age": f"{_HALF} " + _age_rows(),
     "stream_batch_means_all": f"{_ALL} " + _means("j", "slice"),
     "stream_account_age_all": f"{_ALL} " + _age_rows(),
-    "stream_joined_indicators": (
-        f"{_HALF}, lex(position, indicator, polarity) AS (VALUES {_LEXICON_E}) "
-        "SELECT l.polarity, l.position, l.indicator, count(j.post_id) AS n_posts "
-        "FROM lex l LEFT JOIN j ON contains(lower(j.text), l.indicator) GROUP BY l.polarity, l.position, l.indicator"),
+    "stream_joined_indicators": f"{_HALF}, " + _INDICATORS,
+    "stream_joined_indicators_all": f"{_ALL}, " + _INDICATORS,
 }
