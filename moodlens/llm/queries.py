@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from moodlens.session import scratch_path
 
-from . import ann, bpe, huffman, language_id, lm, minhash, packing, quality, secrets, tokens, toxicity
+from . import ann, bpe, huffman, language_id, lexical, lm, minhash, packing, quality, secrets, tokens, toxicity
 from .common import bucket, table
 
 
@@ -64,6 +64,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                        public_tokenizers.PATTERN)
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_lm_score": op2_lm_score,
@@ -75,6 +79,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_token_files": op9_token_files,
     "op10_byte_bpe": op10_byte_bpe,
+    "op12_lexical_search": op12_lexical_search,
 }
 #: op6 by brute force: shingles counted pair by pair, links closed by recursion.
 NEAR_SQL = r"""
@@ -102,4 +107,21 @@ d AS (SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_reduce(list_transform(ran
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM d) WHERE rank <= 10"""
 
-ORACLE: dict[str, str] = {"op4_nearest": NEAREST_SQL, "op6_near_duplicates": NEAR_SQL}
+#: op12 by brute force: every term of every document meets every item.
+LEXICAL_SQL = r"""
+WITH t AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+d AS (SELECT row, doc_id, terms, CAST(len(terms) AS BIGINT) AS n FROM t WHERE len(terms) > 0),
+s AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS total FROM d),
+f AS (SELECT row, term, count(*) AS tf FROM (SELECT row, unnest(terms) AS term FROM d) GROUP BY row, term),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(docs) + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w
+      FROM f, s GROUP BY term),
+i AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark WHERE item_id IS NOT NULL)),
+m AS (SELECT row, doc_id, 100 - 50 + (50 * n * docs) // total AS m FROM d, s),
+r AS (SELECT item_id, row, any_value(doc_id) AS doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+      FROM i JOIN w USING (term) JOIN f USING (term) JOIN m USING (row) GROUP BY item_id, row)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM r WHERE score > 0) WHERE rank <= 50"""
+
+ORACLE: dict[str, str] = {"op12_lexical_search": LEXICAL_SQL, "op4_nearest": NEAREST_SQL, "op6_near_duplicates": NEAR_SQL}
