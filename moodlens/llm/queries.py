@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from moodlens.session import scratch_path
 
-from . import ann, bpe, huffman, language_id, lexical, lm, minhash, packing, quality, secrets, tokens, toxicity
+from . import ann, bpe, html_text, huffman, language_id, lexical, lm, minhash, packing, quality, secrets, tokens, toxicity
 from .common import bucket, table
 
 
@@ -68,6 +68,10 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
 
 
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_lm_score": op2_lm_score,
@@ -80,6 +84,7 @@ QUERIES = {
     "op9_token_files": op9_token_files,
     "op10_byte_bpe": op10_byte_bpe,
     "op12_lexical_search": op12_lexical_search,
+    "op13_html_extraction": op13_html_extraction,
 }
 #: op6 by brute force: shingles counted pair by pair, links closed by recursion.
 NEAR_SQL = r"""
