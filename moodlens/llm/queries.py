@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from moodlens.session import scratch_path
 
-from . import ann, bpe, html_text, huffman, language_id, lexical, lm, minhash, packing, quality, secrets, tokens, toxicity
+from . import ann, bpe, html_text, huffman, language_id, lexical, lm, minhash, negatives, packing, quality, secrets, tokens, toxicity
 from .common import bucket, table
 
 
@@ -64,6 +64,11 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                        public_tokenizers.PATTERN)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"), F.col("vec_id") % 100 == 0, label)
+
+
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
 
@@ -83,6 +88,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_token_files": op9_token_files,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_lexical_search": op12_lexical_search,
     "op13_html_extraction": op13_html_extraction,
 }
@@ -129,4 +135,19 @@ r AS (SELECT item_id, row, any_value(doc_id) AS doc_id, CAST(sum(w * ((100000000
 SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM r WHERE score > 0) WHERE rank <= 50"""
 
-ORACLE: dict[str, str] = {"op12_lexical_search": LEXICAL_SQL, "op4_nearest": NEAREST_SQL, "op6_near_duplicates": NEAR_SQL}
+#: op11 by brute force over all pairs of anchor and row.
+NEGATIVES_SQL = """
+WITH v AS (SELECT vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label,
+             list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+           WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, CAST(list_reduce(list_transform(range(1, len(a.x) + 1),
+        lambda i: a.x[i] * c.x[i]), lambda p, q: p + q) AS BIGINT) AS score FROM v a JOIN v c ON a.vec_id <> c.vec_id AND a.vec_id % 100 = 0),
+p AS (SELECT * FROM (SELECT anchor_id, vec_id AS positive_id, score AS positive_score,
+        row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS place FROM s WHERE same) WHERE place <= 5),
+n AS (SELECT p.anchor_id, positive_id, positive_score, s.vec_id AS negative_id, s.score AS negative_score,
+        row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS rank
+      FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 80 * positive_score <= 100 * s.score AND 100 * s.score <= 100 * positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5"""
+
+ORACLE: dict[str, str] = {"op11_hard_negatives": NEGATIVES_SQL, "op12_lexical_search": LEXICAL_SQL, "op4_nearest": NEAREST_SQL, "op6_near_duplicates": NEAR_SQL}
