@@ -31,7 +31,8 @@ def _parser() -> argparse.ArgumentParser:
 
     live = sub.add_parser("live", help="stream over a landing folder")
     live.add_argument("--landing", required=True, help="folder where post files arrive")
-    live.add_argument("--users", required=True, help="user files or folder (static side)")
+    live.add_argument("--users", required=True, help="folder where user files arrive")
+    live.add_argument("--park", default="14 days", help="how long a post waits for its author")
     live.add_argument("--out", required=True, help="shared folder for checkpoints and result tables")
     live.add_argument("--format", default="parquet", choices=["json", "parquet"], help="format of landed posts")
     live.add_argument("--users-format", default="parquet", choices=["json", "parquet"])
@@ -76,13 +77,18 @@ def show_all(title: str, df) -> None:
 
 def live(spark, args) -> dict:
     """One query over the landing folder answers all questions per micro-batch."""
-    from moodlens.streaming.live import Live
+    from moodlens.schemas import USER
+    from moodlens.streaming.live import KeyedLive
+    from moodlens.streaming.parked import ARRIVED, STATE_STORE, join_arriving
     from moodlens.streaming.sinks import start
-    from moodlens.streaming.sources import post_stream
-
-    job = Live(spark, args.out, lambda: read_users(spark, args.users, fmt=args.users_format), default_lexicon(), args.cutoff,
-               after=lambda tables: [show_all(k, v) for k, v in tables.items()])
-    stream = post_stream(spark, args.landing, fmt=args.format, max_bytes_per_trigger=args.bytes_per_batch)
+    from moodlens.streaming.sources import LANDED_POST, file_stream
+
+    for k, v in STATE_STORE.items():
+        spark.conf.set(k, v)
+    job = KeyedLive(spark, args.out, default_lexicon(), args.cutoff, after=lambda tables: [show_all(k, v) for k, v in tables.items()])
+    posts = file_stream(spark, args.landing, LANDED_POST, args.format, ARRIVED, maxBytesPerTrigger=args.bytes_per_batch)
+    users = file_stream(spark, args.users, USER, args.users_format, ARRIVED)
+    stream = join_arriving(posts, users, expiry=args.park)
     trigger = {"availableNow": True} if args.once else {"processingTime": args.trigger}
     query = start(stream, f"{args.out.rstrip('/')}/_checkpoint", trigger=trigger, foreach_batch=job.batch)
     query.awaitTermination()

@@ -211,6 +211,15 @@ def oracle_sql() -> dict[str, str]:
                 + [f"SELECT 'verified', '{tag}', CAST(count(*) FILTER (WHERE tag LIKE '%{tag}%' AND verified) AS DOUBLE) FROM j "
                    f"UNION ALL SELECT 'followers', '{tag}', avg(followers) FILTER (WHERE tag LIKE '%{tag}%') FROM j"
                    for tag in ("positive", "negative")])),
+        "post_user_as_of": (
+            "WITH s AS (SELECT CAST(o_custkey AS VARCHAR) AS id, make_timestamp(epoch_us(TIMESTAMP '2024-01-01') "
+            "+ (epoch_us(o_orderdate) - epoch_us(TIMESTAMP '1995-01-01')) // 80) AS since, strftime(o_orderdate, '%Y-%m-%d') AS user_created_at, "
+            "o_orderpriority < '3' AS verified, CAST(floor(o_totalprice) AS BIGINT) AS followers FROM orders), "
+            "v AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id, since ORDER BY user_created_at DESC, verified DESC, followers DESC) AS n "
+            "FROM s) WHERE n = 1), f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY since) AS first FROM v) WHERE first = 1), "
+            "p AS (SELECT CAST(event_id AS VARCHAR) AS post_id, CAST(user_id AS VARCHAR) AS author_id, ts FROM events) "
+            "SELECT p.post_id, p.author_id, coalesce(v.user_created_at, f.user_created_at) AS user_created_at, coalesce(v.verified, f.verified) AS verified, "
+            "coalesce(v.followers, f.followers) AS followers FROM p ASOF LEFT JOIN v ON p.author_id = v.id AND p.ts >= v.since JOIN f ON f.id = p.author_id"),
         "author_lookup": "SELECT DISTINCT CAST(user_id AS VARCHAR) AS author_id FROM events WHERE user_id IS NOT NULL",
         "user_envelope": f"WITH {UE} SELECT id, created_at, verified, followers FROM ue",
         "corrupt_quarantine": (

@@ -17,6 +17,7 @@ from moodlens.lexicons import (
 from moodlens.operators.indicators import indicator_counts, indicator_quality
 from moodlens.operators.join import join_users
 from moodlens.operators.rules import add_rules, delete_rules, rules_frame, rules_from_frame, tag_posts, tagged_only
+from moodlens.operators.versions import as_of_join, user_versions
 from moodlens.plans import analyses as A
 from moodlens.session import scratch_path
 from moodlens.sources import fixtures as X
@@ -267,6 +268,14 @@ def q_repeated_users(spark, sf_dir):
                 F.lit("followers").alias("question"), F.col("polarity").alias("label"), F.col("avg_followers").alias("value"))))
 
 
+def q_post_user_as_of(spark, sf_dir):
+    """Every post with the user row that was valid at its time."""
+    t = _tables(spark, sf_dir, "events", "orders")
+    posts = t["events"].select(*X.event_post_columns(), F.col("ts").cast("timestamp").alias("ts"))
+    joined = as_of_join(posts, user_versions(X.user_snapshots_from_orders(t["orders"])), at=F.col("ts"))
+    return A.post_user_table(joined)
+
+
 def q_author_lookup(spark, sf_dir):
     return authors_to_fetch(posts_e(spark, sf_dir))
 
@@ -329,6 +338,7 @@ QUERIES = {
     "empty_batch": q_empty_batch,
     "view_sql": q_view_sql,
     "repeated_users": q_repeated_users,
+    "post_user_as_of": q_post_user_as_of,
     "author_lookup": q_author_lookup,
     "user_envelope": q_user_envelope,
     "corrupt_quarantine": q_corrupt_quarantine,

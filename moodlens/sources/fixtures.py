@@ -52,7 +52,12 @@ def post_columns(post_id, author_id, created_at, text, lang, rules) -> list[Colu
 
 
 def posts_from_events(events: DataFrame, only: tuple[str, ...] | None = None) -> DataFrame:
-    """Fixture E.  Rule ids 1..4 follow the four stream rules' order.
+    """Fixture E (see :func:`event_post_columns`)."""
+    return events.select(*event_post_columns(only))
+
+
+def event_post_columns(only: tuple[str, ...] | None = None) -> list[Column]:
+    """An event as a post.  Rule ids 1..4 follow the four stream rules' order.
 
     ``only`` names the ``data`` fields that a question needs; the others are
     NULL and their columns are not read (a struct whose fields meet functions
@@ -68,7 +73,7 @@ def posts_from_events(events: DataFrame, only: tuple[str, ...] | None = None) ->
     fields = {"id": F.col("event_id"), "author_id": F.col("user_id"), "created_at": F.date_format("ts", ISO_MILLIS),
               "text": F.concat_ws(" ", "event_type", "props")}
     kept = [c if only is None or k in only else F.lit(None).cast("string") for k, c in fields.items()]
-    return events.select(*post_columns(*kept, F.lit("en"), rules))
+    return post_columns(*kept, F.lit("en"), rules)
 
 
 def users_from_customers(customer: DataFrame, orders: DataFrame) -> DataFrame:
@@ -91,6 +96,17 @@ def users_from_customers(customer: DataFrame, orders: DataFrame) -> DataFrame:
     )
 
 
+def user_snapshots_from_orders(orders: DataFrame) -> DataFrame:
+    """Fixture E users seen again and again: an order is a snapshot of its
+    customer; seven years of orders are drawn together into the events' month."""
+    since = F.timestamp_micros(F.unix_micros(F.lit("2024-01-01").cast("timestamp"))
+                               + F.floor((F.unix_micros(F.col("o_orderdate").cast("timestamp")) - F.unix_micros(F.lit("1995-01-01").cast("timestamp"))) / 80))
+    return orders.select(
+        F.col("o_custkey").cast("string").alias("id"), since.alias("seen_at"), F.date_format("o_orderdate", DATE_ONLY).alias("created_at"),
+        (F.col("o_orderpriority") < F.lit("3")).alias("verified"),
+        F.struct(F.floor("o_totalprice").cast("long").alias("followers_count")).alias("public_metrics"))
+
+
 def posts_from_orders(orders: DataFrame) -> DataFrame:
     """Fixture O: an order is a post of its customer, one rule per post.
 

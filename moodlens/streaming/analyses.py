@@ -72,6 +72,29 @@ def running_account_age(enriched: DataFrame, cutoff: str, match: str = PREFIX) -
                         F.count_if(pos & newer).alias("new_pos"), F.count_if(neg & newer).alias("new_neg"))
 
 
+def author_windows(stream_posts: DataFrame, at: str, width: str = "1 hour", delay: str = "1 minute", match: str = CONTAINS) -> DataFrame:
+    """Posts per author, polarity and window of the time ``at`` (append mode).
+
+    The first of two stateful operators: sums are taken in the map tasks, so an
+    author with a third of the stream is one row per task and window in the
+    exchange, and one row per window in the state and in what follows.
+    """
+    flat = stream_posts.withWatermark(at, delay).select(F.col(at).alias("at"), F.col("data.author_id").alias("author_id"),
+                                                        flag(is_positive(match)).alias("pos"), flag(is_negative(match)).alias("neg"))
+    sums = flat.groupBy(F.window("at", width), "author_id").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    # not before the sums: posts that are filtered out don't move the watermark
+    return sums.where(F.col("pos") + F.col("neg") > 0)
+
+
+def verified_windows(windows: DataFrame, users_static: DataFrame) -> DataFrame:
+    """Posts of verified authors per window and polarity (append mode): author
+    windows meet the users, not posts; the second stateful operator merges them."""
+    known = users_static.where("verified").select("id")
+    return (windows.join(known, windows["author_id"] == known["id"])
+            .groupBy("window").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+            .select(F.col("window.start").alias("window_start"), "pos", "neg"))
+
+
 def account_age_rows(wide: DataFrame) -> DataFrame:
     """Wide running account-age counts -> ``description, n_posts, percentage``."""
     return _two_way(wide, [(OLDER_POSITIVE, OLDER_NEGATIVE, "old_pos", "old_neg"),

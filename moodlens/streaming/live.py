@@ -1,6 +1,8 @@
 """The live questions, all in one pass per micro-batch.
 
-Each micro-batch reads the users as they are now.  Posts whose author isn't
+``KeyedLive`` takes the rows of ``parked.join_arriving``, whose state keeps the
+posts of authors that aren't known yet; it reads no user table.  ``Live`` does
+without a state store: each micro-batch reads the users as they are now.  Posts whose author isn't
 known yet are parked and tried again with the next micro-batch, and their
 authors are listed in ``to_fetch``; so a post counts once its author arrives,
 however late.  Counts are sums per author and indicator first, joined with users
@@ -20,15 +22,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moodlens.functions.polarity import CONTAINS, PREFIX, flag, is_negative, is_positive, tag_col
+from moodlens.functions.polarity import CONTAINS, PREFIX, TAG, first_tag, flag, is_negative, is_positive, tag_col
 from moodlens.operators.indicators import indicator_counts
-from moodlens.operators.join import dedupe_users, join_users, per_author, with_users
+from moodlens.operators.join import AUTHOR, dedupe_users, join_users, per_author, with_users
 from moodlens.plans import analyses as A
 from moodlens.sources.files import authors_to_fetch
+from moodlens.streaming import analyses as S
+from moodlens.streaming.parked import EXPIRED, JOINED, UNKNOWN
 from moodlens.streaming.sinks import EPOCH, SLOT, latest_epoch, write_epoch, write_latest
 
 #: Running totals: their keys (all other columns are sums).
-TOTALS = {"indicators": ["polarity", "position", "indicator"], "verified": ["polarity"], "observed": [], "followers": []}
+TOTALS = {"indicators": ["polarity", "position", "indicator"], "verified": ["polarity"], "observed": [], "followers": [], "expired": ["polarity"]}
 
 
 class Live:
@@ -81,7 +85,10 @@ class Live:
     def follower_means(self, posts: DataFrame, users: DataFrame) -> DataFrame:
         """The micro-batch's follower sums and its means, as rows to be added up."""
         per = per_author(posts, pos=flag(is_positive(CONTAINS, tag_col())), neg=flag(is_negative(CONTAINS, tag_col())))
-        sums = A.follower_sums(with_users(per, users, dedupe=False), [])
+        return self.with_means(A.follower_sums(with_users(per, users, dedupe=False), []))
+
+    @staticmethod
+    def with_means(sums: DataFrame) -> DataFrame:
         mean = lambda k: F.try_divide(F.col(f"s_{k}").cast("double"), F.col(f"c_{k}").cast("double"))
         return sums.select("*", *[mean(k).alias(f"m_{k}") for k in ("pos", "neg")],
                            *[mean(k).isNotNull().cast("long").alias(f"b_{k}") for k in ("pos", "neg")])
@@ -107,3 +114,43 @@ class Live:
         return {"indicator counts": self.total("indicators").orderBy("position"), "verified accounts": self.total("verified"),
                 "observed posts": self.total("observed"), "mean followers": self.followers(), "sample posts": last("samples"),
                 "old vs new accounts": last("account_age")}
+
+
+class KeyedLive(Live):
+    """The same tables from rows that are joined already (``parked.join_arriving``), and
+    ``expired``: posts that were let go, by polarity."""
+
+    def __init__(self, spark: SparkSession, out: str, lexicon, cutoff: str, after: Callable[[dict], object] | None = None):
+        super().__init__(spark, out, lambda: None, lexicon, cutoff, after)
+
+    def batch(self, rows: DataFrame, epoch: int) -> None:
+        rows = rows.persist()  # read once for all tables
+        joined = rows.where(F.col("status") == JOINED)
+        tagged = joined.select("*", first_tag().alias(TAG))
+        weighted = tagged.select("public_metrics", flag(is_positive(CONTAINS, tag_col())).alias("pos"), flag(is_negative(CONTAINS, tag_col())).alias("neg"))
+        verified = S.running_verified_counts(joined)
+        gone = rows.where(F.col("status") == EXPIRED).select(first_tag().alias(TAG), "n_posts")
+        unknown = rows.where(F.col("status") == UNKNOWN)
+        write_latest(unknown.select(AUTHOR).distinct(), self.path("to_fetch"), epoch)
+        sums = {
+            "indicators": indicator_counts(joined, self.lexicon),
+            "verified": polarity_rows(verified, "pos", "neg"),
+            "observed": rows.where((F.col("status") != EXPIRED) & ~F.col("waited")).agg(F.coalesce(F.sum("n_posts"), F.lit(0)).alias("n_posts")),
+            "followers": self.with_means(A.follower_sums(weighted, [])),
+            "expired": polarity_rows(gone.agg(F.count_if(is_positive(CONTAINS, tag_col())).alias("pos"), F.count_if(is_negative(CONTAINS, tag_col())).alias("neg")), "pos", "neg"),
+        }
+        for name, new in sums.items():
+            self.add(name, new, epoch)
+        write_epoch(A.sample_posts(joined.select("data", "matching_rules")), self.path("samples"), epoch)
+        write_epoch(S.account_age_rows(S.running_account_age(joined, self.cutoff)), self.path("account_age"), epoch)
+        rows.unpersist()
+        if self.after:
+            self.after(self.tables())
+
+    def tables(self) -> dict[str, DataFrame]:
+        return {**super().tables(), "expired posts": self.total("expired")}
+
+
+def polarity_rows(wide: DataFrame, pos: str, neg: str) -> DataFrame:
+    return wide.select(F.inline(F.array(F.struct(F.lit("positive").alias("polarity"), F.col(pos).alias("n_posts")),
+                                        F.struct(F.lit("negative").alias("polarity"), F.col(neg).alias("n_posts")))))

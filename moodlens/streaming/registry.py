@@ -16,10 +16,11 @@ from pyspark.sql import functions as F
 
 from moodlens.plans import analyses as A
 from moodlens.plans.oracle_sql import oracle_sql as _batch_oracle, PE, UE
+from moodlens.functions.polarity import first_tag, no_rules
 from moodlens.operators.indicators import indicator_counts
 from moodlens.operators.join import join_users
 from moodlens.plans.registry import FIXTURE_LEXICON, _flat_posts, _tables, event_lexicon, posts_e, users_e
-from moodlens.session import scratch_path
+from moodlens.session import configured, scratch_path
 from moodlens.sources.files import land_posts, read_posts
 from moodlens.sources import fixtures as X
 from moodlens.sources.fixtures import FIXTURE_E_CUTOFF
@@ -28,10 +29,14 @@ from moodlens.streaming.sinks import (
     EPOCH, land_stream, latest_epoch, per_batch_writer, run_available, write_latest,
 )
 from moodlens.streaming.live import Live
-from moodlens.streaming.sources import BYTES_PER_TRIGGER, drop_snapshot, post_stream, snapshot_users
+from moodlens.streaming.parked import ARRIVED, EXPIRED, GRANULES, JOINED, STATE_STORE, join_arriving
+from moodlens.streaming.sources import BYTES_PER_TRIGGER, drop_snapshot, file_stream, post_stream, snapshot_users
 
 #: Days of the month in a slice.
 SLICE_DAYS = 8
+HOT_AUTHOR = "1"
+#: When the two halves of the users arrive: with the first slice and the third.
+DELIVERIES = ("2024-01-01 00:00:00", "2024-01-17 00:00:00")
 
 
 def _stream(spark: SparkSession, landing: str, fmt: str = "parquet") -> DataFrame:
@@ -103,6 +108,31 @@ def q_stream_verified_counts(spark, sf_dir):
         F.struct(F.lit("negative").alias("polarity"), F.col("neg").alias("n_posts")))))
 
 
+def hot_author(posts: DataFrame) -> DataFrame:
+    """Every third post goes to one author."""
+    third = F.col("data.id").cast("long") % 3 == 0
+    return posts.withColumn("data", F.col("data").withField("author_id", F.when(third, F.lit(HOT_AUTHOR)).otherwise(F.col("data.author_id"))))
+
+
+def q_stream_verified_windows(spark, sf_dir):
+    """Posts of verified authors per hour, one author holding a third of the
+    stream.  A last row, of an author that no user is, closes the windows."""
+    users = snapshot_users(spark, users_e(spark, sf_dir), "windows")
+    posts = hot_author(_tables(spark, sf_dir, "events")["events"].select(*X.event_post_columns(), F.col("ts").cast("timestamp").alias(ARRIVED)))
+    landing, ckpt, out = (scratch_path(spark, f"windows-{n}") for n in ("landing", "ckpt", "out"))
+    none = F.lit(None).cast("string")
+    end = posts.agg(F.max(ARRIVED).alias("last")).select(
+        *X.post_columns(none, F.lit(""), none, none, none, no_rules()), (F.col("last") + F.expr("INTERVAL 1 DAY")).alias(ARRIVED))
+    first = F.dayofmonth(ARRIVED) <= 15
+    for part in (posts.where(first), posts.where(~first), end):
+        part.write.mode("append").parquet(landing)
+        stream = file_stream(spark, landing, posts.schema)
+        run_available(S.verified_windows(S.author_windows(stream, ARRIVED), users), ckpt, sink_path=out)
+    drop_snapshot(spark, users)
+    return (spark.read.schema("window_start timestamp, pos bigint, neg bigint").parquet(out)
+            .select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "pos", "neg"))
+
+
 def q_stream_account_age_running(spark, sf_dir):
     """T6, cumulative variant: account-age shares since the start of the stream."""
     users = snapshot_users(spark, users_e(spark, sf_dir), "age_running")
@@ -204,6 +234,39 @@ def q_stream_late_users(spark, sf_dir):
     return job.total("verified")
 
 
+def _arriving(spark, sf_dir, name: str, foreach_batch, expiry: str) -> None:
+    """Posts of fixture E and two deliveries of users (half of them with the
+    first slice, half with the third) as streams with times of arrival."""
+    posts = _tables(spark, sf_dir, "events")["events"].select(*X.event_post_columns(), F.col("ts").cast("timestamp").alias(ARRIVED))
+    users, odd = users_e(spark, sf_dir), F.col("id").cast("long") % 2 == 1
+    first, late = (F.lit(t).cast("timestamp") for t in DELIVERIES)
+    folder = {n: scratch_path(spark, f"{name}-{n}") for n in ("posts", "users", "ckpt")}
+    slice_ = F.floor((F.dayofmonth(ARRIVED) - 1) / SLICE_DAYS)
+    with configured(spark, STATE_STORE):
+        for k in range(-(-31 // SLICE_DAYS)):
+            if k in (0, 2):
+                users.where(odd if k else ~odd).withColumn(ARRIVED, late if k else first).write.mode("append").parquet(folder["users"])
+            posts.where(slice_ == k).write.mode("append").parquet(folder["posts"])
+            streams = [file_stream(spark, folder[n], s) for n, s in (("posts", posts.schema), ("users", users.withColumn(ARRIVED, first).schema))]
+            run_available(join_arriving(*streams, expiry=expiry), folder["ckpt"], foreach_batch=foreach_batch)
+
+
+def q_stream_parked_posts(spark, sf_dir):
+    """T7 + S10: posts wait in keyed state; what waits longer than 12 days is let go.
+    ``status, polarity, n_posts``: verified accounts' posts, and expired posts."""
+    out = scratch_path(spark, "parked-out")
+    _arriving(spark, sf_dir, "parked", per_batch_writer(lambda rows: rows, out), "12 days")
+    rows = spark.read.parquet(out).withColumn("tag", first_tag())
+    verified = (F.col("status") == JOINED) & F.col("verified")
+    counts = [("verified", p, F.count_if(verified & F.col("tag").contains(p))) for p in ("positive", "negative")]
+    counts += [("expired", p, F.count_if((F.col("status") == EXPIRED) & F.col("tag").contains(p))) for p in ("positive", "negative")]
+    arrived = F.sum(F.when((F.col("status") != EXPIRED) & ~F.col("waited"), F.col("n_posts")).otherwise(0))
+    wide = rows.agg(*[c.alias(f"{s}_{p}") for s, p, c in counts], arrived.alias("observed"))
+    return wide.select(F.inline(F.array(
+        *[F.struct(F.lit(s).alias("status"), F.lit(p).alias("polarity"), F.col(f"{s}_{p}").alias("n_posts")) for s, p, _ in counts],
+        F.struct(F.lit("observed").alias("status"), F.lit(None).cast("string").alias("polarity"), F.col("observed").alias("n_posts")))))
+
+
 def q_stream_landing(spark, sf_dir):
     """S3 + S7: JSON post files read as a stream, landed as Parquet by day
     (file sink, exactly-once), read back as an archive."""
@@ -222,6 +285,7 @@ STREAM_QUERIES = {
     "stream_landing": q_stream_landing,
     "stream_indicator_counts": q_stream_indicator_counts,
     "stream_verified_counts": q_stream_verified_counts,
+    "stream_verified_windows": q_stream_verified_windows,
     "stream_observed": q_stream_observed,
     "stream_followers": q_stream_followers,
     "stream_batch_means": q_stream_batch_means,
@@ -231,6 +295,7 @@ STREAM_QUERIES = {
     "stream_joined_indicators": q_stream_joined_indicators,
     "stream_joined_indicators_all": q_stream_joined_indicators_all,
     "stream_late_users": q_stream_late_users,
+    "stream_parked_posts": q_stream_parked_posts,
     "stream_account_age": q_stream_account_age,
     "stream_account_age_all": q_stream_account_age_all,
     "stream_account_age_running": q_stream_account_age_running,
@@ -275,11 +340,32 @@ _INDICATORS = (f"lex(position, indicator, polarity) AS (VALUES {_LEXICON_E}) "
                "SELECT l.polarity, l.position, l.indicator, count(j.post_id) AS n_posts "
                "FROM lex l LEFT JOIN j ON contains(lower(j.text), l.indicator) GROUP BY l.polarity, l.position, l.indicator")
 
+_DAY_MS = 86_400_000
+
 STREAM_ORACLE = {
     "stream_landing": _batch_oracle()["landing_roundtrip"],
     "stream_indicator_counts": _batch_oracle()["indicator_counts"],
     "stream_verified_counts": _batch_oracle()["verified_counts"],
     "stream_late_users": _batch_oracle()["verified_counts"],
+    # 12 days in sixteenths; the second delivery comes when the watermark is a minute before the last post of slice 1
+    "stream_parked_posts": (
+        f"WITH {PE}, {UE}, p AS (SELECT pe.*, e.ts, ue.id, ue.verified, CAST(e.user_id AS BIGINT) % 2 = 1 AS late, "
+        f"(SELECT max(ts) FROM events WHERE day(ts) <= {2 * SLICE_DAYS}) - INTERVAL 1 MINUTE AS mark, "
+        f"(SELECT max(ts) FROM events) - INTERVAL 1 MINUTE AS last, "
+        f"make_timestamp(CAST(ceil((epoch_ms(e.ts) + {12 * _DAY_MS}) / {12 * _DAY_MS // GRANULES}.0) AS BIGINT) * {12 * _DAY_MS // GRANULES} * 1000) AS until "
+        "FROM pe JOIN events e ON CAST(e.event_id AS VARCHAR) = pe.post_id LEFT JOIN ue ON ue.id = pe.author_id WHERE pe.author_id IS NOT NULL), "
+        "r AS (SELECT *, CASE WHEN id IS NULL AND until < last OR late AND until < mark THEN 'expired' "
+        "WHEN id IS NOT NULL THEN 'joined' ELSE 'waiting' END AS status FROM p) "
+        + " UNION ALL ".join(
+            f"SELECT 'verified' AS status, '{tag}' AS polarity, count(*) FILTER (WHERE tag LIKE '%{tag}%' AND verified AND status = 'joined') AS n_posts FROM r "
+            f"UNION ALL SELECT 'expired', '{tag}', count(*) FILTER (WHERE tag LIKE '%{tag}%' AND status = 'expired') FROM r" for tag in ("positive", "negative"))
+        + " UNION ALL SELECT 'observed', NULL, count(*) FROM r"),
+    "stream_verified_windows": (
+        f"WITH {PE}, {UE}, p AS (SELECT pe.*, e.ts, CASE WHEN e.event_id % 3 = 0 THEN '{HOT_AUTHOR}' ELSE pe.author_id END AS author "
+        "FROM pe JOIN events e ON CAST(e.event_id AS VARCHAR) = pe.post_id) "
+        "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS window_start, count(*) FILTER (WHERE tag LIKE '%positive%') AS pos, "
+        "count(*) FILTER (WHERE tag LIKE '%negative%') AS neg FROM p JOIN ue ON ue.id = p.author AND ue.verified "
+        "WHERE tag LIKE '%positive%' OR tag LIKE '%negative%' GROUP BY 1"),
     "stream_observed": "SELECT count(*) AS n_posts FROM events",
     "stream_account_age_running": _batch_oracle()["account_age_split"],
     "stream_followers": (f"WITH {PE}, {UE}, j AS (SELECT pe.*, ue.followers FROM pe JOIN ue ON ue.id = pe.author_id) "

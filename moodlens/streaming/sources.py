@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from moodlens.operators.join import dedupe_users
@@ -18,6 +19,18 @@ BYTES_PER_TRIGGER = 64 << 30
 LANDED_POST = T.StructType(POST.fields + [T.StructField("ingest_date", T.StringType())])
 
 
+def file_stream(spark: SparkSession, folder: str, schema: T.StructType, fmt: str = "parquet", arrived: str | None = None, **options) -> DataFrame:
+    """Files of ``folder`` as a stream; ``arrived`` names a column for the time at
+    which a row's file was written, unless ``schema`` has such a column."""
+    reader = spark.readStream.format(fmt).schema(schema)
+    for k, v in options.items():
+        reader = reader.option(k, v)
+    rows = reader.load(folder)
+    if arrived and arrived not in schema.names:
+        rows = rows.select("*", F.col("_metadata.file_modification_time").alias(arrived))
+    return rows
+
+
 def post_stream(spark: SparkSession, landing_dir: str, fmt: str = "parquet",
                 max_files_per_trigger: int | None = None,
                 max_bytes_per_trigger: int | None = None) -> DataFrame:
