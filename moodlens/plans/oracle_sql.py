@@ -182,6 +182,24 @@ def oracle_sql() -> dict[str, str]:
         "rule_admin": _tag_sql(rules_admin),
         "rule_branches": _branches({"purchase": (2, "positive keywords"), "error": (2, "positive emojis"), "click": (1, "positive keywords"), "low": (1, "negative emojis")}),
         "rule_tables": _branches({"purchase": (1, "positive keywords"), "error": (1, "negative keywords"), "click": (1, "positive keywords"), "low": (2, "negative emojis")}),
+        "rule_join": _branches({"purchase": (1, "positive keywords"), "error": (1, "negative keywords"), "click": (1, "positive keywords"), "low": (2, "negative emojis")}),
+        "rule_lexicon": (
+            f"WITH c AS (SELECT {_tokens()} AS tok, {_tokens().removeprefix('list_filter(').removesuffix(", lambda x: x <> '')")} AS raw FROM conversations), "
+            "w AS (SELECT DISTINCT unnest(tok) AS term FROM c), "
+            "ph AS (SELECT DISTINCT raw[1] || ' ' || raw[2] AS term FROM c WHERE raw[1] <> '' AND raw[2] <> ''), "
+            "t AS (SELECT term, CAST('0x' || substr(md5(term), 1, 6) AS BIGINT) % 1000 AS r FROM (SELECT * FROM w UNION ALL SELECT * FROM ph)), "
+            "x AS (SELECT CAST('0x' || substr(md5(term), 7, 6) AS BIGINT) % 1000 AS r, max(term) AS word FROM w GROUP BY 1), "
+            f"d AS (SELECT CAST(doc_id AS VARCHAR) AS post_id, lang, {_tokens()} AS tok FROM documents), "
+            "dt AS (SELECT DISTINCT post_id, lang, unnest(tok) AS term FROM d), "
+            "dp AS (SELECT DISTINCT post_id, lang, unnest(list_transform(range(1, len(tok)), lambda i: tok[i] || ' ' || tok[i + 1])) AS term FROM d), "
+            "h AS (SELECT DISTINCT post_id, r FROM (SELECT * FROM dt UNION ALL SELECT * FROM dp) JOIN t USING (term) WHERE r % 3 <> 0 OR lang = 'en'), "
+            "v AS (SELECT DISTINCT post_id, r FROM dt JOIN x ON dt.term = x.word WHERE r % 2 = 0), "
+            "k AS (SELECT * FROM h WHERE NOT EXISTS (SELECT 1 FROM v WHERE v.post_id = h.post_id AND v.r = h.r)) "
+            "SELECT post_id, CAST(count(*) AS INTEGER) AS n_rules, CASE WHEN min(r) % 4 < 2 THEN 'positive keywords' ELSE 'negative keywords' END AS first_tag "
+            "FROM k GROUP BY post_id"),
+        "large_lexicon": (
+            f"WITH w AS (SELECT DISTINCT unnest({_tokens()}) AS term FROM conversations), d AS (SELECT lower(text) AS low FROM documents WHERE text IS NOT NULL) "
+            "SELECT w.term, count(d.low) AS n_posts FROM w LEFT JOIN d ON contains(d.low, w.term) WHERE length(w.term) > 1 GROUP BY w.term"),
         "known_author_join": f"{joined_e} SELECT post_id, author_id, user_created_at, verified, followers FROM j WHERE CAST(author_id AS BIGINT) % 2 = 0",
         "unknown_authors": f"WITH {UE} SELECT DISTINCT CAST(user_id AS VARCHAR) AS author_id FROM events "
                            "WHERE user_id IS NOT NULL AND NOT (user_id % 2 = 0 AND CAST(user_id AS VARCHAR) IN (SELECT id FROM ue))",

@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from moodlens.functions.polarity import first_tag
+from moodlens.functions.text import tokens
 from moodlens.lexicons import (
     Rule, RuleSet, POSITIVE_EMOJIS, NEGATIVE_EMOJIS, RULE_EXCLUDE, default_lexicon, default_rules, lexicon_from_lists,
 )
 from moodlens.operators.indicators import indicator_counts, indicator_quality
 from moodlens.operators.join import join_users
+from moodlens.operators.patterns import contains_counts, rule_hits, tag_posts_by_table
 from moodlens.operators.rules import add_rules, delete_rules, rules_frame, rules_from_frame, tag_posts, tagged_only
 from moodlens.operators.versions import as_of_join, user_versions
 from moodlens.plans import analyses as A
@@ -192,6 +194,51 @@ def q_rule_tables(spark, sf_dir):
     return _tag_report(tag_posts(branch_posts(spark, sf_dir), rules_from_frame(add_rules(delete_rules(rules, gone), more))))
 
 
+def q_rule_join(spark, sf_dir):
+    """The rule tables of ``rule_tables``, joined instead of collected."""
+    rules = rules_frame(spark, default_rules())
+    gone = spark.createDataFrame([("2",)], "rule_id string")
+    more = rules_frame(spark, RuleSet((Rule("5", "positive keywords", ("gloves",), "keyword", exclude=RULE_EXCLUDE),)))
+    return _tag_report(tag_posts_by_table(branch_posts(spark, sf_dir), add_rules(delete_rules(rules, gone), more)))
+
+
+#: Rules that ``rule_lexicon`` makes of the conversations' words.
+GENERATED_RULES = 1000
+
+
+def spoken_words(spark, sf_dir) -> DataFrame:
+    """Distinct tokens of the conversations: ``term``."""
+    spoken = _tables(spark, sf_dir, "conversations")["conversations"]
+    return spoken.select(F.explode(tokens("text")).alias("term")).where(F.col("term") != "").distinct()
+
+
+def rule_lexicon(spark, sf_dir) -> DataFrame:
+    """A thousand rules from the conversations: words and two-word openings dealt
+    by hash; every third rule for English alone, every second with an excluded word."""
+    spoken = _tables(spark, sf_dir, "conversations")["conversations"].select(tokens("text").alias("t"))
+    phrases = (spoken.where((F.get("t", F.lit(0)) != "") & (F.coalesce(F.get("t", F.lit(1)), F.lit("")) != ""))
+               .select(F.concat_ws(" ", F.get("t", F.lit(0)), F.get("t", F.lit(1))).alias("term")).distinct())
+    words = spoken_words(spark, sf_dir)
+    dealt = lambda place: F.conv(F.substring(F.md5("term"), place, 6), 16, 10).cast("long") % GENERATED_RULES
+    terms = words.unionByName(phrases).groupBy(dealt(1).alias("r")).agg(F.collect_set("term").alias("terms"))
+    exclude = words.groupBy(dealt(7).alias("x")).agg(F.max("term").alias("word"))
+    return terms.join(exclude, F.col("r") == F.col("x"), "left").select(
+        F.lpad(F.col("r").cast("string"), 4, "0").alias("rule_id"),
+        F.when(F.col("r") % 4 < 2, F.lit("positive keywords")).otherwise(F.lit("negative keywords")).alias("tag"), "terms",
+        F.when(F.col("r") % 3 == 0, F.lit("en")).alias("lang"), F.when(F.col("r") % 2 == 0, F.col("word")).alias("exclude"))
+
+
+def q_rule_lexicon(spark, sf_dir):
+    """A thousand rules from the tables over all documents, as a join."""
+    hits = rule_hits(posts_d(spark, sf_dir), rule_lexicon(spark, sf_dir))
+    return hits.select("post_id", F.size("matching_rules").alias("n_rules"), first_tag().alias("first_tag"))
+
+
+def q_large_lexicon(spark, sf_dir):
+    """J3 with every word of the conversations as an indicator, over all documents."""
+    return contains_counts(posts_d(spark, sf_dir), spoken_words(spark, sf_dir).where(F.length("term") > 1))
+
+
 def known_users(spark, sf_dir) -> DataFrame:
     """Half of the users of fixture E."""
     return users_e(spark, sf_dir).where(F.col("id").cast("long") % 2 == 0)
@@ -330,6 +377,9 @@ QUERIES = {
     "rule_admin": q_rule_admin,
     "rule_branches": q_rule_branches,
     "rule_tables": q_rule_tables,
+    "rule_join": q_rule_join,
+    "rule_lexicon": q_rule_lexicon,
+    "large_lexicon": q_large_lexicon,
     "known_author_join": q_known_author_join,
     "unknown_authors": q_unknown_authors,
     "users_roundtrip": q_users_roundtrip,
