@@ -11,6 +11,7 @@ from __future__ import annotations
 import argparse
 import sys
 
+from moodlens.functions.text import displayed
 from moodlens.lexicons import default_lexicon
 from moodlens.operators.indicators import indicator_counts
 from moodlens.plans import analyses as A
@@ -70,9 +71,9 @@ def archive(spark, args) -> dict:
 def show_all(title: str, df) -> None:
     """Prints every row and whole texts; the tables are bounded (a row per
     hour, group, indicator or sampled post)."""
-    rows = df.collect()
-    print(f"\n== {title} ==")
-    df.sparkSession.createDataFrame(rows, df.schema).show(max(1, len(rows)), truncate=False)
+    print(f"\n== {title} ==\n{' | '.join(df.columns)}")
+    for row in displayed(df).collect():
+        print(row.line)
 
 
 def live(spark, args) -> dict:

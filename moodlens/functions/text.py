@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Token separator: anything that is not a letter, a digit or an apostrophe.
@@ -29,6 +29,12 @@ def token_text(text: str | Column = "data.text") -> Column:
     return F.concat(F.lit(" "), F.regexp_replace(lower_text(text), TOKEN_SPLIT, " "), F.lit(" "))
 
 
+def displayed(table: DataFrame) -> DataFrame:
+    """``line``: each row as the command line prints it, whole and unpadded (NULL
+    for a null; line breaks in a text stay in it)."""
+    return table.select(F.concat_ws(" | ", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("NULL")) for c in table.columns]).alias("line"))
+
+
 def has_non_ascii(text: str | Column = "data.text") -> Column:
     """True when the text holds any non-ASCII character (bytes > chars)."""
     col = F.col(text) if isinstance(text, str) else text

@@ -243,5 +243,16 @@ def oracle_sql() -> dict[str, str]:
         "corrupt_quarantine": (
             "SELECT 'good' AS status, count(*) AS n FROM events "
             "UNION ALL SELECT 'malformed', count(*) FROM events"),
+        "displayed_rows": (
+            f"WITH {PE}, lex(position, indicator, polarity) AS (VALUES {lex_e_values}), n AS (SELECT l.polarity, l.position, l.indicator, count(pe.post_id) AS n_posts "
+            "FROM lex l LEFT JOIN pe ON contains(lower(pe.text), l.indicator) GROUP BY ALL), "
+            f"s AS ((SELECT 'positive' AS polarity, post_id, text FROM pe WHERE {pos_c} ORDER BY created_at, post_id LIMIT 5) "
+            f"UNION ALL (SELECT 'negative', post_id, text FROM pe WHERE {neg_c} ORDER BY created_at, post_id LIMIT 5)) "
+            "SELECT 'indicator counts' AS title, polarity || ' | ' || position || ' | ' || indicator || ' | ' || n_posts AS line FROM n "
+            "UNION ALL SELECT 'sample posts', polarity || ' | ' || post_id || ' | ' || text FROM s"),
+        "sample_state": (
+            f"WITH {PE} (SELECT 'positive' AS polarity, post_id, text FROM pe WHERE {pos_c} ORDER BY created_at, post_id LIMIT 5) "
+            f"UNION ALL (SELECT 'negative', post_id, text FROM pe WHERE {neg_c} ORDER BY created_at, post_id LIMIT 5)"),
+        "landing_compacted": f"WITH {PE} SELECT post_id, author_id, created_at, text, tag AS first_tag FROM pe",
         "landing_roundtrip": f"WITH {PE} SELECT post_id, author_id, created_at, text, tag AS first_tag FROM pe",
     }

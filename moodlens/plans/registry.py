@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from moodlens.functions.polarity import first_tag
-from moodlens.functions.text import tokens
+from moodlens.functions.text import displayed, tokens
 from moodlens.lexicons import (
     Rule, RuleSet, POSITIVE_EMOJIS, NEGATIVE_EMOJIS, RULE_EXCLUDE, default_lexicon, default_rules, lexicon_from_lists,
 )
@@ -19,10 +19,12 @@ from moodlens.operators.indicators import indicator_counts, indicator_quality
 from moodlens.operators.join import join_users
 from moodlens.operators.patterns import contains_counts, rule_hits, tag_posts_by_table
 from moodlens.operators.rules import add_rules, delete_rules, rules_frame, rules_from_frame, tag_posts, tagged_only
+from moodlens.operators.topk import merge_states, sample_state, samples
 from moodlens.operators.versions import as_of_join, user_versions
 from moodlens.plans import analyses as A
 from moodlens.session import scratch_path
 from moodlens.sources import fixtures as X
+from moodlens.sources.compaction import compact, read_compacted
 from moodlens.sources.files import (
     authors_to_fetch, land_posts, quarantine_report, read_posts, read_posts_with_quarantine,
     read_user_envelopes, read_users, register_views,
@@ -178,7 +180,7 @@ def branch_posts(spark, sf_dir) -> DataFrame:
             .when(F.col("value") < 20, F.lit("gloves 💔"))
             .otherwise(F.lit("plain 🎈 text")))
     lang = F.when(F.col("user_id") % 5 == 0, F.lit("fr")).otherwise(F.lit("en"))
-    return e.select(*X.post_columns(F.col("event_id"), F.col("user_id"), F.lit(None).cast("string"), text, lang, F.array().cast(X.RULES_TYPE)))
+    return e.select(*X.post_columns(F.col("event_id"), F.col("user_id"), F.date_format("ts", X.ISO_MILLIS), text, lang, F.array().cast(X.RULES_TYPE)))
 
 
 def q_rule_branches(spark, sf_dir):
@@ -359,6 +361,36 @@ def q_landing_roundtrip(spark, sf_dir):
     return _flat_posts(read_posts(spark, path, fmt="json"))
 
 
+def q_displayed_rows(spark, sf_dir):
+    """The lines that the command line prints for indicators and samples."""
+    posts = posts_e(spark, sf_dir)
+    shown = {"indicator counts": indicator_counts(posts, event_lexicon()), "sample posts": A.sample_posts(posts)}
+    lines = [displayed(df).select(F.lit(t).alias("title"), "line") for t, df in shown.items()]
+    return lines[0].unionByName(lines[1])
+
+
+def q_sample_state(spark, sf_dir):
+    """O2 in one scan: the samples' state of fixture E, merged from four parts."""
+    posts, state = posts_e(spark, sf_dir), None
+    for k in range(4):
+        part = posts.where(F.pmod(F.col("data.id").cast("long"), F.lit(4)) == k)
+        state = merge_states(sample_state(part), state)
+    return samples(state)
+
+
+def q_landing_compacted(spark, sf_dir):
+    """Posts landed in many small files, compacted twice (more land between),
+    read through the manifest."""
+    path = scratch_path(spark, "compacted")
+    posts = posts_e(spark, sf_dir)
+    late = F.col("data.id").cast("long") % 4 == 0
+    land_posts(posts.where(~late), path, max_records_per_file=200)
+    compact(spark, path)
+    land_posts(posts.where(late), path, max_records_per_file=200)
+    compact(spark, path)
+    return _flat_posts(read_compacted(spark, path))
+
+
 QUERIES = {
     "polarity_totals": q_polarity_totals,
     "hourly_polarity": q_hourly_polarity,
@@ -373,6 +405,8 @@ QUERIES = {
     "indicator_counts_joined": q_indicator_counts_joined,
     "indicator_quality": q_indicator_quality,
     "sample_posts": q_sample_posts,
+    "displayed_rows": q_displayed_rows,
+    "sample_state": q_sample_state,
     "rule_tagging": q_rule_tagging,
     "rule_admin": q_rule_admin,
     "rule_branches": q_rule_branches,
@@ -393,4 +427,5 @@ QUERIES = {
     "user_envelope": q_user_envelope,
     "corrupt_quarantine": q_corrupt_quarantine,
     "landing_roundtrip": q_landing_roundtrip,
+    "landing_compacted": q_landing_compacted,
 }

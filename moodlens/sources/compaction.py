@@ -2,30 +2,31 @@
 
 A landing folder grows by small files.  ``compact`` merges the small files of a
 day into files of about ``target_bytes`` and publishes a manifest, the list of
-files that make up the table, under the next version.  Files are only ever added:
-old ones stay until ``vacuum``, so a reader of an earlier manifest goes on reading
-whole days while a job runs, and sees either none or all of a version.
-
-``manifests/v=<n>`` is written by one job and counts once its ``_SUCCESS`` marker
-is there.  A job that fails before that leaves the table as it was, and one that
-is run again finds no small files and changes nothing.  Files that land during a
-run belong to the next version: a reader adds to the manifest what has landed
-since it was made (``read_compacted``).
+files that make up the table, as the next version.  Files are only ever added:
+merged ones go below ``_compacted``, where readers of the plain folder don't look,
+and old ones stay until ``vacuum``.  So a reader of an earlier version goes on
+reading whole days while a job runs, and sees either none or all of a version.
+
+A version is written by one Spark job and counts once its ``_SUCCESS`` marker is
+there.  A job that fails before that leaves the table as it was, and one that is
+run again finds no small files and changes nothing.  What has landed since a
+manifest was made belongs to the table, too (``read_compacted``), and is listed
+by the next version.
 """
 
 from __future__ import annotations
 
 import uuid
-from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from moodlens.schemas import POST
-from moodlens.streaming.sources import LANDED_POST
+from moodlens.session import scratch_path
 
 DAY = "ingest_date"
+DAY_OF = f"(?:^|/){DAY}=([^/]*)/"
 TARGET_BYTES = 256 << 20
 #: A file below this share of the target is small.
 SMALL = 0.5
@@ -52,98 +53,79 @@ def versions(spark: SparkSession, folder: str) -> list[int]:
 def manifest(spark: SparkSession, folder: str, version: int | None = None) -> DataFrame:
     """Rows of a published manifest (the newest by default; empty before the first)."""
     known = versions(spark, folder)
+    if version is not None and version not in known:
+        raise ValueError(f"no version {version} of {folder}")
     if not known:
         return spark.createDataFrame([], MANIFEST)
     return spark.read.schema(MANIFEST).parquet(f"{folder}/_manifests/v={known[-1] if version is None else version}")
 
 
-def _relative(path: Column, folder: str) -> Column:
-    """A file's name below the folder, whatever scheme its path is written with."""
+def _files(spark: SparkSession, folder: str, below: str = "") -> DataFrame:
+    """``ingest_date, file, bytes`` of the Parquet files below ``folder/below``, as
+    Spark lists them; names are relative to ``folder``."""
     name = folder.rstrip("/").split("://")[-1].split("/", 1)[-1]
-    return F.regexp_extract(F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), f"(?:^|/)\\Q{name}\\E/(.*)$", 1)
-
-
-def landed(spark: SparkSession, folder: str) -> DataFrame:
-    """``ingest_date, file, bytes``: the files in the folder's days, as Spark lists them."""
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(folder)
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(folder + below)
              .select("path", F.col("length").alias("bytes")))  # names and sizes alone: no content is read
-    named = files.select(_relative(F.col("path"), folder).alias("file"), "bytes")
-    return (named.where(F.col("file").startswith(f"{DAY}="))
-            .select(F.regexp_extract("file", f"^{DAY}=([^/]*)/", 1).alias(DAY), "file", "bytes"))
+    named = files.select(F.regexp_extract("path", f"(?:^|/)\\Q{name}\\E/(.*)$", 1).alias("file"), "bytes")
+    return named.select(F.regexp_extract("file", DAY_OF, 1).alias(DAY), "file", "bytes").where(F.col(DAY) != "")
 
 
 def live_files(spark: SparkSession, folder: str, version: int | None = None) -> DataFrame:
     """``ingest_date, file, bytes``: the files that make up the table now, or
     those of one version."""
     listed = manifest(spark, folder, version)
+    held = listed.where(~F.col("merged")).drop("merged")
     if version is not None:
-        return listed.where(~F.col("merged")).drop("merged")
-    # files of compaction jobs that weren't published carry a job's mark
-    since = landed(spark, folder).where(~F.col("file").contains("/compact-")).join(listed.select("file"), "file", "left_anti")
-    return listed.where(~F.col("merged")).drop("merged").unionByName(since)
+        return held
+    return held.unionByName(_files(spark, folder).join(listed.select("file"), "file", "left_anti").select(held.columns))
 
 
 def read_compacted(spark: SparkSession, folder: str, version: int | None = None, schema: T.StructType = POST) -> DataFrame:
-    """Posts of the table: the newest manifest and what has landed since, or one version.
+    """Posts and their ``ingest_date``: the newest manifest and what has landed
+    since, or one version.
 
     The list of files is read by the driver, as Spark's own file listing is."""
     files = [f"{folder}/{r.file}" for r in live_files(spark, folder, version).select("file").collect()]
-    fields = T.StructType([*schema.fields, *[f for f in LANDED_POST.fields if f.name == DAY and DAY not in schema.names]])
     if not files:
-        return spark.createDataFrame([], fields)
-    return spark.read.schema(fields).option("basePath", folder).parquet(*files)
+        return spark.createDataFrame([], T.StructType([*schema.fields, T.StructField(DAY, T.StringType())]))
+    rows = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(*files)
+    return rows.select("*", F.regexp_extract("_metadata.file_path", DAY_OF, 1).alias(DAY))
 
 
-def compact(spark: SparkSession, folder: str, target_bytes: int = TARGET_BYTES) -> int | None:
+def compact(spark: SparkSession, folder: str, target_bytes: int = TARGET_BYTES, schema: T.StructType = POST) -> int | None:
     """Merges the small files of each day that has two or more; returns the new
     version, or None if there is nothing to merge and nothing new to list."""
+    folder = folder.rstrip("/")
     before = manifest(spark, folder)
-    now = live_files(spark, folder).persist()
-    sized = now.withColumn("small", F.col("bytes") < int(target_bytes * SMALL))
-    days = (sized.where("small").groupBy(DAY).agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("total"))
-            .where("n > 1").withColumn("parts", F.ceil(F.col("total") / target_bytes).cast("int"))).persist()
-    old = sized.join(days.select(DAY), DAY, "left_semi").where("small").select(DAY, "file", "bytes").persist()
+    # listed once: a list that changed under the job could name files that weren't merged
+    listing = scratch_path(spark, "listing")
+    live_files(spark, folder).withColumn("small", F.col("bytes") < int(target_bytes * SMALL)).write.parquet(listing)
+    now = spark.read.schema(f"{DAY} string, file string, bytes bigint, small boolean").parquet(listing)
+    days = (now.where("small").groupBy(DAY).agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("total"))
+            .where("n > 1").select(F.col(DAY).alias("_day"), F.ceil(F.col("total") / target_bytes).cast("int").alias("_parts")))
+    old = now.where("small").join(days, F.col(DAY) == F.col("_day"), "left_semi").select(DAY, "file", "bytes")
     names = [f"{folder}/{r.file}" for r in old.select("file").collect()]
     if not names and now.join(before.select("file"), "file", "left_anti").isEmpty():
         return None
-    job = f"compact-{uuid.uuid4().hex[:12]}"
-    staged = f"{folder}/_staging/{job}"
     new = spark.createDataFrame([], MANIFEST)
     if names:
-        rows = spark.read.option("basePath", folder).parquet(*names).withColumn(DAY, F.col(DAY).cast("string"))
-        # a day's rows are dealt over as many tasks as it gets files
-        part = F.pmod(F.xxhash64(*[c for c in rows.columns if c != DAY and not isinstance(rows.schema[c].dataType, T.MapType)]), F.col("parts"))
-        dealt = rows.join(F.broadcast(days.select(F.col(DAY).alias("_day"), "parts")), F.col(DAY).eqNullSafe(F.col("_day"))).withColumn("_part", part)
-        dealt.repartition(DAY, "_part").drop("_day", "parts", "_part").write.partitionBy(DAY).parquet(staged)
-        _publish_files(spark, folder, staged, job)
-        new = landed(spark, folder).where(F.col("file").contains(f"/{job}")).withColumn("merged", F.lit(False))
+        below = f"/_compacted/{uuid.uuid4().hex[:12]}"
+        rows = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(*names).select("*", F.regexp_extract("_metadata.file_path", DAY_OF, 1).alias(DAY))
+        # a day's rows are dealt over as many tasks as it gets files (a number of
+        # partitions that is given isn't coalesced; spare ones keep parts apart)
+        total = days.agg(F.sum("_parts")).first()[0]
+        dealt = rows.join(days, F.col(DAY) == F.col("_day")).withColumn("_part", F.pmod(F.xxhash64(*schema.names), F.col("_parts")))
+        dealt.repartition(4 * total, DAY, "_part").select(*schema.names, DAY).write.partitionBy(DAY).parquet(folder + below)
+        new = _files(spark, folder, below).withColumn("merged", F.lit(False))
     gone = before.where("merged").unionByName(old.withColumn("merged", F.lit(True)))
-    kept = now.join(old.select("file"), "file", "left_anti").withColumn("merged", F.lit(False))
+    kept = now.drop("small").join(old.select("file"), "file", "left_anti").withColumn("merged", F.lit(False))
     version = (versions(spark, folder) or [0])[-1] + 1
     out = kept.select(MANIFEST.names).unionByName(new.select(MANIFEST.names)).unionByName(gone.select(MANIFEST.names))
-    # the marker that Spark writes last makes the version count
+    # the marker, which is written last, makes the version count
     out.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").mode("overwrite").parquet(f"{folder}/_manifests/v={version}")
-    for df in (now, days, old):
-        df.unpersist()
     return version
 
 
-def _publish_files(spark: SparkSession, folder: str, staged: str, job: str) -> None:
-    """Moves the staged files into their days under names that no reader lists
-    before the manifest names them."""
-    fs, root = _fs(spark, staged)
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    for day in fs.listStatus(root):
-        if not day.isDirectory():
-            continue
-        target = path(f"{folder}/{day.getPath().getName()}")
-        fs.mkdirs(target)
-        for i, f in enumerate(fs.listStatus(day.getPath())):
-            if not fs.rename(f.getPath(), path(target, f"{job}-{i:05d}.parquet")):
-                raise RuntimeError(f"could not move {f.getPath()}")
-    fs.delete(root, True)
-
-
 def vacuum(spark: SparkSession, folder: str) -> int:
     """Deletes files that the newest manifest lists as merged, once no reader of an
     older version is left; returns how many."""

@@ -95,6 +95,21 @@ def verified_windows(windows: DataFrame, users_static: DataFrame) -> DataFrame:
             .select(F.col("window.start").alias("window_start"), "pos", "neg"))
 
 
+def join_user_stream(posts: DataFrame, users: DataFrame, at: str, seen: str, wait: str = "1 day", delay: str = "1 minute") -> DataFrame:
+    """Posts joined with the rows of a user stream that come within ``wait`` after
+    them (append mode): ``post_id, author_id, seen_at, verified, followers``.
+
+    Both streams have a watermark and the condition bounds the time between the
+    two, so state ends: a post goes when the users' watermark has passed its
+    wait, and one whose author wasn't seen by then comes out with NULLs.
+    """
+    p = posts.withWatermark(at, delay).select(F.col("data.id").alias("post_id"), F.col("data.author_id").alias("author_id"), F.col(at).alias("_at"))
+    u = users.withWatermark(seen, delay).select(F.col("id").alias("_user"), F.col(seen).alias("seen_at"), "verified",
+                                                F.col("public_metrics.followers_count").alias("followers"))
+    near = F.expr(f"author_id = _user AND seen_at >= _at AND seen_at < _at + INTERVAL {wait}")
+    return p.join(u, near, "left_outer").select("post_id", "author_id", "seen_at", "verified", "followers")
+
+
 def account_age_rows(wide: DataFrame) -> DataFrame:
     """Wide running account-age counts -> ``description, n_posts, percentage``."""
     return _two_way(wide, [(OLDER_POSITIVE, OLDER_NEGATIVE, "old_pos", "old_neg"),

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from moodlens.functions.polarity import CONTAINS, PREFIX, TAG, first_tag, flag, is_negative, is_positive, tag_col
 from moodlens.operators.indicators import indicator_counts
 from moodlens.operators.join import AUTHOR, dedupe_users, join_users, per_author, with_users
+from moodlens.operators.topk import merge_states, sample_state, samples
 from moodlens.plans import analyses as A
 from moodlens.sources.files import authors_to_fetch
 from moodlens.streaming import analyses as S
@@ -118,7 +119,8 @@ class Live:
 
 class KeyedLive(Live):
     """The same tables from rows that are joined already (``parked.join_arriving``), and
-    ``expired``: posts that were let go, by polarity."""
+    ``expired``: posts that were let go, by polarity; ``latest``: the last five posts
+    of each polarity so far.  ``samples`` are the last five of a micro-batch."""
 
     def __init__(self, spark: SparkSession, out: str, lexicon, cutoff: str, after: Callable[[dict], object] | None = None):
         super().__init__(spark, out, lambda: None, lexicon, cutoff, after)
@@ -141,14 +143,16 @@ class KeyedLive(Live):
         }
         for name, new in sums.items():
             self.add(name, new, epoch)
-        write_epoch(A.sample_posts(joined.select("data", "matching_rules")), self.path("samples"), epoch)
+        state = sample_state(joined, latest=True)  # one scan for the batch's samples and for the running ones
+        write_epoch(samples(state), self.path("samples"), epoch)
+        write_latest(merge_states(state, self.before("latest", epoch), latest=True), self.path("latest"), epoch)
         write_epoch(S.account_age_rows(S.running_account_age(joined, self.cutoff)), self.path("account_age"), epoch)
         rows.unpersist()
         if self.after:
             self.after(self.tables())
 
     def tables(self) -> dict[str, DataFrame]:
-        return {**super().tables(), "expired posts": self.total("expired")}
+        return {**super().tables(), "latest posts": samples(self.total("latest")), "expired posts": self.total("expired")}
 
 
 def polarity_rows(wide: DataFrame, pos: str, neg: str) -> DataFrame:

@@ -19,7 +19,10 @@ from moodlens.plans.oracle_sql import oracle_sql as _batch_oracle, PE, UE
 from moodlens.functions.polarity import first_tag, no_rules
 from moodlens.operators.indicators import indicator_counts
 from moodlens.operators.join import join_users
-from moodlens.plans.registry import FIXTURE_LEXICON, _flat_posts, _tables, event_lexicon, posts_e, users_e
+from moodlens.operators.topk import merge_states, sample_state, samples
+from moodlens.lexicons import RULE_EXCLUDE, Rule, RuleSet, default_rules
+from moodlens.operators.rules import rules_frame
+from moodlens.plans.registry import FIXTURE_LEXICON, branch_posts, _flat_posts, _tables, event_lexicon, posts_e, users_e
 from moodlens.session import configured, scratch_path
 from moodlens.sources.files import land_posts, read_posts
 from moodlens.sources import fixtures as X
@@ -28,13 +31,17 @@ from moodlens.streaming import analyses as S
 from moodlens.streaming.sinks import (
     EPOCH, land_stream, latest_epoch, per_batch_writer, run_available, write_latest,
 )
+from moodlens.streaming.event_time import EventTimeWindows
 from moodlens.streaming.live import Live
 from moodlens.streaming.parked import ARRIVED, EXPIRED, GRANULES, JOINED, STATE_STORE, join_arriving
+from moodlens.streaming.rule_log import RuleLog
 from moodlens.streaming.sources import BYTES_PER_TRIGGER, drop_snapshot, file_stream, post_stream, snapshot_users
 
 #: Days of the month in a slice.
 SLICE_DAYS = 8
 HOT_AUTHOR = "1"
+#: The third slice comes before the second.
+OUT_OF_ORDER = (0, 2, 1, 3)
 #: When the two halves of the users arrive: with the first slice and the third.
 DELIVERIES = ("2024-01-01 00:00:00", "2024-01-17 00:00:00")
 
@@ -54,13 +61,13 @@ def _known(spark, sf_dir) -> DataFrame:
     return users_e(spark, sf_dir).where(F.col("id").cast("long") % 2 == 0)
 
 
-def _by_slice(spark, sf_dir, name, foreach_batch, before=None) -> None:
-    """Lands fixture E slice by slice and runs the stream after each.
-    ``before(k)`` is called ahead of slice ``k``."""
-    posts = posts_e(spark, sf_dir)
+def _by_slice(spark, sf_dir, name, foreach_batch, before=None, posts=None, order=range(-(-31 // SLICE_DAYS))) -> None:
+    """Lands fixture E (or other posts) slice by slice and runs the stream after
+    each.  ``before(k)`` is called ahead of slice ``k``."""
+    posts = posts_e(spark, sf_dir) if posts is None else posts
     day = F.substring("data.created_at", 9, 2).cast("int")
     landing, ckpt = scratch_path(spark, f"{name}-landing"), scratch_path(spark, f"{name}-ckpt")
-    for k in range(-(-31 // SLICE_DAYS)):
+    for k in order:
         if before:
             before(k)
         land_posts(posts.where(F.floor((day - 1) / SLICE_DAYS) == k), landing, fmt="parquet")
@@ -191,6 +198,69 @@ def q_stream_batch_samples_all(spark, sf_dir):
     return found.select("batch_id", "polarity", "post_id", "text")
 
 
+def q_stream_running_samples(spark, sf_dir):
+    """O2 + T5: the last five posts of each polarity so far, kept as a merged state."""
+    out = scratch_path(spark, "running-samples")
+
+    def batch(posts: DataFrame, epoch: int) -> None:
+        before = spark.read.parquet(out).where(F.col(EPOCH) == epoch - 1) if epoch else None
+        write_latest(merge_states(sample_state(posts, latest=True), before, latest=True), out, epoch)
+
+    _by_slice(spark, sf_dir, "running-samples", batch)
+    return samples(latest_epoch(spark, out))
+
+
+def q_stream_event_time(spark, sf_dir):
+    """A2-A3 in event time: slices come out of order, and what is more than ten
+    days behind is late.  ``kind, window_start, count_pos, count_neg``."""
+    job = EventTimeWindows(spark, scratch_path(spark, "event-time"), delay="10 days")
+    _by_slice(spark, sf_dir, "event-time", job.batch, order=OUT_OF_ORDER)
+    late = job.late().select("window_start", first_tag().alias("tag")).groupBy("window_start").agg(
+        F.count_if(F.col("tag").contains("positive")).alias("count_pos"), F.count_if(F.col("tag").contains("negative")).alias("count_neg"))
+    kinds = [("closed", job.closed()), ("open", job.open()), ("late", late)]
+    rows = [df.select(F.lit(k).alias("kind"), F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "count_pos", "count_neg") for k, df in kinds]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+def q_stream_rule_changes(spark, sf_dir):
+    """R4 + T1: rule 2 goes with the second slice, a rule for gloves comes with the third."""
+    log, out = RuleLog(spark, scratch_path(spark, "rule-log")), scratch_path(spark, "rule-changes")
+    log.add(rules_frame(spark, default_rules()), 0)
+
+    def before(k: int) -> None:
+        if k == 1:
+            log.delete(spark.createDataFrame([("2",)], "rule_id string"), 1)
+        if k == 2:
+            log.add(rules_frame(spark, RuleSet((Rule("5", "positive keywords", ("gloves",), "keyword", exclude=RULE_EXCLUDE),))), 2)
+
+    _by_slice(spark, sf_dir, "rule-changes", log.tagger(out), before, branch_posts(spark, sf_dir))
+    tagged = spark.read.parquet(out).where(F.size("matching_rules") > 0)
+    return tagged.select(F.col(EPOCH).cast("long").alias("batch_id"), F.col("data.id").alias("post_id"), F.size("matching_rules").alias("n_rules"), first_tag().alias("first_tag"))
+
+
+def q_stream_user_stream(spark, sf_dir):
+    """Posts joined with a stream of user rows that come within two days after
+    them; a post whose author isn't seen by then comes with NULLs."""
+    t = _tables(spark, sf_dir, "events", "orders")
+    posts = t["events"].select(*X.event_post_columns(), F.col("ts").cast("timestamp").alias(ARRIVED))
+    users = X.user_snapshots_from_orders(t["orders"])
+    end = F.lit("2024-03-01").cast("timestamp")  # last rows of nobody: both watermarks pass every wait
+    none = F.lit(None).cast("string")
+    last_post = spark.range(1).select(*X.post_columns(none, F.lit("nobody"), none, none, none, no_rules()), end.alias(ARRIVED))
+    last_user = spark.range(1).select(F.lit("no one").alias("id"), end.alias("seen_at"), none.alias("created_at"), F.lit(None).cast("boolean").alias("verified"),
+                                      F.lit(None).cast(users.schema["public_metrics"].dataType).alias("public_metrics"))
+    folder = {n: scratch_path(spark, f"two-streams-{n}") for n in ("posts", "users", "ckpt", "out")}
+    half = F.lit("2024-01-16").cast("timestamp")
+    parts = [(posts.where(F.col(ARRIVED) < half), users.where(F.col("seen_at") < half)), (posts.where(F.col(ARRIVED) >= half), users.where(F.col("seen_at") >= half)), (last_post, last_user)]
+    for p, u in parts:
+        p.write.mode("append").parquet(folder["posts"])
+        u.write.mode("append").parquet(folder["users"])
+        streams = file_stream(spark, folder["posts"], posts.schema), file_stream(spark, folder["users"], users.schema)
+        run_available(S.join_user_stream(*streams, ARRIVED, "seen_at", wait="2 days"), folder["ckpt"], sink_path=folder["out"])
+    found = spark.read.schema("post_id string, author_id string, seen_at timestamp, verified boolean, followers bigint").parquet(folder["out"])
+    return found.where(F.col("post_id").isNotNull()).withColumn("seen_at", F.date_format("seen_at", "yyyy-MM-dd HH:mm:ss"))
+
+
 def q_stream_account_age(spark, sf_dir):
     """Account-age shares per micro-batch (not accumulated)."""
     users = _known(spark, sf_dir)
@@ -292,6 +362,10 @@ STREAM_QUERIES = {
     "stream_batch_means_all": q_stream_batch_means_all,
     "stream_batch_samples": q_stream_batch_samples,
     "stream_batch_samples_all": q_stream_batch_samples_all,
+    "stream_running_samples": q_stream_running_samples,
+    "stream_event_time": q_stream_event_time,
+    "stream_rule_changes": q_stream_rule_changes,
+    "stream_user_stream": q_stream_user_stream,
     "stream_joined_indicators": q_stream_joined_indicators,
     "stream_joined_indicators_all": q_stream_joined_indicators_all,
     "stream_late_users": q_stream_late_users,
@@ -342,7 +416,35 @@ _INDICATORS = (f"lex(position, indicator, polarity) AS (VALUES {_LEXICON_E}) "
 
 _DAY_MS = 86_400_000
 
+_TURN = f"array_position([{', '.join(map(str, OUT_OF_ORDER))}], CAST(floor((day(ts) - 1) / {SLICE_DAYS}) AS INTEGER))"
+_EVENT_TIME = (
+    f"WITH {PE}, p AS (SELECT pe.tag, e.ts, date_trunc('hour', e.ts) AS w, {_TURN} AS turn FROM pe JOIN events e ON CAST(e.event_id AS VARCHAR) = pe.post_id), "
+    # posts carry milliseconds
+    "q AS (SELECT *, (SELECT max(date_trunc('millisecond', ts)) FROM p x WHERE x.turn < p.turn) - INTERVAL 10 DAY AS mark FROM p), "
+    "r AS (SELECT *, coalesce(w + INTERVAL 1 HOUR <= mark, false) AS late, (SELECT max(date_trunc('millisecond', ts)) FROM p) - INTERVAL 10 DAY AS last FROM q) "
+    "SELECT CASE WHEN late THEN 'late' WHEN w + INTERVAL 1 HOUR <= last THEN 'closed' ELSE 'open' END AS kind, strftime(w, '%Y-%m-%d %H:%M') AS window_start, "
+    "count(*) FILTER (WHERE tag LIKE '%positive%') AS count_pos, count(*) FILTER (WHERE tag LIKE '%negative%') AS count_neg FROM r GROUP BY kind, w")
+
+
+def _rule_changes() -> str:
+    """The branches' rules by slice: the default ones, without rule 2, with gloves."""
+    first = {"purchase": (2, "positive keywords"), "error": (2, "positive emojis"), "click": (1, "positive keywords"), "low": (1, "negative emojis")}
+    second = {**first, "purchase": (1, "positive keywords"), "error": (1, "negative keywords")}
+    third = {**second, "low": (2, "negative emojis")}
+    values = ", ".join(f"({k}, '{kind}', {n}, '{tag}')" for k, found in enumerate((first, second, third, third)) for kind, (n, tag) in found.items())
+    return (f"WITH f(batch_id, kind, n_rules, first_tag) AS (VALUES {values}), e AS (SELECT event_id, user_id, CAST(floor((day(ts) - 1) / {SLICE_DAYS}) AS INTEGER) AS batch_id, "
+            "CASE WHEN event_type = 'view' AND value < 20 THEN 'low' WHEN event_type <> 'view' THEN event_type END AS kind FROM events) "
+            "SELECT CAST(batch_id AS BIGINT) AS batch_id, CAST(event_id AS VARCHAR) AS post_id, n_rules, first_tag FROM e JOIN f USING (batch_id, kind) WHERE user_id % 5 <> 0")
+
+
 STREAM_ORACLE = {
+    "stream_event_time": _EVENT_TIME,
+    "stream_rule_changes": _rule_changes(),
+    "stream_user_stream": (
+        "WITH u AS (SELECT CAST(o_custkey AS VARCHAR) AS id, make_timestamp(epoch_us(TIMESTAMP '2024-01-01') "
+        "+ (epoch_us(o_orderdate) - epoch_us(TIMESTAMP '1995-01-01')) // 80) AS seen_at, o_orderpriority < '3' AS verified, CAST(floor(o_totalprice) AS BIGINT) AS followers FROM orders) "
+        "SELECT CAST(event_id AS VARCHAR) AS post_id, CAST(user_id AS VARCHAR) AS author_id, strftime(seen_at, '%Y-%m-%d %H:%M:%S') AS seen_at, verified, followers "
+        "FROM events LEFT JOIN u ON CAST(user_id AS VARCHAR) = u.id AND seen_at >= ts AND seen_at < ts + INTERVAL 2 DAY"),
     "stream_landing": _batch_oracle()["landing_roundtrip"],
     "stream_indicator_counts": _batch_oracle()["indicator_counts"],
     "stream_verified_counts": _batch_oracle()["verified_counts"],
@@ -373,6 +475,9 @@ STREAM_ORACLE = {
     "stream_batch_means": f"{_HALF} " + _means("j", "slice"),
     "stream_batch_samples": f"{_HALF}, " + _SAMPLES,
     "stream_batch_samples_all": f"{_ALL}, " + _SAMPLES,
+    "stream_running_samples": (
+        f"WITH {PE} (SELECT 'positive' AS polarity, post_id, text FROM pe WHERE tag LIKE '%positive%' ORDER BY created_at DESC, post_id DESC LIMIT 5) "
+        "UNION ALL (SELECT 'negative', post_id, text FROM pe WHERE tag LIKE '%negative%' ORDER BY created_at DESC, post_id DESC LIMIT 5)"),
     "stream_account_age": f"{_HALF} " + _age_rows(),
     "stream_batch_means_all": f"{_ALL} " + _means("j", "slice"),
     "stream_account_age_all": f"{_ALL} " + _age_rows(),
