@@ -1,18 +1,20 @@
 """Nearest neighbours by randomly rotated one-bit codes.
 
 Vectors are centred on their mean, scaled to length one, and turned by a random
-orthonormal matrix into ``CODE_BITS`` coordinates (at least four per dimension),
-of which a code keeps the signs.  With a code go two scalars: the vector's
+orthonormal matrix into ``BITS_PER_DIMENSION`` coordinates per dimension, of which
+a code keeps the signs.  With a code go two scalars: the vector's
 distance from the centre, and the inner product of the turned vector with its
 own code.  From them follow an unbiased estimate of its inner product with any
 query and, from the known spread of that estimate, a lower and an upper bound of
-the distance (``EPSILON`` standard errors).  A query reranks, on original
-vectors, just those whose lower bound doesn't exceed its k-th smallest upper
-bound: first within each block of codes, then over all blocks.
-
-Every vector is coded.  Codes lie in blocks of ``BLOCK`` vectors; queries come in
-blocks too, and each pair of blocks is one row of a join on block numbers, so the
-work spreads over as many tasks as there are pairs.  Equal vectors have equal
+the distance (``EPSILON`` standard errors).  A query first measures, on original
+vectors, the k rows of a block with the smallest upper bounds; then just those
+whose lower bound doesn't exceed the k-th distance it knows by then, from this
+block and those that its task has gone through before.
+
+Every vector is coded.  Codes lie in blocks of ``BLOCK`` vectors with these;
+queries come in blocks too.  A task takes a block of queries through a stripe of
+blocks of codes and hands over k rows per query, so what it writes doesn't grow with the
+rows it looked at, and the work spreads over as many tasks as there are stripes.  Equal vectors have equal
 distances, and ties go to the smaller id: of each group of equal vectors only the
 ``k + 1`` smallest ids can be among anyone's k nearest, and only these are coded.
 
@@ -34,12 +36,18 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-BLOCK = 8192
+BLOCK = 4096
 QUERIES = 1024
-#: Tasks that compare blocks; more pairs of blocks share them.
-MOST_TASKS = 20_000
+#: Blocks of codes that one task goes through with a block of queries, about.
+STRIPE = 16
+#: Queries whose bounds are held at a time, and rows that are measured at a time.
+STEP = 128
+MEASURED = 16_384
 EPSILON = 3.0
 LEAST_BITS = 256
+BITS_PER_DIMENSION = 16
+#: Relative error of a squared distance.
+ROUNDING = 1e-12
 
 
 def valid(df: DataFrame, vector: str = "embedding") -> DataFrame:
@@ -102,7 +110,7 @@ def bounds(queries: np.ndarray, codes: np.ndarray, far: np.ndarray, own: np.ndar
 
 
 def index(rows: DataFrame, mean: np.ndarray, turn: np.ndarray) -> DataFrame:
-    """Blocks of codes: (block, ids, codes, far, own)."""
+    """Blocks of codes and original vectors: (block, ids, codes, far, own, raw)."""
     shared = rows.sparkSession.sparkContext.broadcast((mean, turn))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,22 +119,23 @@ def index(rows: DataFrame, mean: np.ndarray, turn: np.ndarray) -> DataFrame:
 
         def close() -> pa.RecordBatch:
             own = np.concatenate(ids)
-            columns = [np.concatenate([h[i] for h in held]) for i in range(3)]
+            columns = [np.concatenate([h[i] for h in held]) for i in range(4)]
             return pa.RecordBatch.from_arrays([pa.array([part + n], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in (own, *columns))],
-                                              names=["block", "ids", "codes", "far", "own"])
+                                              names=["block", "ids", "codes", "far", "own", "raw"])
 
         for b in batches:
             for i in range(0, b.num_rows, BLOCK):
                 own = b.slice(i, BLOCK)
                 ids.append(own.column(0).to_numpy())
-                held.append(code(matrix(own, 1), mean, turn))
+                x = matrix(own, 1)
+                held.append((*code(x, mean, turn), x))
                 if sum(map(len, ids)) >= BLOCK:
                     yield close()
                     n, ids, held = n + 1, [], []
         if ids:
             yield close()
 
-    return rows.select("vec_id", "v").mapInArrow(run, "block bigint, ids binary, codes binary, far binary, own binary")
+    return rows.select("vec_id", "v").mapInArrow(run, "block bigint, ids binary, codes binary, far binary, own binary, raw binary")
 
 
 def query_blocks(queries: DataFrame, n: int) -> DataFrame:
@@ -142,33 +151,87 @@ def query_blocks(queries: DataFrame, n: int) -> DataFrame:
             .groupBy("q").applyInArrow(run, "q bigint, query_ids binary, vectors binary"))
 
 
-def survivors(blocks: DataFrame, queries: DataFrame, n: int, mean: np.ndarray, turn: np.ndarray, k: int) -> DataFrame:
-    """(query_id, vec_id, low, high): per pair of blocks, what its bounds don't rule out."""
-    spark = blocks.sparkSession
-    shared = spark.sparkContext.broadcast((mean, turn))
+def first_of(held: list[np.ndarray], k: int) -> list[np.ndarray]:
+    """The k nearest of every owner, and what is as near as the last to within
+    rounding: (owner, squared distance, id) by owner, distance, id."""
+    order = np.lexsort((held[2], held[1], held[0]))
+    owner, far, ids = (x[order] for x in held)
+    start = np.searchsorted(owner, owner)
+    last = np.minimum(start + k - 1, np.searchsorted(owner, owner, side="right") - 1)
+    kept = (np.arange(len(owner)) - start < k) | (far <= far[last] * (1 + ROUNDING))
+    return [owner[kept], far[kept], ids[kept]]
+
+
+def cuts(held: list[np.ndarray], n: int, k: int) -> np.ndarray:
+    """The k-th smallest squared distance of each of n owners (infinite with fewer)."""
+    out = np.full(n, np.inf)
+    start, end = np.searchsorted(held[0], np.arange(n)), np.searchsorted(held[0], np.arange(n), side="right")
+    enough = end - start >= k
+    out[enough] = held[1][start[enough] + k - 1]
+    return out
+
+
+def rerank(x: np.ndarray, query_ids: np.ndarray, block: dict, held: list[np.ndarray], mean: np.ndarray, turn: np.ndarray, k: int) -> tuple[list[np.ndarray], int]:
+    """Queries meet a block: the k rows with the smallest upper bounds are measured
+    on original vectors first; then, of the others, those whose lower bound
+    doesn't exceed the k-th distance that is known by then.  Returns what is held
+    and how many rows were measured."""
+    low, high = bounds(x, block["codes"], block["far"], block["own"], mean, turn)
+    other = query_ids[:, None] != block["ids"]
+    high[~other] = np.inf
+    first = np.zeros(high.shape, bool)
+    n = min(k, high.shape[1])
+    np.put_along_axis(first, np.argpartition(high, n - 1, axis=1)[:, :n], True, axis=1)
+    measured = 0
+    for ask in (lambda: first & other, lambda: ~first & other & (low <= cuts(held, len(x), k)[:, None])):
+        at, which = np.nonzero(ask())
+        for i in range(0, len(at), MEASURED):
+            a, w = at[i:i + MEASURED], which[i:i + MEASURED]
+            rest = x[a] - block["vectors"][w]
+            held = first_of([np.concatenate(z) for z in zip(held, (a, (rest * rest).sum(axis=1), block["ids"][w]), strict=True)], k)
+        measured += len(at)
+    return held, measured
+
+
+def nearest_in_stripes(blocks: DataFrame, queries: DataFrame, n: int, mean: np.ndarray, turn: np.ndarray, k: int) -> DataFrame:
+    """(query_id, vec_id): per block of queries and stripe of blocks of codes, the k nearest of every query."""
+    shared = blocks.sparkSession.sparkContext.broadcast((mean, turn))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mean, turn = shared.value
+        key, query_ids, x, held = None, None, None, []
+
+        def none() -> list[np.ndarray]:
+            return [np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)]
+
+        def close() -> Iterator[pa.RecordBatch]:
+            for i, part in enumerate(held):
+                yield pa.RecordBatch.from_arrays([pa.array(query_ids[i * STEP + part[0]]), pa.array(part[2])], names=["query_id", "vec_id"])
+
         for b in batches:
             for row in range(b.num_rows):
-                ids, codes, far, own, query_ids, vectors = (b.column(i)[row].as_py() for i in range(6))
-                ids, query_ids = np.frombuffer(ids, np.int64), np.frombuffer(query_ids, np.int64)
-                codes = np.frombuffer(codes, np.uint8).reshape(len(ids), -1)
-                far, own = np.frombuffer(far), np.frombuffer(own)
-                x = np.frombuffer(vectors).reshape(len(query_ids), -1)
-                for i in range(0, len(x), 128):
-                    low, high = bounds(x[i:i + 128], codes, far, own, mean, turn)
-                    self_ = query_ids[i:i + 128, None] == ids
-                    high[self_] = np.inf
-                    cut = np.partition(high, k - 1, axis=1)[:, k - 1] if len(ids) >= k else np.full(len(high), np.inf)
-                    at, which = np.nonzero((low <= cut[:, None]) & ~self_)
-                    yield pa.RecordBatch.from_arrays([pa.array(query_ids[i:i + 128][at]), pa.array(ids[which]), pa.array(low[at, which]), pa.array(high[at, which])],
-                                                     names=["query_id", "vec_id", "low", "high"])
-
-    # every pair of blocks is a row; the pairs spread over tasks by their numbers
-    pairs = blocks.select("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))).alias("q"))
-    joined = (pairs.join(blocks, "block").join(queries, "q").repartition(max(1, min(MOST_TASKS, n * blocks.count())), "block", "q")
-              .select("ids", "codes", "far", "own", "query_ids", "vectors"))
-    return joined.mapInArrow(run, "query_id bigint, vec_id bigint, low double, high double")
+                q, stripe, ids, codes, far, own, raw, asked, given = (b.column(i)[row].as_py() for i in range(9))
+                if key != (q, stripe):
+                    if key is not None:
+                        yield from close()
+                    key, query_ids = (q, stripe), np.frombuffer(asked, np.int64)
+                    x = np.frombuffer(given).reshape(len(query_ids), -1)
+                    held = [none() for _ in range(0, len(x), STEP)]
+                ids = np.frombuffer(ids, np.int64)
+                block = {"ids": ids, "codes": np.frombuffer(codes, np.uint8).reshape(len(ids), -1), "far": np.frombuffer(far), "own": np.frombuffer(own),
+                         "vectors": np.frombuffer(raw).reshape(len(ids), -1)}
+                for i in range(len(held)):
+                    part = slice(i * STEP, (i + 1) * STEP)
+                    held[i], _ = rerank(x[part], query_ids[part], block, held[i], mean, turn, k)
+        if key is not None:
+            yield from close()
+
+    stripe = F.pmod(F.xxhash64("block"), F.lit(max(1, -(-blocks.count() // STRIPE)))).alias("stripe")
+    # every pair of blocks is a row; the pairs of a stripe are one after the other in a task
+    pairs = blocks.select("*", stripe, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))).alias("q"))
+    joined = (pairs.join(queries, "q").repartition("q", "stripe").sortWithinPartitions("q", "stripe", "block")
+              .select("q", "stripe", "ids", "codes", "far", "own", "raw", "query_ids", "vectors"))
+    return joined.mapInArrow(run, "query_id bigint, vec_id bigint")
 
 
 def distance(a: str, b: str) -> Column:
@@ -179,7 +242,7 @@ def search(df: DataFrame, is_query: Column, k: int = 10, vector: str = "embeddin
     """(query_id, rank, vec_id, score): the k nearest of every query row, by Euclidean distance."""
     rows = written(valid(df, vector), "ann-vectors")
     mean = centre(rows)
-    bits = max(LEAST_BITS, -(-4 * len(mean) // 64) * 64)
+    bits = max(LEAST_BITS, -(-BITS_PER_DIMENSION * len(mean) // 64) * 64)
     turn = rotation(max(1, len(mean)), bits)
     mean = mean if len(mean) else np.zeros(1)
     place = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
@@ -188,12 +251,9 @@ def search(df: DataFrame, is_query: Column, k: int = 10, vector: str = "embeddin
     blocks = written(index(coded, mean, turn), "ann-index")
     n = max(1, -(-queries.count() // QUERIES))
     asked = written(query_blocks(queries, n), "ann-asked")
-    found = written(survivors(blocks, asked, n, mean, turn, k), "ann-found")
-    best = F.row_number().over(Window.partitionBy("query_id").orderBy("high", "vec_id"))
-    cut = (found.withColumn("r", best).where(F.col("r") <= k).groupBy("query_id")
-           .agg(F.when(F.count("*") == k, F.max("high")).otherwise(float("inf")).alias("cut")))
-    left = found.join(cut, "query_id").where(F.col("low") <= F.col("cut")).select("query_id", "vec_id").distinct()
-    scored = (left.join(coded.withColumnRenamed("v", "b"), "vec_id").join(queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("a")), "query_id")
+    found = written(nearest_in_stripes(blocks, asked, n, mean, turn, k), "ann-found")
+    # the measure itself, for the few that are left
+    scored = (found.join(coded.withColumnRenamed("v", "b"), "vec_id").join(queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("a")), "query_id")
               .select("query_id", "vec_id", distance("a", "b").alias("score")))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
