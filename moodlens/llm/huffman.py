@@ -137,7 +137,7 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
-        part, block, doc_ids, lengths, held = TaskContext.get().partitionId(), 0, [], [], []
+        part, block, size, doc_ids, lengths, held = TaskContext.get().partitionId(), 0, 0, [], [], []
 
         def close() -> pa.RecordBatch:
             ids = np.frombuffer(b"".join(held), "<u4")
@@ -151,9 +151,10 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFram
                 doc_ids.append(doc)
                 lengths.append(len(ids) // 4 + 1)
                 held.append(ids + end)
-                if sum(lengths) >= BLOCK:
+                size += lengths[-1]
+                if size >= BLOCK:
                     yield close()
-                    block, doc_ids, lengths, held = block + 1, [], [], []
+                    block, size, doc_ids, lengths, held = block + 1, 0, [], [], []
         if held:
             yield close()
 

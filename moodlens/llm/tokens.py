@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import os
-import struct
 from collections.abc import Callable
 
+import numpy as np
+
 from .common import worker_state
 from .pieces import Pieces
 
+#: Pieces and pre-tokens that a worker's caches hold.
+CACHED = 600_000
+
 
 def path(name: str) -> str:
     import public_tokenizers
@@ -27,16 +31,20 @@ def encoder(file: str) -> Callable[[list[bytes]], list[bytes]]:
 
         tokenizer = Tokenizer.from_file(file)
         tokenizer.encode_special_tokens = True
-        packed = lambda ids: struct.pack(f"<{len(ids)}I", *ids)
 
         def new(pretokens: list[str]) -> list[bytes]:
+            # many pre-tokens are one input of the library, which encodes each by itself and says where it ends
             out: list[bytes] = []
             for i in range(0, len(pretokens), 4096):
-                out += [packed(e.ids) for e in tokenizer.encode_batch_fast(pretokens[i:i + 4096], add_special_tokens=False)]
+                own = pretokens[i:i + 4096]
+                e = tokenizer.encode_batch([own], is_pretokenized=True, add_special_tokens=False)[0]
+                ids = np.array(e.ids, "<u4").tobytes()
+                ends = (4 * np.searchsorted(np.array(e.word_ids, np.int64), np.arange(len(own)), side="right")).tolist()
+                out += [ids[a:b] for a, b in zip([0, *ends], ends, strict=False)]
             return out
 
         def general(text: bytes) -> bytes:
-            return packed(tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids)
+            return np.array(tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
 
-        state["tokens", file] = Pieces(new, general, b"".join).encode
+        state["tokens", file] = Pieces(new, general, b"".join, CACHED).encode
     return state["tokens", file]
