@@ -2,14 +2,14 @@
 
 ``contains_counts`` counts the posts that contain each term of a lexicon table of
 any size (the literal columns of ``operators.indicators`` are for a fixed list of
-some dozens).  A term is indexed under one of its n-grams of three code points
+some dozens).  A term is indexed under one of its n-grams of five code points
 (the one that fewest terms of the lexicon share; a shorter term under itself).
 The distinct n-grams of a text meet that index, and an exact ``contains`` decides
 about the terms that are left, so terms match inside words as before.
 
-``rule_hits`` tags posts by a rule table: tokens meet the single words, runs of
-tokens or of non-ASCII code points meet phrases and emojis by their positions,
-and posts with a rule's excluded word leave it by an anti join.  Rules are rows,
+``rule_hits`` tags posts by a rule table: a text's runs of tokens (or of non-ASCII
+code points), of the lengths that terms have, meet words, phrases and emojis as a
+whole, and posts with a rule's excluded word leave it by an anti join.  Rules are rows,
 so other rules need no other plan, and nothing is collected.
 
 Texts are told apart by id and hash; equal rows have equal hits.  Terms and
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from moodlens.functions.polarity import RULES_TYPE, no_rules
 from moodlens.functions.text import tokens
 
-GRAM = 3
+GRAM = 5
 #: Code points of a text; and the same with each run of ASCII as one.
 CODE_POINTS = "(?s)."
 NON_ASCII = "[\\x00-\\x7F]+|(?s)[^\\x00-\\x7F]"
@@ -82,33 +82,40 @@ def contains_counts(posts: DataFrame, terms: DataFrame) -> DataFrame:
     return every.join(counted, F.col("term") == F.col("_t"), "left").select("term", F.coalesce("_posts", F.lit(0)).cast("long").alias("n_posts"))
 
 
+def _runs(items: Column, sizes: list[int]) -> Column:
+    """Distinct runs of so many elements each, joined by spaces."""
+    def of(n: int) -> Column:
+        places = F.when(F.size(items) >= n, F.sequence(F.lit(0), F.size(items) - n)).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda i: F.concat_ws(" ", *[F.get(items, i + j) for j in range(n)]))
+    return F.array_distinct(F.concat(*[of(n) for n in sizes]))
+
+
 def _rule_terms(rules: DataFrame) -> DataFrame:
-    """``rule_id, lang, emoji, term_no, item, place, size``: every element of every
-    term; a rule is an emoji rule if none of its terms has an ASCII character."""
+    """``rule_id, lang, emoji, size, item``: every term, its elements joined by
+    spaces; a rule is an emoji rule if none of its terms has an ASCII character."""
     emoji = ~F.exists("terms", lambda t: t.rlike("[\\x00-\\x7F]"))
-    term = rules.where(F.size("terms") > 0).select("rule_id", "lang", emoji.alias("emoji"), F.posexplode("terms").alias("term_no", "term"))
+    term = rules.where(F.size("terms") > 0).select("rule_id", "lang", emoji.alias("emoji"), F.explode("terms").alias("term"))
     items = F.when(F.col("emoji"), _points(F.col("term"))).otherwise(F.split(F.trim(F.lower("term")), "\\s+"))
-    return (term.select("rule_id", "lang", "emoji", "term_no", F.size(items).alias("size"), F.posexplode(items).alias("place", "item"))
-            .where(F.col("item") != ""))
+    return (term.select("rule_id", "lang", "emoji", F.size(items).alias("size"), F.array_join(items, " ").alias("item"))
+            .where((F.col("item") != "") & (F.col("size") > 0)))
 
 
 def rule_hits(posts: DataFrame, rules: DataFrame) -> DataFrame:
     """``post_id, _hash, matching_rules`` of the posts that some rule of the table
     (RULE shape) holds for, by rule id; once per (id, language, text)."""
     parts = _rule_terms(rules)
+    sizes = {e: sorted({r["size"] for r in parts.where(F.col("emoji") == e).select("size").distinct().collect()} | {1}) for e in (False, True)}  # lengths of terms
     base = posts.select(F.col("data.id").alias("post_id"), F.col("data.lang").alias("_lang"), F.col("data.text").alias("_text")).where(F.col("_text").isNotNull())
     base = base.withColumn("_hash", F.xxhash64("_text", F.coalesce("_lang", F.lit(""))))
     key = ["post_id", "_hash", "_lang"]
-    words = base.select(*key, F.lit(False).alias("_emoji"), F.posexplode(tokens("_text")).alias("_at", "_item"))
-    signs = (base.where(F.octet_length("_text") > F.length("_text"))
-             .select(*key, F.lit(True).alias("_emoji"), F.posexplode(F.regexp_extract_all("_text", F.lit(NON_ASCII), 0)).alias("_at", "_item")))
+    split = base.select(*key, tokens("_text").alias("_t"))
+    words = split.select(*key, F.lit(False).alias("_emoji"), F.explode(_runs(F.col("_t"), sizes[False])).alias("_item"))
+    pointed = (base.where(F.octet_length("_text") > F.length("_text"))
+               .select(*key, F.regexp_extract_all("_text", F.lit(NON_ASCII), 0).alias("_t")))
+    signs = pointed.select(*key, F.lit(True).alias("_emoji"), F.explode(_runs(F.col("_t"), sizes[True])).alias("_item"))
     meets = ((F.col("_item") == F.col("item")) & (F.col("_emoji") == F.col("emoji")) & (F.col("lang").isNull() | (F.col("lang") == F.col("_lang"))))
-    seen = words.unionByName(signs).where(F.col("_item") != "").join(parts, meets)
-    # a term holds where all its elements stand in a row
-    whole = (seen.groupBy("post_id", "_hash", "rule_id", "term_no", "size", (F.col("_at") - F.col("place")).alias("_start"))
-             .agg(F.count_distinct("place").alias("_n")).where(F.col("_n") == F.col("size"))  # distinct, as posts may repeat
-             .select("post_id", "_hash", "rule_id").distinct())
-    vetoes = rules.where(F.col("exclude").isNotNull()).select("rule_id", F.lower("exclude").alias("item"))
+    whole = words.unionByName(signs).join(parts, meets).select("post_id", "_hash", "rule_id").distinct()
+    vetoes = rules.where(F.col("exclude").isNotNull() & ~F.contains("exclude", F.lit(" "))).select("rule_id", F.lower("exclude").alias("item"))
     vetoed = (words.join(vetoes, F.col("_item") == F.col("item")).select(F.col("post_id").alias("_id"), F.col("_hash").alias("_h"), F.col("rule_id").alias("_r")).distinct())
     emojis = parts.where("emoji").select(F.col("rule_id").alias("_r")).distinct()
     vetoed = vetoed.join(emojis, "_r", "left_anti")  # emoji rules have no excluded word

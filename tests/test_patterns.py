@@ -39,7 +39,7 @@ def test_contains_counts_of_short_long_and_odd_terms(spark):
 def test_terms_are_indexed_once_under_their_rarest_gram(spark):
     terms = spark.createDataFrame([(t,) for t in ("walking", "talking", "king", "ab", "walking")], "term string")
     index = {r.term: (r.n, r.gram) for r in anchors(terms).collect()}
-    assert index["ab"] == (2, "ab") and index["walking"][1] in ("wal",) and index["talking"][1] in ("tal",) and len(index) == 4
+    assert index["ab"] == (2, "ab") and index["king"] == (4, "king") and index["walking"][1] == "walki" and index["talking"][1] == "talki" and len(index) == 4
     assert contained_terms(spark.createDataFrame([], POST), terms).count() == 0
     assert contains_counts(posts(spark), spark.createDataFrame([], "term string")).count() == 0
 
