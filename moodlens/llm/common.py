@@ -3,6 +3,7 @@ row-wise Arrow maps and per-worker state."""
 
 from __future__ import annotations
 
+import math
 import sys
 import types
 from collections.abc import Callable, Iterator
@@ -46,6 +47,20 @@ def bucket(column: Column | str, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
+def smallest(df: DataFrame, key: Column, ties: list[str], n: int, total: int | None = None) -> DataFrame:
+    """The ``n`` rows with the smallest 64-bit hash ``key`` (equal hashes by ``ties``).
+
+    Hashes are even, so a share of their range that is a little over ``n`` of
+    ``total`` (counted here, or a lower estimate) holds those rows.  Only rows of that
+    share are ordered: tasks send little more than ``n`` rows together, not ``n`` each.
+    """
+    total = df.count() if total is None else total
+    if total > n:
+        share = min(1.0, (n + 8 * math.sqrt(n) + 64) / total)
+        df = df.where(F.shiftright(key, 11) <= int(share * 2 ** 53) - 2 ** 52)
+    return df.orderBy(key, *ties).limit(n)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], rows: int = CHUNK_ROWS) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(0, batch.num_rows, rows):

@@ -42,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket, byte_lists, chunks, written
+from .common import bucket, byte_lists, chunks, smallest, written
 
 STATES = 6
 HEAD = 200_000
@@ -250,8 +250,8 @@ def settled(before: float, now: float, tolerance: float) -> bool:
 def started(v: Vocabulary, seqs: DataFrame) -> Hmm:
     """The likeliest of ``FIRST_STARTS`` models, each converged on the beginnings
     of a bounded number of training texts."""
-    rows = (seqs.where("NOT held_out").select("doc_id", F.substring("symbols", 1, 2 * FIRST_TOKENS).alias("symbols"))
-            .orderBy(F.xxhash64("doc_id"), "symbols").limit(FIRST_TEXTS).toArrow())
+    rows = smallest(seqs.where("NOT held_out").select("doc_id", F.substring("symbols", 1, 2 * FIRST_TOKENS).alias("symbols")),
+                    F.xxhash64("doc_id"), ["symbols"], FIRST_TEXTS).toArrow()
     texts = [np.frombuffer(x, "<u2") for x in rows.column(1).to_pylist()]
     best, most = first_model(v), -np.inf
     for seed in range(FIRST_STARTS if texts else 0):

@@ -10,16 +10,25 @@ before and after; a candidate scores what its best window does.  It is one
 convolution over one-hot characters (in the candidate or beside it), the
 greatest response of each filter, and a logistic output.
 
-It is trained on labelled findings: by default those of the base rules as
-secrets and the other candidates as not, or a given table of
-(doc_id, start, end, label).  The fit takes at most ``SAMPLE`` findings of each
-label, those with the smallest hash.  A fifth of them calibrates the output
-(Platt scaling) and sets the threshold: the highest at which at least
-``RECALL`` of the held-out secrets are found.
-
-Defined results: a null or empty text has no findings.  Without both labels
-nothing is added to the base findings.  Repeated rows give repeated rows, and
-their equal findings are equal to the fit.
+It is trained on labelled findings: a given table of (doc_id, start, end,
+label), or by default labels that differ from the rules.  Then the secrets are
+the values of base findings with the rule hidden (no key name, no ``AKIA``), and
+keys drawn from ``ALPHABETS``, in lengths, prefixes and settings of many kinds;
+ordinary are the candidates of the corpus that are surely so (``plain``: words,
+addresses, versions, paths, dates), and more of these kinds put together from their
+words.  All stand in the contexts of ordinary candidates, so a context tells
+nothing.  Candidates that are neither teach nothing.  The fit takes at most
+``SAMPLE`` findings of each label, those with the smallest hash, one window of
+each, any with equal chance.  A fifth of them calibrates the output (Platt scaling)
+and sets the threshold: the highest at which at least ``RECALL`` of the held-out
+secrets that no base rule matches are found; ``Network.rates`` holds the share
+found and the share of held-out ordinary ones that reach it.  Keys of
+letters of one case alone can't be told from words and aren't looked for.
+
+Defined results: a null or empty text has no findings.  Without an ordinary
+candidate (or, for given labels, without both) nothing is added to the base
+findings.  Repeated rows give repeated rows, and their equal findings are equal to
+the fit.  Columns besides doc_id and the text aren't looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -51,7 +60,15 @@ RECORD = SPAN + 2  # and two bytes: how long the context before and the body are
 SAMPLE = 4000
 RECALL = 0.98
 #: Mini-batches of the fit, and their size.
-STEPS, BATCH = 1200, 64
+STEPS, BATCH = 2400, 64
+
+#: Alphabets of the keys drawn for the fit: letters and digits, base 64 and its form for addresses,
+#: one case with digits, hexadecimal in capitals.
+LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+ALPHABETS = (UPPER + LOWER + DIGITS, UPPER + LOWER + DIGITS + "+/", UPPER + LOWER + DIGITS + "-_", UPPER + DIGITS, LOWER + DIGITS, DIGITS + "ABCDEF")
+KEY_LENGTHS = (16, 64)
+#: A candidate that is surely no secret: words (also run together as in camelCase), numbers, words with a short number, joined by marks.
+PLAIN = re.compile(rb"[+/_.=-]*(?:(?:[A-Z]?[a-z]{2,}(?:[A-Z][a-z]+)*|[A-Z]+|[a-z]|(?:[A-Z]?[a-z]+|[A-Z]+)?[0-9]{1,4}|[0-9]{2}T[0-9]{2,6}|[0-9]{5,10})(?:[+/_.=-]+|$))+")
 
 #: Character classes: padding, each ASCII letter, digit and mark, control characters, bytes of other scripts.
 CLASS = np.array([1 if i < 32 or i == 127 else 2 if i > 127 else i - 29 for i in range(256)])
@@ -65,6 +82,7 @@ def windows(raw: bytes, start: int, end: int) -> bytes:
     out = []
     for a in range(start, end, BODY):
         b = min(a + BODY, end)
+        a = max(start, b - BODY)  # the last one is as long as the others
         before = raw[max(0, a - CONTEXT):a]
         out.append(bytes((len(before), b - a)) + (before + raw[a:b] + raw[b:b + CONTEXT]).ljust(SPAN, b"\0"))
     return b"".join(out)
@@ -127,8 +145,9 @@ def find(docs: DataFrame, text: str = "text") -> DataFrame:
 class Network:
     """The network's weights, its calibration and threshold."""
 
-    def __init__(self, taps: np.ndarray, bias: np.ndarray, out: np.ndarray, scale: tuple[float, float] = (1.0, 0.0), threshold: float = 0.5):
-        self.taps, self.bias, self.out, self.scale, self.threshold = taps, bias, out, scale, threshold
+    def __init__(self, taps: np.ndarray, bias: np.ndarray, out: np.ndarray, scale: tuple[float, float] = (1.0, 0.0), threshold: float = 0.5,
+                 rates: tuple[float, float] = (0.0, 0.0)):
+        self.taps, self.bias, self.out, self.scale, self.threshold, self.rates = taps, bias, out, scale, threshold, rates
 
     @staticmethod
     def symbols(records: np.ndarray) -> np.ndarray:
@@ -163,8 +182,9 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self.scale[0] * best + self.scale[1], -30, 30)))
 
 
-def fit(records: np.ndarray, y: np.ndarray, seed: int = 7, steps: int = STEPS) -> Network:
-    """Trains on window records by Adam; a fifth is held out for calibration and threshold."""
+def fit(records: np.ndarray, y: np.ndarray, ruled: np.ndarray | None = None, seed: int = 7, steps: int = STEPS) -> Network:
+    """Trains on window records by Adam; a fifth is held out for calibration and threshold.
+    Secrets marked in ``ruled`` are found by a rule anyway and take no part in the threshold."""
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(y))
     held, own = order[:max(1, len(y) // 5)], order[max(1, len(y) // 5):]
@@ -187,10 +207,12 @@ def fit(records: np.ndarray, y: np.ndarray, seed: int = 7, steps: int = STEPS) -
             w -= 0.01 * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-8)
     z = net.logits(records[held])
     net.scale = platt(z, y[held])
-    found = np.sort(z[y[held] > 0])
+    hidden = (y[held] > 0) & (True if ruled is None else ~ruled[held])
+    found = np.sort(z[hidden])
     if len(found):
         at = found[int(np.floor((1 - RECALL) * len(found)))]
         net.threshold = float(1 / (1 + np.exp(-np.clip(net.scale[0] * at + net.scale[1], -30, 30))))
+        net.rates = (float((found >= at).mean()), float((z[y[held] <= 0] >= at).mean()) if (y[held] <= 0).any() else 0.0)
     return net
 
 
@@ -210,6 +232,82 @@ def platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(a), float(b)
 
 
+def body(record: bytes) -> bytes:
+    return record[2 + record[0]:2 + record[0] + record[1]]
+
+
+def plain(candidate: bytes) -> bool:
+    """Whether a candidate is surely no secret."""
+    return PLAIN.fullmatch(candidate) is not None
+
+
+def drawn_key(rng: np.random.Generator) -> bytes:
+    """A key of a drawn alphabet and length, with digits at two places or more."""
+    letters = list(ALPHABETS[rng.integers(len(ALPHABETS))])
+    while True:
+        key = "".join(rng.choice(letters, rng.integers(*KEY_LENGTHS)))
+        if sum(c.isdigit() for c in key) >= 2 and any(c.isalpha() for c in key):
+            return key.encode()
+
+
+def in_setting(key: bytes, words: list[bytes], rng: np.random.Generator) -> bytes:
+    """A key alone, after a prefix or name, or as a part of a path."""
+    word = words[rng.integers(len(words))][:8]
+    forms = (key, key, key, word[:4] + b"_" + key, word[:3] + b"-" + key, word + b"=" + key, b"/" + word + b"/" + key, key + b"=", key + b"/" + word, key[:20] + b"." + key)
+    return forms[rng.integers(len(forms))]
+
+
+def drawn_plain(words: list[bytes], rng: np.random.Generator) -> bytes:
+    """Something ordinary of a drawn kind, of the words of the corpus and drawn numbers."""
+    word = lambda: words[rng.integers(len(words))][:int(rng.integers(3, 14))].lower()
+    number = lambda top: b"%d" % rng.integers(top)
+    date = b"%d-%02d-%02d" % (rng.integers(1970, 2040), rng.integers(1, 13), rng.integers(1, 29))
+    several = [word() for _ in range(rng.integers(2, 6))]
+    kinds = (b".".join(number(256) for _ in range(4)), b"v" + b".".join(number(40) for _ in range(3)) + b"-" + word(), date + b"T" + number(24),
+             b"/".join(several), b"/" + b"/".join(several) + b"." + word()[:3], b"_".join(several), b"-".join(several), b"-".join(several) + b"-" + number(10_000),
+             b"".join(w.title() for w in several), several[0] + b"".join(w.title() for w in several[1:]), b"_".join(several).upper(), b".".join(several),
+             word() + number(10_000) + b"." + word(), b"//www." + word() + b"." + word()[:3] + b"/" + date.replace(b"-", b"/") + b"/" + word(),
+             number(10 ** 9) + b"." + number(10 ** 6), several[0] + several[1] + b"." + number(100), word().upper() + b"-" + number(10_000) + b"-" + number(100))
+    while True:
+        made = kinds[rng.integers(len(kinds))]
+        if len(made) >= LEAST:
+            return made
+        kinds = (*kinds, b"_".join(several) + b"_" + word() + b"_" + word())
+
+
+def value(finding: bytes, kind: int) -> bytes:
+    """A base finding's value, with what the rule goes by left out."""
+    if kind == 0:
+        named = ASSIGN.match(finding)
+        return named[2] if named else finding
+    return finding.removeprefix(b"AKIA") if kind == 1 else finding
+
+
+def teaching(rows: list[tuple[int, bytes]], sample: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """(records, labels, whether a rule matches) from (kind, record) rows of base findings and plain candidates."""
+    rng = np.random.default_rng(seed)
+    ordinary = [r for k, r in rows if k == MODEL and plain(body(r))]
+    if not ordinary:
+        return None
+    contexts = [(r[2:2 + r[0]], r[2 + r[0] + r[1]:].rstrip(b"\0")) for r in ordinary if r[1] < BODY] or [(b" ", b" ")]
+    words = sorted({w for r in ordinary for w in re.findall(rb"[a-z]{3,}", body(r).lower())}) or [b"some", b"word", b"here"]
+
+    def placed(text: bytes) -> bytes:
+        before, after = contexts[rng.integers(len(contexts))]
+        whole = windows(before + text + after, len(before), len(before) + len(text))
+        at = RECORD * int(rng.integers(len(whole) // RECORD))
+        return whole[at:at + RECORD]
+
+    of_rules = [v for v in (value(body(r), k) for k, r in rows if k != MODEL) if len(v) >= LEAST][:sample // 4]
+    keys = [in_setting(drawn_key(rng), words, rng) for _ in range(sample - len(of_rules))]
+    ordinary += [placed(drawn_plain(words, rng)) for _ in range(sample // 2)]
+    secret = [placed(v) for v in of_rules + keys]
+    ruled = [bool(HEX.search(body(r)) and max(map(len, HEX.findall(body(r)))) >= 16) for r in secret]
+    records = np.frombuffer(b"".join(secret + ordinary), np.uint8).reshape(-1, RECORD)
+    y = np.array([1.0] * len(secret) + [0.0] * len(ordinary), np.float32)
+    return records, y, np.array(ruled + [False] * len(ordinary))
+
+
 def learn(found: DataFrame, labelled: DataFrame | None = None, sample: int = SAMPLE) -> Network | None:
     """Fits the network on findings of ``find``; None without both labels."""
     each = (found.select("doc_id", F.posexplode(F.arrays_zip("kinds", "starts", "ends", "windows")).alias("i", "f"))
@@ -218,15 +316,24 @@ def learn(found: DataFrame, labelled: DataFrame | None = None, sample: int = SAM
         each = each.withColumn("label", (F.col("kind") != MODEL).cast("int"))
     else:
         each = each.join(labelled.select("doc_id", "start", "end", F.col("label").cast("int").alias("label")).dropDuplicates(["doc_id", "start", "end"]), ["doc_id", "start", "end"])
-    one = each.select("label", F.substring("windows", 1, RECORD).alias("record"))  # the first window stands for a long finding in the fit
-    # equal records teach the same; the hash decides which are taken
-    rows = [one.where(F.col("label") == y).groupBy("label", "record").agg(F.count("*").alias("n"))
-            .orderBy(F.xxhash64("record"), "record").limit(sample).select("label", "record").collect() for y in (0, 1)]
-    if not rows[0] or not rows[1]:
+    # any window may stand for a long finding in the fit; equal records teach the same, and the hash decides which are taken
+    window = F.pmod(F.xxhash64("windows"), (F.length("windows") / RECORD).cast("long")).cast("int")
+    one = each.select("label", "kind", F.substring("windows", window * RECORD + 1, F.lit(RECORD)).alias("record"))
+    taken = []
+    for y in (0, 1):
+        own = one.where(F.col("label") == y)
+        about = own.agg(F.approx_count_distinct("record", 0.02)).first()[0]
+        share = min(1.0, 1.5 * (sample + 64) / max(about, 1))  # of the hashes' range: a little more than is wanted
+        few = own.where(F.shiftright(F.xxhash64("record"), 11) <= int(share * 2 ** 53) - 2 ** 52).groupBy("label", "record").agg(F.min("kind").alias("kind"))
+        taken.append(few.orderBy(F.xxhash64("record"), "record").limit(sample).collect())
+    rows = [(r.kind, bytes(r.record)) for part in taken for r in part]
+    if labelled is None:
+        found_by = teaching(rows, sample)
+        return found_by and fit(*found_by)
+    if not all(taken):
         return None
-    taken = [*rows[0], *rows[1]]
-    records = np.frombuffer(b"".join(bytes(r.record) for r in taken), np.uint8).reshape(-1, RECORD)
-    return fit(records, np.array([r.label for r in taken], np.float32))
+    records = np.frombuffer(b"".join(r for _, r in rows), np.uint8).reshape(-1, RECORD)
+    return fit(records, np.array([r.label for part in taken for r in part], np.float32))
 
 
 def judged(net: Network | None, kinds: list[list[int]], candidates: list[list[bytes]]) -> list[list[bool]]:

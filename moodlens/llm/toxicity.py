@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append, bucket, byte_lists, chunks, worker_state, written
+from .common import append, bucket, byte_lists, chunks, smallest, worker_state, written
 from .wordhash import WordHash, mix
 
 SAMPLE = (24_000, 6_000)
@@ -81,7 +81,7 @@ def sample(docs: DataFrame, labels: DataFrame, rows: tuple[int, int]) -> DataFra
     """(doc_id, y, fit, text): at most ``rows[y]`` documents of label ``y``."""
     marks = (labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
              .groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("y")))
-    by_hash = [marks.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows[y]) for y in (0, 1)]
+    by_hash = [smallest(marks.where(F.col("y") == y), F.xxhash64("doc_id"), ["doc_id"], rows[y]) for y in (0, 1)]
     chosen = written(by_hash[0].unionByName(by_hash[1]), "toxicity-labels")
     return (docs.select("doc_id", F.col("text").cast("binary").alias("text"))
             .join(F.broadcast(chosen), "doc_id")  # at most sum(rows) ids
