@@ -14,14 +14,17 @@ weighted back to the labels' own frequencies.
 
 The classifier is fitted on a bounded sample: the ``SAMPLE`` rows of each label
 with the smallest hash of their id.  Words are hashed into ``2 ** WORD_BITS``
-and bigrams into ``2 ** PAIR_BITS`` places, which bounds every table that is
-collected or broadcast, whatever the texts hold.  Counting is done by Spark
+places; bigrams of places have exact counts, so a bigram that a class never saw
+reads 0 and each model's probabilities after a word sum to 1.  At most ``MOST_PAIRS``
+bigrams are collected and broadcast: if a sample holds more, the least frequent
+are discounted whole (their weight goes to the backoff).  Counting is done by Spark
 over the sample's whole texts; every document is scored as a whole.
 
 Defined results: a null or empty text has no evidence and scores the
 calibration's value for none.  Without labelled rows of both classes every
 score is 0.  Rows without a label or id teach nothing.  A document with several
-label rows counts as toxic if one says so.  Repeated rows give repeated rows.
+label rows counts as toxic if one says so; an id with several texts teaches the one
+that is last in byte order.  Repeated rows give repeated rows.
 """
 
 from __future__ import annotations
@@ -37,11 +40,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import append, bucket, byte_lists, chunks, smallest, worker_state, written
-from .wordhash import WordHash, mix
+from .wordhash import WordHash
 
 SAMPLE = (24_000, 6_000)
 WORD_BITS = 18
-PAIR_BITS = 20
+MOST_PAIRS = 1 << 22
 DISCOUNT = 0.75
 #: In log10: differences between the models from which a word may count; the held-out rows choose.
 MARGINS = (0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.8, 1.0, 1.2, 1.4, 1.6, 1.8, 2.0)
@@ -59,7 +62,8 @@ KEEP = bytes(i if chr(i).isalnum() and i < 128 or i >= 128 else 32 for i in rang
 class Model:
     lower: np.ndarray   # log10 P(word) of the lower order: 2 x words
     back: np.ndarray    # weight of the lower order after each word: 2 x words
-    pair: np.ndarray    # discounted counts of bigrams: 2 x pairs
+    keys: np.ndarray    # counted bigrams in order, as first << WORD_BITS | second, and a last key above all
+    pair: np.ndarray    # their discounted counts: 2 x (pairs and a 0)
     total: np.ndarray   # occurrences of each word as context: 2 x words
     weights: tuple[float, ...] = (0.0,) * 5  # constant, of words per word and per root, of pairs per word and per root
     margins: tuple[float, float] = (0.0, 0.0)  # of words and pairs
@@ -73,8 +77,12 @@ def words(text: bytes, cache: WordHash) -> np.ndarray:
     return out
 
 
-def pair_places(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return (mix(((a << WORD_BITS) | b).astype(np.uint64)) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+def chances(m: Model, c: int, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """P(w | v) in the model of class ``c``."""
+    key = (v << WORD_BITS) | w
+    at = np.searchsorted(m.keys, key)
+    seen = np.where(m.keys[at] == key, m.pair[c][at], 0)
+    return seen / np.maximum(m.total[c][v], 1) + m.back[c][v] * m.lower[c][w]
 
 
 def sample(docs: DataFrame, labels: DataFrame, rows: tuple[int, int]) -> DataFrame:
@@ -129,16 +137,18 @@ def learn(docs: DataFrame, labels: DataFrame, rows: tuple[int, int] = SAMPLE) ->
     rare = counted.agg(*[F.count_if(F.col(c) == k).alias(f"{c}_{k}") for c in ("c0", "c1") for k in (1, 2, 3, 4)]).first()
     discount = {c: discounts([rare[f"{c}_{k}"] for k in (1, 2, 3, 4)]) for c in ("c0", "c1")}
     less = lambda c: F.when(F.col(c) > 2, F.col(c) - discount[c][2]).when(F.col(c) == 2, 2 - discount[c][1]).when(F.col(c) == 1, 1 - discount[c][0]).otherwise(0.0)
-    pairs_less = counted.select("v", "w", *[less(c).alias(c) for c in ("c0", "c1")])
+    often = F.greatest("c0", "c1")
+    rows_of = dict(sorted((r.n, r["count"]) for r in counted.groupBy(F.least(often, F.lit(10_000)).alias("n")).count().collect()))
+    least_kept = next((n for n in rows_of if sum(r for k, r in rows_of.items() if k >= n) <= MOST_PAIRS), 10_001)
+    pairs_less = counted.where(often >= least_kept).select("v", "w", *[less(c).alias(c) for c in ("c0", "c1")])
     k0, k1 = arrays(pairs_less.groupBy("v").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")), "v", size, ["c0", "c1"])
 
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at = pair_places(b.column(0).to_numpy(), b.column(1).to_numpy())
-            yield pa.RecordBatch.from_arrays([pa.array(at), b.column(2), b.column(3)], names=["at", "c0", "c1"])
-
-    p0, p1 = arrays(pairs_less.mapInArrow(places, "at bigint, c0 double, c1 double").groupBy("at")
-                    .agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")), "at", 1 << PAIR_BITS, ["c0", "c1"])
+    got = pairs_less.select(F.expr(f"shiftleft(v, {WORD_BITS}) | w").alias("key"), *[F.col(c).cast("float").alias(c) for c in ("c0", "c1")]).toArrow()
+    order = np.argsort(got.column(0).to_numpy())
+    keys = np.append(got.column(0).to_numpy()[order], np.iinfo(np.int64).max)
+    pair = np.zeros((2, len(keys)), np.float32)
+    for c in (0, 1):
+        pair[c, :-1] = got.column(1 + c).to_numpy()[order]
     models = (n0 > 0) + (n1 > 0) + 0.5  # the shared continuation count: in how many models a word occurs
     shared = models / models.sum()
     lower, back = [], []
@@ -147,7 +157,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: tuple[int, int] = SAMPLE) ->
         kept = np.maximum(n - DISCOUNT, 0)
         lower.append(kept / every + (1 - kept.sum() / every) * shared)
         back.append(np.where(s > 0, 1 - k / np.maximum(s, 1), 1.0))
-    model = Model(*(np.array(x, np.float32) for x in (lower, back, (p0, p1), (s0, s1))))
+    model = Model(np.array(lower, np.float32), np.array(back, np.float32), keys, pair, np.array((s0, s1), np.float32))
     held = evidence(taken.where("NOT fit").select("y", "text"), model).select("y", "llr", "n_words").toArrow()
     y = held.column("y").to_numpy() > 0
     of_all = labels.where("toxic IS NOT NULL").agg(F.avg((F.col("toxic") > 0).cast("double"))).first()[0]
@@ -204,8 +214,7 @@ def differences(places: np.ndarray, m: Model) -> tuple[np.ndarray, np.ndarray]:
     """log10 of each word's probability as toxic less that as ordinary: that of
     the lower order, and what its bigram adds to it."""
     v, w = places[:-1], places[1:]
-    at = pair_places(v, w)
-    seen = [m.pair[c][at] / np.maximum(m.total[c][v], 1) + m.back[c][v] * m.lower[c][w] for c in (0, 1)]
+    seen = [chances(m, c, v, w) for c in (0, 1)]
     of_words = np.log10(m.lower[1][w].astype(np.float64) / m.lower[0][w])
     return of_words, np.log10(seen[1].astype(np.float64) / seen[0]) - of_words
 
