@@ -44,7 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_lists, chunks, worker_state, written
+from .common import byte_lists, chunks, discard, worker_state, written
 from .wordhash import WordHash, mix, shingles
 
 BANDS, ROWS, BITS = 40, 5, 2
@@ -58,6 +58,8 @@ CELL = 512
 CROWD = 32
 #: Bands in which a second node of each bucket is paired with all others.
 PICKED = 12
+#: Places of the bitmap that tells a scan which texts may be needed: 8 MB, whatever the corpus.
+PLACES = 1 << 26
 
 
 def least_matches(percent: int) -> int:
@@ -138,10 +140,26 @@ def near(x: str, y: str, percent: int) -> Column:
     return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & ((F.least(a, b) < SMALL) | estimate)
 
 
+def maybe_needed(texts: DataFrame, needed: DataFrame) -> DataFrame:
+    """The rows of ``texts`` whose text_hash has its place in a bitmap of those of ``needed``.
+
+    All rows that are needed pass, and few others while ``PLACES`` is well above the number
+    needed; so the join that follows shuffles little else.  The bitmap has at most
+    ``PLACES`` / 32,768 rows of 4 KB.
+    """
+    place = F.pmod("text_hash", F.lit(PLACES)) + 1
+    part, bit = F.bitmap_bucket_number(place).alias("__part"), F.bitmap_bit_position(place).alias("__bit")
+    bitmap = needed.select(part, bit).distinct().repartition("__part").groupBy("__part").agg(F.bitmap_construct_agg("__bit").alias("__bitmap"))
+    byte = F.conv(F.hex(F.expr("substring(__bitmap, CAST(__bit DIV 8 AS INT) + 1, 1)")), 16, 10).cast("int")
+    return (texts.select("*", part, bit).join(F.broadcast(bitmap), "__part")
+            .where(F.getbit(byte, (F.col("__bit") % 8).cast("int")) == 1)
+            .select(*texts.columns))
+
+
 def full_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """(node, items): the full sets of the nodes in ``wanted``, as a written table."""
     needed = written(wanted.select("node").distinct().join(nodes.select("node", "doc_id", "text_hash"), "node"), "minhash-needed")
-    texts = keyed(docs).alias("t").join(needed.alias("k"), F.expr("t.text_hash = k.text_hash AND t.doc_id <=> k.doc_id")).select("k.node", "t.text")
+    texts = maybe_needed(keyed(docs), needed).alias("t").join(needed.alias("k"), F.expr("t.text_hash = k.text_hash AND t.doc_id <=> k.doc_id")).select("k.node", "t.text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # equal rows (same id, same text) count once in a task
@@ -245,6 +263,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = PERCENT) -> Data
              .select(F.greatest("node", "to").alias("a"), F.least("node", "to").alias("b")).distinct())
     stars = written(close(stars), "minhash-stars")
     sets = full_sets(docs, nodes, nodes_of(stars), n)
+    spent = [members, stars, sets]  # tables that the result doesn't read
     edges = written(confirm(sets, stars, percent), "minhash-links")
     labels = components(edges)
     label = F.coalesce("label", "node").alias("label")
@@ -269,14 +288,19 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = PERCENT) -> Data
                 .select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
                 .join(stars, ["a", "b"], "left_anti"))  # those are decided
     crossing = written(crossing, "minhash-crossing")
+    discard(open_)
     wanted = asks.select("node").union(nodes_of(crossing)).distinct().join(sets, "node", "left_anti")
     wanted = written(wanted, "minhash-wanted")
     if not wanted.isEmpty():
-        sets = sets.union(full_sets(docs, nodes, wanted, n))
+        others = full_sets(docs, nodes, wanted, n)
+        spent.append(others)
+        sets = sets.union(others)
     more = confirm(sets, crossing, percent).union(crowded(asks, labels, sets, percent))
     more = written(more, "minhash-links")
+    spent += [mixed, asks, crossing, wanted, more]
     if not more.isEmpty():
         labels = components(written(edges.union(more), "minhash-links"))
+    discard(*spent)
     # each set's component, and each component's smallest id
     sets = named.join(labels, "node", "left").select("set_id", label)
     placed = rows.select("row", "doc_id", "text_hash", "n_shingles", "set_id").join(sets, "set_id", "left")

@@ -342,3 +342,15 @@ def test_repeated_rows_and_copies_without_an_id_stay_once(spark):
 def test_pipeline_rows(spark):
     rows = corpus_pipeline.run(spark, SF).collect()
     assert rows and all(r.offset + r.length <= 1024 for r in rows)
+
+
+def test_bitmap_of_needed_texts(spark, documents):
+    docs = frame(spark, [(d, t, "", "", 0) for d, t, *_ in documents] + ODD)
+    texts = minhash.keyed(docs)
+    needed = texts.where("doc_id % 7 = 0").select("text_hash")
+    got = {r.text_hash for r in minhash.maybe_needed(texts, needed).collect()}
+    want = {r.text_hash for r in needed.collect()}
+    assert want == got  # a stranger at a place is one in a million here
+    passed = minhash.maybe_needed(texts, needed)
+    assert passed.columns == texts.columns and passed.count() == texts.join(needed.distinct(), "text_hash", "left_semi").count()
+    assert minhash.maybe_needed(texts, needed.where("false")).count() == 0
