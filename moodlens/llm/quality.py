@@ -149,11 +149,11 @@ def vector(stats: DataFrame) -> DataFrame:
 
 def cholesky(rows: DataFrame) -> DataFrame:
     """Adds the factor l00.. of the matrix c00.. and the logarithm of its determinant."""
+    steps = []
     for i, j in PAIRS:
-        rest = reduce(lambda a, k: a - F.col(f"l{i}{k}") * F.col(f"l{j}{k}"), range(j), F.col(f"c{i}{j}"))
-        guard = F.greatest(rest, 1e-9 * F.col(f"c{i}{i}"), F.lit(1e-12))
-        rows = rows.withColumn(f"l{i}{j}", F.sqrt(guard) if i == j else rest / F.col(f"l{j}{j}"))
-    return rows.withColumn("determinant", reduce(lambda a, b: a + b, [2 * F.log(f"l{i}{i}") for i in range(P)]))
+        rest = " - ".join([f"c{i}{j}", *[f"l{i}{k} * l{j}{k}" for k in range(j)]])
+        steps.append(f"sqrt(greatest({rest}, 1e-9D * c{i}{i}, 1e-12D)) AS l{i}{j}" if i == j else f"({rest}) / l{j}{j} AS l{i}{j}")
+    return rows.selectExpr("*", *steps, "2 * (" + " + ".join(f"ln(l{i}{i})" for i in range(P)) + ") AS determinant")
 
 
 ESTIMATE = [*KEYS, START, *[f"m{i}" for i in range(P)], *[f"l{i}{j}" for i, j in PAIRS], "determinant"]
@@ -185,32 +185,23 @@ def starting(rows: DataFrame) -> DataFrame:
     return written(reduce(DataFrame.unionByName, [start(k) for k in ("", "t", "g")]), "quality-start")
 
 
-def distance() -> Column:
-    """Squared Mahalanobis distance, by forward substitution in the Cholesky factor."""
-    z: list[Column] = []
-    for i in range(P):
-        rest = reduce(lambda a, j: a - F.col(f"l{i}{j}") * z[j], range(i), F.col(X[i]) - F.col(f"m{i}"))
-        z.append(rest / F.col(f"l{i}{i}"))
-    return reduce(lambda a, b: a + b, [v * v for v in z])
-
-
 def measured(rows: DataFrame, estimate: DataFrame) -> DataFrame:
-    joined = rows.join(estimate, KEYS, "left")
-    return joined.select(*rows.columns, START, distance().alias("d"))
+    """Adds the squared Mahalanobis distance, by forward substitution in the Cholesky factor."""
+    steps = [f"({' - '.join([f'x{i} - m{i}', *[f'l{i}{j} * z{j}' for j in range(i)]])}) / l{i}{i} AS z{i}" for i in range(P)]
+    joined = rows.join(estimate, KEYS, "left").selectExpr(*rows.columns, START, *steps, " + ".join(f"z{i} * z{i}" for i in range(P)) + " AS d")
+    return joined.drop(*[f"z{i}" for i in range(P)])
 
 
 def moments(near: DataFrame, factor: float, name: str) -> DataFrame:
     """Estimates from the moments of the rows ``near``, leaning on those pooled over all groups."""
-    sums = [*[F.avg(x).alias(f"m{i}") for i, x in enumerate(X)], *[F.covar_pop(X[i], X[j]).alias(f"c{i}{j}") for i, j in PAIRS]]
-    own = written(near.groupBy(*KEYS, START).agg(F.count("*").alias("n"), *sums), "quality-moments")
-    columns = [f"m{i}" for i in range(P)] + [f"c{i}{j}" for i, j in PAIRS]
+    names = {f"m{i}": f"avg(x{i})" for i in range(P)} | {f"c{i}{j}": f"covar_pop(x{i}, x{j})" for i, j in PAIRS}
+    own = near.groupBy(*KEYS, START).agg(F.count("*").alias("n"), *[F.expr(f"{e} AS own_{c}") for c, e in names.items()])
     # a row per start, three at most
-    pooled = F.broadcast(own.groupBy(START).agg(*[(F.sum(F.col(c) * F.col("n")) / F.sum("n")).alias(f"all_{c}") for c in columns]))
-    blend = lambda c: (F.col(c) * F.col("n") + F.col(f"all_{c}") * POOLED_ROWS) / (F.col("n") + POOLED_ROWS)
+    pooled = F.broadcast(own.groupBy(START).agg(*[F.expr(f"sum(own_{c} * n) / sum(n) AS all_{c}") for c in names]))
+    blend = lambda c: f"(own_{c} * n + all_{c} * {POOLED_ROWS}) / (n + {POOLED_ROWS})"
     # about the centre that is used, which a group of few rows shares with others
-    off = lambda i: F.col(f"m{i}") - blend(f"m{i}")
-    e = own.join(pooled, START).select(*KEYS, START, *[blend(f"m{i}").alias(f"m{i}") for i in range(P)],
-                                       *[(blend(f"c{i}{j}") * factor + off(i) * off(j)).alias(f"c{i}{j}") for i, j in PAIRS])
+    matrix = [f"{blend(f'c{i}{j}')} * {factor!r}D + (own_m{i} - m{i}) * (own_m{j} - m{j}) AS c{i}{j}" for i, j in PAIRS]
+    e = own.join(pooled, START).selectExpr(*KEYS, START, *[f"{blend(f'm{i}')} AS m{i}" for i in range(P)], *matrix)
     return written(cholesky(e).select(*ESTIMATE), name)
 
 
@@ -221,7 +212,7 @@ def concentrate(rows: DataFrame, estimate: DataFrame) -> DataFrame:
     counted = near.groupBy(*KEYS, START, "b").agg(F.count("*").alias("n"))
     to = counted.withColumn("to", F.sum("n").over(of.orderBy("b"))).withColumn("all", F.sum("n").over(of))
     top = to.where(F.col("to") >= BULK * F.col("all")).groupBy(*KEYS, START).agg(F.min("b").alias("top"))
-    return moments(near.join(written(top, "quality-top"), [*KEYS, START]).where("b <= top"), consistent(BULK), "quality-estimate")
+    return moments(near.join(top, [*KEYS, START]).where("b <= top"), consistent(BULK), "quality-estimate")
 
 
 def estimated(rows: DataFrame) -> DataFrame:
