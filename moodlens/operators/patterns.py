@@ -1,8 +1,10 @@
-"""Substrings and token patterns of large tables, found by joins.
+"""Substrings and token patterns of large tables.
 
 ``contains_counts`` counts the posts that contain each term of a lexicon table of
 any size (the literal columns of ``operators.indicators`` are for a fixed list of
-some dozens).  A term is indexed under one of its n-grams of five code points
+some dozens).  A term without a separator lies within a token, so it is
+counted in the tasks that read the texts, against a part of the lexicon of bounded
+size at a time: neither texts nor hits are shuffled.  Other terms are indexed under one of their n-grams of five code points
 (the one that fewest terms of the lexicon share; a shorter term under itself).
 The distinct n-grams of a text meet that index, and an exact ``contains`` decides
 about the terms that are left, so terms match inside words as before.
@@ -18,18 +20,34 @@ n-grams travel in exchanges, texts only where they are asked for.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from moodlens.functions.polarity import RULES_TYPE, no_rules
-from moodlens.functions.text import tokens
+from moodlens.functions.text import TOKEN_SPLIT, token_text, tokens
+from moodlens.session import scratch_path
 
 GRAM = 5
+#: Terms that are held in memory at a time (larger tables take several passes), and
+#: tokens of which a task keeps the terms.
+HELD_TERMS, CACHED_TOKENS = 500_000, 200_000
 #: Code points of a text; and the same with each run of ASCII as one.
 CODE_POINTS = "(?s)."
 NON_ASCII = "[\\x00-\\x7F]+|(?s)[^\\x00-\\x7F]"
 
 
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` computed once, as a table in the shared scratch folder."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _points(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(CODE_POINTS), 0)
 
@@ -70,16 +88,66 @@ def contained_terms(posts: DataFrame, terms: DataFrame) -> DataFrame:
     return one.select("t.post_id", "t._hash", F.explode(held).alias("term"))
 
 
+def _slices(table: DataFrame, key: str) -> Iterator[DataFrame]:
+    """``table`` dealt by the hash of a column into parts of about ``HELD_TERMS`` rows."""
+    n = -(-table.count() // HELD_TERMS)
+    return (table.where(F.pmod(F.xxhash64(key), F.lit(n)) == k) for k in range(n))
+
+
+def _counted_in_tokens(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """``term, n_posts`` of terms without a separator: one lies within a token or nowhere.
+
+    A token's terms are looked up once a task (in a bounded cache), a text's are
+    the union over its distinct tokens, and tasks hand on one count a term.  Terms
+    are compared as bytes of UTF-8, like ``contains`` does."""
+    words = terms.select("term").toArrow().column(0).cast(pa.binary()).to_pylist()  # about HELD_TERMS
+    shared = texts.sparkSession.sparkContext.broadcast(words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = {w: i for i, w in enumerate(shared.value)}
+        sizes, counts, cache = sorted({len(w) for w in place}), np.zeros(len(place), np.int64), {}
+
+        def held(token: bytes) -> list[int]:
+            found = (place.get(token[i:i + n]) for n in sizes if n <= len(token) for i in range(len(token) - n + 1))
+            return list({i for i in found if i is not None})
+
+        for batch in batches:
+            for text in batch.column(0):
+                found: set[int] = set()
+                for token in set(text.as_py().split(b" ")):
+                    places = cache.get(token)
+                    if places is None:
+                        if len(cache) >= CACHED_TOKENS:
+                            cache.clear()
+                        places = cache[token] = held(token)
+                    found.update(places)
+                counts[list(found)] += 1
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array([shared.value[i] for i in at], pa.binary()).cast(pa.string()), pa.array(counts[at])], names=["term", "n_posts"])
+
+    return texts.mapInArrow(run, "term string, n_posts bigint").groupBy("term").agg(F.sum("n_posts").alias("n_posts"))
+
+
 def contains_counts(posts: DataFrame, terms: DataFrame) -> DataFrame:
     """``term, n_posts`` for every distinct term of ``terms``: the posts whose
-    lower-cased text contains it (repeated posts count each)."""
-    hits = contained_terms(posts, terms)
-    copies = (posts.where(F.col("data.text").isNotNull()).groupBy(F.col("data.id").alias("_id"), F.xxhash64(F.lower("data.text")).alias("_h"))
-              .agg(F.count(F.lit(1)).alias("_n")))
-    counted = (hits.join(copies, F.col("post_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h")))
-               .groupBy(F.col("term").alias("_t")).agg(F.sum("_n").alias("_posts")))
-    every = terms.select("term").where(F.length("term") > 0).distinct()
-    return every.join(counted, F.col("term") == F.col("_t"), "left").select("term", F.coalesce("_posts", F.lit(0)).cast("long").alias("n_posts"))
+    lower-cased text contains it (repeated posts count each).
+
+    Terms without a separator are counted where the texts are; the others
+    (phrases, emojis) meet the index of :func:`contained_terms`."""
+    every = _written(terms.select("term").where(F.length("term") > 0).distinct(), "terms")
+    apart = F.col("term").rlike(TOKEN_SPLIT)
+    texts = posts.where(F.col("data.text").isNotNull()).select(token_text("data.text").cast("binary").alias("text"))
+    counted = [_counted_in_tokens(texts, part) for part in _slices(every.where(~apart), "term")]
+    spread = every.where(apart)
+    if not spread.isEmpty():
+        copies = (posts.where(F.col("data.text").isNotNull()).groupBy(F.col("data.id").alias("_id"), F.xxhash64(F.lower("data.text")).alias("_h"))
+                  .agg(F.count(F.lit(1)).alias("_n")))
+        counted.append(contained_terms(posts, spread).join(copies, F.col("post_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h")))
+                       .groupBy("term").agg(F.sum("_n").alias("n_posts")))
+    if not counted:
+        return every.select("term", F.lit(0).cast("long").alias("n_posts"))
+    found = reduce(DataFrame.unionByName, counted).select(F.col("term").alias("_t"), F.col("n_posts").alias("_posts"))
+    return every.join(found, F.col("term") == F.col("_t"), "left").select("term", F.coalesce("_posts", F.lit(0)).cast("long").alias("n_posts"))
 
 
 def _runs(items: Column, sizes: list[int]) -> Column:

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from moodlens.lexicons import Rule, RuleSet, default_lexicon, default_rules
+from moodlens.operators import patterns
 from moodlens.operators.indicators import indicator_counts
 from moodlens.operators.patterns import anchors, contained_terms, contains_counts, rule_hits, tag_posts_by_table
 from moodlens.operators.rules import rules_frame, tag_posts
@@ -73,3 +74,15 @@ def test_texts_stay_out_of_the_rule_join(spark):
     plan = hits._jdf.queryExecution().optimizedPlan().toString()
     joins = [line for line in plan.splitlines() if "Join" in line]
     assert joins and not any("_text" in line for line in joins)
+
+
+def test_parts_of_a_lexicon_add_up_where_the_texts_are(spark, monkeypatch):
+    """Terms within tokens are counted without an exchange of posts, in parts of the lexicon."""
+    monkeypatch.setattr(patterns, "HELD_TERMS", 3, raising=False)
+    words = ["a", "ab", "aaa", "love", "ov", "you", "é", "zzz", "'s", "thank", "no", "k y"]
+    df = spark.createDataFrame([post(str(i), text=t) for i, t in enumerate(TEXTS)] * 2, POST)
+    got = contains_counts(df, spark.createDataFrame([(t,) for t in words], "term string"))
+    assert {r.term: r.n_posts for r in got.collect()} == {t: 2 * sum(t in text.lower() for text in TEXTS if text is not None) for t in words}
+    got = contains_counts(df, spark.createDataFrame([(t,) for t in words[:-1]], "term string"))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert not any("Exchange" in line and "post_id" in line for line in plan.splitlines()) and "post_id" not in plan
