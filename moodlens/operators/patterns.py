@@ -10,9 +10,9 @@ The distinct n-grams of a text meet that index, and an exact ``contains`` decide
 about the terms that are left, so terms match inside words as before.
 
 ``rule_hits`` tags posts by a rule table: a text's runs of tokens (or of non-ASCII
-code points), of the lengths that terms have, meet words, phrases and emojis as a
-whole, and posts with a rule's excluded word leave it by an anti join.  Rules are rows,
-so other rules need no other plan, and nothing is collected.
+code points), of the lengths that terms have, meet words, phrases, emojis and
+excluded words as a whole in one broadcast join (of a bounded part of the rules at a
+time), and a task hands on one row of rules a post.  Rules are rows, so other rules need no other plan.
 
 Texts are told apart by id and hash; equal rows have equal hits.  Terms and
 n-grams travel in exchanges, texts only where they are asked for.
@@ -168,29 +168,42 @@ def _rule_terms(rules: DataFrame) -> DataFrame:
             .where((F.col("item") != "") & (F.col("size") > 0)))
 
 
+def _rule_index(rules: DataFrame) -> DataFrame:
+    """``rule_id, lang, emoji, size, item, veto``: what a run of a text can meet,
+    the terms and the excluded words (emoji rules have none)."""
+    parts = _rule_terms(rules).where(F.col("rule_id").isNotNull() & F.col("emoji").isNotNull())
+    vetoes = rules.where(F.col("exclude").isNotNull() & ~F.contains("exclude", F.lit(" "))).select(
+        "rule_id", F.lit(None).cast("string").alias("lang"), F.lit(False).alias("emoji"), F.lit(1).alias("size"), F.lower("exclude").alias("item"))
+    vetoes = vetoes.join(parts.where("emoji").select("rule_id").distinct(), "rule_id", "left_anti")
+    return parts.withColumn("veto", F.lit(False)).unionByName(vetoes.withColumn("veto", F.lit(True))).distinct()
+
+
 def rule_hits(posts: DataFrame, rules: DataFrame) -> DataFrame:
     """``post_id, _hash, matching_rules`` of the posts that some rule of the table
     (RULE shape) holds for, by rule id; once per (id, language, text)."""
-    parts = _rule_terms(rules)
-    sizes = {e: sorted({r["size"] for r in parts.where(F.col("emoji") == e).select("size").distinct().collect()} | {1}) for e in (False, True)}  # lengths of terms
+    rules = _written(rules.select("rule_id", "tag", "terms", "lang", "exclude"), "rules")
+    # one row with all rules by id: hits travel as places in it
+    every = _written(rules.where(F.col("rule_id").isNotNull()).select(F.col("rule_id").alias("id"), "tag").dropDuplicates(["id"])
+                     .agg(F.array_sort(F.collect_list(F.struct("id", "tag"))).alias("_rules")), "rule-ids")
+    places = every.select(F.posexplode("_rules").alias("place", "rule")).select("place", F.col("rule.id").alias("rule_id"))
+    index = _written(_rule_index(rules).join(places, "rule_id"), "rule-index")
+    sizes = {e: sorted({r["size"] for r in index.where(F.col("emoji") == e).select("size").distinct().collect()} | {1}) for e in (False, True)}  # lengths of terms
     base = posts.select(F.col("data.id").alias("post_id"), F.col("data.lang").alias("_lang"), F.col("data.text").alias("_text")).where(F.col("_text").isNotNull())
     base = base.withColumn("_hash", F.xxhash64("_text", F.coalesce("_lang", F.lit(""))))
     key = ["post_id", "_hash", "_lang"]
-    split = base.select(*key, tokens("_text").alias("_t"))
-    words = split.select(*key, F.lit(False).alias("_emoji"), F.explode(_runs(F.col("_t"), sizes[False])).alias("_item"))
-    pointed = (base.where(F.octet_length("_text") > F.length("_text"))
-               .select(*key, F.regexp_extract_all("_text", F.lit(NON_ASCII), 0).alias("_t")))
-    signs = pointed.select(*key, F.lit(True).alias("_emoji"), F.explode(_runs(F.col("_t"), sizes[True])).alias("_item"))
+    signed = F.octet_length("_text") > F.length("_text")
+    split = base.select(*key, tokens("_text").alias("_t"), F.when(signed, F.regexp_extract_all("_text", F.lit(NON_ASCII), 0)).otherwise(F.array().cast("array<string>")).alias("_s"))
+    as_items = lambda runs, emoji: F.transform(runs, lambda x: F.struct(F.lit(emoji).alias("_emoji"), x.alias("_item")))
+    runs = F.concat(as_items(_runs(F.col("_t"), sizes[False]), False), as_items(_runs(F.col("_s"), sizes[True]), True))
+    items = split.select(*key, F.inline(runs))
     meets = ((F.col("_item") == F.col("item")) & (F.col("_emoji") == F.col("emoji")) & (F.col("lang").isNull() | (F.col("lang") == F.col("_lang"))))
-    whole = words.unionByName(signs).join(parts, meets).select("post_id", "_hash", "rule_id").distinct()
-    vetoes = rules.where(F.col("exclude").isNotNull() & ~F.contains("exclude", F.lit(" "))).select("rule_id", F.lower("exclude").alias("item"))
-    vetoed = (words.join(vetoes, F.col("_item") == F.col("item")).select(F.col("post_id").alias("_id"), F.col("_hash").alias("_h"), F.col("rule_id").alias("_r")).distinct())
-    emojis = parts.where("emoji").select(F.col("rule_id").alias("_r")).distinct()
-    vetoed = vetoed.join(emojis, "_r", "left_anti")  # emoji rules have no excluded word
-    left = whole.join(vetoed, F.col("post_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h")) & (F.col("rule_id") == F.col("_r")), "left_anti")
-    tagged = left.join(rules.select("rule_id", "tag").dropDuplicates(["rule_id"]), "rule_id")
-    return (tagged.groupBy("post_id", "_hash").agg(F.array_sort(F.collect_set(F.struct(F.col("rule_id").alias("id"), "tag"))).alias("matching_rules"))
-            .withColumn("matching_rules", F.col("matching_rules").cast(RULES_TYPE)))
+    met = [items.join(F.broadcast(part), meets) for part in _slices(index, "item")] or [items.join(index, meets)]
+    places_of = lambda veto: F.collect_set(F.when(F.col("veto") == veto, F.col("place")))
+    # a text's hits are next to each other in its task, which hands on one row for them
+    sets = reduce(DataFrame.unionByName, met).groupBy("post_id", "_hash").agg(places_of(False).alias("_held"), places_of(True).alias("_vetoed"))
+    left = sets.select("post_id", "_hash", F.array_sort(F.array_except("_held", "_vetoed")).alias("_left")).where(F.size("_left") > 0)
+    named = left.crossJoin(F.broadcast(every)).select("post_id", "_hash", F.transform("_left", lambda i: F.get("_rules", i)).alias("matching_rules"))
+    return named.withColumn("matching_rules", F.col("matching_rules").cast(RULES_TYPE))
 
 
 def tag_posts_by_table(posts: DataFrame, rules: DataFrame) -> DataFrame:

@@ -86,3 +86,12 @@ def test_parts_of_a_lexicon_add_up_where_the_texts_are(spark, monkeypatch):
     got = contains_counts(df, spark.createDataFrame([(t,) for t in words[:-1]], "term string"))
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert not any("Exchange" in line and "post_id" in line for line in plan.splitlines()) and "post_id" not in plan
+
+
+def test_a_rule_table_reads_the_texts_once(spark, monkeypatch):
+    rules = rules_frame(spark, rule_sets()["phrases"])
+    key = lambda df: sorted((r.post_id or "", r._hash, [tuple(m) for m in r.matching_rules]) for r in df.collect())
+    hits = rule_hits(posts(spark), rules)
+    assert hits._jdf.queryExecution().optimizedPlan().toString().count("Generate") == 1
+    monkeypatch.setattr(patterns, "HELD_TERMS", 2, raising=False)
+    assert key(rule_hits(posts(spark), rules)) == key(hits) != []
