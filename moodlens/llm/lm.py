@@ -18,10 +18,10 @@ Baum-Welch: every iteration computes expected counts over all training texts
 (in segments of ``SEGMENT`` tokens that advance together), aggregates them by
 Spark as fixed-point numbers, so that their sum is the same in any order, and
 re-estimates, until the relative gain of the summed training log-likelihood
-falls to ``TOLERANCE``.  The iterations over all texts start from the likeliest of
-``FIRST_STARTS`` models that have converged (to ``FIRST_TOLERANCE``) on the
-beginnings of ``FIRST_TEXTS`` of them: near a random start the states hardly
-differ, and there a small gain isn't convergence.  The score of a text is the scaled forward recursion over all
+falls to ``TOLERANCE``.  Near a random start the states hardly differ, and there a
+small gain isn't convergence; so the iterations start from the counts of all
+neighbouring symbols of the training texts (a Spark aggregate of fixed size), to which
+``FIRST_STARTS`` models are fitted (to ``FIRST_TOLERANCE``); the likeliest is the start.  The score of a text is the scaled forward recursion over all
 of its tokens.
 
 Defined results: a null or empty text is the end alone.  A null id counts as an
@@ -42,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket, byte_lists, chunks, smallest, written
+from .common import bucket, byte_lists, chunks, written
 
 STATES = 6
 HEAD = 200_000
@@ -51,8 +51,8 @@ HASHED = 1024
 SYMBOLS = OWN + HASHED
 #: Relative gains of the training log-likelihood under which an iteration is the last.
 TOLERANCE, FIRST_TOLERANCE = 1e-4, 1e-5
-#: Random starts, training texts that they converge on, and tokens of each (parameters of the start alone).
-FIRST_STARTS, FIRST_TEXTS, FIRST_TOKENS = 4, 1000, 2048
+#: Random starts on the pair counts, and contexts that these tell apart.
+FIRST_STARTS, CONTEXTS = 4, 256
 SEGMENT = 256
 SMOOTH = 0.1
 FIXED = 1 << 16
@@ -247,24 +247,59 @@ def settled(before: float, now: float, tolerance: float) -> bool:
     return now - before <= tolerance * abs(now)
 
 
+def context(symbols: np.ndarray) -> np.ndarray:
+    """The context that a symbol is to the one after it: its own, or a shared one."""
+    return np.where(symbols < CONTEXTS // 2, symbols, CONTEXTS // 2 + symbols % (CONTEXTS // 2))
+
+
+def pairs(seqs: DataFrame) -> np.ndarray:
+    """Contexts x symbols: counts of all neighbours in the training rows of
+    ``seqs``; a text's first symbol comes after an end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CONTEXTS * SYMBOLS, np.int64)
+        for batch in chunks(batches, 1024):
+            joined = np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u2").astype(np.int64)  # each text ends with an end, symbol 0
+            total += np.bincount(context(np.append(0, joined[:-1])) * SYMBOLS + joined, minlength=len(total))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["i", "n"])
+
+    rows = seqs.where("NOT held_out").select("symbols").mapInArrow(run, "i int, n bigint").groupBy("i").agg(F.sum("n").alias("n")).toArrow()
+    flat = np.zeros(CONTEXTS * SYMBOLS)
+    flat[rows.column(0).to_numpy()] = rows.column(1).to_numpy()
+    return flat.reshape(CONTEXTS, SYMBOLS)
+
+
+def parted(n: np.ndarray, m: Hmm) -> tuple[float, Hmm]:
+    """A model fitted to the pair counts alone (EM on the states of the two
+    neighbours, until their log-likelihood gains ``FIRST_TOLERANCE`` or less), and
+    that log-likelihood."""
+    of = context(np.arange(SYMBOLS))
+    e, before = m.emit, -np.inf
+    both = m.move / STATES
+    while True:
+        c = np.zeros((CONTEXTS, STATES))
+        np.add.at(c, of, e)
+        p = c @ both @ e.T
+        now = float((n * np.log(p)).sum())
+        r = n / p
+        here, there = c * (r @ (e @ both.T)), e * (r.T @ (c @ both))  # expected states of contexts and of the symbols after them
+        if settled(before, now, FIRST_TOLERANCE):
+            break
+        before, both = now, both * (c.T @ r @ e) + SMOOTH
+        both /= both.sum()
+        e = there + (here / c)[of] * e + SMOOTH
+        e = e / e.sum(0)
+    first = e * (r[0][:, None] * (c[0] @ both))
+    return now, estimate(first.sum(0), there.sum(0), both * (c[1:].T @ r[1:] @ e), there)
+
+
 def started(v: Vocabulary, seqs: DataFrame) -> Hmm:
-    """The likeliest of ``FIRST_STARTS`` models, each converged on the beginnings
-    of a bounded number of training texts."""
-    rows = smallest(seqs.where("NOT held_out").select("doc_id", F.substring("symbols", 1, 2 * FIRST_TOKENS).alias("symbols")),
-                    F.xxhash64("doc_id"), ["symbols"], FIRST_TEXTS).toArrow()
-    texts = [np.frombuffer(x, "<u2") for x in rows.column(1).to_pylist()]
-    best, most = first_model(v), -np.inf
-    for seed in range(FIRST_STARTS if texts else 0):
-        m, before = first_model(v, seed), -np.inf
-        while True:
-            found = [judged(m, texts[i:i + 1024]) for i in range(0, len(texts), 1024)]
-            now = sum(x[4] for x in found)
-            if settled(before, now, FIRST_TOLERANCE):
-                break
-            before, m = now, estimate(*(sum(x[k] for x in found) for k in range(4)))
-        if now > most:
-            best, most = m, now
-    return best
+    """The likeliest of ``FIRST_STARTS`` models of the training rows' pair counts."""
+    n = pairs(seqs)
+    if not n.any():
+        return first_model(v)
+    return max((parted(n, first_model(v, seed)) for seed in range(FIRST_STARTS)), key=lambda x: x[0])[1]
 
 
 def improve(m: Hmm, seqs: DataFrame) -> tuple[Hmm, float]:
@@ -339,13 +374,18 @@ def forward(m: Hmm, seqs: DataFrame) -> DataFrame:
     return seqs.select("row", "symbols").mapInArrow(run, "row bigint, hmm double")
 
 
+def tagged(docs: DataFrame) -> DataFrame:
+    """(doc_id, held_out, text as bytes) of every row."""
+    return docs.select("doc_id", (bucket("doc_id", 10) == 0).alias("held_out"),
+                       F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
+
+
 def score(docs: DataFrame, iterations: int | None = None) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
     ``iterations``: that many from the random start, else until convergence.
     """
-    rows = docs.select("doc_id", (bucket("doc_id", 10) == 0).alias("held_out"),
-                       F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
+    rows = tagged(docs)
     counts = written(count_words(rows.where("NOT held_out")), "lm-counts")
     v = frequent(counts)
     seqs = written(sequences(rows, v), "lm-sequences")

@@ -182,6 +182,21 @@ def test_states_part_so_that_held_out_texts_score_above_unigrams(spark):
     assert lm.score(frame(spark, [])).count() == 0
 
 
+def test_the_start_counts_every_neighbour_of_all_training_texts(spark):
+    texts = ["a b a", None, "b " * 3000 + "z z"] + ["c d"] * 40
+    rows = lm.tagged(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    v = lm.frequent(lm.count_words(rows.where("NOT held_out")))
+    at = {w: i for i, w in enumerate(v.words)}
+    want = Counter()
+    for r in rows.where("NOT held_out").collect():
+        own = [b"", *lm.tokens(bytes(r.text))]
+        want.update((int(lm.context(np.array(at[x]))), at[y]) for x, y in zip(own, own[1:]))
+    n = lm.pairs(lm.sequences(rows, v))
+    assert {(int(i), int(k)): n[i, k] for i, k in zip(*np.nonzero(n))} == want and n.sum() == v.total
+    m = lm.started(v, lm.sequences(rows, v))
+    assert m.emit.sum(0) == pytest.approx(1) and m.move.sum(1) == pytest.approx(1) and m.start.sum() == pytest.approx(1)
+
+
 def test_language_model_of_odd_rows(spark):
     docs = frame(spark)
     rows = lm.score(docs, 1).collect()
