@@ -67,6 +67,108 @@ def test_nulls_are_smallest_and_expiry_is_rounded_up():
     assert parked.until(0) == 1600 and parked.until(1) == 1700
 
 
+class Handle:
+    """The state of one key, with a count of the calls that ask the state store."""
+
+    def __init__(self):
+        self.calls, self.timers, self.values = 0, set(), {}
+
+    def getValueState(self, name, schema):
+        return Value(self, name)
+
+    def getMapState(self, name, key, value):
+        return Value(self, name)
+
+    def registerTimer(self, t):
+        self.calls += 1
+        self.timers.add(t)
+
+    def deleteTimer(self, t):
+        self.calls += 1
+        self.timers.discard(t)
+
+
+class Value:
+    def __init__(self, handle, name):
+        self.handle, self.name = handle, name
+
+    def getValue(self, key):
+        self.handle.calls += 1
+        return self.handle.values.get((self.name, key))
+
+    def updateValue(self, key, value):
+        self.handle.calls += 1
+        self.handle.values[self.name, key] = value
+
+    def removeKey(self, key):
+        self.handle.calls += 1
+        del self.handle.values[self.name, key]
+
+    def get(self):
+        return self.getValue(None)
+
+    def update(self, value):
+        self.updateValue(None, value)
+
+    def clear(self):
+        self.handle.calls += 1
+        self.handle.values.pop((self.name, None), None)
+
+
+class Fired:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getExpiryTimeInMs(self):
+        return self.ms
+
+
+def key_of(expiry=1600):
+    handle, job = Handle(), ParkedPosts(expiry)
+    job.init(handle)
+    posts = lambda rows: [(0, 0, None, a, ms, p, None, None, None) for a, ms, p in rows]
+    users = lambda ids, at=0: [(0, 0, None, a, at, None, "2018", True, i) for i, a in enumerate(ids)]
+    run = lambda rows: sorted((r.status, r.waited, r.author_id, r.post or "", r.n_posts) for r in job.handleInputRows((0, 0), iter(rows), None))
+    fire = lambda ms: sorted((r.status, r.author_id, r.post) for r in job.handleExpiredTimer((0, 0), None, Fired(ms)))
+    return handle, posts, users, run, fire
+
+
+def test_calls_of_the_state_store_do_not_grow_with_the_users_of_a_key():
+    handle, posts, users, run, _ = key_of()
+    ids = [f"a{i}" for i in range(500)]
+    run(users(ids))
+    assert handle.calls <= 4
+    handle.calls = 0
+    assert run(posts([(a, 0, "p") for a in ids])) == sorted(("joined", False, a, "p", 1) for a in ids) and handle.calls <= 4
+    handle.calls = 0
+    run(posts([(f"b{i}", 0, "p") for i in range(500)]))
+    run(users([f"b{i}" for i in range(500)]))
+    assert handle.calls <= 12
+
+
+def test_posts_of_authors_that_share_a_key_go_on_or_expire_by_themselves():
+    handle, posts, users, run, fire = key_of()
+    assert run(posts([("a", 0, "1"), ("b", 0, "2"), ("a", 150, "3")])) == [("unknown", False, "a", "", 2), ("unknown", False, "b", "", 1)]
+    assert handle.timers == {1600, 1800}
+    # one micro-batch with a's user, another post of a, one of b, and more of c than a chunk holds
+    many = [("c", 200, str(i)) for i in range(2500)]
+    got = run([*posts([("a", 200, "4"), ("b", 300, "5"), *many]), *users(["a"])])
+    assert got == sorted([("joined", True, "a", "1", 1), ("joined", True, "a", "3", 1), ("joined", False, "a", "4", 1), ("unknown", False, "b", "", 1), ("unknown", False, "c", "", 2500)])
+    assert fire(1600) == [("expired", "b", "2")] and fire(1600) == []
+    assert fire(1800) == sorted(("expired", "c", str(i)) for i in range(2500))
+    assert run(users(["b"])) == [("joined", True, "b", "5", 1)]
+    assert handle.timers <= {1600, 1800} and [n for n, _ in handle.values if n != "users"] == []
+
+
+def test_a_chunk_that_waits_stays_readable_when_small_ones_join_it():
+    handle, posts, users, run, _ = key_of()
+    for i in range(64):
+        run(posts([(f"a{i % 4}", i, str(i))]))
+    assert sum(n == "chunks" for n, _ in handle.values) <= 7
+    assert {r[3] for r in run(users(["a1"]))} == {str(i) for i in range(64) if i % 4 == 1}
+    assert {r[3] for r in run(users(["a0", "a2", "a3"]))} == {str(i) for i in range(64) if i % 4 != 1}
+
+
 def test_keyed_live_equals_the_archive(spark, tmp_path):
     from moodlens.plans.registry import FIXTURE_LEXICON, posts_e, users_e
     from moodlens.streaming.live import KeyedLive
