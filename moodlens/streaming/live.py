@@ -5,8 +5,9 @@ posts of authors that aren't known yet; it reads no user table.  ``Live`` does
 without a state store: each micro-batch reads the users as they are now.  Posts whose author isn't
 known yet are parked and tried again with the next micro-batch, and their
 authors are listed in ``to_fetch``; so a post counts once its author arrives,
-however late.  Counts are sums per author and indicator first, joined with users
-after that, so a hot author is one row.
+however late.  A micro-batch's posts are joined with the users once, and all tables
+are made from those rows: a join each would read posts and users again for every
+table.  Spark splits a hot author's share of that join at run time.
 
 Running totals live in tables of two slots: a micro-batch reads the slot of the
 one before it, adds its own rows, and writes the other slot.  A replayed
@@ -22,9 +23,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moodlens.functions.polarity import CONTAINS, PREFIX, TAG, first_tag, flag, is_negative, is_positive, tag_col
+from moodlens.functions.polarity import CONTAINS, TAG, first_tag, flag, is_negative, is_positive, tag_col
 from moodlens.operators.indicators import indicator_counts
-from moodlens.operators.join import AUTHOR, dedupe_users, join_users, per_author, with_users
+from moodlens.operators.join import AUTHOR, dedupe_users
 from moodlens.operators.topk import merge_states, sample_state, samples
 from moodlens.plans import analyses as A
 from moodlens.sources.files import authors_to_fetch
@@ -58,24 +59,29 @@ class Live:
         arrived = arrived.select("data", "matching_rules")
         parked = self.before("parked", epoch)
         waiting = arrived if parked is None else arrived.unionByName(parked)
-        waiting = waiting.where(F.col("data.author_id").isNotNull()).persist()  # read once for all tables
-        unknown = waiting.join(users.select("id"), F.col("data.author_id") == F.col("id"), "left_anti")
+        waiting = waiting.where(F.col("data.author_id").isNotNull())
+        # posts meet the users once, and are read from there for all tables
+        tried = waiting.join(users, F.col("data.author_id") == F.col("id"), "left").persist()
+        unknown, joined = tried.where(F.col("id").isNull()).select("data", "matching_rules"), tried.where(F.col("id").isNotNull())
         write_latest(unknown, self.path("parked"), epoch)
         write_latest(authors_to_fetch(unknown), self.path("to_fetch"), epoch)
-        sums = {
-            "indicators": indicator_counts(waiting, self.lexicon, users=users),
-            "verified": A.verified_counts(waiting, users, dedupe=False),
-            "observed": arrived.agg(F.count(F.lit(1)).alias("n_posts")),
-            "followers": self.follower_means(waiting, users),
-        }
+        sums = {**self.sums(joined), "observed": arrived.agg(F.count(F.lit(1)).alias("n_posts"))}
         for name, rows in sums.items():
             self.add(name, rows, epoch)
-        write_epoch(A.sample_posts(join_users(waiting, users, dedupe=False)), self.path("samples"), epoch)
-        write_epoch(A.account_age_split(waiting, users, cutoff=self.cutoff, match=PREFIX, dedupe=False), self.path("account_age"), epoch)
-        waiting.unpersist()
+        write_epoch(A.sample_posts(joined), self.path("samples"), epoch)
+        write_epoch(S.account_age_rows(S.running_account_age(joined, self.cutoff)), self.path("account_age"), epoch)
+        tried.unpersist()
         if self.after:
             self.after(self.tables())
 
+    def sums(self, joined: DataFrame) -> dict[str, DataFrame]:
+        """What a micro-batch's joined rows add to the running totals."""
+        verified = S.running_verified_counts(joined)
+        tagged = joined.select("public_metrics", first_tag().alias(TAG))
+        weighted = tagged.select("public_metrics", flag(is_positive(CONTAINS, tag_col())).alias("pos"), flag(is_negative(CONTAINS, tag_col())).alias("neg"))
+        return {"indicators": indicator_counts(joined, self.lexicon), "verified": polarity_rows(verified, "pos", "neg"),
+                "followers": self.with_means(A.follower_sums(weighted, []))}
+
     def add(self, name: str, rows: DataFrame, epoch: int) -> None:
         keys = TOTALS[name]
         earlier = self.before(name, epoch)
@@ -83,11 +89,6 @@ class Live:
         sums = [F.sum(c).cast(t).alias(c) for c, t in rows.dtypes if c not in keys]
         write_latest(every.groupBy(*keys).agg(*sums), self.path(name), epoch)
 
-    def follower_means(self, posts: DataFrame, users: DataFrame) -> DataFrame:
-        """The micro-batch's follower sums and its means, as rows to be added up."""
-        per = per_author(posts, pos=flag(is_positive(CONTAINS, tag_col())), neg=flag(is_negative(CONTAINS, tag_col())))
-        return self.with_means(A.follower_sums(with_users(per, users, dedupe=False), []))
-
     @staticmethod
     def with_means(sums: DataFrame) -> DataFrame:
         mean = lambda k: F.try_divide(F.col(f"s_{k}").cast("double"), F.col(f"c_{k}").cast("double"))
@@ -128,17 +129,12 @@ class KeyedLive(Live):
     def batch(self, rows: DataFrame, epoch: int) -> None:
         rows = rows.persist()  # read once for all tables
         joined = rows.where(F.col("status") == JOINED)
-        tagged = joined.select("*", first_tag().alias(TAG))
-        weighted = tagged.select("public_metrics", flag(is_positive(CONTAINS, tag_col())).alias("pos"), flag(is_negative(CONTAINS, tag_col())).alias("neg"))
-        verified = S.running_verified_counts(joined)
         gone = rows.where(F.col("status") == EXPIRED).select(first_tag().alias(TAG), "n_posts")
         unknown = rows.where(F.col("status") == UNKNOWN)
         write_latest(unknown.select(AUTHOR).distinct(), self.path("to_fetch"), epoch)
         sums = {
-            "indicators": indicator_counts(joined, self.lexicon),
-            "verified": polarity_rows(verified, "pos", "neg"),
+            **self.sums(joined),
             "observed": rows.where((F.col("status") != EXPIRED) & ~F.col("waited")).agg(F.coalesce(F.sum("n_posts"), F.lit(0)).alias("n_posts")),
-            "followers": self.with_means(A.follower_sums(weighted, [])),
             "expired": polarity_rows(gone.agg(F.count_if(is_positive(CONTAINS, tag_col())).alias("pos"), F.count_if(is_negative(CONTAINS, tag_col())).alias("neg")), "pos", "neg"),
         }
         for name, new in sums.items():

@@ -174,6 +174,26 @@ def test_live_parks_posts_of_unknown_authors_and_survives_a_replay(spark, tmp_pa
         assert r.true_mean == pytest.approx(true[r.polarity]) and r.n_batches == 2
 
 
+def test_live_reads_the_users_once_a_micro_batch(spark, tmp_path):
+    """Users listed twice, posts without author, id or rules; users are deduplicated in one pass for all tables."""
+    from moodlens.schemas import POST, USER
+    from moodlens.streaming.live import Live
+    from tests.conftest import post, user
+    read = spark.sparkContext.accumulator(0)
+    seen = F.udf(lambda x: (read.add(1), x)[1], "string").asNondeterministic()
+    users = spark.createDataFrame([user("a", created="1990-01-01", verified=True, followers=5), user("a", created="1980-01-01"), user("b", created=None), user(None)], USER)
+    posts = spark.createDataFrame([post("1", "a", tags=["positive keywords"]), post(None, "a", tags=["positive keywords"]), post("2", "b", tags=["negative emojis"]),
+                                   post("3", None, tags=["positive keywords"]), post("4", "c", tags=["positive keywords"]), post("5", "a", tags=None)], POST)
+    job = Live(spark, str(tmp_path / "once"), lambda: users.withColumn("created_at", seen("created_at")), FIXTURE_LEXICON, "1995-07-01")
+    job.batch(posts, 0)
+    assert read.value == 4
+    assert {(r.polarity, r.n_posts) for r in job.total("verified").collect()} == {("positive", 2), ("negative", 0)}
+    assert job.total("observed").first().n_posts == 6 and [r.data.id for r in job.before("parked", 1).collect()] == ["4"]
+    assert {(r.polarity, r.true_mean) for r in job.followers().collect()} == {("positive", 5.0), ("negative", 10.0)}
+    assert [r.n_posts for r in job.per_batch("account_age").where("description = 'older accounts, positive'").collect()] == [1]
+    assert {(r.polarity, r.post_id) for r in job.per_batch("samples").collect()} == {("positive", "1"), ("positive", None), ("negative", "2")}
+
+
 def test_one_author_with_a_third_of_the_stream(spark, tmp_path):
     from moodlens.streaming.live import Live
     posts = posts_e(spark, SF_SMALL)
