@@ -23,11 +23,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from moodlens.schemas import POST
-from moodlens.session import scratch_path
+from moodlens.session import configured, scratch_path
 
 DAY = "ingest_date"
 DAY_OF = f"(?:^|/){DAY}=([^/]*)/"
 TARGET_BYTES = 256 << 20
+LISTING_TASKS = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
 #: A file below this share of the target is small.
 SMALL = 0.5
 #: One row per file: its day, its name below the folder, and its size.  ``merged``
@@ -70,6 +71,14 @@ def _files(spark: SparkSession, folder: str, below: str = "") -> DataFrame:
     return named.select(F.regexp_extract("file", DAY_OF, 1).alias(DAY), "file", "bytes").where(F.col(DAY) != "")
 
 
+def _rows(spark: SparkSession, names: list[str], schema: T.StructType) -> DataFrame:
+    """Rows of the named files and their ``ingest_date``.  Spark looks the files up in one
+    job, by default with a task for each of them: a few tasks per core do."""
+    with configured(spark, {LISTING_TASKS: str(4 * spark.sparkContext.defaultParallelism)}):
+        rows = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(*names)
+    return rows.select("*", F.regexp_extract("_metadata.file_path", DAY_OF, 1).alias(DAY))
+
+
 def live_files(spark: SparkSession, folder: str, version: int | None = None) -> DataFrame:
     """``ingest_date, file, bytes``: the files that make up the table now, or
     those of one version."""
@@ -88,8 +97,7 @@ def read_compacted(spark: SparkSession, folder: str, version: int | None = None,
     files = [f"{folder}/{r.file}" for r in live_files(spark, folder, version).select("file").collect()]
     if not files:
         return spark.createDataFrame([], T.StructType([*schema.fields, T.StructField(DAY, T.StringType())]))
-    rows = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(*files)
-    return rows.select("*", F.regexp_extract("_metadata.file_path", DAY_OF, 1).alias(DAY))
+    return _rows(spark, files, schema)
 
 
 def compact(spark: SparkSession, folder: str, target_bytes: int = TARGET_BYTES, schema: T.StructType = POST) -> int | None:
@@ -110,7 +118,7 @@ def compact(spark: SparkSession, folder: str, target_bytes: int = TARGET_BYTES,
     new = spark.createDataFrame([], MANIFEST)
     if names:
         below = f"/_compacted/{uuid.uuid4().hex[:12]}"
-        rows = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(*names).select("*", F.regexp_extract("_metadata.file_path", DAY_OF, 1).alias(DAY))
+        rows = _rows(spark, names, schema)
         # a day's rows are dealt over as many tasks as it gets files (a number of
         # partitions that is given isn't coalesced; spare ones keep parts apart)
         total = days.agg(F.sum("_parts")).first()[0]

@@ -74,6 +74,19 @@ def test_a_large_day_gets_several_files(spark, tmp_path):
     assert 2 <= live_files(spark, folder).count() <= 4 and ids(read_compacted(spark, folder)) == list(range(4000))
 
 
+def test_files_are_looked_up_by_a_few_tasks(spark, tmp_path):
+    """Not by a task for each file."""
+    folder, sc = str(tmp_path / "landing"), spark.sparkContext
+    land_posts(posts(spark, 0, 300), folder, max_records_per_file=2)
+    assert live_files(spark, folder).count() >= 150
+    sc.setJobGroup("lookup", "compaction")
+    assert compact(spark, folder) == 1
+    stages = [sc.statusTracker().getStageInfo(s) for j in sc.statusTracker().getJobIdsForGroup("lookup") for s in sc.statusTracker().getJobInfo(j).stageIds]
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert max(s.numTasks for s in stages if s) <= 64
+    assert ids(read_compacted(spark, folder)) == list(range(300))
+
+
 def test_empty_folder(spark, tmp_path):
     folder = str(tmp_path / "landing")
     land_posts(posts(spark, 0, 1).limit(0), folder)
