@@ -135,10 +135,9 @@ class Coder:
         self.vocabulary, self.hashed = vocabulary, hashed
         self.ranks = {t: i for i, t in enumerate(vocabulary)}
         self.pattern = regex.compile(pattern.replace(r"[^\s", "[^" + SPACE).replace(r"\s", f"[{SPACE}]").replace(r"\S", f"[^{SPACE}]"))
-        self.pieces = Pieces(self.new, self.general, b"".join)
+        self.pieces = Pieces(self.new, self.general)
 
-    def new(self, pretokens: list[str]) -> list[bytes]:
-        words = [p.encode("utf-8", "replace") for p in pretokens]
+    def new(self, words: list[bytes]) -> list[bytes]:
         found = self.hashed.find(words).tolist()
         ids = [[i] if self.vocabulary[i] == w else merge(w, self.ranks) for w, i in zip(words, found, strict=True)]
         return [struct.pack(f"<{len(x)}I", *x) for x in ids]
@@ -146,7 +145,7 @@ class Coder:
     def general(self, text: bytes) -> bytes:
         found = self.pattern.findall(text.decode("utf-8", "replace"))
         own = list(dict.fromkeys(found))
-        ids = dict(zip(own, self.new(own), strict=True)) if own else {}
+        ids = dict(zip(own, self.new([p.encode("utf-8", "replace") for p in own]), strict=True)) if own else {}
         return b"".join(map(ids.__getitem__, found))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:

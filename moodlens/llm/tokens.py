@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import codecs
+import json
 import os
+from array import array
 from collections.abc import Callable
 
 import numpy as np
@@ -10,8 +13,13 @@ import numpy as np
 from .common import worker_state
 from .pieces import Pieces
 
-#: Pieces and pre-tokens that a worker's caches hold.
+#: Pre-tokens that a generation of a worker's cache holds.
 CACHED = 600_000
+#: Byte-level vocabularies spell each byte as a character: itself if it is a sign of Latin-1, else one from U+0100 on.
+SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+SPELLED = {b: chr(b) for b in SHOWN} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in SHOWN)}
+#: The same as a decoding table; 0xFF, which no text in UTF-8 has, becomes a blank and parts words.
+SPELLING = "".join(SPELLED[b] for b in range(255)) + " "
 
 
 def path(name: str) -> str:
@@ -20,6 +28,19 @@ def path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def spelled(words: list[bytes]) -> str:
+    """Words of valid UTF-8 in the characters of the vocabulary, parted by blanks."""
+    return codecs.charmap_decode(b"\xff".join(words), "strict", SPELLING)[0]
+
+
+def byte_level(file: str) -> bool:
+    """Whether the tokenizer in ``file`` parts texts by the pattern that Pieces follows."""
+    with open(file, encoding="utf-8") as f:
+        own = json.load(f)
+    by = own["pre_tokenizer"] or {}
+    return own["normalizer"] is None and by.get("type") == "ByteLevel" and by.get("use_regex", True) and not by["add_prefix_space"]
+
+
 def encoder(file: str) -> Callable[[list[bytes]], list[bytes]]:
     """A function from texts (UTF-8) to their ids as unsigned 32-bit bytes.
     Strings of special tokens in a text are ordinary text.  The tokenizer and
@@ -31,20 +52,14 @@ def encoder(file: str) -> Callable[[list[bytes]], list[bytes]]:
 
         tokenizer = Tokenizer.from_file(file)
         tokenizer.encode_special_tokens = True
+        tokenize = tokenizer.model.tokenize
 
-        def new(pretokens: list[str]) -> list[bytes]:
-            # many pre-tokens are one input of the library, which encodes each by itself and says where it ends
-            out: list[bytes] = []
-            for i in range(0, len(pretokens), 4096):
-                own = pretokens[i:i + 4096]
-                e = tokenizer.encode_batch([own], is_pretokenized=True, add_special_tokens=False)[0]
-                ids = np.array(e.ids, "<u4").tobytes()
-                ends = (4 * np.searchsorted(np.array(e.word_ids, np.int64), np.arange(len(own)), side="right")).tolist()
-                out += [ids[a:b] for a, b in zip([0, *ends], ends, strict=False)]
-            return out
+        def new(pretokens: list[bytes]) -> list[bytes]:
+            # the library's model directly: what it would do to find the pre-tokens has been done
+            return [array("I", [t.id for t in tokenize(w)]).tobytes() for w in spelled(pretokens).split(" ")]
 
         def general(text: bytes) -> bytes:
             return np.array(tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
 
-        state["tokens", file] = Pieces(new, general, b"".join, CACHED).encode
+        state["tokens", file] = Pieces(new, general, CACHED).encode
     return state["tokens", file]

@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from moodlens.llm import bpe, huffman, packing, tokens
+from moodlens.llm import bpe, huffman, packing, pieces, tokens
 from moodlens.session import scratch_path
 
 from .conftest import ODD, frame
@@ -71,6 +71,51 @@ def test_small_caches_change_nothing(library, documents):
         own.limit = limit
 
 
+def counted(own):
+    """``own`` with lists of the pre-tokens that were new and of the texts that went the general way."""
+    new, general, fresh, whole = own.new, own.general, [], []
+    own.new = lambda words: (fresh.extend(words), new(words))[1]
+    own.general = lambda text: (whole.append(text), general(text))[1]
+    return own, fresh, whole
+
+
+@pytest.fixture
+def own_pieces():
+    used = tokens.encoder(FILE).__self__
+    return counted(pieces.Pieces(used.new, used.general, 40))
+
+
+def test_touching_white_space_goes_the_short_way(own_pieces, library):
+    own, fresh, whole = own_pieces
+    texts = ["two  blanks", "line\n \nline", "trail \n", "  ", "it's 'tis we'll'd x'red \n'm o'sé 's\n", "été d'été"]
+    assert [ids(x) for x in own.encode([t.encode() for t in texts])] == [library(t) for t in texts]
+    assert not whole
+
+
+def test_the_library_gets_a_pretoken_once(own_pieces):
+    own, fresh, _ = own_pieces
+    own.encode([b"one word, one word; one word\n", b"more word, one"])
+    assert sorted(fresh) == sorted({b"one", b" word", b",", b" one", b";", b"\n", b"more"})
+
+
+def test_words_that_come_back_stay_cached(own_pieces):
+    own, fresh, _ = own_pieces
+    for i in range(30):  # ten rare words a text: the young generation of 40 gives way many times
+        own.encode([b"the same words " + b" ".join(b"rare%dx" % (10 * i + k) for k in range(10))])
+    assert all(fresh.count(w) == 1 for w in (b"the", b" same", b" words"))
+    assert len(own.young) <= 41 + 23 and len(own.old) <= 41 + 23
+
+
+def test_many_texts_at_once_stay_apart(own_pieces, library, monkeypatch):
+    own, _, _ = own_pieces
+    monkeypatch.setattr(pieces, "SPLIT", 200)
+    rng = random.Random(3)
+    texts = ["".join(rng.choices(["'", "s", "re", "ll", "é", " ", "\n", "7", ".", "word", "中", "\0"], [4, 3, 2, 2, 2, 4, 2, 2, 2, 2, .1, .1], k=rng.randrange(30)))
+             for _ in range(3000)]
+    assert [ids(x) for x in own.encode([t.encode() for t in texts])] == [library(t) for t in texts]
+    assert own.encode([]) == [] and own.encode([b"", b""]) == [b"", b""] and own.encode([b"\xc3", b"a\xbf"]) == [own.general(b"\xc3"), own.general(b"a\xbf")]
+
+
 def test_bpe_is_the_reference_and_decodes(coder, reference, documents):
     texts = TEXTS + [t for _, t, *_ in documents] + ["a" * 5000, "ab" * 3000 + "é" * 999]
     for t, x in zip(texts, coder.encode([t.encode() for t in texts]), strict=True):
