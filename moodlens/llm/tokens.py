@@ -34,11 +34,12 @@ def spelled(words: list[bytes]) -> str:
 
 
 def byte_level(file: str) -> bool:
-    """Whether the tokenizer in ``file`` parts texts by the pattern that Pieces follows."""
+    """Whether the tokenizer in ``file`` parts texts by the pattern that Pieces follows, and does nothing else to them."""
     with open(file, encoding="utf-8") as f:
         own = json.load(f)
-    by = own["pre_tokenizer"] or {}
-    return own["normalizer"] is None and by.get("type") == "ByteLevel" and by.get("use_regex", True) and not by["add_prefix_space"]
+    by = own.get("pre_tokenizer") or {}
+    return (by.get("type") == "ByteLevel" and by.get("use_regex", True) and not by["add_prefix_space"]
+            and not any(own.get(k) for k in ("normalizer", "truncation", "padding")) and all(t["special"] for t in own.get("added_tokens", [])))
 
 
 def encoder(file: str) -> Callable[[list[bytes]], list[bytes]]:
@@ -61,5 +62,5 @@ def encoder(file: str) -> Callable[[list[bytes]], list[bytes]]:
         def general(text: bytes) -> bytes:
             return np.array(tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
 
-        state["tokens", file] = Pieces(new, general, CACHED).encode
+        state["tokens", file] = Pieces(new, general, CACHED).encode if byte_level(file) else lambda texts: list(map(general, texts))
     return state["tokens", file]

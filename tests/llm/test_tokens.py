@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import json
 import random
 import zlib
 
@@ -116,6 +117,18 @@ def test_many_texts_at_once_stay_apart(own_pieces, library, monkeypatch):
     assert own.encode([]) == [] and own.encode([b"", b""]) == [b"", b""] and own.encode([b"\xc3", b"a\xbf"]) == [own.general(b"\xc3"), own.general(b"a\xbf")]
 
 
+@pytest.mark.parametrize("change", [{"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}},
+                                    {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}},
+                                    {"normalizer": {"type": "Lowercase"}}])
+def test_other_pretokens_are_the_librarys(tmp_path, change):
+    file = str(tmp_path / "other.json")
+    with open(FILE, encoding="utf-8") as own, open(file, "w", encoding="utf-8") as other:
+        json.dump(json.load(own) | change, other)
+    t = Tokenizer.from_file(file)
+    texts = ["Some words, Other words", "it's\nÉté  2"]
+    assert [ids(x) for x in tokens.encoder(file)([x.encode() for x in texts])] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 def test_bpe_is_the_reference_and_decodes(coder, reference, documents):
     texts = TEXTS + [t for _, t, *_ in documents] + ["a" * 5000, "ab" * 3000 + "é" * 999]
     for t, x in zip(texts, coder.encode([t.encode() for t in texts]), strict=True):
