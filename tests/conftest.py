@@ -2,6 +2,7 @@ import os
 import sys
 
 import pytest
+from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -18,6 +19,14 @@ def spark():
     s.stop()
 
 
+@pytest.fixture(scope="module", autouse=True)
+def nothing_stays_cached():
+    """Frames that a module's tests persisted would stand in the plans of the next."""
+    yield
+    if session := SparkSession.getActiveSession():
+        session.catalog.clearCache()
+
+
 def post(pid, author="a1", text="", tags=(), created="2021-03-01T10:00:00.000Z", lang="en"):
     """One POST row as a tuple for createDataFrame(schema=POST)."""
     rules = None if tags is None else [(str(i + 1), t) for i, t in enumerate(tags)]
