@@ -9,9 +9,9 @@ size at a time: neither texts nor hits are shuffled.  Other terms are indexed un
 The distinct n-grams of a text meet that index, and an exact ``contains`` decides
 about the terms that are left, so terms match inside words as before.
 
-``rule_hits`` tags posts by a rule table: a text's runs of tokens (or of non-ASCII
-code points), of the lengths that terms have, meet words, phrases, emojis and
-excluded words as a whole in one broadcast join (of a bounded part of the rules at a
+``rule_hits`` tags posts by a rule table: in the tasks that read the texts, the distinct
+tokens and their runs meet words, phrases and excluded words, and runs of non-ASCII code
+points the emojis, all held as arrays (a bounded part of the rules at a
 time), and a task hands on one row of rules a post.  Rules are rows, so other rules need no other plan.
 
 Texts are told apart by id and hash; equal rows have equal hits.  Terms and
@@ -20,25 +20,29 @@ n-grams travel in exchanges, texts only where they are asked for.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from moodlens.functions.polarity import RULES_TYPE, no_rules
-from moodlens.functions.text import TOKEN_SPLIT, token_text, tokens
+from moodlens.functions.text import TOKEN_SPLIT, token_text
+from moodlens.operators.strings import HeldOnce, RuleIndex, pieces
 from moodlens.session import scratch_path
 
 GRAM = 5
-#: Terms that are held in memory at a time (larger tables take several passes), and
-#: tokens of which a task keeps the terms.
-HELD_TERMS, CACHED_TOKENS = 500_000, 200_000
-#: Code points of a text; and the same with each run of ASCII as one.
+#: Terms that are held in memory at a time, as arrays (larger tables take several passes),
+#: and tokens of which a task keeps the terms.
+HELD_TERMS, CACHED_TOKENS = 3_000_000, 500_000
+#: Code points of a text; runs of ASCII.
 CODE_POINTS = "(?s)."
-NON_ASCII = "[\\x00-\\x7F]+|(?s)[^\\x00-\\x7F]"
+ASCII = "[\\x00-\\x7F]+"
 
 
 def _written(df: DataFrame, name: str) -> DataFrame:
@@ -88,12 +92,24 @@ def contained_terms(posts: DataFrame, terms: DataFrame) -> DataFrame:
     return one.select("t.post_id", "t._hash", F.explode(held).alias("term"))
 
 
+def _ready(text: Column) -> Column:
+    """Bytes that ``strings.tokens`` takes apart: ASCII as it is, texts with other
+    characters lower-cased and without separators (the classes of letters are Java's)."""
+    plain = F.octet_length(text) == F.length(text)
+    return F.when(plain, text).otherwise(F.regexp_replace(F.lower(text), TOKEN_SPLIT, " ")).cast("binary")
+
+
 def _slices(table: DataFrame, key: str) -> Iterator[DataFrame]:
     """``table`` dealt by the hash of a column into parts of about ``HELD_TERMS`` rows."""
     n = -(-table.count() // HELD_TERMS)
     return (table.where(F.pmod(F.xxhash64(key), F.lit(n)) == k) for k in range(n))
 
 
+def _sent(df: DataFrame, value: object) -> Broadcast:
+    """``value`` for the executors, with its classes (a broadcast itself carries their names alone)."""
+    return df.sparkSession.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
 def _counted_in_tokens(texts: DataFrame, terms: DataFrame) -> DataFrame:
     """``term, n_posts`` of terms without a separator: one lies within a token or nowhere.
 
@@ -150,14 +166,6 @@ def contains_counts(posts: DataFrame, terms: DataFrame) -> DataFrame:
     return every.join(found, F.col("term") == F.col("_t"), "left").select("term", F.coalesce("_posts", F.lit(0)).cast("long").alias("n_posts"))
 
 
-def _runs(items: Column, sizes: list[int]) -> Column:
-    """Distinct runs of so many elements each, joined by spaces."""
-    def of(n: int) -> Column:
-        places = F.when(F.size(items) >= n, F.sequence(F.lit(0), F.size(items) - n)).otherwise(F.array().cast("array<int>"))
-        return F.transform(places, lambda i: F.concat_ws(" ", *[F.get(items, i + j) for j in range(n)]))
-    return F.array_distinct(F.concat(*[of(n) for n in sizes]))
-
-
 def _rule_terms(rules: DataFrame) -> DataFrame:
     """``rule_id, lang, emoji, size, item``: every term, its elements joined by
     spaces; a rule is an emoji rule if none of its terms has an ASCII character."""
@@ -178,6 +186,24 @@ def _rule_index(rules: DataFrame) -> DataFrame:
     return parts.withColumn("veto", F.lit(False)).unionByName(vetoes.withColumn("veto", F.lit(True))).distinct()
 
 
+def _places_met(texts: DataFrame, part: DataFrame) -> DataFrame:
+    """``post_id, _hash, _held, _vetoed``: places of the rules that have a term, and of
+    those that exclude a word, of each text (none, no row), for a part of the rule index."""
+    index = RuleIndex(part.select("item", "emoji", "lang", "veto", "place").toArrow())  # HELD_TERMS, about
+    shared = _sent(texts, index)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = pickle.loads(shared.value)
+        held = HeldOnce(index.signs, CACHED_TOKENS)
+        for batch in batches:
+            for piece in pieces(batch, "_t"):
+                yield from index.hits(piece, held)
+
+    # the signs are read only if a rule asks for some
+    needed = texts if len(index.signs) else texts.withColumn("_s", F.lit(None).cast("binary"))
+    return needed.mapInArrow(run, "post_id string, _hash bigint, _held array<int>, _vetoed array<int>")
+
+
 def rule_hits(posts: DataFrame, rules: DataFrame) -> DataFrame:
     """``post_id, _hash, matching_rules`` of the posts that some rule of the table
     (RULE shape) holds for, by rule id; once per (id, language, text)."""
@@ -187,23 +213,18 @@ def rule_hits(posts: DataFrame, rules: DataFrame) -> DataFrame:
                      .agg(F.array_sort(F.collect_list(F.struct("id", "tag"))).alias("_rules")), "rule-ids")
     places = every.select(F.posexplode("_rules").alias("place", "rule")).select("place", F.col("rule.id").alias("rule_id"))
     index = _written(_rule_index(rules).join(places, "rule_id"), "rule-index")
-    sizes = {e: sorted({r["size"] for r in index.where(F.col("emoji") == e).select("size").distinct().collect()} | {1}) for e in (False, True)}  # lengths of terms
     base = posts.select(F.col("data.id").alias("post_id"), F.col("data.lang").alias("_lang"), F.col("data.text").alias("_text")).where(F.col("_text").isNotNull())
-    base = base.withColumn("_hash", F.xxhash64("_text", F.coalesce("_lang", F.lit(""))))
-    key = ["post_id", "_hash", "_lang"]
     signed = F.octet_length("_text") > F.length("_text")
-    split = base.select(*key, tokens("_text").alias("_t"), F.when(signed, F.regexp_extract_all("_text", F.lit(NON_ASCII), 0)).otherwise(F.array().cast("array<string>")).alias("_s"))
-    as_items = lambda runs, emoji: F.transform(runs, lambda x: F.struct(F.lit(emoji).alias("_emoji"), x.alias("_item")))
-    runs = F.concat(as_items(_runs(F.col("_t"), sizes[False]), False), as_items(_runs(F.col("_s"), sizes[True]), True))
-    items = split.select(*key, F.inline(runs))
-    meets = ((F.col("_item") == F.col("item")) & (F.col("_emoji") == F.col("emoji")) & (F.col("lang").isNull() | (F.col("lang") == F.col("_lang"))))
-    met = [items.join(F.broadcast(part), meets) for part in _slices(index, "item")] or [items.join(index, meets)]
-    places_of = lambda veto: F.collect_set(F.when(F.col("veto") == veto, F.col("place")))
-    # a text's hits are next to each other in its task, which hands on one row for them
-    sets = reduce(DataFrame.unionByName, met).groupBy("post_id", "_hash").agg(places_of(False).alias("_held"), places_of(True).alias("_vetoed"))
-    left = sets.select("post_id", "_hash", F.array_sort(F.array_except("_held", "_vetoed")).alias("_left")).where(F.size("_left") > 0)
-    named = left.crossJoin(F.broadcast(every)).select("post_id", "_hash", F.transform("_left", lambda i: F.get("_rules", i)).alias("matching_rules"))
-    return named.withColumn("matching_rules", F.col("matching_rules").cast(RULES_TYPE))
+    texts = base.select("post_id", F.xxhash64("_text", F.coalesce("_lang", F.lit(""))).alias("_hash"), "_lang",
+                        _ready(F.col("_text")).alias("_t"),
+                        F.when(signed, F.regexp_replace("_text", ASCII, " ")).cast("binary").alias("_s"))
+    met = [_places_met(texts, part) for part in _slices(index, "item")] or [_places_met(texts, index)]
+    in_all = lambda places: F.flatten(F.collect_list(places)).alias(places)
+    sets = reduce(DataFrame.unionByName, met).groupBy("post_id", "_hash").agg(in_all("_held"), in_all("_vetoed"))
+    left = sets.select("post_id", "_hash", F.sort_array(F.array_except("_held", "_vetoed")).alias("_left")).where(F.size("_left") > 0)
+    named = F.transform("_left", lambda i: F.get("_rules", i)).cast(RULES_TYPE)
+    # a one-row generator: what is asked of the rules later is asked of the value, not made again
+    return left.crossJoin(F.broadcast(every)).select("post_id", "_hash", F.inline(F.array(F.struct(named.alias("matching_rules")))))
 
 
 def tag_posts_by_table(posts: DataFrame, rules: DataFrame) -> DataFrame:

@@ -220,7 +220,9 @@ def rule_lexicon(spark, sf_dir) -> DataFrame:
     spoken = _tables(spark, sf_dir, "conversations")["conversations"].select(tokens("text").alias("t"))
     phrases = (spoken.where((F.get("t", F.lit(0)) != "") & (F.coalesce(F.get("t", F.lit(1)), F.lit("")) != ""))
                .select(F.concat_ws(" ", F.get("t", F.lit(0)), F.get("t", F.lit(1))).alias("term")).distinct())
-    words = spoken_words(spark, sf_dir)
+    path = scratch_path(spark, "words")  # read twice; Catalyst would leave the distinct out below a maximum
+    spoken_words(spark, sf_dir).write.parquet(path)
+    words = spark.read.schema("term string").parquet(path)
     dealt = lambda place: F.conv(F.substring(F.md5("term"), place, 6), 16, 10).cast("long") % GENERATED_RULES
     terms = words.unionByName(phrases).groupBy(dealt(1).alias("r")).agg(F.collect_set("term").alias("terms"))
     exclude = words.groupBy(dealt(7).alias("x")).agg(F.max("term").alias("word"))

@@ -125,13 +125,14 @@ def label_rules(labels: DataFrame) -> DataFrame:
 
     quality = 1 gives ``positive keywords``; otherwise toxic = 1 gives
     ``negative keywords``; everything else has no rule.  Repeated label rows
-    collapse in the partial aggregate (max of each flag).
+    collapse in the partial aggregate (max of each flag).  Grouped by the id that posts
+    have, so Catalyst knows it is unique and leaves the join with the posts out where no rule is read.
     """
-    flags = labels.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    flags = labels.groupBy(F.col("doc_id").cast("string").alias("post_id")).agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
     positive = F.col("quality") == 1
     rules = rule_matches([(positive, "1", TAG_POSITIVE_KEYWORDS),
                           (~positive & (F.col("toxic") == 1), "3", TAG_NEGATIVE_KEYWORDS)])
-    return flags.select(F.col("doc_id").cast("string").alias("post_id"), rules.alias("matching_rules"))
+    return flags.select("post_id", rules.alias("matching_rules"))
 
 
 def posts_from_documents(documents: DataFrame, labels: DataFrame | None = None) -> DataFrame:
