@@ -32,8 +32,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from moodlens.functions.polarity import RULES_TYPE, no_rules
-from moodlens.functions.text import TOKEN_SPLIT, token_text
-from moodlens.operators.strings import HeldOnce, RuleIndex, pieces
+from moodlens.functions.text import TOKEN_SPLIT
+from moodlens.operators.strings import HeldOnce, RuleIndex, Strings, pieces
 from moodlens.session import scratch_path
 
 GRAM = 5
@@ -113,33 +113,21 @@ def _sent(df: DataFrame, value: object) -> Broadcast:
 def _counted_in_tokens(texts: DataFrame, terms: DataFrame) -> DataFrame:
     """``term, n_posts`` of terms without a separator: one lies within a token or nowhere.
 
-    A token's terms are looked up once a task (in a bounded cache), a text's are
-    the union over its distinct tokens, and tasks hand on one count a term.  Terms
+    The terms of the distinct tokens are looked up (and kept for so many tokens), a
+    text's are the union over its tokens, and tasks hand on one count a term.  Terms
     are compared as bytes of UTF-8, like ``contains`` does."""
-    words = terms.select("term").toArrow().column(0).cast(pa.binary()).to_pylist()  # about HELD_TERMS
-    shared = texts.sparkSession.sparkContext.broadcast(words)
+    words = terms.select("term").toArrow().column(0).combine_chunks().cast(pa.binary())  # HELD_TERMS, about
+    shared = _sent(texts, (words, Strings(words, within=True)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = {w: i for i, w in enumerate(shared.value)}
-        sizes, counts, cache = sorted({len(w) for w in place}), np.zeros(len(place), np.int64), {}
-
-        def held(token: bytes) -> list[int]:
-            found = (place.get(token[i:i + n]) for n in sizes if n <= len(token) for i in range(len(token) - n + 1))
-            return list({i for i in found if i is not None})
-
+        words, strings = pickle.loads(shared.value)
+        counts, held = np.zeros(len(words), np.int64), HeldOnce(strings, CACHED_TOKENS)
         for batch in batches:
-            for text in batch.column(0):
-                found: set[int] = set()
-                for token in set(text.as_py().split(b" ")):
-                    places = cache.get(token)
-                    if places is None:
-                        if len(cache) >= CACHED_TOKENS:
-                            cache.clear()
-                        places = cache[token] = held(token)
-                    found.update(places)
-                counts[list(found)] += 1
+            for piece in pieces(batch, "text"):
+                for found in held.in_texts(piece.column("text")):
+                    counts += np.bincount(found % len(words), minlength=len(words))
         at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array([shared.value[i] for i in at], pa.binary()).cast(pa.string()), pa.array(counts[at])], names=["term", "n_posts"])
+        yield pa.RecordBatch.from_arrays([words.take(pa.array(at)).cast(pa.string()), pa.array(counts[at])], names=["term", "n_posts"])
 
     return texts.mapInArrow(run, "term string, n_posts bigint").groupBy("term").agg(F.sum("n_posts").alias("n_posts"))
 
@@ -152,7 +140,7 @@ def contains_counts(posts: DataFrame, terms: DataFrame) -> DataFrame:
     (phrases, emojis) meet the index of :func:`contained_terms`."""
     every = _written(terms.select("term").where(F.length("term") > 0).distinct(), "terms")
     apart = F.col("term").rlike(TOKEN_SPLIT)
-    texts = posts.where(F.col("data.text").isNotNull()).select(token_text("data.text").cast("binary").alias("text"))
+    texts = posts.where(F.col("data.text").isNotNull()).select(_ready(F.col("data.text")).alias("text"))
     counted = [_counted_in_tokens(texts, part) for part in _slices(every.where(~apart), "term")]
     spread = every.where(apart)
     if not spread.isEmpty():

@@ -4,11 +4,12 @@ import random
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from moodlens.functions import text as T
 from moodlens.lexicons import Rule, RuleSet
 from moodlens.operators import strings
-from moodlens.operators.patterns import rule_hits, tag_posts_by_table
+from moodlens.operators.patterns import contains_counts, rule_hits, tag_posts_by_table
 from moodlens.operators.rules import rules_frame, tag_posts
 from moodlens.operators.strings import HeldOnce, Runs, Strings
 from moodlens.plans import registry
@@ -65,6 +66,19 @@ def test_runs_of_tokens_and_a_cache_that_is_full(monkeypatch):
     assert sorted(held) == sorted((i, w.decode()) for i, t in enumerate(texts) for w in known if any(w.decode() in x for x in t.split()))
 
 
+def test_a_lexicon_of_600_000_terms_reads_the_texts_once(spark):
+    df = spark.createDataFrame([post(str(i), text=f"W{i} x123456 é.w{i * 7}") for i in range(40)] + [post("n", text=None)], POST)
+    terms = spark.range(600_000).select(F.concat(F.lit("w"), F.col("id").cast("string")).alias("term"))
+    counts = contains_counts(df, terms)
+    assert counts._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    want = {}
+    for i in range(40):
+        texts = {f"w{i}"[:n] for n in range(2, 9)} | {f"w{i * 7}"[:n] for n in range(2, 9)}
+        for t in texts:
+            want[t] = want.get(t, 0) + 1
+    assert {r.term: r.n_posts for r in counts.where("n_posts > 0").collect()} == want and counts.count() == 600_000
+
+
 def test_labels_are_not_joined_where_no_rule_is_read(spark, tmp_path):
     spark.createDataFrame([(1, "Ab", "en", "s"), (2, "b ab", None, "s"), (2, "b", "en", "s"), (None, "ab", "en", "s")],
                           "doc_id bigint, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
