@@ -20,26 +20,23 @@ n-grams travel in exchanges, texts only where they are asked for.
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark import cloudpickle
-from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from moodlens.functions.polarity import RULES_TYPE, no_rules
 from moodlens.functions.text import TOKEN_SPLIT
-from moodlens.operators.strings import HeldOnce, RuleIndex, Strings, pieces
+from moodlens.operators.strings import HeldOnce, RuleIndex, Strings, pieces, received, sent
 from moodlens.session import scratch_path
 
 GRAM = 5
 #: Terms that are held in memory at a time, as arrays (larger tables take several passes),
 #: and tokens of which a task keeps the terms.
-HELD_TERMS, CACHED_TOKENS = 3_000_000, 500_000
+HELD_TERMS, CACHED_TOKENS = 4_000_000, 500_000
 #: Code points of a text; runs of ASCII.
 CODE_POINTS = "(?s)."
 ASCII = "[\\x00-\\x7F]+"
@@ -105,11 +102,6 @@ def _slices(table: DataFrame, key: str) -> Iterator[DataFrame]:
     return (table.where(F.pmod(F.xxhash64(key), F.lit(n)) == k) for k in range(n))
 
 
-def _sent(df: DataFrame, value: object) -> Broadcast:
-    """``value`` for the executors, with its classes (a broadcast itself carries their names alone)."""
-    return df.sparkSession.sparkContext.broadcast(cloudpickle.dumps(value))
-
-
 def _counted_in_tokens(texts: DataFrame, terms: DataFrame) -> DataFrame:
     """``term, n_posts`` of terms without a separator: one lies within a token or nowhere.
 
@@ -117,10 +109,10 @@ def _counted_in_tokens(texts: DataFrame, terms: DataFrame) -> DataFrame:
     text's are the union over its tokens, and tasks hand on one count a term.  Terms
     are compared as bytes of UTF-8, like ``contains`` does."""
     words = terms.select("term").toArrow().column(0).combine_chunks().cast(pa.binary())  # HELD_TERMS, about
-    shared = _sent(texts, (words, Strings(words, within=True)))
+    shared = texts.sparkSession.sparkContext.broadcast(sent((words, Strings(words, within=True))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, strings = pickle.loads(shared.value)
+        words, strings = received(shared.value)
         counts, held = np.zeros(len(words), np.int64), HeldOnce(strings, CACHED_TOKENS)
         for batch in batches:
             for piece in pieces(batch, "text"):
@@ -178,10 +170,10 @@ def _places_met(texts: DataFrame, part: DataFrame) -> DataFrame:
     """``post_id, _hash, _held, _vetoed``: places of the rules that have a term, and of
     those that exclude a word, of each text (none, no row), for a part of the rule index."""
     index = RuleIndex(part.select("item", "emoji", "lang", "veto", "place").toArrow())  # HELD_TERMS, about
-    shared = _sent(texts, index)
+    shared = texts.sparkSession.sparkContext.broadcast(sent(index))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = pickle.loads(shared.value)
+        index = received(shared.value)
         held = HeldOnce(index.signs, CACHED_TOKENS)
         for batch in batches:
             for piece in pieces(batch, "_t"):

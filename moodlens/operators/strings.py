@@ -7,6 +7,7 @@ bytes on, as long as the part begins some string of the set.
 
 from __future__ import annotations
 
+import pickle
 import sys
 from collections.abc import Iterator
 
@@ -33,6 +34,17 @@ PLAIN = np.arange(256, dtype=np.uint8)
 PLAIN[:128] = [ord(c.lower()) if c.isalnum() or c == "'" else ord(" ") for c in map(chr, range(128))]
 
 
+def sent(value: object) -> tuple[bytes, list[bytes]]:
+    """``value`` with its classes, and its arrays apart, for a broadcast."""
+    arrays: list[pickle.PickleBuffer] = []
+    return cloudpickle.dumps(value, protocol=5, buffer_callback=arrays.append), [bytes(a.raw()) for a in arrays]
+
+
+def received(shared: tuple[bytes, list[bytes]]) -> object:
+    """What was sent; its arrays are those of the broadcast, not copies."""
+    return pickle.loads(shared[0], buffers=shared[1])
+
+
 def flat(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of an array without nulls."""
     if not len(strings):
@@ -102,6 +114,7 @@ class Strings:
         """``within``: they are looked for within tokens too."""
         self.data, offsets = flat(strings)
         self.first, self.sizes = offsets[:-1], np.diff(offsets).astype(np.int32)
+        self.data = self.data.copy()  # not all that the array is part of
         self.hashes = Hashes(hashes(self.data, offsets) * MIX, self._begun() if within else [])
 
     def __len__(self) -> int:
@@ -212,7 +225,7 @@ class Runs:
         state, self.steps = codes[first], []
         while len(left):
             ends = sizes[left] == depth
-            whole, longer = np.full(states, -1, np.int64), np.zeros(states, bool)
+            whole, longer = np.full(states, -1, np.int32), np.zeros(states, bool)
             whole[state[ends]], longer[state[~ends]] = left[ends], True
             self.steps.append((whole, longer))
             left, state = left[~ends], state[~ends]
@@ -258,11 +271,11 @@ class RuleIndex:
         at[emoji.to_numpy()] = self.words + sign.indices.to_numpy()
         at[~emoji.to_numpy()] = word.indices.to_numpy()
         by = np.argsort(at, kind="stable")
-        self.sizes = np.bincount(at, minlength=self.items)
-        self.first = np.cumsum(self.sizes) - self.sizes
+        self.sizes = np.bincount(at, minlength=self.items).astype(np.int32)
+        self.first = (np.cumsum(self.sizes) - self.sizes).astype(np.int32)
         lang = index.column("lang").combine_chunks().dictionary_encode()
         self.langs, self.lang = lang.dictionary, lang.indices.fill_null(-1).to_numpy()[by]
-        self.place, self.veto = index.column("place").to_numpy()[by].astype(np.int64), index.column("veto").to_numpy()[by].astype(np.int64)
+        self.place, self.veto = index.column("place").to_numpy()[by].astype(np.int32), index.column("veto").to_numpy()[by].astype(np.int8)
         self.rules = int(self.place.max(initial=0)) + 1
 
     def hits(self, piece: pa.RecordBatch, held: HeldOnce) -> Iterator[pa.RecordBatch]:
